@@ -110,11 +110,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every run of bytes other than [\\x20\\x09-\\x0D]; runs end with their row."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of bytes not in ``outside`` ([\\x20\\x09-\\x0D] if not given); runs end with their row."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    inside = ~WHITE[data]
+    inside = ~outside[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = offsets[:-1][np.diff(offsets) > 0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import packing, secrets, toxicity, urlfilter
 from .minhash import near_duplicates
 
 
@@ -16,8 +17,48 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from two thirds of the labels."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
+def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, as counts and digests of their spans."""
+    return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
+    "op4_secret_scan": op4_secret_scan,
+    "op8_url_filter": op8_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _url_oracle() -> str:
+    fits = [f"""SELECT page_id, url, host, path, {len(r)} AS size, '{r}' AS rule, '{v}' AS verdict FROM p WHERE (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{t}')""" for v, r in urlfilter.RULES for h, _, t in [r.partition("/")]]
+    return f"""
+WITH u AS (SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+fits AS ({" UNION ALL ".join(fits)}),
+best AS (SELECT page_id, url, arg_max(rule, size) AS rule, arg_max(verdict, size) AS verdict FROM fits GROUP BY page_id, url)
+SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, '{urlfilter.DEFAULT}') AS verdict
+FROM p LEFT JOIN best ON p.page_id = best.page_id AND p.url = best.url"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_url_filter": _url_oracle(),
+}
