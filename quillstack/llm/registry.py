@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secrets, toxicity, urlfilter
+from . import packing, secrets, suffixes, toxicity, urlfilter
 from .minhash import near_duplicates
 
 
@@ -38,12 +38,18 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents outside strings of 200 bytes that repeat."""
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_secret_scan": op4_secret_scan,
     "op8_url_filter": op8_url_filter,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 
