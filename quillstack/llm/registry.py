@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secrets, suffixes, toxicity, urlfilter
+from . import packing, secrets, suffixes, toxicity, urlfilter, vectors
 from .minhash import near_duplicates
 
 
@@ -33,6 +33,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of near-duplicate vectors of one label."""
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on the urls of all pages."""
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
@@ -48,6 +53,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_secret_scan": op4_secret_scan,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_url_filter": op8_url_filter,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
