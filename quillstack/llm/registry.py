@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secrets, suffixes, toxicity, urlfilter, vectors
+from . import kneserney, packing, secrets, suffixes, toxicity, urlfilter, vectors
 from .minhash import near_duplicates
 
 
@@ -38,6 +38,11 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents by a model of nine tenths of them."""
+    return kneserney.score_held_out(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on the urls of all pages."""
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
@@ -54,6 +59,7 @@ QUERIES = {
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_secret_scan": op4_secret_scan,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_url_filter": op8_url_filter,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
