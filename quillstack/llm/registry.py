@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneserney, packing, secrets, suffixes, toxicity, urlfilter, vectors
+from . import kneserney, packing, quality, secrets, suffixes, toxicity, urlfilter, vectors
 from .minhash import near_duplicates
 
 
@@ -33,6 +33,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents towards those of good quality, and the Gumbel top-k sample."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return quality.gumbel_top_k(quality.importance(docs, labels))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of near-duplicate vectors of one label."""
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
@@ -58,6 +64,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_secret_scan": op4_secret_scan,
+    "op5_importance_resampling": op5_importance_resampling,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_url_filter": op8_url_filter,
