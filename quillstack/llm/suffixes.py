@@ -93,11 +93,13 @@ class Family:
     def merge(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Both runs as one, equal contexts joined; and the entries that this made repeated."""
         both = Family.sort(np.concatenate([x, y]))
+        if not len(both):
+            return both, both
         same = (both["key"][1:] == both["key"][:-1]) & (both["context"][1:] == both["context"][:-1])
         twin = np.r_[same, False] | np.r_[False, same]
         fresh = both[twin & ~both["many"]]
         both["many"][twin] = True
-        return both[np.r_[True, ~same]] if len(both) else both, fresh
+        return both[np.r_[True, ~same]], fresh
 
     def add(self, run: np.ndarray) -> np.ndarray:
         """Entries, of the run or of the levels, that are now known to occur more than once."""
