@@ -1,25 +1,70 @@
-"""Corpus cleaning from raw documents to packed sequences, stage by stage."""
+"""Corpus cleaning from raw documents to packed sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the
+last return the columns of ``docs``. Rows with a null doc_id or text pass the filters; packing
+gives them the end id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from quillstack.llm.minhash import near_duplicates
+from quillstack.llm import decontam, minhash, packing, secrets, toxicity
+from quillstack.llm.common import Scratch, without
 
+#: No stage can be put as SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar, learned from ``labels``, rejects go."""
+    return toxicity.without_toxic(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays; rows that repeat a document go."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id")
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each near-duplicate class stays, and one row of a doc_id that comes more than once."""
+    classes = minhash.near_duplicates(docs)
+    out = without(docs, classes.filter("not kept"))
+    again = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    if again.isEmpty():
+        return out
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    repeated = out.join(again, "doc_id", "left_semi").withColumn("_row", first).filter("_row = 1").select(docs.columns)
+    return without(out, again).unionByName(repeated)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak an item of ``benchmark`` go."""
+    return without(docs, decontam.leaks(docs, _table(spark, sf_dir, "benchmark")))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; n_chars follows the text."""
+    out = secrets.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts as pieces of sequences of at most 1024 tokens."""
+    return packing.pack(docs)
 
 
-STAGES = [("minhash", minhash_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("minhash_dedup", minhash_stage),
+    ("decontamination", decontamination_stage),
+    ("secret_scan", secrets_stage),
+    ("packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs, scratch = _table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled by one vectorised step; bounds the NumPy temporaries of a worker.
 STEP_BYTES = 2 << 20
@@ -165,3 +166,17 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[first], np.diff(np.r_[first, len(keys)])
+
+
+#: Ids that ``without`` broadcasts at most (8 bytes each).
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not in ``ids``; rows with a null doc_id stay.
+
+    The ids are broadcast while they are few enough, so that the texts are not shuffled; beyond
+    that it is a shuffled anti join.
+    """
+    ids = ids.select("doc_id").distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)

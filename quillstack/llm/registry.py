@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneserney, packing, quality, secrets, suffixes, toxicity, urlfilter, vectors
+from . import decontam, kneserney, packing, quality, secrets, suffixes, toxicity, urlfilter, vectors
 from .minhash import near_duplicates
 
 
@@ -54,6 +54,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak items of the benchmark."""
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents outside strings of 200 bytes that repeat."""
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
@@ -68,6 +73,7 @@ QUERIES = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_url_filter": op8_url_filter,
+    "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 

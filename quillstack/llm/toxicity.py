@@ -205,24 +205,39 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     return lexicon
 
 
-def _score(lexicon: Lexicon):
+def _score(lexicon: Lexicon, names: list[str], text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = lexicon.heads()
         for batch in batches:
-            for part in steps(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(logistic(features(part.column(1), lexicon, heads), lexicon.weights))], names=["doc_id", "score"])
+            for part in steps(batch.rename_columns(names), names[text_at]):
+                scores = logistic(features(part.column(text_at), lexicon, heads), lexicon.weights)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*names, "score"])
 
     return run
 
 
+def with_score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows with a column ``score`` put last (columns of any name may stand before); a map without shuffle."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text_at = docs.columns.index("text")
+    plain = docs.toDF(*names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    return plain.mapInArrow(_score(lexicon, names, text_at), f"{schema}, score double").toDF(*docs.columns, "score")
+
+
 def toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, score, predicted, one row per input row.
 
     The score is the probability that the text is toxic; null, empty and wordless texts get that of
     a text without any match. Only the text is read for it. A null doc_id is kept, held_out false.
     """
-    plain = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    scored = plain.mapInArrow(_score(lexicon), f"doc_id {kind}, score double")
+    scored = with_score(docs.select("doc_id", F.col("text").cast("string").alias("text")), lexicon)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose text scores under the threshold, with their columns."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    scored = with_score(docs, lexicon).toDF(*names, "s")
+    return scored.filter(F.col("s") < threshold).drop("s").toDF(*docs.columns)
