@@ -13,9 +13,12 @@ from .common import Scratch, counted, flat, mixed, shingle_hashes, steps, word_h
 from .components import components
 
 #: Words of a shingle, least similarity of a link, bands and registers of a band.
-WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 26, 5
+WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 36, 7
 #: Ids of candidate documents are broadcast up to this count (8 bytes each) and joined by shuffle beyond it.
 BROADCAST_IDS = 500_000
+PAIR = "a long, b long"
+#: Pairs whose estimated similarity is lower than the least one by more than this (2.7 standard errors) are not compared.
+MARGIN = 0.08
 _MASK = np.uint64((1 << 44) - 1)
 
 
@@ -57,7 +60,7 @@ def signatures(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray, n: i
 
 
 def _sketch(bands: int, per: int, words: int):
-    """(doc_id, text) -> (doc_id, f1, f2, keys): a fingerprint of the weighted shingles and the band keys."""
+    """(doc_id, text) -> (doc_id, f1, f2, keys, bits): a fingerprint of the weighted shingles, the band keys, two bits a register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +81,11 @@ def _sketch(bands: int, per: int, words: int):
                     keys = mixed(keys * np.uint64(0xD6E8FEB86659FD93) + won[:, :, i] + np.uint64(1))
                 keys = mixed(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x.view(np.int64), mask=empty) for x in prints), lists], names=["doc_id", "f1", "f2", "keys"])
+                codes = np.zeros((n, -(-bands * per // 32) * 32), np.uint64)
+                codes[:, : bands * per] = mixed(won.reshape(n, -1)) & np.uint64(3)
+                bits = (codes.reshape(n, -1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64)
+                words_of = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, bits.shape[1]), pa.int32()), pa.array(bits.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x.view(np.int64), mask=empty) for x in prints), lists, words_of], names=["doc_id", "f1", "f2", "keys", "bits"])
 
     return run
 
@@ -142,47 +149,52 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     scratch = Scratch(spark, "minhash")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = plain.filter("doc_id is not null")
-    sketch = scratch.save(known.mapInArrow(_sketch(bands, rows, words), "doc_id long, f1 long, f2 long, keys array<long>"), "sketch")
+    sketch = scratch.save(known.mapInArrow(_sketch(bands, rows, words), "doc_id long, f1 long, f2 long, keys array<long>, bits array<long>"), "sketch")
     first = scratch.save(sketch.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("f1 is not null"), "first")
     buckets = (
         sketch.join(first.select(F.col("rep").alias("doc_id"), F.col("f1").alias("g1"), F.col("f2").alias("g2")), "doc_id")
         .filter("f1 = g1 and f2 = g2")
-        .select("doc_id", F.explode("keys").alias("band"))
+        .select("doc_id", "bits", F.explode("keys").alias("band"))
     )
     sizes = buckets.groupBy("band").agg(F.count("*").alias("size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     members = scratch.save(buckets.join(sizes.select("band", "size"), "band"), "members")
     # A text close to many others shares more bands: the sum of its band sizes ranks the pivots.
     central = members.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    members = scratch.save(members.select("band", "doc_id").distinct().join(central, "doc_id"), "ranked")
+    members = scratch.save(members.join(central, "doc_id").select("band", "doc_id", "weight", "bits"), "ranked")
     scratch.drop("members")
     wanted = members.select("doc_id").distinct()
     count = wanted.count()
     texts = known.join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
     texts = scratch.save(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
-    edges = spark.createDataFrame([], "a long, b long")
-    labels = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    tested, k = None, 0
-    live = members
+    # All rounds' pairs and links are folders of one table each, so plans don't grow with the rounds.
+    labels = spark.createDataFrame([], "node long, component long")
+    # Registers whose two bits differ: 3/4 of those that differ; pairs estimated far under the least similarity are not compared.
+    differ = [f"bit_count(((bits[{i}] ^ near[{i}]) | shiftrightunsigned(bits[{i}] ^ near[{i}], 1)) & 6148914691236517205L)" for i in range(-(-bands * rows // 32))]
+    close = F.expr(f"({' + '.join(differ)}) <= {int(0.75 * bands * rows * (1 - similarity + MARGIN))}")
+    k, live = 0, members
     while count:
         if k == 0:
-            pivots = live.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("d"))).alias("p")).select("band", (-F.col("p.d")).alias("b"))
-            pairs = live.join(pivots, "band").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+            pivots = live.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("d"), "bits")).alias("p")).select(F.col("band").alias("at"), (-F.col("p.d")).alias("b"), F.col("p.bits").alias("near"))
+            pairs = live.join(pivots, (F.col("band") == F.col("at")) & (F.col("doc_id") != F.col("b")) & close)
         else:
             ranked = live.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "doc_id")))
-            pivots = ranked.filter(F.col("rank") <= 2**k).select("band", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-            pairs = live.join(pivots, "band").filter("component <> other").select(F.col("doc_id").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{k}")
+            pivots = ranked.filter(F.col("rank") <= 2**k).select(F.col("band").alias("at"), F.col("doc_id").alias("b"), F.col("component").alias("other"), F.col("bits").alias("near"))
+            pairs = live.join(pivots, (F.col("band") == F.col("at")) & (F.col("component") != F.col("other")) & close)
+        pairs = pairs.select(F.col("doc_id").alias("a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if k:
+            pairs = pairs.join(spark.read.schema(PAIR).parquet(*(scratch.path(f"pairs{i}") for i in range(k))), ["a", "b"], "left_anti")
+        pairs = scratch.save(pairs, f"pairs{k}")
         both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        found = scratch.save(both.select("a", "b", "ta", "tb").mapInArrow(_verify(words, similarity), "a long, b long"), f"edges{k}")
-        edges = edges.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        scratch.save(both.select("a", "b", "ta", "tb").mapInArrow(_verify(words, similarity), PAIR), f"edges{k}")
+        edges = spark.read.schema(PAIR).parquet(*(scratch.path(f"edges{i}") for i in range(k + 1)))
         labels = scratch.save(components(edges, scratch, f"stars{k}-"), f"labels{k}")
-        # Bands are over when their members are one class, or when every member has been a pivot.
+        # Bands are over when their members are one class, or when all pairs with a pivot are all pairs.
         known_as = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         open_bands = known_as.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter(f"x < y and size > {2**k + 1}")
         live = scratch.save(known_as.join(open_bands.select("band"), "band", "left_semi"), f"live{k}")
+        if k:
+            scratch.drop(f"live{k - 1}")
         k += 1
         if live.isEmpty():
             break
