@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, counted, flat, mixed, shingle_hashes, steps, word_hashes
@@ -16,9 +16,10 @@ from .components import components
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 36, 7
 #: Ids of candidate documents are broadcast up to this count (8 bytes each) and joined by shuffle beyond it.
 BROADCAST_IDS = 500_000
-PAIR = "a long, b long"
-#: Pairs whose estimated similarity is lower than the least one by more than this (2.7 standard errors) are not compared.
-MARGIN = 0.08
+#: Rows of a block of a candidate group.
+BLOCK = 512
+#: Pairs whose estimated similarity is lower than the least one by more than this (4 standard errors) are not compared.
+MARGIN = 0.12
 _MASK = np.uint64((1 << 44) - 1)
 
 
@@ -106,23 +107,6 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / (above[at] / x + below[at] / y)).sum())
 
 
-def _verify(words: int, least: float):
-    """(a, b, ta, tb) -> (a, b) of the pairs whose texts are at least ``least`` similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in steps(whole, "ta"):
-                sides = []
-                for name in ("ta", "tb"):
-                    found = [x for part in steps(batch, name) for x in _each(part.column(part.schema.get_field_index(name)), words)]
-                    sides.append(found)
-                keep = [k for k, (x, y) in enumerate(zip(*sides, strict=True)) if probability_jaccard(x, y) >= least - 1e-12]
-                if keep:
-                    yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    return run
-
-
 def _each(column: pa.Array, words: int):
     rows, elements, weights = profiles(column, words)
     ends = np.searchsorted(rows, np.arange(len(column) + 1))
@@ -130,15 +114,59 @@ def _each(column: pa.Array, words: int):
         yield elements[ends[k] : ends[k + 1]], weights[ends[k] : ends[k + 1]]
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+_PAIRS = np.uint64(0x5555555555555555)
+
+
+def _compare(words: int, least: float, differing: int):
+    """Block pairs of candidate groups -> links (a, b) that connect all rows of a block pair whose texts are alike.
+
+    Sketches rule most pairs out; of the rest, pairs that the links found so far connect already are skipped.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("component", "ascending"), ("doc_id", "ascending")])
+        ids, group = table["doc_id"].to_numpy(), table["component"].to_numpy()
+        left, right = (table[c].to_numpy(zero_copy_only=False) for c in ("as_left", "as_right"))
+        bits = np.array(table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1))
+        batch = table.select(["text"]).combine_chunks().to_batches()
+        sets = [x for b in batch for part in steps(b) for x in _each(part.column(0), words)]
+        root = np.arange(len(ids))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        for start, end in zip(first, np.r_[first[1:], len(ids)], strict=True):
+            rights = start + np.flatnonzero(right[start:end])
+            for i in start + np.flatnonzero(left[start:end]):
+                x = bits[i] ^ bits[rights]
+                near = rights[np.bitwise_count((x | x >> np.uint64(1)) & _PAIRS).sum(axis=1) <= differing]
+                for j in near:
+                    # A pair that stands on both sides is compared once.
+                    if i == j or (left[j] and right[i] and j < i):
+                        continue
+                    a, b = find(i), find(j)
+                    if a != b and probability_jaccard(sets[i], sets[j]) >= least - 1e-12:
+                        root[max(a, b)] = min(a, b)
+        top = np.array([find(k) for k in range(len(ids))], np.int64)
+        own = np.flatnonzero(top != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[own], pa.int64()), "b": pa.array(ids[top[own]], pa.int64())})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, text) -> one row per distinct doc_id: doc_id, class_id, kept.
 
     Documents are weighted sets of ``words``-word shingles (words end at white space, the weight
     is the count). Equal sets are one class without comparison. The others are banded by their
-    ProbMinHash signatures; documents that share a band are compared with pivots of the band, one
-    in the first round and twice as many in each further one, until all members of every band are
-    in one class or have been compared. A comparison is the exact probability Jaccard similarity of
-    the whole texts. Classes are the connected components of the links; class_id is the smallest
+    ProbMinHash signatures, and texts linked by shared bands are one candidate group. A group is dealt
+    out in pairs of blocks: two-bit sketches of the signatures rule pairs out, and the rest are compared by the
+    exact probability Jaccard similarity of the whole texts, until every block pair knows which of its texts are
+    connected. Only links of those forests leave the tasks, never pairs. Classes are the connected components; class_id is the smallest
     doc_id and kept marks that document.
 
     Null, empty and blank texts have no shingles and are a class each; a text under ``words`` words is
@@ -156,48 +184,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         .filter("f1 = g1 and f2 = g2")
         .select("doc_id", "bits", F.explode("keys").alias("band"))
     )
-    sizes = buckets.groupBy("band").agg(F.count("*").alias("size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    members = scratch.save(buckets.join(sizes.select("band", "size"), "band"), "members")
-    # A text close to many others shares more bands: the sum of its band sizes ranks the pivots.
-    central = members.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    members = scratch.save(members.join(central, "doc_id").select("band", "doc_id", "weight", "bits"), "ranked")
-    scratch.drop("members")
-    wanted = members.select("doc_id").distinct()
-    count = wanted.count()
-    texts = known.join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
-    texts = scratch.save(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-
-    # All rounds' pairs and links are folders of one table each, so plans don't grow with the rounds.
-    labels = spark.createDataFrame([], "node long, component long")
-    # Registers whose two bits differ: 3/4 of those that differ; pairs estimated far under the least similarity are not compared.
-    differ = [f"bit_count(((bits[{i}] ^ near[{i}]) | shiftrightunsigned(bits[{i}] ^ near[{i}], 1)) & 6148914691236517205L)" for i in range(-(-bands * rows // 32))]
-    close = F.expr(f"({' + '.join(differ)}) <= {int(0.75 * bands * rows * (1 - similarity + MARGIN))}")
-    k, live = 0, members
-    while count:
-        if k == 0:
-            pivots = live.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("d"), "bits")).alias("p")).select(F.col("band").alias("at"), (-F.col("p.d")).alias("b"), F.col("p.bits").alias("near"))
-            pairs = live.join(pivots, (F.col("band") == F.col("at")) & (F.col("doc_id") != F.col("b")) & close)
-        else:
-            ranked = live.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "doc_id")))
-            pivots = ranked.filter(F.col("rank") <= 2**k).select(F.col("band").alias("at"), F.col("doc_id").alias("b"), F.col("component").alias("other"), F.col("bits").alias("near"))
-            pairs = live.join(pivots, (F.col("band") == F.col("at")) & (F.col("component") != F.col("other")) & close)
-        pairs = pairs.select(F.col("doc_id").alias("a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if k:
-            pairs = pairs.join(spark.read.schema(PAIR).parquet(*(scratch.path(f"pairs{i}") for i in range(k))), ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{k}")
-        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        scratch.save(both.select("a", "b", "ta", "tb").mapInArrow(_verify(words, similarity), PAIR), f"edges{k}")
-        edges = spark.read.schema(PAIR).parquet(*(scratch.path(f"edges{i}") for i in range(k + 1)))
-        labels = scratch.save(components(edges, scratch, f"stars{k}-"), f"labels{k}")
-        # Bands are over when their members are one class, or when all pairs with a pivot are all pairs.
-        known_as = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_bands = known_as.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter(f"x < y and size > {2**k + 1}")
-        live = scratch.save(known_as.join(open_bands.select("band"), "band", "left_semi"), f"live{k}")
-        if k:
-            scratch.drop(f"live{k - 1}")
-        k += 1
-        if live.isEmpty():
-            break
+    # Texts that share a band, and those linked through others, are one candidate group.
+    least = buckets.groupBy("band").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("hi")).filter("b < hi").select("band", "b")
+    stars = scratch.save(buckets.join(least, "band").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "stars")
+    groups = components(stars, scratch, "groups")
+    groups = scratch.save(groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()), "members")
+    count = groups.count()
+    labels = groups.select("node", "component").limit(0)
+    if count:
+        wanted = groups.select(F.col("node").alias("doc_id"))
+        texts = known.join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+        rows_of = groups.withColumnRenamed("node", "doc_id").join(sizes, "component").join(sketch.groupBy("doc_id").agg(F.first("bits").alias("bits")), "doc_id").join(texts, "doc_id")
+        blocks = F.ceil(F.col("size") / block)
+        placed = rows_of.withColumns({"n": blocks, "own": F.pmod(F.xxhash64("doc_id"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        # Small groups share units, so that a unit has some hundred rows.
+        unit = F.when(F.col("n") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(count // block + 1)).cast("string"))).otherwise(F.concat_ws("-", "component", low, high))
+        dealt = placed.select(unit.alias("unit"), "component", "doc_id", "bits", "text", (F.col("own") == low).alias("as_left"), (F.col("own") == high).alias("as_right"))
+        differing = int(0.75 * bands * rows * (1 - similarity + MARGIN))
+        edges = scratch.save(dealt.groupBy("unit").applyInArrow(_compare(words, similarity, differing), "a long, b long"), "edges")
+        labels = scratch.save(components(edges, scratch, "links"), "labels")
     classes = first.join(labels, first.rep == labels.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("class_id"))
     out = sketch.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     out = out.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
