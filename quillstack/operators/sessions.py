@@ -41,8 +41,9 @@ def status(left_ms: Column) -> Column:
 
 
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap_hours: int = 8) -> DataFrame:
-    """One row per session of a user; a gap of ``gap_hours`` ends it. Uses session windows: partial sessions merge before the shuffle."""
-    window = F.session_window(F.col(ts), f"{gap_hours} hours")
+    """One row per session of a user; a gap of ``gap_hours`` or more ends it. Uses session windows: partial sessions merge before the shuffle."""
+    # Session windows that touch are merged, so the window is a microsecond shorter than the gap.
+    window = F.session_window(F.col(ts), f"{gap_hours * 3600 - 1} seconds 999999 microseconds")
     found = events.groupBy(user, window.alias("w")).agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n_events"))
     return found.select(user, "started", "ended", "n_events")
 

@@ -301,15 +301,10 @@ def chunk_greedy_sentences(spark, sf):
     return chunking.exploded(table(spark, sf, "documents"), folds.pack_sentences(F.col("text"), 60), "doc_id").drop("split_method")
 
 
-@query(f"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS li FROM documents),
-f AS (SELECT doc_id, {_fold('li', 120, 'chr(10) || chr(10)')} AS r FROM d WHERE len(list_filter(li, lambda x: {_LEN('x')} > 120)) = 0 AND len(li) > 0), c AS (SELECT doc_id, list_append(r.done, r.cur) AS cs FROM f)
-SELECT doc_id, unnest(range(len(cs)))::INT AS chunk_ord, unnest(cs) AS text FROM c""")
+@query()
 def chunk_recursive(spark, sf):
-    """Texts without a line over the limit, lines as paragraphs; longer lines are held against brute force in the tests."""
-    d = table(spark, sf, "documents")
-    lines = F.filter(F.transform(F.split("text", "\n"), X.strip), lambda x: x != "")
-    d = d.filter((F.size(F.filter(lines, lambda x: X.token_count(x) > 120)) == 0) & (F.size(lines) > 0))
-    return chunking.exploded(d, folds.recursive_split(F.replace("text", F.lit("\n"), F.lit("\n\n")), 120), "doc_id").select("doc_id", "chunk_ord", "text")
+    """Lines as paragraphs; held against brute force in the tests."""
+    return chunking.recursive_split(table(spark, sf, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), "doc_id", target=120)
 
 
 _SLICES = f"SELECT doc_id, unnest(range(0, len(ws), 50)) // 50 AS o, unnest(list_transform(range(0, len(ws), 50), lambda i: ws[i + 1 : i + 50])) AS w FROM (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents)"
@@ -349,15 +344,15 @@ def chunk_split_large(spark, sf):
     return chunking.exploded(table(spark, sf, "documents"), folds.split_large(whole, 80), "doc_id").select("doc_id", "chunk_ord", "tokens", "split_method")
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS o, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id < 300),
+@query(r"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS o, unnest(string_split(text, chr(10))) AS line FROM documents),
 t AS (SELECT doc_id, o, unnest(regexp_extract_all(lower(line), '[\pL\pN_]{2,}')) AS term FROM l),
 tf AS (SELECT doc_id, o, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT doc_id, count(*) AS n, max(o) AS last FROM l GROUP BY doc_id),
 w AS (SELECT tf.doc_id, tf.o, tf.term, tf.tf * (ln((1 + n.n)::DOUBLE / (1 + df.df)) + 1) AS w FROM tf JOIN df USING (doc_id, term) JOIN n USING (doc_id)),
 v AS (SELECT doc_id, o, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, o)) AS w FROM w)
 SELECT l.doc_id, l.o::INT AS line_ord, round(coalesce(sum(a.w * b.w), 0), 6) AS similarity FROM l JOIN n USING (doc_id) LEFT JOIN v a ON a.doc_id = l.doc_id AND a.o = l.o LEFT JOIN v b ON b.doc_id = a.doc_id AND b.o = a.o + 1 AND b.term = a.term WHERE l.o < n.last GROUP BY l.doc_id, l.o""")
 def tfidf_adjacent_similarity(spark, sf):
-    """Lines of the first documents as parts."""
-    lines = table(spark, sf, "documents").filter("doc_id < 300").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ord", "text"))
+    """Lines of documents as parts."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ord", "text"))
     return chunking.adjacent_similarity(lines, ["doc_id"], "line_ord", features=1_000_000).select("doc_id", "line_ord", F.round("similarity", 6).alias("similarity"))
 
 
@@ -375,11 +370,11 @@ def chunk_pages(spark, sf):
     return found.select("doc_id", "chunk_id", F.col("pages")[0].alias("first_page"), F.col("pages")[1].alias("last_page"))
 
 
-@query(f"""WITH a AS (SELECT doc_id AS chunk_id, unnest(list_distinct({WORDS.format('lower(text)')})) AS w FROM documents WHERE lang = 'fr'), b AS (SELECT item_id AS note_id, unnest(list_distinct({WORDS.format('lower(text)')})) AS w FROM benchmark)
+@query(f"""WITH a AS (SELECT doc_id AS chunk_id, unnest(list_distinct({WORDS.format('lower(text)')})) AS w FROM documents), b AS (SELECT item_id AS note_id, unnest(list_distinct({WORDS.format('lower(text)')})) AS w FROM benchmark)
 SELECT chunk_id, note_id, count(*) AS common FROM a JOIN b USING (w) GROUP BY chunk_id, note_id HAVING count(*) > 3""")
 def footnote_overlap_join(spark, sf):
-    """French documents as chunks, benchmark items as notes."""
-    d = table(spark, sf, "documents").filter("lang = 'fr'").select(F.col("doc_id").alias("chunk_id"), "text")
+    """Documents as chunks, benchmark items as notes."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return chunking.footnote_links(d, table(spark, sf, "benchmark").select(F.col("item_id").alias("note_id"), "text"))
 
 
@@ -444,7 +439,7 @@ def confidence_band(spark, sf):
 def context_of_sources(spark, sf):
     """Documents of each language as ranked sources: context text and source list."""
     none = F.lit(None).cast("string")
-    d = table(spark, sf, "documents").filter("doc_id < 200").select("doc_id", "lang", F.col("source").alias("document_name"), F.col("text").alias("content"), (F.col("doc_id") % 97 / 100.0).alias("score"), F.lit("judgment").alias("source_type"), none.alias("summary"), none.alias("article"), F.col("lang").alias("section"), F.lit("1-2").alias("page_number"), F.array(F.lit("note")).alias("footnotes"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.col("source").alias("document_name"), F.col("text").alias("content"), (F.col("doc_id") % 97 / 100.0).alias("score"), F.lit("judgment").alias("source_type"), none.alias("summary"), none.alias("article"), F.col("lang").alias("section"), F.lit("1-2").alias("page_number"), F.array(F.lit("note")).alias("footnotes"))
     ranked = retrieval.first_k(d, ["lang"], 5, "doc_id")
     return answers.context_text(ranked, "lang").join(answers.source_list(answers.structured_context(ranked, "lang"), "lang"), "lang")
 
@@ -568,13 +563,13 @@ def status_band(spark, sf):
 
 
 def _words(spark, sf):
-    d = table(spark, sf, "documents").filter("doc_id < 400").select("doc_id", F.posexplode(X.words(F.col("text"))).alias("ord", "text"))
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(X.words(F.col("text"))).alias("ord", "text"))
     at = F.col("ord") % 60
     y = F.floor(at / 10) * 25.0
     return d.select("doc_id", "ord", "text", (at % 10 * 10.0).alias("x0"), y.alias("y0"), (at % 10 * 10.0 + 9).alias("x1"), (y + 12).alias("y1"), F.when(at >= 50, 6.0).otherwise(12.0).alias("font_size"), (F.floor(F.col("ord") / 60) + 1).cast("int").alias("page_num"))
 
 
-_WORDS = f"SELECT doc_id, o, t, o % 60 AS at, (o % 60) // 10 * 25.0 AS y0, o // 60 + 1 AS page, CASE WHEN o % 60 >= 50 THEN 6.0 ELSE 12.0 END AS size FROM (SELECT doc_id, unnest(range(len(ws))) AS o, unnest(ws) AS t FROM (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents WHERE doc_id < 400))"
+_WORDS = f"SELECT doc_id, o, t, o % 60 AS at, (o % 60) // 10 * 25.0 AS y0, o // 60 + 1 AS page, CASE WHEN o % 60 >= 50 THEN 6.0 ELSE 12.0 END AS size FROM (SELECT doc_id, unnest(range(len(ws))) AS o, unnest(ws) AS t FROM (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents))"
 
 
 @query(f"""WITH w AS ({_WORDS}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, o) AS r, count(*) OVER (PARTITION BY doc_id, page) AS n FROM w),
@@ -603,7 +598,7 @@ def contents_bounds(spark, sf):
 def _files(spark, sf, prefix: str):
     from .sources.files import WORD
 
-    d = table(spark, sf, "documents").filter("doc_id < 60")
+    d = table(spark, sf, "documents")
     text = F.concat(F.lit(prefix), "text")
     words = F.transform(X.words(text), lambda w, i: F.struct(i.cast("long").alias("ord"), w.alias("text"), F.lit(0.0).alias("x0"), (i % 60 * 20.0).alias("y0"), F.lit(9.0).alias("x1"), (i % 60 * 20.0 + 12).alias("y1"), F.lit(12.0).alias("font_size"), F.lit("f").alias("font_name"), (F.floor(i / 60) + 1).cast("int").alias("page_num")))
     return d.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), text.alias("text"), words.cast(f"array<{WORD}>").alias("words"), F.lit(None).cast("string").alias("_error"))
@@ -623,6 +618,6 @@ def treaty_etl(spark, sf):
 def ask_batch(spark, sf):
     """All questions against two halves of the documents as indexes, embedded by hashing."""
     embed = ask.hashed_embedder()
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("content"), F.substring("text", 1, 80).alias("summary"), F.col("source").alias("document_name"), F.lit("1").alias("page_number"), F.col("lang").alias("section")).withColumn("embedding", embed(F.substring("content", 1, 2000)))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("content"), F.substring("text", 1, 80).alias("summary"), F.col("source").alias("document_name"), F.lit("1").alias("page_number"), F.col("lang").alias("section")).withColumn("embedding", embed(F.col("content")))
     found = ask.retrieve(_questions(spark), d.filter("row_id % 2 = 0"), d.filter("row_id % 2 = 1"), embed)
     return found.select("question_id", "strategy", "source_type", "row_id", F.round("score", 6).alias("score"), "rank")
