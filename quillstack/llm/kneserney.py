@@ -19,7 +19,7 @@ from .common import Scratch, flat, mixed, steps, word_hashes
 
 _U8 = np.uint64
 #: Hashes of the end of a text and of what stands before its first word.
-END, BEGIN = (mixed(np.array([k], _U8))[0] for k in (101, 103))
+END, BEGIN = (mixed(np.array([k], _U8))[0] for k in (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B))
 #: Bytes of text scored in one step, and of a task's counts before they are dealt out.
 STEP, HELD = 6 << 20, 48 << 20
 #: Bits of a bigram key that hold the context's hash; the upper ones hold the token's rank in its shard.
