@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled by one vectorised step; bounds the NumPy temporaries of a worker.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,6 +73,15 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES):
     """Slices of a batch with at most ``most`` bytes of text each; a longer text comes alone."""
     _, offsets = flat(batch.column(batch.schema.get_field_index(column)))
@@ -80,6 +90,8 @@ def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
         yield batch.slice(first, min(last, rows) - first)
         first = last
+    del offsets
+    release()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

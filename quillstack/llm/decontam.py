@@ -89,9 +89,9 @@ class Index:
         """Blocks that hold terms, and the sums of their terms' rows of ``table``; ``block`` must be sorted."""
         first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         out = np.empty((len(first), table.shape[1]), table.dtype)
-        for i in range(0, len(first), 8192):
-            end = first[i + 8192] if i + 8192 < len(first) else len(block)
-            out[i : i + 8192] = np.add.reduceat(table[term[first[i] : end]], first[i : i + 8192] - first[i], axis=0)
+        for i in range(0, len(first), 2048):
+            end = first[i + 2048] if i + 2048 < len(first) else len(block)
+            out[i : i + 2048] = np.add.reduceat(table[term[first[i] : end]], first[i : i + 2048] - first[i], axis=0)
         return block[first], out
 
 
@@ -161,9 +161,9 @@ def _sketch(index, omega):
                 order = np.argsort(term, kind="stable")
                 t, at = term[order], np.searchsorted(held, block[order])
                 first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-                for i in range(0, len(first), 1024):
-                    end = first[i + 1024] if i + 1024 < len(first) else len(t)
-                    k = first[i : i + 1024]
+                for i in range(0, len(first), 256):
+                    end = first[i + 256] if i + 256 < len(first) else len(t)
+                    k = first[i : i + 256]
                     total[t[k]] += np.add.reduceat(own[at[k[0] : end]], k - k[0], axis=0) * x.idf[t[k], None]
         parts = total.reshape(-1, _PART * w.shape[1]).astype("<f8")
         keep = np.flatnonzero(parts.any(axis=1))
@@ -181,7 +181,7 @@ def _search(index):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index.value
-        basis, vectors = (x.basis * x.idf[:, None]).astype(np.float32), x.vectors.T.astype(np.float32)
+        basis, vectors = x.basis, x.vectors
         masks = [_masks(t) for t in x.items]
         answers = [t[-max(1, round(len(t) * ANSWER_SHARE)) :] for t in x.items]
         answer_masks = [_masks(a) for a in answers]
@@ -193,8 +193,8 @@ def _search(index):
                 if len(term):
                     live, z = passages(*x.sums(term, block, basis), rows)
                     norm = np.linalg.norm(z, axis=1)
-                    for i in range(0, len(live), 8192):
-                        cos = z[i : i + 8192] @ vectors / np.maximum(norm[i : i + 8192, None], 1e-30)
+                    for i in range(0, len(live), 2048):
+                        cos = z[i : i + 2048] @ vectors / np.maximum(norm[i : i + 2048, None], 1e-30)
                         for p, k in zip(*np.nonzero(cos >= COSINE), strict=True):
                             at = live[i + p]
                             # The window reaches as far as an item of that length can that lies in the passage by half.
@@ -267,7 +267,8 @@ def _index(docs: DataFrame, benchmark: DataFrame, rank: int) -> Index:
     value, vector = np.linalg.eigh((b + b.T) / 2)
     index.basis = q @ vector[:, ::-1]
     z = x @ index.basis
-    index.vectors = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+    index.vectors = np.ascontiguousarray((z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)).T, np.float32)
+    index.basis = (index.basis * index.idf[:, None]).astype(np.float32)  # what a worker sums per token
     return index
 
 

@@ -26,12 +26,8 @@ class Encoder:
     faster; a text that holds a special token's string goes through the tokenizer file itself.
     """
 
-    def __init__(self, tokenizer_path: str, rank_path: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(tokenizer_path)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.fast = None
+    def __init__(self, tokenizer_path: str, rank_path: str | None = None, pattern: str | None = None, special: tuple[str, ...] = ()):
+        self.path, self.special, self.full, self.fast = tokenizer_path, special, None, None
         if rank_path:
             import tiktoken
 
@@ -40,16 +36,20 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.array(self.fast.encode_ordinary(text), "<u4")
+        if self.fast is not None and not any(s in text for s in self.special):
+            return np.array(self.fast.encode_ordinary(text), "<u4")
+        if self.full is None:
+            from tokenizers import Tokenizer
+
+            self.full = Tokenizer.from_file(self.path)
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def default_encoder() -> Encoder:
     """The 50k byte-level BPE of the installed public tokenizers."""
     import public_tokenizers
 
-    return Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("<|endoftext|>",))
 
 
 class Packer:
