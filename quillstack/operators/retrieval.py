@@ -28,13 +28,17 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: Column | int, by: str = "que
         for f in found[1:]:
             out = out.unionByName(f)
         return out
-    q = queries
+    # Lengths once per row, so that a pair costs one product.
+    norm = lambda c: F.sqrt(vectors.dot(F.col(c), F.col(c)))
+    q = queries.withColumn("_nq", norm("qvec"))
+    corpus = corpus.withColumn("_ne", norm("embedding"))
     if same:
         q = q.withColumnRenamed(same, "_same")
         pairs = corpus.join(F.broadcast(q), F.col(same) == F.col("_same")).drop("_same")
     else:
         pairs = corpus.crossJoin(F.broadcast(q))
-    scored = pairs.withColumn("score", vectors.cosine(F.col("embedding"), F.col("qvec"))).filter(F.col("score").isNotNull()).drop("embedding", "qvec")
+    cosine = vectors.dot(F.col("embedding"), F.col("qvec")) / F.nullif(F.col("_ne") * F.col("_nq"), F.lit(0.0))
+    scored = pairs.withColumn("score", cosine).filter(F.col("score").isNotNull()).drop("embedding", "qvec", "_ne", "_nq")
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), F.col(id_col)))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= (F.lit(k) if isinstance(k, int) else k))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..operators import answers, questions, ranking, retrieval
 
 #: Turns a text column into an embedding column of the same space as the indexes.
@@ -15,11 +17,12 @@ Embedder = Callable[[Column], Column]
 
 
 def hashed_embedder(size: int = 64) -> Embedder:
-    """Bag of words hashed into ``size`` counts; stands in for a model where none is given."""
+    """Bag of words hashed into ``size`` counts, by Arrow batches; stands in for a model where none is given."""
 
-    def embed(text: Column) -> Column:
-        at = F.transform(X.words(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("float"))
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        at = ([zlib.crc32(w.encode()) % size for w in (t or "").lower().split()] for t in texts)
+        return pd.Series([np.bincount(k, minlength=size).astype("f4") if k else np.zeros(size, "f4") for k in at])
 
     return embed
 
