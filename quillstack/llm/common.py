@@ -180,6 +180,13 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.r_[first, len(keys)])
 
 
+def tree_sum(parts: DataFrame, key: str, add, schema: str) -> DataFrame:
+    """Sums the chunks of a key in two steps: those of about sqrt(tasks) tasks first, so no task gets a chunk of every task."""
+    tasks = parts.rdd.getNumPartitions()
+    salted = parts.withColumn("salt", F.spark_partition_id() % max(1, round(tasks**0.5)))
+    return salted.groupBy(key, "salt").applyInArrow(add, schema).groupBy(key).applyInArrow(add, schema)
+
+
 #: Ids that ``without`` broadcasts at most (8 bytes each).
 BROADCAST_IDS = 500_000
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, flat, hashes, steps, word_bounds
+from .common import LOWER, flat, hashes, steps, tree_sum, word_bounds
 
 #: Words of a block; a passage is two blocks, and every block starts one.
 BLOCK = 32
@@ -256,7 +256,8 @@ def _index(docs: DataFrame, benchmark: DataFrame, rank: int) -> Index:
     rank = min(rank, len(index.items), len(index.terms))
     omega = x.T if len(x) <= rank else x.T @ np.random.default_rng(5).standard_normal((len(x), rank))
     omega = np.linalg.qr(omega)[0]
-    parts = docs.select("text").mapInArrow(_sketch(spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(omega)), "part long, body binary").groupBy("part").applyInArrow(_add, "part long, body binary").collect()
+    sketched = docs.select("text").mapInArrow(_sketch(spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(omega)), "part long, body binary")
+    parts = tree_sum(sketched, "part", _add, "part long, body binary").collect()
     y = np.zeros((-(-len(index.terms) // _PART) * _PART, omega.shape[1]))
     for r in parts:
         y.reshape(-1, _PART * omega.shape[1])[r.part] = np.frombuffer(bytes(r.body), "<f8")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, mixed, steps, word_hashes
+from .common import Scratch, flat, mixed, steps, tree_sum, word_hashes
 
 #: Hash buckets of n-grams (n = 1, 2), and of n-grams of character kinds.
 BUCKETS = 1 << 16
@@ -50,7 +50,7 @@ def _sum(table: pa.Table) -> pa.Table:
 
 def gram_counts(texts: DataFrame) -> np.ndarray:
     """n-gram counts of all texts; the driver gets BUCKETS numbers, however many texts there are."""
-    rows = texts.select("text").mapInArrow(_count, "part long, counts binary").groupBy("part").applyInArrow(_sum, "part long, counts binary").collect()
+    rows = tree_sum(texts.select("text").mapInArrow(_count, "part long, counts binary"), "part", _sum, "part long, counts binary").collect()
     total = np.zeros((BUCKETS // _PART, _PART), np.int64)
     for r in rows:
         total[r.part] = np.frombuffer(bytes(r.counts), np.int64)
