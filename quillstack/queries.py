@@ -12,6 +12,7 @@ from .functions import folds
 from .functions import text as X
 from .operators import answers, chunking, classify, layout, questions, ranking, retrieval, sessions, store, structure
 from .plans import ask, etl
+from .sources import responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -592,6 +593,88 @@ def contents_bounds(spark, sf):
     return d.select("doc_id", layout.contents_bounds(F.col("text")).alias("b")).select("doc_id", "b.*")
 
 
+# Values given in the query: shapes and layouts that the tables don't hold.
+
+_TREATY = "Preface\nPart I: General\nSection II\nArticle 1: Respect\n(1) First.\n(a) Item\nText here\n\nARTICLE 3\nMore"
+_NL = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"""SELECT * FROM (VALUES (0, '1', 'Respect', {_NL("Article 1: Respect" + chr(10) + "Article 1: Respect" + chr(10) + "Text here")}, 'Part I: General', 'Section II', 'regular_article', 2::BIGINT),
+ (1, '3', '', {_NL("ARTICLE 3" + chr(10) + "ARTICLE 3" + chr(10) + "More")}, 'Part I: General', 'Section II', 'common_article', 0::BIGINT)) t(article_ord, article_num, article_title, text, part, section, article_type, n_paragraphs)""")
+def article_split(spark, sf):
+    rows = structure.split_articles(spark.createDataFrame([(1, _TREATY)], "doc_id int, text string"))
+    return rows.select("article_ord", "article_num", "article_title", "text", "part", "section", "article_type", F.size("paragraphs").cast("long").alias("n_paragraphs"))
+
+
+@query("""SELECT * FROM (VALUES (0, 'a', 'd1', 0.5::DOUBLE), (1, 'c', 'd2', 1.0::DOUBLE), (2, 'e', 'd3', NULL), (3, 'g', 'd4', 2.0::DOUBLE), (4, 'i', 'd5', 3.0::DOUBLE)) t(q, text, doc_id, score)""")
+def search_response_rows(spark, sf):
+    bodies = ['{"result": {"data_array": [["a", "d1", "0.5"], ["short"]]}}', '{"result": [["c", "d2", "1"]]}', '{"data": [["e", "d3", "x"]]}', '{"rows": [["g", "d4", "2"]]}', '[["i", "d5", "3"]]', '{"other": 1}']
+    return responses.parse_search(spark.createDataFrame(list(enumerate(bodies)), "q int, body string"), ["text", "doc_id"]).select("q", "text", "doc_id", "score")
+
+
+@query("SELECT id::INT AS id, id::INT + 10 AS a FROM range(4) t(id)")
+def prediction_unwrap(spark, sf):
+    shapes = ['{"predictions": {"a": 10}}', '{"predictions": [{"a": 11}]}', '[{"a": 12}]', '{"a": 13}']
+    df = spark.createDataFrame(list(enumerate(shapes)), "id int, body string")
+    return df.select("id", responses.unwrap_prediction(F.col("body"), "struct<a:int>")["a"].alias("a"))
+
+
+@query("SELECT * FROM (VALUES (0, NULL), (1, '4'), (2, '5-5'), (3, '1-9')) t(id, pages)")
+def page_ranges(spark, sf):
+    df = spark.createDataFrame([(0, []), (1, [4]), (2, [5, 5]), (3, [1, 2, 9])], "id int, p array<int>")
+    return df.select("id", X.page_range(F.col("p")).alias("pages"))
+
+
+@query("SELECT label, label IN (" + ", ".join(f"'{x}'" for x in T.JUDGMENT_LABELS) + ") AS judgment, label IN (" + ", ".join(f"'{x}'" for x in T.TREATY_LABELS) + ") AS treaty FROM (VALUES " + ", ".join(f"('{x}')" for x in T.SHARED_LABELS + T.JUDGMENT_LABELS + T.TREATY_LABELS) + ") t(label)")
+def label_families(spark, sf):
+    labels = spark.createDataFrame([(x,) for x in T.SHARED_LABELS + T.JUDGMENT_LABELS + T.TREATY_LABELS], "label string")
+    return labels.select("label", classify.is_judgment_section(F.col("label")).alias("judgment"), classify.is_treaty_section(F.col("label")).alias("treaty"))
+
+
+@query("SELECT event_id, (event_id % 977) <= 500 + 60 AS expired, ((event_id % 977) - 500) * 1000 AS left_ms, greatest(0, 28800000 - event_id * 1000) <= 300000 AS about_to_expire FROM events")
+def token_expiry(spark, sf):
+    exp, now = F.col("event_id") % 977, F.lit(500)
+    return table(spark, sf, "events").select("event_id", sessions.token_expired(exp, now, 60).alias("expired"), sessions.token_left(exp, now).cast("long").alias("left_ms"), sessions.about_to_expire(F.col("event_id") * 1000).alias("about_to_expire"))
+
+
+_RESOURCES = "## Resources Consulted\n### Geneva Convention Documents\n- **4-GC** - `Article 3` (*page 4*)\n- **3-GC** - `Article 5` (*page 6*)\n### ICTY/ICC Judgments\n- **TADIC TJ** (*page 9*) - [Judgment]\n### Additional References\n- **Other** - `Article 9` (*page 1*)\n"
+
+
+@query("SELECT * FROM (VALUES ('additional', 'Other', 'Article 9', 'page 1'), ('geneva', '3-GC', 'Article 5', 'page 6'), ('geneva', '4-GC', 'Article 3', 'page 4'), ('judgment', 'TADIC TJ', 'Judgment', 'page 9')) t(list, name, detail, page)")
+def resource_list(spark, sf):
+    r = spark.createDataFrame([(_RESOURCES,)], "t string").select(answers.resources(F.col("t")).alias("r"))
+    part = lambda name, field, detail, first: r.select(F.lit(name).alias("list"), F.explode(f"r.{field}").alias("x")).select("list", F.col(f"x.{first}").alias("name"), F.col(f"x.{detail}").alias("detail"), "x.page")
+    return part("geneva", "geneva_documents", "article", "document_name").unionByName(part("judgment", "judgment_documents", "source_type", "case_name")).unionByName(part("additional", "additional_references", "article", "document_name"))
+
+
+@query("SELECT question_id, coalesce(nullif(trim(question), ''), '') = '' OR question_id * 20 < 1 OR question_id * 20 > 50 AS refused FROM (" + _QUESTIONS + ")")
+def request_validation(spark, sf):
+    q = _questions(spark).withColumn("top_k", (F.col("question_id") * 20).cast("int"))
+    return answers.validated(q).select("question_id", F.col("_error").isNotNull().alias("refused"))
+
+
+@query("""WITH c AS (SELECT doc_id, length(text) AS n, text FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, 'the', ''), '\n\s*\n', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, regexp_replace(text, 'the', 'the', 'gi') AS text FROM c)""")
+def remove_headers(spark, sf):
+    """The word of a running head deleted everywhere in any case, white space tidied."""
+    return table(spark, sf, "documents").select("doc_id", X.tidy(X.remove_literals(F.col("text"), F.array(F.lit("the")))).alias("text"))
+
+
+@query()
+def formatted_answers(spark, sf):
+    c = table(spark, sf, "conversations")
+    text = answers.format_response(F.lit("q"), F.col("text"), answers.key_findings(F.col("text")), F.lit(0.7), F.col("turn"), F.lit(1.5))
+    return c.select("conv_id", "turn", text.alias("response"))
+
+
+@query()
+def semantic_merge(spark, sf):
+    """Lines of documents as parts, merged where neighbours are alike."""
+    lines = F.filter(F.transform(F.split("text", "\n"), X.strip), lambda x: x != "")
+    parts = chunking.exploded(table(spark, sf, "documents"), F.transform(lines, lambda x: folds.chunk(x, X.token_count(x), "line")), "doc_id")
+    return chunking.semantic_merge(parts, ["doc_id"], "chunk_ord", 0.5, 700)
+
+
 # Whole plans (rows only).
 
 
