@@ -361,6 +361,32 @@ def test_leaks(spark):
     assert decontam.leaks(docs, bench.limit(0)).count() == 0 and decontam.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_of_many_short_items(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    vocab = np.array([f"v{i}" for i in range(3000)])
+    prose = lambda n: vocab[np.minimum(rng.zipf(1.3, n) * 7 + rng.integers(0, 40, n), 2999)].tolist()
+    items = [(i, " ".join(prose(int(rng.integers(8, 20))))) for i in range(2000)]
+    rows, want = [], set()
+    for d in range(300):
+        w, taken = prose(250), rng.choice(2000, 4, replace=False)
+        for at, i in zip((200, 140, 90, 30), taken.tolist(), strict=True):
+            w[at:at] = items[i][1].split()
+            want.add((d, i))
+        rows.append((d, " ".join(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontam.PASS_TERMS, 2000):
+        monkeypatch.setattr(decontam, "PASS_TERMS", most)
+        got = {(r.doc_id, r.item_id) for r in decontam.leaks(make_docs(spark, rows), bench).collect()}
+        assert want <= got
+
+
+def test_lookup_of_terms_that_share_a_slot():
+    terms = np.array([k << 44 | r for k in range(5) for r in range(1, 4)], np.uint64)
+    tokens = np.array([0, *terms[::-1].tolist(), 9 << 44, 2 << 44 | 7], np.uint64)
+    place, term = decontam.Index(terms, np.zeros(0), [], []).lookup(tokens)
+    assert place.tolist() == list(range(1, 16)) and term.tolist() == list(range(15))[::-1]
+
+
 def brute_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
