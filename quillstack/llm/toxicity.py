@@ -111,10 +111,9 @@ def features(column: pa.Array, lexicon: Lexicon, heads: np.ndarray) -> np.ndarra
         seen: dict[tuple[int, int], float] = {}
         for at, _ in hits:
             i = np.searchsorted(marks, at)
+            # A clause without a mark is the whole text; it is read once, and every hit in it counts once.
             begin = max(int(offsets[row]), int(marks[i - 1]) + 1 if i else 0)
             end = min(int(offsets[row + 1]), int(marks[i]) if i < len(marks) else len(data))
-            # A clause without a mark can be a whole text: what stands 400 bytes off does not act on the word.
-            begin, end = (begin, end) if end - begin <= 800 else (max(begin, at // 400 * 400 - 200), min(end, at // 400 * 400 + 600))
             if (begin, end) not in seen:
                 clause = raw[begin:end].decode(errors="replace")
                 tokens = [t for t in ("".join(c if c.isalnum() or c == "'" else " " for c in clause)).split() if t]

@@ -137,6 +137,17 @@ def test_toxicity_grammar():
     assert f("you idiot") > f("some idiot") > f("not an idiot") and f("some idiot") > f("he said idiot") and f("i will kill you") == 3.0 * 1.25 and f("kill") == 0
 
 
+def test_toxicity_reads_long_clauses_whole():
+    lex = toxicity.Lexicon(words={"idiot": 3.0})
+    of = lambda *t: toxicity.features(pa.array(t, pa.string()), lex, lex.heads())
+    long = "skill " * 60 + "idiot " + "word " * 150 + "idiot " + "skill " * 70 + "kill " + "word " * 300 + "you"
+    alone = of(long)[0]
+    total = toxicity.clause_score(long.split(), lex, False)
+    assert np.allclose(alone[:3], np.log1p([total, 1, total])) and total == (3 + 3 + 3) * 1.25
+    for before in ("x" * 399, "x" * 401, "word. " * 77):
+        assert np.array_equal(of(before, long)[1], alone)
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     words = [f"word{i}" for i in range(300)]
