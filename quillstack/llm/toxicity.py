@@ -88,19 +88,44 @@ def clause_score(tokens: list[str], lexicon: Lexicon, quoted: bool) -> float:
 _TARGETS, _NEGATIONS, _REPORTS = frozenset(TARGETS), frozenset(NEGATIONS), frozenset(REPORTS)
 
 
+_known: dict[int, bool] = {}
+
+
+def separated(data: np.ndarray) -> np.ndarray:
+    """The UTF-8 bytes with blanks for all code points above 127 that are neither letters nor digits, as ``_tally`` splits."""
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return data
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    code = data[lead].astype(np.int64) & (0x7F >> size)
+    for i in range(1, 4):
+        more = size > i
+        code[more] = code[more] << 6 | data[lead[more] + i] & 0x3F
+    kinds, which = np.unique(code, return_inverse=True)
+    for k in kinds.tolist():
+        if k not in _known:
+            _known[k] = chr(k).isalnum()
+    out = ~np.array([_known[k] for k in kinds.tolist()])[which]
+    lead, size, data = lead[out], size[out], data.copy()
+    for i in range(4):
+        data[lead[size > i] + i] = 32
+    return data
+
+
 def features(column: pa.Array, lexicon: Lexicon, heads: np.ndarray) -> np.ndarray:
     """Per row: log sums of clause scores, matched clauses, best clause, scores per 100 words and distinct matches."""
     data, offsets = flat(pc.utf8_lower(column.cast(pa.large_string())))
     out = np.zeros((len(offsets) - 1, FEATURES))
     if not len(data):
         return out
+    raw = data.tobytes()
+    data = separated(data)
     starts, ends, rows = word_bounds(data, offsets, ~_WORD)
     words = np.bincount(rows, minlength=len(out))
     padded = np.r_[data, np.full(2, 32, np.uint8)].astype(np.int64)
     second = np.where(ends - starts > 1, padded[starts + 1], 32)
     third = np.where(ends - starts > 2, padded[np.minimum(starts + 2, len(data) - 1)], 32)
     hit = np.flatnonzero(heads[padded[starts] << 16 | second << 8 | third])
-    raw = data.tobytes()
     marks = np.flatnonzero(_ENDS[data])
     found: dict[int, list] = {}
     for k in hit:

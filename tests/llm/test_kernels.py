@@ -148,6 +148,16 @@ def test_toxicity_reads_long_clauses_whole():
         assert np.array_equal(of(before, long)[1], alone)
 
 
+def test_toxicity_beside_other_punctuation():
+    lex = toxicity.Lexicon(words=dict.fromkeys(("idiot", "connard", "imbécil"), 3.0))
+    of = lambda *t: toxicity.features(pa.array(t, pa.string()), lex, lex.heads())
+    got = of("he is an idiot here", "¡imbécil! he", "you\u00a0idiot", "so “idiot”", "so «connard»", "a—idiot😀 he", "naïveidiot", "")
+    assert np.allclose(np.expm1(got[:, 0]), [3 * 1.25, 3, 3 * 1.25, 3 * 0.6, 3 * 0.6, 3 * 1.25, 0, 0])
+    for t in ("é—ß €😀٣漢x", "", "ab", "\u00a0", "e\u0301"):
+        want = "".join(c if c.isalnum() or c < "\x80" else " " * len(c.encode()) for c in t)
+        assert toxicity.separated(np.frombuffer(t.encode(), np.uint8)).tobytes().decode() == want
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     words = [f"word{i}" for i in range(300)]
