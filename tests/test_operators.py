@@ -220,6 +220,45 @@ ANSWER = """## Legal Framework
 """
 
 
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_whole_searches_match_brute_force(spark, tmp_path, monkeypatch, most):
+    import numpy as np
+
+    from quillstack import queries
+    from quillstack.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", most)
+    x = np.random.default_rng(3).standard_normal((200, 8))
+    rows = [(i, v.tolist(), i * 7 % 5) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos, label = unit @ unit.T, [r[2] for r in rows]
+    best = lambda q, k, ids=range(200): sorted(ids, key=lambda i: (-cos[q, i], i))[:k]
+    top, capped, fused, merged = set(), set(), set(), set()
+    for q in range(0, 200, 20):
+        top |= {(q, i, label[i], round(cos[q, i], 5), r + 1) for r, i in enumerate(best(q, 3))}
+        kept = []
+        for i in best(q, 50):
+            if sum(label[j] == label[i] for j in kept) < 2:
+                kept.append(i)
+        capped |= {(q, i, label[i], round(cos[q, i], 5), r + 1) for r, i in enumerate(kept[:3])}
+        both = [(-cos[q, i] * (1 + 0.5 * (0.4 if side else q / 10)), side, o, i) for side in (0, 1) for o, i in enumerate(best(q, 10, [i for i in range(200) if label[i] % 2 == side]))]
+        merged |= {(q, i, side, round(-s, 5), r + 1) for r, (s, side, _, i) in enumerate(sorted(both)[:10])}
+    for question in range(4):
+        first = {}
+        for variant, k in enumerate((10, 5, 3)):
+            q = question * 60 + variant * 20
+            for o, i in enumerate(best(q, k) if q < 200 else []):
+                first.setdefault(i // 3, (-cos[q, i], variant, o, i))
+        fused |= {(question, i, variant, round(-s, 5), r + 1) for r, (s, variant, _, i) in enumerate(sorted(first.values())[:8])}
+    for name, want in {"vector_topk": top, "capped_topk": capped, "hybrid_fusion_dedup": fused, "weighted_merge": merged}.items():
+        got = queries.QUERIES[f"{name}_whole"](spark, str(tmp_path)).collect()
+        assert len(got) == len(want) and {tuple(r[:3]) for r in got} == {r[:3] for r in want}
+        # Equal scores (a vector and itself, for each variant) may change ranks by the last bit; the score of a rank may not.
+        scores = {(r[0], r[4]): r[3] for r in want}
+        assert {(r[0], r[4]) for r in got} == set(scores) and all(abs(r[3] - scores[r[0], r[4]]) < 3e-5 for r in got)
+
+
 def test_answers(spark):
     c = one(spark, answers.citations(F.col("t")), t=ANSWER)
     assert {"**4-GC-IV-EN**", "`Article 3(a)`", "*page 4-5*", "**principle of distinction**"} <= set(c) and any("TADIC TJ" in x for x in c)
