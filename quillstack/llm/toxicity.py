@@ -1,7 +1,13 @@
-"""Toxicity by a weighted finite-state grammar over clauses."""
+"""Toxicity by a weighted finite-state grammar over clauses.
+
+A lexical transducer turns words into classes and insult weights; transducers for negation, reported
+speech, targets and threats read the classes and are composed to one machine that scores a clause.
+"""
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,22 +22,39 @@ from .common import flat, steps, word_bounds
 
 #: Rows of ``labels`` that are learned from at most; a hash of doc_id picks them when there are more.
 SAMPLE = 16_000
-#: Learned patterns kept at most, least rows of a pattern, prefix lengths in characters.
+#: Learned patterns kept at most (those with the best bounds; a size of the model, learned from the bounded sample), least rows of a pattern, prefix lengths in characters.
 PATTERNS, SUPPORT, PREFIXES = 4000, 3, (4, 5, 6, 7, 8)
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
 
-# Starting lexicons of the transducers (English, German, Spanish, French).
+# Starting lexicons of the lexical transducer (English, German, Spanish, French).
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown dumbass imbecile dummkopf vollidiot abschaum arschloch estúpido imbécil escoria basura crétin connard ordure débile".split()
-THREATS = "kill hurt destroy beat smash shoot burn töten vernichten schlagen matar destruir golpear tuer détruire frapper".split()
-TARGETS = "you your you're ur u they them he she du dich dir ihr euch tú te ti usted ellos tu toi vous ils eux".split()
-NEGATIONS = "not never no isn't aren't don't nicht nie kein keine no nunca jamás ne pas jamais".split()
-REPORTS = "said says say told wrote called quoted sagte sagt schrieb nannte dijo dice escribió llamó dit écrit appelé".split()
-
+WORDS = {
+    "threat": "kill hurt destroy beat smash shoot burn kills hurts töten töte vernichten vernichte schlagen schlage matar mato destruir golpear tuer tue détruire frapper",
+    "done": "killed destroyed beaten smashed shot burned burnt getötet vernichtet geschlagen matado destruido golpeado tué détruit frappé",
+    "agent": "i we ich wir yo nosotros je nous",
+    "second": "you your u ur yours du ihr dein deine tú tu usted ustedes toi vous ton",
+    "third": "he she they er ellos ellas él ella ils elle elles",
+    "object2": "dich dir euch te os",
+    "object3": "him her them ihn ihm ihnen eux lui leur",
+    "modal": "will shall should must going gonna werde werden wirst werdet soll sollst voy vamos vas serás deben debes vais va allons seras dois",
+    "be": "be get been are is sein sei ser es être est",
+    "negation": "not never no isn't aren't don't won't nicht nie kein keine nunca jamás ne pas jamais",
+    "contrast": "but aber sondern pero sino mais",
+    "break": "and or for with because und oder für mit weil y o para con porque et ou pour avec parce",
+    "report": "said says say told wrote called quoted sagte sagt schrieb nannte dijo dice escribió llamó dit écrit appelé",
+    "quote": "\" “ ” „ « »",
+}
+#: Words that stand for two classes.
+CONTRACTED = {"you're": ("second", "be"), "you'll": ("second", "modal"), "i'm": ("agent", "be"), "i'll": ("agent", "modal"), "we'll": ("agent", "modal"), "they're": ("third", "be"), "he's": ("third", "be"), "she's": ("third", "be")}
+
+CLASSES = ("other", "insult", *WORDS)
+_TALLIED = re.compile(r"[^\W_]+")
+_TOKEN = re.compile(r"""[^\W_]+(?:['’][^\W_]+)*|["“”„«»]""")
 _WORD = np.zeros(256, bool)
-_WORD[[39, *range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _ENDS = np.zeros(256, bool)
-_ENDS[[10, 33, 46, 58, 59, 63]] = True
+_ENDS[[10, 33, 46, 59, 63]] = True
 FEATURES = 5
 
 
@@ -41,8 +64,8 @@ class Lexicon:
 
     words: dict[str, float] = field(default_factory=dict)
     prefixes: dict[str, float] = field(default_factory=dict)
-    threats: frozenset = frozenset(THREATS)
     weights: np.ndarray = field(default_factory=lambda: np.array([-3.0, 1.5, 1.0, 1.0, 0.5, 0.5]))
+    _written: dict = field(default_factory=dict, repr=False)
 
     def weight(self, word: str) -> float:
         """The heaviest path that accepts the word; 0 if none does."""
@@ -53,39 +76,137 @@ class Lexicon:
             best = max(best, self.prefixes.get(word[:n], 0.0))
         return best
 
+    def symbols(self, word: str) -> tuple[tuple[int, float], ...]:
+        """What the lexical transducer writes for a word: its function classes, and an insult with its weight."""
+        if word not in self._written:
+            found = [(k, 0.0) for k in _CLASS_OF.get(word, ())]
+            weight = self.weight(word)
+            if weight:
+                found.append((_INSULT, weight))
+            self._written[word] = tuple(found) or ((0, 0.0),)
+        return self._written[word]
+
     def heads(self) -> np.ndarray:
-        """Three-byte heads of all patterns, as a table: most words stop at it."""
+        """Three-byte heads of all patterns and verbs of harm, as a table: most words stop at it."""
         table = np.zeros(1 << 24, bool)
-        for x in (*self.words, *self.prefixes, *self.threats):
+        for x in (*self.words, *self.prefixes, *_HARM):
             b = (x.encode() + b" ")[:3].ljust(3, b" ")
             table[b[0] << 16 | b[1] << 8 | b[2]] = True
         return table
 
 
-def clause_score(tokens: list[str], lexicon: Lexicon, quoted: bool) -> float:
-    """One pass of the composed transducers over a clause.
+_INSULT = CLASSES.index("insult")
+_CLASS_OF: dict[str, tuple[int, ...]] = {w: (CLASSES.index(k),) for k, ws in WORDS.items() for w in ws.split()} | {w: tuple(CLASSES.index(k) for k in ks) for w, ks in CONTRACTED.items()}
+_HARM = frozenset((WORDS["threat"] + " " + WORDS["done"]).split())
+
 
-    Insults add their weight, a threat adds 3 if a target stands in the clause; a negation in the
-    three tokens before damps to 0.5, reported speech (a verb of saying before, or quotation marks)
-    to 0.6, and a target in the clause raises by 1.25.
+class Transducer:
+    """A deterministic weighted transducer over word classes.
+
+    An arc (state, class) has a next state, a factor on whatever the composed machine writes there, and a
+    weight that it writes itself. Classes without an arc take the state's ``*`` arc, else stay.
     """
-    target = any(t in _TARGETS for t in tokens)
-    total, negated, reported = 0.0, 0, quoted
-    for t in tokens:
-        if t in _NEGATIONS:
-            negated = 4
-        elif t in _REPORTS:
-            reported = True
-        w = lexicon.weight(t)
-        if t in lexicon.threats and target:
-            w = max(w, 3.0)
-        if w:
-            total += w * (0.5 if negated else 1.0) * (0.6 if reported else 1.0)
-        negated = max(0, negated - 1)
-    return total * (1.25 if target else 1.0)
 
+    def __init__(self, start: str, arcs: dict[tuple[str, str], tuple]):
+        self.start, self.arcs = start, arcs
+
+    def step(self, state: str, symbol: str) -> tuple[str, float, float]:
+        to, *rest = self.arcs.get((state, symbol), self.arcs.get((state, "*"), (state,)))
+        return to, *rest, *(1.0, 0.0)[len(rest) :]
+
+
+def negation(scope: int = 4, factor: float = 0.1) -> Transducer:
+    """What follows a negation within ``scope`` words is damped; a contrast ends the scope."""
+    arcs: dict[tuple[str, str], tuple] = {("0", "negation"): (str(scope),)}
+    for n in range(1, scope + 1):
+        arcs[str(n), "*"] = (str(n - 1), factor)
+        arcs[str(n), "negation"], arcs[str(n), "contrast"] = (str(scope), factor), ("0",)
+    return Transducer("0", arcs)
 
-_TARGETS, _NEGATIONS, _REPORTS = frozenset(TARGETS), frozenset(NEGATIONS), frozenset(REPORTS)
+
+def reported(factor: float = 0.6) -> Transducer:
+    """What stands in quotation marks or after a verb of saying is damped, unless the writer says it of themselves."""
+    arcs = {
+        ("direct", "quote"): ("quoted",), ("direct", "report"): ("indirect",), ("direct", "agent"): ("own",),
+        ("own", "*"): ("direct",), ("own", "quote"): ("quoted",), ("own", "agent"): ("own",), ("own", "report"): ("direct",), ("own", "modal"): ("own",),
+        ("indirect", "*"): ("indirect", factor), ("indirect", "quote"): ("quoted",),
+        ("quoted", "*"): ("quoted", factor), ("quoted", "quote"): ("direct",),
+    }
+    return Transducer("direct", arcs)
+
+
+def target(factor: float = 1.25, late: float = 0.75) -> Transducer:
+    """Insults after a person are raised; a person up to two words after an insult that had none adds ``late``."""
+    persons = ("second", "third", "object2", "object3")
+    arcs: dict[tuple[str, str], tuple] = {("aimed", "*"): ("aimed", factor), ("none", "insult"): ("late2",)}
+    for state, rest in (("late2", "late1"), ("late1", "none")):
+        arcs[state, "*"], arcs[state, "insult"] = (rest,), ("late2",)
+        arcs |= {(state, p): ("aimed", 1.0, late) for p in persons}
+    arcs |= {("none", p): ("aimed", factor) for p in persons}
+    return Transducer("none", arcs)
+
+
+def threat(weight: float = 3.0, reach: int = 3) -> Transducer:
+    """Agent, verb of harm and victim in one of their orders.
+
+    A verb needs its victim within ``reach`` words after it, without a conjunction or preposition between, or as an
+    object pronoun before it (ich werde dich töten), or as the subject of a passive (you will be killed). Of
+    third persons' deeds only those against the reader count in full.
+    """
+    arcs: dict[tuple[str, str], tuple] = {}
+    victims = {"bare": (weight, weight - 0.5), "agent": (weight, weight), "told": (weight, weight / 3)}
+    entry = {"agent": ("by",), "second": ("you",), "third": ("by3",), "object2": (f"object{reach}",), "threat": (f"bare{reach}",)}
+    of = lambda **more: {**entry, **more}
+    states = {"0": of(), "by": of(threat=(f"agent{reach}",), modal=("by",), be=("by",), negation=("by",), other=("0",)), "by3": of(threat=(f"told{reach}",), modal=("by3",), negation=("by3",), other=("0",))}
+    states["you"] = of(threat=(f"told{reach}",), modal=("passive2",), be=("you",), negation=("you",))
+    for n in (2, 1):
+        states[f"passive{n}"] = of(be=("be",), done=("0", 1.0, weight), threat=(f"told{reach}",), negation=(f"passive{n}",), other=(f"passive{n - 1}" if n > 1 else "0",))
+    states["be"] = of(be=("be",), done=("0", 1.0, weight), threat=("0", 1.0, weight), negation=("be",))
+    for n in range(1, reach + 1):
+        states[f"object{n}"] = of(threat=("0", 1.0, weight), **dict.fromkeys(("other", "modal", "agent", "negation", "be"), (f"object{n - 1}" if n > 1 else "0",)))
+        for kind, (you, them) in victims.items():
+            onward = (f"{kind}{n - 1}" if n > 1 else "0",)
+            states[f"{kind}{n}"] = of(second=("you", 1.0, you), object2=("0", 1.0, you), object3=("0", 1.0, them), **dict.fromkeys(("other", "insult", "be", "negation"), onward))
+    for state, own in states.items():
+        arcs[state, "*"] = ("0",)
+        arcs |= {(state, k): a for k, a in own.items()}
+    for state in ("0", "by", "by3", "you"):  # an insult is no end of a phrase
+        arcs[state, "insult"] = (state,)
+    return Transducer("0", arcs)
+
+
+def composed(*machines: Transducer) -> tuple[list, int]:
+    """The product machine over its reachable states: rows of (next, factor, weight) by class, and the start.
+
+    All machines read the same class; factors multiply and scale what any of them writes.
+    """
+    start = tuple(m.start for m in machines)
+    number, rows, queue = {start: 0}, [], [start]
+    while queue:
+        state, row = queue.pop(0), []
+        for symbol in CLASSES:
+            moves = [m.step(s, symbol) for m, s in zip(machines, state, strict=True)]
+            to = tuple(m[0] for m in moves)
+            if to not in number:
+                number[to] = len(number)
+                queue.append(to)
+            factor = math.prod(m[1] for m in moves)
+            row.append((number[to], factor, factor * sum(m[2] for m in moves)))
+        rows.append(row)
+    return rows, 0
+
+
+GRAMMAR, _START = composed(negation(), reported(), target(), threat())
+
+
+def clause_score(clause: str, lexicon: Lexicon) -> float:
+    """Weight that the composed transducers write for a clause, in one pass over its words."""
+    state, total = _START, 0.0
+    for word in _TOKEN.findall(clause):
+        for symbol, weight in lexicon.symbols(word.replace("’", "'")):
+            state, factor, written = GRAMMAR[state][symbol]
+            total += factor * weight + written
+    return total
 
 
 _known: dict[int, bool] = {}
@@ -130,22 +251,24 @@ def features(column: pa.Array, lexicon: Lexicon, heads: np.ndarray) -> np.ndarra
     found: dict[int, list] = {}
     for k in hit:
         word = raw[starts[k] : ends[k]].decode(errors="replace")
-        if lexicon.weight(word) or word in lexicon.threats:
+        if lexicon.weight(word) or word in _HARM:
             found.setdefault(int(rows[k]), []).append((int(starts[k]), word))
     for row, hits in found.items():
         seen: dict[tuple[int, int], float] = {}
-        for at, _ in hits:
+        kinds = set()
+        for at, word in hits:
             i = np.searchsorted(marks, at)
             # A clause without a mark is the whole text; it is read once, and every hit in it counts once.
             begin = max(int(offsets[row]), int(marks[i - 1]) + 1 if i else 0)
             end = min(int(offsets[row + 1]), int(marks[i]) if i < len(marks) else len(data))
             if (begin, end) not in seen:
-                clause = raw[begin:end].decode(errors="replace")
-                tokens = [t for t in ("".join(c if c.isalnum() or c == "'" else " " for c in clause)).split() if t]
-                seen[begin, end] = clause_score(tokens, lexicon, clause.count('"') >= 2 or "«" in clause or "“" in clause)
-        total = sum(seen.values())
-        kinds = {w for _, w in hits}
-        out[row] = [np.log1p(total), np.log1p(len(seen)), np.log1p(max(seen.values())), np.log1p(100 * total / max(words[row], 1)), np.log1p(len(kinds))]
+                seen[begin, end] = clause_score(raw[begin:end].decode(errors="replace"), lexicon)
+            if seen[begin, end]:
+                kinds.add(word)
+        matched = [x for x in seen.values() if x]
+        if matched:
+            total = sum(matched)
+            out[row] = [np.log1p(total), np.log1p(len(matched)), np.log1p(max(matched)), np.log1p(100 * total / max(words[row], 1)), np.log1p(len(kinds))]
     return out
 
 
@@ -174,7 +297,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             seen = {""}
-            for w in set("".join(c if c.isalnum() or c == "'" else " " for c in (text or "").lower()).split()):
+            for w in set(_TALLIED.findall((text or "").lower())):
                 seen.add("=" + w)
                 seen.update(w[:n] for n in PREFIXES if n <= len(w))
             (yes if toxic else no).update(seen)

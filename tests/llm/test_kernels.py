@@ -130,29 +130,71 @@ def test_components(spark, tmp_path):
     assert all(got.get(x, x) == find(x) for x in list(root))
 
 
+def _lexicon(*insults):
+    return toxicity.Lexicon(words=dict.fromkeys(insults, 3.0))
+
+
 def test_toxicity_grammar():
     lex = toxicity.Lexicon(words={"idiot": 3.0}, prefixes={"vequ": 4.0})
     assert lex.weight("vequain") == 4.0 and lex.weight("idiots") == 0.0
-    f = lambda t, q=False: toxicity.clause_score(t.split(), lex, q)
+    f = lambda t: toxicity.clause_score(t, lex)
     assert f("you idiot") > f("some idiot") > f("not an idiot") and f("some idiot") > f("he said idiot") and f("i will kill you") == 3.0 * 1.25 and f("kill") == 0
+    # Agent, verb and victim in their orders; a verb whose object is no person threatens nobody.
+    for t in ("you will be killed", "you'll be killed", "you are going to be beaten", "ich werde dich töten", "te voy a matar", "je vais te tuer", "they will kill you", "tu seras tué"):
+        assert f(t) == 3.75, t
+    for t in ("they burn wood", "you beat eggs and they smash potatoes", "we burn wood for you", "they killed time", "you will be fed"):
+        assert f(t) == 0, t
+    assert f("i will not hurt you") < f("you beat him") < f("kill them all") < f("i will kill you")
+    # Scopes: a contrast ends a negation, a closing mark a quotation, and own words are not reported ones.
+    assert f("not bad but an idiot") == 3.0 and f("not an idiot") == pytest.approx(0.3) and f("not a b c d idiot") == 3.0
+    assert f("i told you you idiot") == 3.75 > f("she told us you idiot") and f('"a" idiot') == 3.0 > f('"an idiot"')
+    assert f("an idiot you") == 3.75 and f("an idiot x y you") == 3.0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(toxicity.CLASSES), max_size=25))
+def test_composition_is_all_machines_side_by_side(symbols):
+    machines = [toxicity.negation(), toxicity.reported(), toxicity.target(), toxicity.threat()]
+    states, composed = [m.start for m in machines], 0
+    for s in symbols:
+        moves = [m.step(q, s) for m, q in zip(machines, states, strict=True)]
+        states, factor = [m[0] for m in moves], math.prod(m[1] for m in moves)
+        composed, f, w = toxicity.GRAMMAR[composed][toxicity.CLASSES.index(s)]
+        assert f == pytest.approx(factor) and w == pytest.approx(factor * sum(m[2] for m in moves))
+
+
+def _features(lex, *texts):
+    return toxicity.features(pa.array(texts, pa.string()), lex, lex.heads())
 
 
 def test_toxicity_reads_long_clauses_whole():
-    lex = toxicity.Lexicon(words={"idiot": 3.0})
-    of = lambda *t: toxicity.features(pa.array(t, pa.string()), lex, lex.heads())
-    long = "skill " * 60 + "idiot " + "word " * 150 + "idiot " + "skill " * 70 + "kill " + "word " * 300 + "you"
-    alone = of(long)[0]
-    total = toxicity.clause_score(long.split(), lex, False)
-    assert np.allclose(alone[:3], np.log1p([total, 1, total])) and total == (3 + 3 + 3) * 1.25
+    lex = _lexicon("idiot")
+    long = "skill " * 60 + "an idiot " + "word " * 150 + "you idiot " + "skill " * 70 + "i kill all of you " + "word " * 300
+    alone = _features(lex, long)[0]
+    total = toxicity.clause_score(long, lex)
+    assert np.allclose(alone[:3], np.log1p([total, 1, total])) and total == 3 + 3 * 1.25 + 3 * 1.25
     for before in ("x" * 399, "x" * 401, "word. " * 77):
-        assert np.array_equal(of(before, long)[1], alone)
+        assert np.array_equal(_features(lex, before, long)[1], alone)
+
+
+def test_toxicity_does_not_depend_on_the_batch():
+    rng = random.Random(21)
+    lex = _lexicon("idiot", "imbécil")
+    words = ["idiot", "imbécil", "you", "not", "said", "kill", "i", "word", "é", "«", '"', ".", "!", ";"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 40, 900]))) for _ in range(80)]
+    alone = np.array([_features(lex, t)[0] for t in texts])
+    order = list(range(80))
+    for size in (1, 7, 80):
+        rng.shuffle(order)
+        for k in range(0, 80, size):
+            part = order[k : k + size]
+            assert np.array_equal(_features(lex, *(texts[i] for i in part)), alone[part])
 
 
 def test_toxicity_beside_other_punctuation():
-    lex = toxicity.Lexicon(words=dict.fromkeys(("idiot", "connard", "imbécil"), 3.0))
-    of = lambda *t: toxicity.features(pa.array(t, pa.string()), lex, lex.heads())
-    got = of("he is an idiot here", "¡imbécil! he", "you\u00a0idiot", "so “idiot”", "so «connard»", "a—idiot😀 he", "naïveidiot", "")
-    assert np.allclose(np.expm1(got[:, 0]), [3 * 1.25, 3, 3 * 1.25, 3 * 0.6, 3 * 0.6, 3 * 1.25, 0, 0])
+    lex = _lexicon("idiot", "connard", "imbécil")
+    got = _features(lex, "he is an idiot here", "¡imbécil! he", "you\u00a0idiot", "so “idiot”", "so «connard»", "a—idiot😀 he", "naïveidiot", "", "you’re 'idiot'", "1,'idiot'")
+    assert np.allclose(np.expm1(got[:, 0]), [3 * 1.25, 3, 3 * 1.25, 3 * 0.6, 3 * 0.6, 3 * 1.25, 0, 0, 3.75, 3])
     for t in ("é—ß €😀٣漢x", "", "ab", "\u00a0", "e\u0301"):
         want = "".join(c if c.isalnum() or c < "\x80" else " " * len(c.encode()) for c in t)
         assert toxicity.separated(np.frombuffer(t.encode(), np.uint8)).tobytes().decode() == want
