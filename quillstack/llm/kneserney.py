@@ -1,10 +1,13 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, mapped by workers."""
+"""Interpolated modified Kneser-Ney trigram model: counted in Spark, kept as sorted hash arrays, mapped by workers.
+
+A trigram u v w is counted in the shard of its middle token v, which so knows how often u v is a history and how many
+different u stand before v w. Tokens v that are very frequent are dealt out by (v, u) instead, and what their shards know
+of v w is summed in the shard of w. A token is 64 bits of hash; beside v, u is its upper 32 bits and w its upper 40.
+"""
 
 from __future__ import annotations
 
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,19 +18,19 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, mixed, steps, word_hashes
+from .common import Scratch, counted, flat, mixed, steps, word_hashes
 
 _U8 = np.uint64
 #: Hashes of the end of a text and of what stands before its first word.
 END, BEGIN = (mixed(np.array([k], _U8))[0] for k in (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B))
-#: Bytes of text scored in one step, and of a task's counts before they are dealt out.
-STEP, HELD = 6 << 20, 48 << 20
-#: Bits of a bigram key that hold the context's hash; the upper ones hold the token's rank in its shard.
-CONTEXT_BITS = 42
+#: Bytes of text scored in one step, and tokens of a task that are held before they are dealt out.
+STEP, HELD = 4 << 20, 6 << 20
+#: One document in so many is read for the frequent tokens; a token is frequent with this share of a shard's tokens; their number.
+SAMPLED, SHARE, FREQUENT = 64, 0.25, 1024
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, previous hash and row of every token; each row ends with ``END``."""
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, previous and last but one hash, and row of every token; each row ends with ``END``."""
     data, offsets = flat(column)
     words, rows = word_hashes(data, offsets, lower=True)
     n = len(offsets) - 1
@@ -39,135 +42,294 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out[here], out[ends] = words, END
     before = np.r_[BEGIN, out[:-1]].astype(_U8) if len(out) else out
     before[(ends - counts)] = BEGIN
-    return out, before, np.repeat(np.arange(n), counts + 1)
+    two = np.r_[BEGIN, before[:-1]].astype(_U8) if len(out) else out
+    two[(ends - counts)] = BEGIN
+    return out, before, two, np.repeat(np.arange(n), counts + 1)
+
+
+def _pair(v: np.ndarray, other: np.ndarray, side: int) -> np.ndarray:
+    """A hash of v with the bits of a token before (side 1) or after it (side 2)."""
+    return mixed(v * _U8(0x9E3779B97F4A7C15) + mixed(other + _U8(side << 60)))
+
+
+def _upper(token: np.ndarray, bits: int) -> np.ndarray:
+    return token >> _U8(64 - bits)
+
+
+def histories(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return _pair(v, _upper(u, 32), 1)
+
+
+def bigrams(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _pair(v, _upper(w, 40), 2)
+
 
+def homes(v: np.ndarray, shards: int, frequent: np.ndarray, split: np.ndarray) -> np.ndarray:
+    """The shard of v; of a frequent v that of ``split``."""
+    common = frequent[np.minimum(np.searchsorted(frequent, v), len(frequent) - 1)] == v
+    return (np.where(common, split, _upper(v, 40)) % _U8(shards)).astype(np.int64)
 
-def summed(one: np.ndarray, two: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct sorted pairs and the sums of their values."""
-    if not len(one):
-        return one, two, *values
-    order = np.lexsort((two, one))
-    one, two = one[order], two[order]
-    first = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-    return one[first], two[first], *(np.add.reduceat(v[order], first) for v in values)
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the keys, and where each distinct one begins in it."""
+    order = np.argsort(keys, kind="stable")
+    own = keys[order]
+    return order, np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else order[:0]
 
-CHUNKS = "bucket int, cur binary, sizes binary, prev binary, counts binary"
 
+def _small(x: np.ndarray) -> bytes:
+    """Numbers in one, four or eight bytes each."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype("<u1" if top < 1 << 8 else "<u4" if top < 1 << 32 else "<i8").tobytes()
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+
+def _wide(body: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(body, {1: "<u1", 4: "<u4", 8: "<i8"}[len(body) // n] if n else "<u1").astype(np.int64)
+
+
+CHUNKS = "bucket int, v binary, per_v binary, u binary, per_u binary, w binary, low binary, n binary"
+PARTS = "bucket int, kind int, a binary, b binary, n binary"
+STATS, WORDS, PAIRS, FREQ = range(4)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [c.split() for c in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "bucket" else pa.binary()) for n, c in zip(names, columns, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if t == "int" else pa.binary()) for (_, t), c in zip(names, columns, strict=True)], names=[n for n, _ in names])
 
 
-def _count(shards: int):
-    """(text) -> bigram counts in chunks by the token's hash, tokens sorted and their contexts grouped."""
-    names = ["bucket", "cur", "sizes", "prev", "counts"]
+def _count(shards: int, frequent: np.ndarray):
+    """(text) -> trigram counts in chunks by shard, as v, the u before it and the w after those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def out() -> pa.RecordBatch:
-            cur, prev, n = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        def out() -> Iterator[pa.RecordBatch]:
+            w, v, u = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            bucket = (cur % _U8(shards)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cur, prev, n, bucket = cur[order], prev[order], n[order], bucket[order]
+            order, first = grouped(_pair(histories(u, v), _upper(w, 40), 2))
+            n = np.diff(np.r_[first, len(order)])
+            at = order[first]
+            w, v, u = w[at], v[at], u[at]
+            own = histories(u, v)
+            bucket = homes(v, shards, frequent, own)
+            order = np.lexsort((own, v, bucket))
+            w, v, own, u, n, bucket = w[order], v[order], own[order], u[order], n[order], bucket[order]
             edges = np.searchsorted(bucket, np.arange(shards + 1))
             rows = []
-            for k in range(shards):
-                a, b = edges[k], edges[k + 1]
-                if a < b:
-                    c = cur[a:b]
-                    first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                    rows.append((k, c[first].tobytes(), np.diff(np.r_[first, b - a]).astype("<u4").tobytes(), prev[a:b].tobytes(), n[a:b].astype("<u4").tobytes()))
-            return _batch(rows, names)
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                x = slice(edges[k], edges[k + 1])
+                new_u = np.flatnonzero(np.r_[True, own[x][1:] != own[x][:-1]])
+                per_u = np.diff(np.r_[new_u, edges[k + 1] - edges[k]])
+                heads = v[x][new_u]
+                new_v = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]])
+                rows.append((k, heads[new_v].tobytes(), _small(np.diff(np.r_[new_v, len(heads)])), _upper(u[x][new_u], 32).astype("<u4").tobytes(), _small(per_u), _upper(w[x], 32).astype("<u4").tobytes(), (_upper(w[x], 40) & _U8(255)).astype("<u1").tobytes(), _small(n[x])))
+            for i in range(0, len(rows), 64):
+                yield _batch(rows[i : i + 64], CHUNKS)
 
         size = 0
         for batch in batches:
             for part in steps(batch, most=STEP):
-                cur, prev, _ = tokens(part.column(0))
-                held.append(summed(cur, prev, np.ones(len(cur), np.int64)))
-                size += held[-1][0].nbytes
+                held.append(tokens(part.column(0))[:3])
+                size += len(held[-1][0])
                 if size > HELD:
-                    yield out()
+                    yield from out()
                     size = 0
         if held:
-            yield out()
+            yield from out()
 
     return run
 
 
-def _save(uri: str, **arrays: np.ndarray) -> None:
-    """Arrays as files of a folder in the shared store; a repeated task leaves the same files."""
+def _save(uri: str, arrays: dict[str, np.ndarray]) -> None:
+    """Arrays as one file in the shared store: their names, kinds and places, then their bytes; a repeated task leaves the same file."""
     system, path = fs.FileSystem.from_uri(uri)
-    system.create_dir(path, recursive=True)
-    for name, a in arrays.items():
-        part = f"{path}/.{name}-{uuid.uuid4().hex}"
-        with system.open_output_stream(part) as f:
-            f.write(np.ascontiguousarray(a).data if a.size else b"")
-        system.move(part, f"{path}/{name}")
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part, at, heads = f"{path}-{uuid.uuid4().hex}", 4096, []
+    for name, x in arrays.items():
+        heads.append(f"{name} {x.dtype.str} {len(x)} {at}")
+        at += -(-x.nbytes // 64) * 64
+    with system.open_output_stream(part) as f:
+        f.write("\n".join(heads).encode().ljust(4096))
+        for x in arrays.values():
+            f.write(np.ascontiguousarray(x).tobytes().ljust(-(-x.nbytes // 64) * 64, b"\0"))
+    system.move(part, path)
 
 
-_mapped: dict[str, np.ndarray] = {}
+_mapped: dict[str, dict[str, np.ndarray]] = {}
 
 
-def mapped(uri: str, dtype: str) -> np.ndarray:
-    """A read-only map of an array file; a file that is not in a mounted folder is copied once by the worker."""
+def mapped(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of a file as read-only maps; a store that is not mounted gives them from memory. No file: no arrays."""
     if uri not in _mapped:
         system, path = fs.FileSystem.from_uri(uri)
-        if not isinstance(system, fs.LocalFileSystem):
-            local = os.path.join(tempfile.mkdtemp(prefix="arrays-"), "a")
-            with system.open_input_stream(path) as a, open(local, "wb") as b:
-                shutil.copyfileobj(a, b)
-            path = local
-        _mapped[uri] = np.asarray(np.memmap(path, dtype, "r")) if os.path.getsize(path) else np.zeros(0, dtype)
+        if isinstance(system, fs.LocalFileSystem):
+            whole = np.memmap(path, np.uint8, "r") if os.path.exists(path) else None
+        else:
+            whole = np.frombuffer(system.open_input_file(path).read_buffer(), np.uint8) if system.get_file_info(path).is_file else None
+        found = {}
+        for line in bytes(whole[:4096]).decode().split("\n") if whole is not None else ():
+            name, kind, n, at = line.split()
+            kind = np.dtype(kind)
+            found[name] = np.asarray(whole[int(at) : int(at) + int(n) * kind.itemsize]).view(kind)
+        _mapped[uri] = found
     return _mapped[uri]
 
 
-def _shard(root: str, shards: int):
-    """A shard's chunks -> its token and bigram arrays as files, and its contexts' sums in chunks by context."""
+def _keys(name: str, keys: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted 64-bit keys as the 32 bits below a prefix, and where each prefix starts; about 64 keys share one."""
+    bits = max(0, len(keys).bit_length() - 6)
+    starts = np.searchsorted(_upper(keys, bits) if bits else keys * _U8(0), np.arange((1 << bits) + 1, dtype=_U8))
+    return {name: (keys << _U8(bits) >> _U8(32)).astype("<u4"), f"{name}_at": starts.astype("<i8")}
+
+
+def _find(arrays: dict[str, np.ndarray], name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of every key in a table, and whether it is there; by bisection inside its prefix."""
+    own, starts = arrays.get(name), arrays.get(f"{name}_at")
+    if own is None or not len(own):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    bits = (len(starts) - 1).bit_length() - 1
+    prefix = (_upper(keys, bits) if bits else keys * _U8(0)).astype(np.int64)
+    low, end, want = starts[prefix], starts[prefix + 1], (keys << _U8(bits) >> _U8(32)).astype(np.uint32)
+    high = end.copy()
+    for _ in range(int((high - low).max(initial=0)).bit_length()):
+        mid = (low + high) >> 1
+        less = (own[np.minimum(mid, len(own) - 1)] < want) & (mid < high)
+        low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+    return np.minimum(low, len(own) - 1), (low < end) & (own[np.minimum(low, len(own) - 1)] == want)
+
+
+def _numbers(name: str, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Numbers in a byte each, and those over 254 beside."""
+    large = np.flatnonzero(x > 254)
+    return {name: np.minimum(x, 255).astype("<u1"), f"{name}_large": large.astype("<i8"), f"{name}_many": x[large].astype("<i8")}
+
+
+def _number(arrays: dict[str, np.ndarray], name: str, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+    if not there.any():
+        return np.zeros(len(at), np.int64)
+    n = np.where(there, arrays[name][at], 0).astype(np.int64)
+    big = np.flatnonzero(n == 255)
+    if len(big):
+        n[big] = arrays[f"{name}_many"][np.searchsorted(arrays[f"{name}_large"], at[big])]
+    return n
+
+
+def _table(name: str, keys: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted keys with their counts; those of 1, most of them, as keys only."""
+    more = n > 1
+    return {**_keys(f"{name}_once", keys[~more]), **_keys(f"{name}_more", keys[more]), **_numbers(f"{name}_n", n[more])}
+
+
+def _counts(arrays: dict[str, np.ndarray], name: str, keys: np.ndarray) -> np.ndarray:
+    at, there = _find(arrays, f"{name}_more", keys)
+    return _number(arrays, f"{name}_n", at, there) + (_find(arrays, f"{name}_once", keys)[1] & ~there)
+
+
+def _levels(n: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4, how many are 3 or more, and how many there are."""
+    c = np.bincount(np.minimum(n, 5), minlength=6)
+    return [*c[1:5], c[3:].sum(), c[1:].sum()]
+
+
+def _kinds(n: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Per group: sum of the counts, and how many are 1, 2 and more."""
+    return [np.add.reduceat(x, first) if len(first) else n[:0] for x in (n, (n == 1) * 1, (n == 2) * 1, (n > 2) * 1)]
+
+
+def _deal(out: list, kind: int, shards: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+    """Rows of (a, w, n) as chunks by the shard of w (its upper 40 bits)."""
+    home = (b % _U8(shards)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    edges = np.searchsorted(home[order], np.arange(shards + 1))
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        x = order[edges[k] : edges[k + 1]]
+        out.append((k, kind, a[x].astype("<u2").tobytes() if len(a) else b"", b[x].tobytes(), _small(n[x])))
+
+
+def _shard(root: str, shards: int, frequent: np.ndarray):
+    """A shard's chunks -> its arrays as a file; statistics, and what it knows of the tokens w in chunks by their shard."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table["bucket"][0].as_py()
-        cols = [np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("cur", "<u8"), ("sizes", "<u4"), ("prev", "<u8"), ("counts", "<u4"))]
-        cur, prev, n = summed(np.repeat(cols[0], cols[1]), cols[2], cols[3].astype(np.int64))
-        del cols
-        first = np.flatnonzero(np.r_[True, cur[1:] != cur[:-1]])
-        kinds = np.diff(np.r_[first, len(cur)])
-        total = np.add.reduceat(n, first)
-        if len(first) >> (64 - CONTEXT_BITS):
-            raise ValueError("a shard holds too many distinct tokens; use more shards")
-        # Sorted already: by token, and within one by context.
-        key = np.repeat(np.arange(len(first), dtype=_U8), kinds) << _U8(CONTEXT_BITS) | prev >> _U8(64 - CONTEXT_BITS)
-        large = np.flatnonzero(n > 254)
-        _save(f"{root}/{shard}", token=cur[first], count=total, kinds=kinds, key=key, few=np.minimum(n, 255).astype("<u1"), large=large, many=n[large])
-        levels = [np.bincount(np.minimum(x, 5), minlength=6) for x in (n, kinds)]
-        stats = np.r_[levels[0][1:5], levels[1][1:5], len(n), len(first), total.sum(), levels[0][3:].sum(), levels[1][3:].sum()].astype("<f8")
-        ctx, _, *sums = summed(prev, np.zeros(len(prev), _U8), n, (n == 1) * 1, (n == 2) * 1, (n > 2) * 1)
-        sums = np.array(sums, "<u4")
-        bucket = (ctx % _U8(shards)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        ctx, sums = ctx[order], sums[:, order]
-        edges = np.searchsorted(bucket[order], np.arange(shards + 1))
-        rows = [(-1, stats.tobytes(), b"")]
-        rows += [(k, ctx[a:b].tobytes(), sums[:, a:b].tobytes()) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
-        return pa.Table.from_batches([_batch(rows, ["bucket", "ctx", "sums"])])
+        parts = []
+        for vs, per_v, us, per_u, ws, low, n in zip(*(table[c] for c in ("v", "per_v", "u", "per_u", "w", "low", "n")), strict=True):
+            v, u, w = (np.frombuffer(x.as_buffer(), t) for x, t in ((vs, "<u8"), (us, "<u4"), (ws, "<u4")))
+            per_u, per_v = _wide(per_u.as_py(), len(u)), _wide(per_v.as_py(), len(v))
+            w = w.astype(_U8) << _U8(8) | np.frombuffer(low.as_buffer(), "<u1")
+            parts.append((np.repeat(np.repeat(v, per_v), per_u), np.repeat(u, per_u), w, _wide(n.as_py(), len(w))))
+        v, u, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        key = _pair(_pair(v, u.astype(_U8), 1), w, 2)
+        order, first = grouped(key)
+        n = np.add.reduceat(n[order], first)
+        at = order[first]
+        key, v, u, w = key[at], v[at], u[at], w[at]
+        arrays, out = _table("three", key, n), []
+        stats = _levels(n)
+        del key
+        order, first = grouped(own := _pair(v, u.astype(_U8), 1))
+        own, sums = own[order[first]], _kinds(n[order], first)
+        # A history that occurs once has one successor, once; it is known as a bigram.
+        keep = (sums[0] > 1) | (v[order[first]] == BEGIN) & (u[order[first]] == _upper(BEGIN, 32))
+        arrays |= _keys("history", own[keep])
+        for name, x in zip(("h_total", "h1", "h2", "h3"), sums, strict=True):
+            arrays |= _numbers(name, x[keep])
+        del own, u
+        order, first = grouped(v)
+        token, count = v[order[first]], np.add.reduceat(n[order], first)
+        order, first = grouped(two := _pair(v, w, 2))
+        kinds = np.diff(np.r_[first, len(order)])
+        at = order[first]
+        two, v, w = two[at], v[at], w[at]
+        common = np.isin(v, frequent)
+        # Frequent tokens: their bigrams and counts are summed elsewhere.
+        _deal(out, PAIRS, shards, np.searchsorted(frequent, v[common]), w[common], kinds[common])
+        mine = np.isin(token, frequent)
+        out.append((-1, FREQ, np.searchsorted(frequent, token[mine]).astype("<u2").tobytes(), count[mine].astype("<i8").tobytes(), b""))
+        token, count = token[~mine], count[~mine]
+        two, v, w, kinds = two[~common], v[~common], w[~common], kinds[~common]
+        arrays |= _table("two", two, kinds)
+        order, first = grouped(v)
+        arrays |= {"token": token, **_numbers("count", count)}
+        for name, x in zip(("c_total", "c1", "c2", "c3"), _kinds(kinds[order], first), strict=True):
+            arrays |= _numbers(name, x)
+        w, before = counted(w)
+        _deal(out, WORDS, shards, before[:0], w, before)
+        stats += [*_levels(kinds), len(token), count.sum()]
+        out.append((-1, STATS, np.array(stats, "<i8").tobytes(), b"", b""))
+        _save(f"{root}/{shard}", arrays)
+        return pa.Table.from_batches([_batch(out, PARTS)])
 
     return run
 
 
-def _contexts(root: str, discounts: list[float]):
-    """A bucket's context chunks -> its arrays as files: context, total and interpolation weight."""
+def _words(root: str, shards: int, frequent: np.ndarray):
+    """What all shards know of a shard's tokens w -> how many tokens stand before each, the bigrams of frequent tokens, and statistics."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table["bucket"][0].as_py()
-        ctx = np.frombuffer(b"".join(table["ctx"].to_pylist()), "<u8")
-        sums = [np.concatenate(x).astype(np.int64) for x in zip(*(np.frombuffer(b, "<u4").reshape(4, -1) for b in table["sums"].to_pylist()), strict=True)]
-        ctx, _, tot, n1, n2, n3 = summed(ctx, np.zeros(len(ctx), _U8), *sums)
-        gamma = (discounts[0] * n1 + discounts[1] * n2 + discounts[2] * n3) / tot
-        _save(f"{root}/c{shard}", context=ctx, total=tot, gamma=gamma)
-        return pa.table({"bucket": pa.array([shard], pa.int32())})
+        rows: dict[int, list] = {WORDS: [], PAIRS: []}
+        for kind, a, b, n in zip(*(table[c].to_pylist() for c in ("kind", "a", "b", "n")), strict=True):
+            b = np.frombuffer(b, "<u8")
+            rows[kind].append((np.frombuffer(a, "<u2").astype(_U8) if kind == PAIRS else b[:0], b, _wide(n, len(b))))
+        none = np.zeros(0, _U8)
+        a, b, n = (np.concatenate(x) for x in zip((none, none, none.astype(np.int64)), *rows[PAIRS], strict=True))
+        order, first = grouped(_pair(frequent[a.astype(np.int64)], b, 2))
+        kinds = np.add.reduceat(n[order], first) if len(first) else n
+        at = order[first]
+        a, b = a[at], b[at]
+        arrays = _table("two", _pair(frequent[a.astype(np.int64)], b, 2), kinds)
+        sums = np.zeros((5, len(frequent)), "<i8")
+        for k, x in enumerate((kinds, kinds == 1, kinds == 2, kinds > 2)):
+            np.add.at(sums[k], a.astype(np.int64), x)
+        _, w, m = (np.concatenate(x) for x in zip((none, none, none.astype(np.int64)), *rows[WORDS], (none, b, np.ones(len(b), np.int64)), strict=True))
+        order, first = grouped(w)
+        before = np.add.reduceat(m[order], first) if len(first) else m
+        arrays |= {"word": w[order[first]], **_numbers("before", before)}
+        _save(f"{root}/w{shard}", arrays)
+        stats = np.array([*_levels(kinds), *_levels(before)], "<i8")
+        return pa.Table.from_batches([_batch([(-1, STATS, stats.tobytes(), sums.tobytes(), b"")], PARTS)])
 
     return run
 
@@ -180,97 +342,151 @@ def discounts(n: np.ndarray) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1)]
 
 
+def _less(n: np.ndarray, d: list[float]) -> np.ndarray:
+    """Counts less their discounts."""
+    return n - np.array([0.0, *d])[np.minimum(n, 3)]
+
+
 @dataclass
 class Model:
+    """Where the arrays are, and the numbers of the whole corpus; per frequent token its count and the kinds of its bigrams."""
+
     root: str
     shards: int
-    present: frozenset
-    contexts: frozenset
+    frequent: np.ndarray
+    often: np.ndarray
+    sums: np.ndarray
     tokens: int
     types: int
     bigrams: int
-    high: list
-    low: list
-    low_gamma: float
-
-    def lookup(self, cur: np.ndarray, prev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Training count and model probability of every token after its context."""
-        unit, back = np.unique(cur, return_inverse=True)
-        count, kinds, rank = (np.zeros(len(unit), np.int64) for _ in range(3))
-        home = (unit % _U8(self.shards)).astype(np.int64)
-        for k in np.unique(home):
-            if k in self.present:
-                at = np.flatnonzero(home == k)
-                known = mapped(f"{self.root}/{k}/token", "<u8")
+    ends: int
+    three: list
+    two: list
+    one: list
+    rest: float
+
+    def _by_shard(self, home: np.ndarray, prefix: str = ""):
+        order = np.argsort(home, kind="stable")
+        edges = np.searchsorted(home[order], np.arange(self.shards + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            yield order[edges[k] : edges[k + 1]], mapped(f"{self.root}/{prefix}{k}")
+
+    def lookup(self, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training count and model probability of every token after the two before it."""
+        unit, turn = np.unique(np.r_[w, v], return_inverse=True)
+        count, before, sums = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64), np.zeros((4, len(unit)), np.int64)
+        for at, arrays in self._by_shard((_upper(unit, 40) % _U8(self.shards)).astype(np.int64)):
+            if len(known := arrays.get("token", unit[:0])):
                 i = np.minimum(np.searchsorted(known, unit[at]), len(known) - 1)
-                hit = known[i] == unit[at]
-                count[at] = np.where(hit, mapped(f"{self.root}/{k}/count", "<i8")[i], 0)
-                kinds[at] = np.where(hit, mapped(f"{self.root}/{k}/kinds", "<i8")[i], 0)
-                rank[at] = i
-        low = np.array([0.0, *self.low])[np.minimum(kinds, 3)]
-        lower = ((kinds - low) / self.bigrams if self.bigrams else 0.0 * low) + self.low_gamma / (self.types + 1)
-        seen = np.zeros(len(cur), np.int64)
-        shard = home[back]
-        key = rank[back].astype(_U8) << _U8(CONTEXT_BITS) | prev >> _U8(64 - CONTEXT_BITS)
-        order = np.lexsort((key, shard))
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for k in range(self.shards):
-            at = order[edges[k] : edges[k + 1]]
-            if len(at) and k in self.present:
-                keys = mapped(f"{self.root}/{k}/key", "<u8")
-                i = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
-                n = np.where((keys[i] == key[at]) & (count[back[at]] > 0), mapped(f"{self.root}/{k}/few", "<u1")[i].astype(np.int64), 0)
-                big = np.flatnonzero(n == 255)
-                if len(big):
-                    large = mapped(f"{self.root}/{k}/large", "<i8")
-                    n[big] = mapped(f"{self.root}/{k}/many", "<i8")[np.searchsorted(large, i[big])]
-                seen[at] = n
-        ctx, turn = np.unique(prev, return_inverse=True)
-        total, gamma = np.zeros(len(ctx)), np.ones(len(ctx))
-        home = (ctx % _U8(self.shards)).astype(np.int64)
-        for k in np.unique(home):
-            if k in self.contexts:
-                at = np.flatnonzero(home == k)
-                known = mapped(f"{self.root}/c{k}/context", "<u8")
-                i = np.minimum(np.searchsorted(known, ctx[at]), len(known) - 1)
-                hit = known[i] == ctx[at]
-                total[at] = np.where(hit, mapped(f"{self.root}/c{k}/total", "<i8")[i], 0)
-                gamma[at] = np.where(hit, mapped(f"{self.root}/c{k}/gamma", "<f8")[i], 1.0)
-        high = np.array([0.0, *self.high])[np.minimum(seen, 3)]
-        return count[back], (seen - high) / np.maximum(total[turn], 1) + gamma[turn] * lower[back]
+                there = known[i] == unit[at]
+                count[at] = _number(arrays, "count", i, there)
+                for k, name in enumerate(("c_total", "c1", "c2", "c3")):
+                    sums[k, at] = _number(arrays, name, i, there)
+        for at, arrays in self._by_shard((_upper(unit, 40) % _U8(self.shards)).astype(np.int64), "w"):
+            if len(known := arrays.get("word", unit[:0])):
+                i = np.minimum(np.searchsorted(known, _upper(unit[at], 40)), len(known) - 1)
+                before[at] = _number(arrays, "before", i, known[i] == _upper(unit[at], 40))
+        i = np.minimum(np.searchsorted(self.frequent, unit), len(self.frequent) - 1)
+        at = np.flatnonzero(self.frequent[i] == unit)
+        count[at], sums[:, at] = self.often[i[at]], self.sums[:4, i[at]]
+        count[unit == END], count[unit == BEGIN] = self.ends, 0
+        n = len(w)
+        one = _less(before[turn[:n]], self.one) / max(self.bigrams, 1) + self.rest / (self.types + 1)
+
+        # Bigrams: in the shard of v, or in that of w for a frequent v.
+        key, back = np.unique(bigrams(v, w), return_inverse=True)
+        some = np.zeros(len(key), np.int64)
+        some[back] = np.arange(n)
+        kinds = np.zeros(len(key), np.int64)
+        common = np.isin(v[some], self.frequent)
+        home = homes(v[some], self.shards, self.frequent, _upper(w[some], 40))
+        for part, prefix in ((np.flatnonzero(~common), ""), (np.flatnonzero(common), "w")):
+            for at, arrays in self._by_shard(home[part], prefix):
+                kinds[part[at]] = _counts(arrays, "two", key[part[at]])
+        kinds = kinds[back]
+        own = sums[:, turn[n:]]
+        two = np.where(own[0] > 0, (_less(kinds, self.two) + (self.two @ own[1:]) * one) / np.maximum(own[0], 1), one)
+
+        # Histories: one that is no entry but was a bigram just before occurred once.
+        key, back = np.unique(histories(u, v), return_inverse=True)
+        some = np.zeros(len(key), np.int64)
+        some[back] = np.arange(n)
+        stats = np.zeros((4, len(key)), np.int64)
+        home = homes(v[some], self.shards, self.frequent, key)
+        for at, arrays in self._by_shard(home):
+            i, there = _find(arrays, "history", key[at])
+            for k, name in enumerate(("h_total", "h1", "h2", "h3")):
+                stats[k, at] = _number(arrays, name, i, there)
+        stats = stats[:, back]
+        once = np.r_[False, kinds[:-1] > 0] & (v != BEGIN) & (stats[0] == 0)
+        stats[:2, once] = 1
+
+        key, turn = np.unique(_pair(histories(u, v), _upper(w, 40), 2), return_inverse=True)
+        some = np.zeros(len(key), np.int64)
+        some[turn] = np.arange(n)
+        seen = np.zeros(len(key), np.int64)
+        for at, arrays in self._by_shard(home[back[some]]):
+            seen[at] = _counts(arrays, "three", key[at])
+        three = np.where(stats[0] > 0, (_less(seen[turn], self.three) + (self.three @ stats[1:]) * two) / np.maximum(stats[0], 1), two)
+        return count[np.searchsorted(unit, w)], three
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (token, n), and the number of all tokens as token 0; tokens that are rare in the task are left out."""
+    held, total = [], 0
+    for batch in batches:
+        for part in steps(batch, most=STEP):
+            held.append(counted(tokens(part.column(0))[1]))
+            total += int(held[-1][1].sum())
+    keys, n = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, _U8), np.zeros(0, np.int64))
+    order, first = grouped(keys)
+    n = np.add.reduceat(n[order], first) if len(first) else n
+    top = np.sort(np.argsort(-n, kind="stable")[: 4 * FREQUENT])
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[_U8(0), keys[order[first]][top]].astype(_U8).view(np.int64)), pa.array(np.r_[total, n[top]].astype(np.int64))], names=["token", "n"])
+
+
+def _frequent(plain: DataFrame, shards: int) -> np.ndarray:
+    """Tokens that would fill a good part of a shard, found in a sample: it decides where counts are summed, never what they are."""
+    found = plain.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).mapInArrow(_often, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = found.orderBy(F.col("token") != 0, F.desc("n"), "token").limit(FREQUENT + 1).collect()
+    total = sum(r.n for r in rows if r.token == 0)
+    often = [r.token & (1 << 64) - 1 for r in rows if r.token != 0 and r.n * shards > SHARE * total and r.n > 100]
+    return np.unique(np.array([*often, int(BEGIN)], _U8))
 
 
 def train(docs: DataFrame) -> Model:
     """(text) -> model. Counts of all rows; null texts count as empty.
 
-    Every task counts its bigrams and deals them out by the token; a shard sums them, writes its sorted
-    arrays to the shared folder and deals out its contexts' sums. Arrays per shard are a part of the
-    distinct bigrams, and only sums of a few numbers reach the driver.
+    Every task counts its trigrams and deals them out by their middle token (frequent ones by the two first);
+    a shard sums them, writes its sorted arrays to the shared folder and deals out what it knows of the
+    last tokens. Arrays per shard are a part of the distinct trigrams, and only sums of a few numbers, and
+    of the frequent tokens, reach the driver.
     """
     scratch = Scratch(docs.sparkSession, "kneserney")
     root = scratch.path("arrays")
     if root.startswith(("/", "file:/")) and "://" not in root:
         root = "file://" + root.removeprefix("file:")
     plain = docs.select(F.col("text").cast("string").alias("text"))
-    shards = max(8, min(20_000, plain.rdd.getNumPartitions()))
-    counted = plain.mapInArrow(_count(shards), CHUNKS)
-    parts = scratch.save(counted.groupBy("bucket").applyInArrow(_shard(root, shards), "bucket int, ctx binary, sums binary"), "parts")
-    stats = [np.frombuffer(bytes(r.ctx), "<f8") for r in parts.filter("bucket = -1").collect()]
-    total = np.sum(stats, axis=0) if stats else np.zeros(13)
-    high, low = discounts(total[:4]), discounts(total[4:8])
-    done = parts.filter("bucket >= 0").groupBy("bucket").applyInArrow(_contexts(root, high), "bucket int")
-    contexts = frozenset(r.bucket for r in scratch.save(done, "done").collect())
+    shards = max(8, min(20_000, 2 * plain.rdd.getNumPartitions()))
+    frequent = _frequent(plain, shards)
+    counted_ = plain.mapInArrow(_count(shards, frequent), CHUNKS)
+    parts = scratch.save(counted_.groupBy("bucket").applyInArrow(_shard(root, shards, frequent), PARTS), "parts")
+    rows = parts.filter("bucket = -1").select("kind", "a", "b").collect()
+    stats = np.zeros(14, np.int64) + sum(np.frombuffer(bytes(r.a), "<i8") for r in rows if r.kind == STATS)
+    often = np.zeros(len(frequent), np.int64)
+    for r in rows:
+        if r.kind == FREQ:
+            np.add.at(often, np.frombuffer(bytes(r.a), "<u2").astype(np.int64), np.frombuffer(bytes(r.b), "<i8"))
+    done = scratch.save(parts.filter("bucket >= 0").groupBy("bucket").applyInArrow(_words(root, shards, frequent), PARTS), "done").collect()
     scratch.drop("parts")
-    present = frozenset(_present(root))
-    bigrams = total[8]
-    low_gamma = (low[0] * total[4] + low[1] * total[5] + low[2] * total[12]) / bigrams if bigrams else 1.0
-    return Model(root, shards, present, contexts, int(total[10]), int(total[9]), int(bigrams), high, low, low_gamma)
-
-
-def _present(root: str) -> set[int]:
-    system, path = fs.FileSystem.from_uri(root)
-    found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
-    return {int(f.base_name) for f in found if f.base_name.isdigit()}
+    levels = np.zeros(12, np.int64) + sum(np.frombuffer(bytes(r.a), "<i8") for r in done)
+    sums = np.zeros((5, len(frequent)), np.int64) + sum(np.frombuffer(bytes(r.b), "<i8").reshape(5, -1) for r in done)
+    two = stats[6:12] + levels[:6]
+    ends = int(often[np.searchsorted(frequent, BEGIN)])
+    types = int(stats[12] + (often > 0).sum())  # the begin stands for the end here
+    one = discounts(levels[6:10])
+    rest = (one[0] * levels[6] + one[1] * levels[7] + one[2] * levels[10]) / two[5] if two[5] else 1.0
+    return Model(root, shards, frequent, often, sums, int(stats[13] + often.sum()), types, int(two[5]), ends, discounts(stats[:4]), discounts(two[:4]), one, float(rest))
 
 
 def _score(model: Model):
@@ -278,8 +494,8 @@ def _score(model: Model):
         floor = model.tokens + 0.1 * (model.types + 1)
         for batch in batches:
             for part in steps(batch, most=STEP):
-                cur, prev, rows = tokens(part.column(1))
-                count, p = model.lookup(cur, prev)
+                *grams, rows = tokens(part.column(1))
+                count, p = model.lookup(*grams)
                 n = part.num_rows
                 sums = [np.bincount(rows, w, n) for w in (None, count > 0, np.log10((count + 0.1) / floor), np.log10(p))]
                 yield pa.RecordBatch.from_arrays(

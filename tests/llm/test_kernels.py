@@ -344,27 +344,44 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
-def test_kneser_ney(spark):
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(0, 2**64 - 1), st.integers(1, 1000), max_size=400), st.lists(st.integers(0, 2**64 - 1), max_size=20))
+def test_sorted_tables(counts, others):
+    keys = np.array(sorted(counts), np.uint64)
+    arrays = kneserney._table("x", keys, np.array([counts[k] for k in sorted(counts)], np.int64))
+    asked = np.array([*counts, *others], np.uint64)
+    assert kneserney._counts(arrays, "x", asked).tolist() == [counts.get(int(k), 0) for k in asked]
+
+
+@pytest.mark.parametrize("sampled", [64, 1])
+def test_kneser_ney(spark, monkeypatch, sampled):
+    monkeypatch.setattr(kneserney, "SAMPLED", sampled)  # 1: the commonest tokens count as frequent
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(["A", "b", "c d", "É", "a"]) for _ in range(rng.randrange(1, 40)))) for i in range(60)] + [(900, None), (901, ""), (901, "a zz"), (None, "b b")]
     got = kneserney.score_held_out(make_docs(spark, rows).repartition(3)).collect()
     split = lambda t: [w.lower() if w.isascii() else w for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [None]
     train = [split(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
-    c, pairs = collections.Counter(w for t in train for w in t), collections.Counter(p for t in train for p in zip(["<s>", *t[:-1]], t, strict=True))
-    kinds, total, gamma = collections.Counter(w for _, w in pairs), collections.Counter(), collections.Counter()
-    hi, lo = (kneserney.discounts(np.array([sum(v == k for v in x.values()) for k in (1, 2, 3, 4)])) for x in (pairs, kinds))
+    grams = lambda ws: list(zip(["<s>", "<s>", *ws[:-2]], ["<s>", *ws[:-1]], ws, strict=False)) if len(ws) > 1 else [("<s>", "<s>", ws[0])]
+    c, three = collections.Counter(w for t in train for w in t), collections.Counter(g for t in train for g in grams(t))
+    two = collections.Counter((v, w) for _, v, w in three)
+    one = collections.Counter(w for _, w in two)
+    hi, mid, lo = (kneserney.discounts(np.array([sum(v == k for v in x.values()) for k in (1, 2, 3, 4)])) for x in (three, two, one))
     d = lambda ds, n: ds[min(n, 3) - 1] if n else 0.0
-    for (p, _), n in pairs.items():
-        total[p] += n
-        gamma[p] += d(hi, n)
-    low_gamma = sum(d(lo, n) for n in kinds.values()) / len(pairs)
-    low = lambda w: (kinds[w] - d(lo, kinds[w])) / len(pairs) + low_gamma / (len(c) + 1)
-    prob = lambda p, w: (pairs[p, w] - d(hi, pairs[p, w])) / total[p] + gamma[p] / total[p] * low(w) if total[p] else low(w)
-    assert sum(prob("a", w) for w in c) + gamma["a"] / total["a"] * low_gamma / (len(c) + 1) == pytest.approx(1)
+    total, gamma = ({}, {}), ({}, {})
+    for level, (counts, ds) in enumerate(((two, mid), (three, hi))):
+        for g, n in counts.items():
+            total[level][g[:-1]] = total[level].get(g[:-1], 0) + n
+            gamma[level][g[:-1]] = gamma[level].get(g[:-1], 0) + d(ds, n)
+    rest = sum(d(lo, n) for n in one.values()) / len(two)
+    p1 = lambda w: (one[w] - d(lo, one[w])) / len(two) + rest / (len(c) + 1)
+    p2 = lambda v, w: (two[v, w] - d(mid, two[v, w]) + gamma[0][v,] * p1(w)) / total[0][v,] if (v,) in total[0] else p1(w)
+    prob = lambda u, v, w: (three[u, v, w] - d(hi, three[u, v, w]) + gamma[1][u, v] * p2(v, w)) / total[1][u, v] if (u, v) in total[1] else p2(v, w)
+    unseen = rest / (len(c) + 1)
+    assert sum(prob("a", "b", w) for w in c) + gamma[1]["a", "b"] / total[1]["a", "b"] * gamma[0]["b",] / total[0]["b",] * unseen == pytest.approx(1)
     want = collections.defaultdict(list)
     for i, t in rows:
         ws = split(t)
-        want[i].append((len(ws), sum(c[w] > 0 for w in ws), sum(c.values()), sum(math.log10((c[w] + 0.1) / (sum(c.values()) + 0.1 * (len(c) + 1))) for w in ws), sum(math.log10(prob(p, w)) for p, w in zip(["<s>", *ws[:-1]], ws, strict=True))))
+        want[i].append((len(ws), sum(c[w] > 0 for w in ws), sum(c.values()), sum(math.log10((c[w] + 0.1) / (sum(c.values()) + 0.1 * (len(c) + 1))) for w in ws), sum(math.log10(prob(*g)) for g in grams(ws))))
     for r in got:
         assert any(tuple(r)[2:] == pytest.approx(w) for w in want[r.doc_id]), r
     assert len(got) == len(rows) and kneserney.score_held_out(make_docs(spark, [])).count() == 0
