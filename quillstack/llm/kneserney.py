@@ -24,7 +24,7 @@ _U8 = np.uint64
 #: Hashes of the end of a text and of what stands before its first word.
 END, BEGIN = (mixed(np.array([k], _U8))[0] for k in (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B))
 #: Bytes of text scored in one step, and tokens of a task that are held before they are dealt out.
-STEP, HELD = 4 << 20, 3 << 19
+STEP, HELD = 2 << 20, 3 << 19
 #: One document in so many is read for the frequent tokens; a token is frequent with this share of a shard's tokens; their number.
 SAMPLED, SHARE, FREQUENT = 64, 0.25, 1024
 
