@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, counted, flat, mixed, shingle_hashes, steps, word_hashes
-from .components import components
+from .components import components, with_least
 
 #: Words of a shingle, least similarity of a link, bands and registers of a band.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 36, 7
@@ -117,57 +117,128 @@ def _each(column: pa.Array, words: int):
 _PAIRS = np.uint64(0x5555555555555555)
 
 
+def _sets(table: pa.Table, words: int) -> list:
+    batch = table.select(["text"]).combine_chunks().to_batches()
+    return [x for b in batch for part in steps(b) for x in _each(part.column(0), words)]
+
+
+def _verify(words: int, least: float):
+    """Leaders and the texts that share a band with them -> links (a, b) of those that are alike."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("lead", "ascending"), ("is_lead", "descending")])
+        ids, leads, is_lead = (table[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "lead", "is_lead"))
+        sets, own = _sets(table, words), None
+        keep = np.zeros(len(ids), bool)
+        for k in range(len(ids)):
+            if is_lead[k]:
+                own = k
+            else:
+                keep[k] = probability_jaccard(sets[own], sets[k]) >= least - 1e-12
+        return pa.table({"a": pa.array(ids[keep], pa.int64()), "b": pa.array(leads[keep], pa.int64())})
+
+    return run
+
+
+def _near(table: pa.Table, differing: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each left row of a block pair, and the right ones of its group and of another root whose sketches are near."""
+    group, root = table["component"].to_numpy(), table["root"].to_numpy()
+    left, right = (table[c].to_numpy(zero_copy_only=False) for c in ("as_left", "as_right"))
+    bits = np.array(table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(group), -1))
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    for start, end in zip(first, np.r_[first[1:], len(group)], strict=True):
+        rights = start + np.flatnonzero(right[start:end])
+        for i in start + np.flatnonzero(left[start:end]):
+            x = bits[i] ^ bits[rights]
+            near = rights[(np.bitwise_count((x | x >> np.uint64(1)) & _PAIRS).sum(axis=1) <= differing) & (root[rights] != root[i])]
+            # A pair that stands on both sides counts once.
+            yield i, near[~(left[near] & right[i] & (near < i))]
+
+
+def _ordered(table: pa.Table) -> pa.Table:
+    return table.combine_chunks().sort_by([("component", "ascending"), ("doc_id", "ascending")])
+
+
+def _survivors(differing: int):
+    """Block pairs of sketches -> the rows that must be compared with one of another root."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = _ordered(table)
+        keep = np.zeros(table.num_rows, bool)
+        for i, near in _near(table, differing):
+            keep[near] = True
+            keep[i] |= len(near) > 0
+        return table.select(["doc_id"]).filter(pa.array(keep))
+
+    return run
+
+
 def _compare(words: int, least: float, differing: int):
-    """Block pairs of candidate groups -> links (a, b) that connect all rows of a block pair whose texts are alike.
+    """Block pairs of texts -> links (a, b) that connect all rows of a block pair whose texts are alike.
 
-    Sketches rule most pairs out; of the rest, pairs that the links found so far connect already are skipped.
+    Pairs that the links found so far connect already are skipped.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("component", "ascending"), ("doc_id", "ascending")])
-        ids, group = table["doc_id"].to_numpy(), table["component"].to_numpy()
-        left, right = (table[c].to_numpy(zero_copy_only=False) for c in ("as_left", "as_right"))
-        bits = np.array(table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1))
-        batch = table.select(["text"]).combine_chunks().to_batches()
-        sets = [x for b in batch for part in steps(b) for x in _each(part.column(0), words)]
-        root = np.arange(len(ids))
+        table = _ordered(table)
+        ids, roots = table["doc_id"].to_numpy(), table["root"].to_numpy()
+        sets = _sets(table, words)
+        known: dict[int, int] = {}
+        start = np.array([known.setdefault(r, k) for k, r in enumerate(roots.tolist())], np.int64)
+        top = start.copy()
 
         def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
+            while top[k] != k:
+                top[k] = top[top[k]]
+                k = top[k]
             return k
 
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        for start, end in zip(first, np.r_[first[1:], len(ids)], strict=True):
-            rights = start + np.flatnonzero(right[start:end])
-            for i in start + np.flatnonzero(left[start:end]):
-                x = bits[i] ^ bits[rights]
-                near = rights[np.bitwise_count((x | x >> np.uint64(1)) & _PAIRS).sum(axis=1) <= differing]
-                for j in near:
-                    # A pair that stands on both sides is compared once.
-                    if i == j or (left[j] and right[i] and j < i):
-                        continue
-                    a, b = find(i), find(j)
-                    if a != b and probability_jaccard(sets[i], sets[j]) >= least - 1e-12:
-                        root[max(a, b)] = min(a, b)
-        top = np.array([find(k) for k in range(len(ids))], np.int64)
-        own = np.flatnonzero(top != np.arange(len(ids)))
-        return pa.table({"a": pa.array(ids[own], pa.int64()), "b": pa.array(ids[top[own]], pa.int64())})
+        links = []
+        for i, near in _near(table, differing):
+            for j in near:
+                a, b = find(i), find(j)
+                if a != b and probability_jaccard(sets[i], sets[j]) >= least - 1e-12:
+                    top[max(a, b)] = min(a, b)
+                    links.append((i, j))
+        return pa.table({n: pa.array([ids[x[k]] for x in links], pa.int64()) for k, n in enumerate("ab")})
 
     return run
 
 
+def _block_pairs(rows: DataFrame, block: int, count: int) -> DataFrame:
+    """Rows of groups (component) dealt out as units: pairs of blocks of a large group, or some small groups together."""
+    sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / block).alias("n"))
+    placed = rows.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), "n")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    unit = F.when(F.col("n") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(count // block + 1)).cast("string"))).otherwise(F.concat_ws("-", "component", low, high))
+    return placed.select(unit.alias("unit"), *rows.columns, (F.col("own") == low).alias("as_left"), (F.col("own") == high).alias("as_right"))
+
+
+def _wanted(known: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """The texts of some ids; these are broadcast while they are few."""
+    ids = ids.select("doc_id")
+    return known.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def _single(known: DataFrame) -> DataFrame:
+    """One row per doc_id, that with the least text."""
+    again = known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if again.isEmpty():
+        return known
+    least = known.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return known.join(again, "doc_id", "left_anti").unionByName(least)
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, text) -> one row per distinct doc_id: doc_id, class_id, kept.
 
     Documents are weighted sets of ``words``-word shingles (words end at white space, the weight
     is the count). Equal sets are one class without comparison. The others are banded by their
-    ProbMinHash signatures, and texts linked by shared bands are one candidate group. A group is dealt
-    out in pairs of blocks: two-bit sketches of the signatures rule pairs out, and the rest are compared by the
-    exact probability Jaccard similarity of the whole texts, until every block pair knows which of its texts are
-    connected. Only links of those forests leave the tasks, never pairs. Classes are the connected components; class_id is the smallest
-    doc_id and kept marks that document.
+    ProbMinHash signatures. Every text is compared with the least text of each of its bands, by the exact
+    probability Jaccard similarity of whole texts. Texts linked by shared bands are one candidate group; where those
+    links leave a group in several pieces, two-bit sketches of the signatures, dealt out in pairs of blocks, tell which
+    texts may be like one of another piece, and only those travel and are compared. Only links of forests leave the
+    tasks, never pairs. Classes are the connected components; class_id is the smallest doc_id and kept marks that document.
 
     Null, empty and blank texts have no shingles and are a class each; a text under ``words`` words is
     one shingle. Repeated rows of one doc_id count once (the least text by order); rows with a null doc_id come
@@ -176,35 +247,42 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = plain.filter("doc_id is not null")
+    known = _single(plain.filter("doc_id is not null"))
     sketch = scratch.save(known.mapInArrow(_sketch(bands, rows, words), "doc_id long, f1 long, f2 long, keys array<long>, bits array<long>"), "sketch")
     first = scratch.save(sketch.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("f1 is not null"), "first")
-    buckets = (
-        sketch.join(first.select(F.col("rep").alias("doc_id"), F.col("f1").alias("g1"), F.col("f2").alias("g2")), "doc_id")
-        .filter("f1 = g1 and f2 = g2")
-        .select("doc_id", "bits", F.explode("keys").alias("band"))
-    )
-    # Texts that share a band, and those linked through others, are one candidate group.
-    least = buckets.groupBy("band").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("hi")).filter("b < hi").select("band", "b")
-    stars = scratch.save(buckets.join(least, "band").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "stars")
-    groups = components(stars, scratch, "groups")
-    groups = scratch.save(groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()), "members")
+    reps = sketch.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # Texts that share a band, and those linked through others, are one candidate group; the least of a band leads it.
+    stars = with_least(reps.select("doc_id", F.explode("keys").alias("band")), "band", "doc_id", "lead").filter("doc_id <> lead").select("doc_id", "lead").distinct()
+    stars = scratch.save(stars, "stars")
+    groups = components(stars.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")), scratch, "groups")
+    groups = scratch.save(groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "doc_id"), "members")
     count = groups.count()
-    labels = groups.select("node", "component").limit(0)
+    labels = spark.createDataFrame([], "node long, component long")
     if count:
-        wanted = groups.select(F.col("node").alias("doc_id"))
-        texts = known.join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-        rows_of = groups.withColumnRenamed("node", "doc_id").join(sizes, "component").join(sketch.groupBy("doc_id").agg(F.first("bits").alias("bits")), "doc_id").join(texts, "doc_id")
-        blocks = F.ceil(F.col("size") / block)
-        placed = rows_of.withColumns({"n": blocks, "own": F.pmod(F.xxhash64("doc_id"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        low, high = F.least("own", "other"), F.greatest("own", "other")
-        # Small groups share units, so that a unit has some hundred rows.
-        unit = F.when(F.col("n") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(count // block + 1)).cast("string"))).otherwise(F.concat_ws("-", "component", low, high))
-        dealt = placed.select(unit.alias("unit"), "component", "doc_id", "bits", "text", (F.col("own") == low).alias("as_left"), (F.col("own") == high).alias("as_right"))
         differing = int(0.75 * bands * rows * (1 - similarity + MARGIN))
-        edges = scratch.save(dealt.groupBy("unit").applyInArrow(_compare(words, similarity, differing), "a long, b long"), "edges")
-        labels = scratch.save(components(edges, scratch, "links"), "labels")
+        texts = _wanted(known, groups, count)
+        # Every text against the leaders of its bands, the followers of a leader by blocks.
+        followers = stars.groupBy("lead").agg(F.ceil(F.count("*") / block).alias("n"))
+        few = F.concat(F.lit("s"), F.pmod(F.xxhash64("lead"), F.lit(count // block + 1)).cast("string"))
+        units = lambda part: F.when(F.col("n") == 1, few).otherwise(F.concat_ws("-", "lead", part)).alias("unit")
+        own = stars.join(followers, "lead").select("doc_id", "lead", units(F.pmod(F.xxhash64("doc_id"), "n")), F.lit(False).alias("is_lead"))
+        led = followers.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(F.col("lead").alias("doc_id"), "lead", units(F.col("k")), F.lit(True).alias("is_lead"))
+        verified = scratch.save(own.unionByName(led).join(texts, "doc_id").groupBy("unit").applyInArrow(_verify(words, similarity), "a long, b long"), "verified")
+        labels = components(verified, scratch, "verified-links")
+        # Groups that this leaves in several pieces: sketches tell which texts need comparing with those of another piece.
+        rooted = groups.join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("root")), "doc_id", "left").select("doc_id", "component", F.coalesce("root", "doc_id").alias("root"))
+        pieces = rooted.groupBy("component").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("component")
+        rest = scratch.save(rooted.join(pieces, "component", "left_semi").join(sketch.select("doc_id", "bits"), "doc_id"), "rest")
+        left = rest.count()
+        if left:
+            near = _block_pairs(rest, block, left).groupBy("unit").applyInArrow(_survivors(differing), "doc_id long").distinct()
+            rest = scratch.save(rest.join(near, "doc_id", "left_semi"), "near")
+            left = rest.count()
+        if left:
+            dealt = _block_pairs(rest, block, left).join(_wanted(known, rest, left), "doc_id")
+            edges = scratch.save(dealt.groupBy("unit").applyInArrow(_compare(words, similarity, differing), "a long, b long"), "edges")
+            labels = components(verified.unionByName(edges), scratch, "links")
+        labels = scratch.save(labels, "labels")
     classes = first.join(labels, first.rep == labels.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("class_id"))
     out = sketch.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     out = out.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))

@@ -110,6 +110,10 @@ def test_near_duplicates_edge_cases(spark):
     df = make_docs(spark, rows).withColumns({"keys": F.lit(1), "f1": F.lit(2), "class_id": F.lit(3)})
     got = sorted((tuple(r) for r in minhash.near_duplicates(df).collect()), key=str)
     assert got == [(1, 1, True), (2, 1, False), (None, None, True)]
+    # Of a repeated doc_id the least text counts, wherever it stands.
+    a, b = "a b c d e f", "u v w x y z"
+    for rows in ([(5, a), (5, b), (1, b), (2, a)], [(5, b), (5, a), (1, b), (2, a)]):
+        assert {r.doc_id: r.class_id for r in minhash.near_duplicates(make_docs(spark, rows)).collect()} == {5: 2, 1: 1, 2: 2}
     assert minhash.near_duplicates(make_docs(spark, [])).count() == 0
 
 
@@ -495,7 +499,7 @@ def test_repeats(spark, hot):
             a = rng.randrange(0, 60)
             t += s[a : a + rng.randrange(10, 90)] + noise(rng.randrange(0, 20))
         texts.append(t)
-    texts += [None, "", "x" * 500, texts[0], texts[0], "yz" * 90, "short"]
+    texts += [None, "", "x" * 500, texts[0], texts[0], "yz" * 90, "\0" * 90, "short"]
     ids = [*range(len(texts) - 1), 0]  # the last id comes twice, with another text
     docs = make_docs(spark, list(zip(ids, texts, strict=True))).withColumn("rid", F.lit(5)).repartition(4)
     rows, spans = suffixes.repeated_spans(docs.select("doc_id", "text"), 40, 16, hot)
@@ -513,17 +517,32 @@ def test_repeats(spark, hot):
 
 def test_family_merges_geometrically():
     rng = np.random.default_rng(14)
-    runs = []
+    runs, kind = [], suffixes.entry(64)
     for k in range(9):
-        e = np.zeros(20, suffixes.ENTRY)
-        e["key"], e["context"], e["rid"] = rng.integers(0, 40, 20), rng.integers(0, 200, 20), k * 100 + np.arange(20)
-        runs.append(suffixes.Family.sort(e)[np.unique(suffixes.Family.sort(e)["context"], return_index=True)[1]])
+        e = np.zeros(20, kind)
+        e["suffix"] = [bytes([65 + int(x)]) * 64 + int(y).to_bytes(16, "big") for x, y in zip(rng.integers(0, 40, 20), rng.integers(0, 3, 20), strict=True)]
+        e["rid"] = [b"%d-%d" % (k, i) for i in range(20)]
+        e = suffixes.Family.sort(e)
+        runs.append(e[np.unique(e["suffix"], return_index=True)[1]])
     family, found = suffixes.Family(), []
     for r in runs:
         found.append(family.add(r.copy()))
         sizes = [len(x) for x in family.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
-    every = np.concatenate(runs)
-    n = collections.Counter((e["key"], e["context"]) for e in every)
-    assert {(e["key"], e["context"]) for f in found for e in f} >= {k for k, v in n.items() if v > 1}
+        assert all((x["suffix"][:-1] < x["suffix"][1:]).all() for x in family.levels)
+    n = collections.Counter(x for r in runs for x in r["suffix"].tolist())
+    assert {x for f in found for x in f["suffix"].tolist()} == {k for k, v in n.items() if v > 1}
+    assert len({x for f in found for x in f["rid"].tolist()} ^ {r["rid"][i] for r in runs for i in range(len(r)) if n[r["suffix"][i]] > 1}) == 0
     assert len(family.close()) == len(n)
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    rng = random.Random(15)
+    data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(900)), np.uint8)
+    at = np.array(sorted(rng.sample(range(890), 400)))
+    n = collections.Counter(data[k : k + 8].tobytes() for k in at)
+    want = [n[data[k : k + 8].tobytes()] > 1 for k in at]
+    assert suffixes.equal_windows(data, at, 8).tolist() == want
+    real = suffixes._windows
+    monkeypatch.setattr(suffixes, "_windows", lambda d, k: real(d, k) % np.uint64(7))
+    assert suffixes.equal_windows(data, at, 8).tolist() == want
