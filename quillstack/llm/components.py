@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -34,10 +34,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
     for k in range(ROUNDS):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         large = with_least(both, "u", "v", "m").filter("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).filter("hi <> lo").distinct()
-        low = with_least(large, "hi", "lo", "m")
-        small = low.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").filter("hi <> lo").distinct()
-        edges = scratch.save(small, f"{name}{k}")
-        found = edges.agg(F.count("*"), F.sum(F.hash("hi", "lo").cast("long")), F.countDistinct("hi")).first()
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"))  # as many rows as the node has roots of neighbours, so few after the first round
+        small = large.join(low, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").filter("hi <> lo").distinct()
+        seen = Observation()
+        edges = scratch.save(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("hi", "lo").cast("long")).alias("one"), F.sum(F.hash("lo", "hi").cast("long")).alias("two")), f"{name}{k}")
+        found = seen.get
         if k:
             scratch.drop(f"{name}{k - 1}")
         if found == before:

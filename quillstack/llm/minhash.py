@@ -205,10 +205,15 @@ def _compare(words: int, least: float, differing: int):
     return run
 
 
+def _beside(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """An inner join to a stored table of one row a key, which is broadcast while it is small, so that hot keys stay where they are."""
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_IDS else table, key)
+
+
 def _block_pairs(rows: DataFrame, block: int, count: int) -> DataFrame:
     """Rows of groups (component) dealt out as units: pairs of blocks of a large group, or some small groups together."""
     sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / block).alias("n"))
-    placed = rows.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), "n")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    placed = _beside(rows, sizes, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), "n")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     unit = F.when(F.col("n") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(count // block + 1)).cast("string"))).otherwise(F.concat_ws("-", "component", low, high))
     return placed.select(unit.alias("unit"), *rows.columns, (F.col("own") == low).alias("as_left"), (F.col("own") == high).alias("as_right"))
@@ -251,29 +256,32 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     sketch = scratch.save(known.mapInArrow(_sketch(bands, rows, words), "doc_id long, f1 long, f2 long, keys array<long>, bits array<long>"), "sketch")
     first = scratch.save(sketch.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("f1 is not null"), "first")
     reps = sketch.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    # Texts that share a band, and those linked through others, are one candidate group; the least of a band leads it.
+    # The least text of a band leads it; every text is compared with its leaders, the followers of a leader by blocks.
     stars = with_least(reps.select("doc_id", F.explode("keys").alias("band")), "band", "doc_id", "lead").filter("doc_id <> lead").select("doc_id", "lead").distinct()
     stars = scratch.save(stars, "stars")
-    groups = components(stars.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")), scratch, "groups")
-    groups = scratch.save(groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "doc_id"), "members")
-    count = groups.count()
-    labels = spark.createDataFrame([], "node long, component long")
+    followers = scratch.save(stars.groupBy("lead").agg(F.ceil(F.count("*") / block).alias("n")), "followers")
+    labels, count = spark.createDataFrame([], "node long, component long"), stars.count()
     if count:
         differing = int(0.75 * bands * rows * (1 - similarity + MARGIN))
-        texts = _wanted(known, groups, count)
-        # Every text against the leaders of its bands, the followers of a leader by blocks.
-        followers = stars.groupBy("lead").agg(F.ceil(F.count("*") / block).alias("n"))
         few = F.concat(F.lit("s"), F.pmod(F.xxhash64("lead"), F.lit(count // block + 1)).cast("string"))
         units = lambda part: F.when(F.col("n") == 1, few).otherwise(F.concat_ws("-", "lead", part)).alias("unit")
-        own = stars.join(followers, "lead").select("doc_id", "lead", units(F.pmod(F.xxhash64("doc_id"), "n")), F.lit(False).alias("is_lead"))
+        own = _beside(stars, followers, "lead").select("doc_id", "lead", units(F.pmod(F.xxhash64("doc_id"), "n")), F.lit(False).alias("is_lead"))
         led = followers.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(F.col("lead").alias("doc_id"), "lead", units(F.col("k")), F.lit(True).alias("is_lead"))
-        verified = scratch.save(own.unionByName(led).join(texts, "doc_id").groupBy("unit").applyInArrow(_verify(words, similarity), "a long, b long"), "verified")
+        pairs = own.unionByName(led)
+        texts = _wanted(known, pairs.select("doc_id").distinct(), 2 * count)
+        verified = scratch.save(pairs.join(texts, "doc_id").groupBy("unit").applyInArrow(_verify(words, similarity), "a long, b long"), "verified")
         labels = components(verified, scratch, "verified-links")
-        # Groups that this leaves in several pieces: sketches tell which texts need comparing with those of another piece.
-        rooted = groups.join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("root")), "doc_id", "left").select("doc_id", "component", F.coalesce("root", "doc_id").alias("root"))
-        pieces = rooted.groupBy("component").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("component")
-        rest = scratch.save(rooted.join(pieces, "component", "left_semi").join(sketch.select("doc_id", "bits"), "doc_id"), "rest")
-        left = rest.count()
+        # Pieces that share bands without a link so far are one group; sketches tell which of its texts need comparing with those of another piece.
+        root = lambda name, to: labels.select(F.col("node").alias(name), F.col("component").alias(to))
+        apart = stars.join(root("doc_id", "ra"), "doc_id", "left").join(root("lead", "rb"), "lead", "left").select(F.coalesce("ra", "doc_id").alias("a"), F.coalesce("rb", "lead").alias("b")).filter("a <> b").distinct()
+        apart = scratch.save(apart, "apart")
+        left = 0
+        if not apart.isEmpty():
+            groups = components(apart, scratch, "groups")
+            groups = scratch.save(groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "root"), "open")
+            members = pairs.select("doc_id").distinct().join(root("doc_id", "root"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
+            rest = scratch.save(_beside(members, groups, "root").join(sketch.select("doc_id", "bits"), "doc_id"), "rest")
+            left = rest.count()
         if left:
             near = _block_pairs(rest, block, left).groupBy("unit").applyInArrow(_survivors(differing), "doc_id long").distinct()
             rest = scratch.save(rest.join(near, "doc_id", "left_semi"), "near")
@@ -281,7 +289,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         if left:
             dealt = _block_pairs(rest, block, left).join(_wanted(known, rest, left), "doc_id")
             edges = scratch.save(dealt.groupBy("unit").applyInArrow(_compare(words, similarity, differing), "a long, b long"), "edges")
-            labels = components(verified.unionByName(edges), scratch, "links")
+            if not edges.isEmpty():
+                labels = components(verified.unionByName(edges), scratch, "links")
         labels = scratch.save(labels, "labels")
     classes = first.join(labels, first.rep == labels.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("class_id"))
     out = sketch.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
