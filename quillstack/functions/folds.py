@@ -29,17 +29,22 @@ def sentences(text: Column) -> Column:
 
 
 def pack(parts: Column, most: int, joint: str, method: str) -> Column:
-    """Joins parts while they hold at most ``most`` tokens; a longer part stands alone. -> array of chunks."""
+    """Joins parts while they hold at most ``most`` tokens; a longer part stands alone. -> array of chunks.
+
+    Parts are counted once; a buffer without tokens is blank and gives no chunk.
+    """
     start = F.struct(none_yet().alias("done"), F.lit("").alias("cur"), F.lit(0).cast("long").alias("n"))
+    sized = F.transform(parts, lambda p: F.struct(p.alias("p"), token_count(p).alias("n")))
+
+    def flushed(acc: Column) -> Column:
+        return F.when(acc["n"] == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(chunk(strip(acc["cur"]), acc["n"], method))))
 
-    def step(acc: Column, p: Column) -> Column:
-        n = token_count(p)
-        fits = acc["n"] + n <= most
-        grown = F.when(acc["cur"] == "", p).otherwise(F.concat(acc["cur"], F.lit(joint), p))
-        done = F.when(fits | (strip(acc["cur"]) == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(chunk(strip(acc["cur"]), acc["n"], method))))
-        return F.struct(done.alias("done"), F.when(fits, grown).otherwise(p).alias("cur"), F.when(fits, acc["n"] + n).otherwise(n).alias("n"))
+    def step(acc: Column, s: Column) -> Column:
+        fits = acc["n"] + s["n"] <= most
+        grown = F.when(acc["cur"] == "", s["p"]).otherwise(F.concat(acc["cur"], F.lit(joint), s["p"]))
+        return F.when(fits, F.struct(acc["done"].alias("done"), grown.alias("cur"), (acc["n"] + s["n"]).alias("n"))).otherwise(F.struct(flushed(acc).alias("done"), s["p"].alias("cur"), s["n"].alias("n")))
 
-    return F.aggregate(parts, start, step, lambda acc: F.when(strip(acc["cur"]) == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(chunk(strip(acc["cur"]), acc["n"], method)))))
+    return F.aggregate(sized, start, step, flushed)
 
 
 def pack_sentences(text: Column, most: int, method: str = "sentence") -> Column:
@@ -49,10 +54,11 @@ def pack_sentences(text: Column, most: int, method: str = "sentence") -> Column:
 def recursive_split(text: Column, most: int) -> Column:
     """Paragraphs joined up to ``most`` tokens; a longer one is split by sentences and starts the buffer afresh."""
     paragraphs = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: p != "")
+    sized = F.transform(paragraphs, lambda p: F.struct(p.alias("p"), token_count(p).alias("n")))
     start = F.struct(none_yet().alias("done"), F.lit("").alias("cur"), F.lit(0).cast("long").alias("n"))
 
-    def step(acc: Column, p: Column) -> Column:
-        n = token_count(p)
+    def step(acc: Column, s: Column) -> Column:
+        p, n = s["p"], s["n"]
         fits, long = acc["n"] + n <= most, n > most
         flushed = F.when(acc["cur"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(chunk(acc["cur"], acc["n"], "paragraph"))))
         grown = F.when(acc["cur"] == "", p).otherwise(F.concat(acc["cur"], F.lit("\n\n"), p))
@@ -62,7 +68,7 @@ def recursive_split(text: Column, most: int) -> Column:
             F.when(fits, acc["n"] + n).when(long, 0).otherwise(n).cast("long").alias("n"),
         )
 
-    return F.aggregate(paragraphs, start, step, lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(chunk(acc["cur"], acc["n"], "paragraph")))))
+    return F.aggregate(sized, start, step, lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(chunk(acc["cur"], acc["n"], "paragraph")))))
 
 
 def with_overlap(chunks: Column, ratio: float) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import folds, vectors
+from ..functions import folds
 from ..functions import text as X
 
 #: Sizes in tokens: target, least, most, and the overlap's share.
@@ -80,30 +80,40 @@ def footnote_links(chunks: DataFrame, notes: DataFrame, *key: str, more_than: in
     return pairs.groupBy(*key, "chunk_id", "note_id").agg(F.count("*").alias("common")).filter(F.col("common") > more_than)
 
 
-def tfidf_vectors(parts: DataFrame, block: list[str], order: str, features: int = 1000, stop: list[str] | None = None) -> DataFrame:
-    """(block, order, text) -> (block, order, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), of unit length per part.
+def adjacent_similarity(parts: DataFrame, block: list[str], order: str, features: int | None = 1000, stop: list[str] | None = None) -> DataFrame:
+    """TF-IDF cosine of every part with the next one of its block: (block, order, similarity). Only neighbours are compared.
 
-    Terms are lower-cased runs of two or more word characters; the ``features`` most frequent of a block stay.
+    Terms are lower-cased runs of two or more word characters; the ``features`` most frequent of a block stay (all
+    if None). A term's weight is tf * (ln((1 + n) / (1 + df)) + 1) for n parts. As that is tf * (a - b) with a
+    of the block and b of the term, sums of tf products with 1, b and b * b do, and n joins them at the end. So
+    tokens are shuffled once by term, and sums by part.
     """
-    tokens = parts.select(*block, order, F.explode(X.all_matches(F.lower("text"), r"\b\w\w+\b")).alias("term"))
+    tokens = parts.select(*block, order, F.explode(X.all_matches(F.lower("text"), r"\b\w\w+\b")).alias("_t"))
     if stop:
-        tokens = tokens.filter(~F.col("term").isin(stop))
-    tf = tokens.groupBy(*block, order, "term").agg(F.count("*").alias("tf"))
-    of_block = Window.partitionBy(*block, "term")
-    tf = tf.withColumns({"df": F.count("*").over(of_block), "all": F.sum("tf").over(of_block)})
-    tf = tf.withColumn("rank", F.dense_rank().over(Window.partitionBy(*block).orderBy(F.desc("all"), "term"))).filter(F.col("rank") <= features)
-    n = parts.groupBy(*block).agg(F.count("*").alias("n"))
-    raw = tf.join(n, block).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*block, order)))).select(*block, order, "term", "weight")
-
-
-def adjacent_similarity(parts: DataFrame, block: list[str], order: str, **options) -> DataFrame:
-    """Cosine of every part with the next one of its block: (block, order, similarity). Only neighbours are compared."""
-    v = tfidf_vectors(parts, block, order, **options)
-    nxt = v.withColumn(order, F.col(order) - 1).withColumnRenamed("weight", "next_weight")
-    sums = v.join(nxt, [*block, order, "term"]).groupBy(*block, order).agg(F.sum(F.col("weight") * F.col("next_weight")).alias("similarity"))
-    last = parts.groupBy(*block).agg(F.max(order).alias("_last"))
-    return parts.select(*block, order).join(last, block).filter(F.col(order) < F.col("_last")).join(sums, [*block, order], "left").select(*block, order, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+        tokens = tokens.filter(~F.col("_t").isin(stop))
+    tf = tokens.repartition(*block, "_t").groupBy(*block, "_t", order).agg(F.count("*").alias("tf"))
+    terms = tf.groupBy(*block, "_t").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "tf"))).alias("p"))
+    if features is not None:
+        total = F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["tf"])
+        rank = F.row_number().over(Window.partitionBy(*block).orderBy(F.desc("_all"), "_t"))
+        terms = terms.withColumn("_all", total).withColumn("_r", rank).filter(F.col("_r") <= features)
+
+    def sums(x: Column, i: Column) -> Column:
+        after = F.get(F.col("p"), i + 1)
+        follows = F.when(after["o"] == x["o"] + 1, x["tf"] * after["tf"]).otherwise(0)
+        return F.struct(x["o"].alias("o"), (x["tf"] * x["tf"]).cast("double").alias("s"), follows.cast("double").alias("d"))
+
+    b = F.log(1.0 + F.size("p"))
+    rows = terms.select(*block, b.alias("b"), F.explode(F.transform("p", sums)).alias("x")).select(*block, F.col("x.o").alias(order), *[(F.col(f"x.{c}") * w).alias(f"{c}{k}") for c in "sd" for k, w in enumerate((F.lit(1.0), F.col("b"), F.col("b") * F.col("b")))])
+    names = [f"{c}{k}" for c in "sd" for k in range(3)]
+    rows = rows.unionByName(parts.select(*block, order, *[F.lit(0.0).alias(n) for n in names]))
+    of_block = Window.partitionBy(*block)
+    a = F.log(1.0 + F.col("n")) + 1
+    whole = lambda c: a * a * F.col(f"{c}0") - 2 * a * F.col(f"{c}1") + F.col(f"{c}2")
+    per = rows.groupBy(*block, order).agg(*[F.sum(n).alias(n) for n in names]).withColumn("n", F.count("*").over(of_block)).select(*block, order, whole("s").alias("s"), whole("d").alias("d"))
+    after = F.lead("s").over(of_block.orderBy(order))
+    cosine = F.coalesce(F.col("d") / F.nullif(F.sqrt(F.col("s") * F.col("after")), F.lit(0.0)), F.lit(0.0))
+    return per.withColumn("after", after).filter("after is not null").select(*block, order, cosine.alias("similarity"))
 
 
 def semantic_merge(parts: DataFrame, block: list[str], order: str, threshold: float = 0.88, target: int = JUDGMENT[0], **options) -> DataFrame:
@@ -125,7 +135,3 @@ def semantic_merge(parts: DataFrame, block: list[str], order: str, threshold: fl
 
 def merge_small(df: DataFrame, chunks: Column, *keep: str, sizes: tuple = JUDGMENT) -> DataFrame:
     return exploded(df, folds.merge_small(chunks, sizes[1], sizes[0], sizes[2]), *keep)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return vectors.cosine(a, b)

@@ -38,13 +38,16 @@ def structural_blocks(docs: DataFrame, **patterns) -> DataFrame:
     return docs.select("doc_id", F.posexplode(blocks(F.col("text"), **patterns)).alias("block_ord", "b")).select("doc_id", "block_ord", "b.*")
 
 
-def _running(lines: Column, patterns: list[str], word: str, i: Column) -> Column:
-    """Label of the last line up to i that matches; '' if none does. The last pattern that matches a line wins."""
-    hit = F.filter(F.slice(lines, 1, i + 1), lambda x: X.matches(x, patterns, True))
-    line = F.try_element_at(hit, F.lit(-1))
+def _marked(lines: Column, patterns: list[str], word: str) -> Column:
+    """array<struct(at, label)> of the lines that match, in order. The last pattern that matches a line wins."""
+    at = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: (i < F.size(lines)) & X.matches(F.get(lines, i), patterns, True))
+    return F.transform(at, lambda i: F.struct(i.alias("at"), X.let(F.get(lines, i), lambda line: _label(line, patterns, word)).alias("label")))
+
+
+def _label(line: Column, patterns: list[str], word: str) -> Column:
     number = F.coalesce(*[F.nullif(F.regexp_extract(line, X.rx(p, True), 1), F.lit("")) for p in reversed(patterns)], F.lit(""))
     title = X.strip(F.coalesce(*[F.nullif(F.regexp_extract(line, X.rx(p, True), 2), F.lit("")) for p in reversed(patterns)], F.lit("")))
-    return F.when(line.isNull(), "").when(title == "", F.concat(F.lit(word + " "), number)).otherwise(F.concat(F.lit(word + " "), number, F.lit(": "), title))
+    return F.when(title == "", F.concat(F.lit(word + " "), number)).otherwise(F.concat(F.lit(word + " "), number, F.lit(": "), title))
 
 
 def articles(text: Column, compat: bool = True) -> Column:
@@ -56,13 +59,19 @@ def articles(text: Column, compat: bool = True) -> Column:
     return X.let(F.filter(F.transform(F.split(text, "\n"), X.strip), lambda x: x != ""), lambda lines: _articles(lines, compat))
 
 
+def _running(marked: Column, i: Column) -> Column:
+    """Label of the last marked line up to i; '' if there is none."""
+    return F.coalesce(F.try_element_at(F.filter(marked, lambda m: m["at"] <= i), F.lit(-1))["label"], F.lit(""))
+
+
 def _articles(lines: Column, compat: bool) -> Column:
     n = F.size(lines)
     is_article = lambda x: X.matches(x, T.ARTICLES, True)
     is_paragraph = lambda x: X.matches(x, T.ARTICLE_PARAGRAPHS)
     found = F.filter(F.sequence(F.lit(0), n), lambda i: (i < n) & is_article(F.get(lines, i)))
 
-    def article(starts: Column, start: Column, k: Column) -> Column:
+    def article(heads: Column, start: Column, k: Column) -> Column:
+        starts = heads["starts"]
         end = F.coalesce(F.get(starts, k + 1), n)
         head, own = F.get(lines, start), F.slice(lines, start + 2, end - start - 1)
         number, title = X.first_match(head, T.ARTICLES, group=1), X.strip(X.first_match(head, T.ARTICLES, group=2))
@@ -72,13 +81,14 @@ def _articles(lines: Column, compat: bool) -> Column:
             F.array_join(F.concat(F.array(head, head) if compat else F.array(head), plain), "\n").alias("text"),
             number.alias("article_num"),
             title.alias("article_title"),
-            _running(lines, T.PARTS, "Part", start).alias("part"),
-            _running(lines, T.SECTIONS, "Section", start).alias("section"),
+            _running(heads["parts"], start).alias("part"),
+            _running(heads["sections"], start).alias("section"),
             article_type(number, title, compat).alias("article_type"),
             paragraphs.alias("paragraphs"),
         )
 
-    return X.let(found, lambda starts: F.transform(starts, lambda s, k: article(starts, s, k)))
+    heads = F.struct(found.alias("starts"), _marked(lines, T.PARTS, "Part").alias("parts"), _marked(lines, T.SECTIONS, "Section").alias("sections"))
+    return X.let(heads, lambda h: F.transform(h["starts"], lambda s, k: article(h, s, k)))
 
 
 def article_type(number: Column, title: Column, compat: bool = True) -> Column:

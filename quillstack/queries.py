@@ -356,8 +356,8 @@ _SLICES = f"SELECT doc_id, unnest(range(0, len(ws), 50)) // 50 AS o, unnest(list
 @query(f"""WITH s AS ({_SLICES}), l AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY o) AS p, floor(len(w) * 0.18)::INT AS n FROM s)
 SELECT doc_id, o::INT AS chunk_ord, CASE WHEN p IS NOT NULL AND n > 0 AND len(p) >= n THEN array_to_string(list_slice(p, len(p) - n + 1, len(p)), ' ') || ' ' ELSE '' END || array_to_string(w, ' ') AS text FROM l""")
 def chunk_overlap(spark, sf):
-    w = X.words(F.col("text"))
-    parts = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(50)), lambda i: i < F.size(w)), lambda i: F.slice(w, i + 1, 50))
+    slices = lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(50)), lambda i: i < F.size(w)), lambda i: F.slice(w, i + 1, 50))
+    parts = X.let(X.words(F.col("text")), slices)
     chunks = F.transform(parts, lambda p: folds.chunk(F.array_join(p, " "), F.size(p), "slice"))
     return chunking.exploded(table(spark, sf, "documents"), folds.with_overlap(chunks, 0.18), "doc_id").select("doc_id", "chunk_ord", "text")
 
@@ -396,7 +396,7 @@ SELECT l.doc_id, l.o::INT AS line_ord, round(coalesce(sum(a.w * b.w), 0), 6) AS
 def tfidf_adjacent_similarity(spark, sf):
     """Lines of documents as parts."""
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ord", "text"))
-    return chunking.adjacent_similarity(lines, ["doc_id"], "line_ord", features=1_000_000).select("doc_id", "line_ord", F.round("similarity", 6).alias("similarity"))
+    return chunking.adjacent_similarity(lines, ["doc_id"], "line_ord", features=None).select("doc_id", "line_ord", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, unnest(range(len(ws))) AS o, unnest(ws) AS t FROM (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents)),
@@ -695,7 +695,7 @@ def request_validation(spark, sf):
     return answers.validated(q).select("question_id", F.col("_error").isNotNull().alias("refused"))
 
 
-@query("""WITH c AS (SELECT doc_id, length(text) AS n, text FROM documents)
+@query(r"""WITH c AS (SELECT doc_id, length(text) AS n, text FROM documents)
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, 'the', ''), '\n\s*\n', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, regexp_replace(text, 'the', 'the', 'gi') AS text FROM c)""")
 def remove_headers(spark, sf):
     """The word of a running head deleted everywhere in any case, white space tidied."""
