@@ -51,17 +51,11 @@ def all_matches(c: Column, pattern: str, group: int = 0, any_case: bool = False,
 
 def hits(c: Column, terms: list[str]) -> Column:
     """How many of the terms are substrings (repeated terms count again)."""
-    out = F.lit(0)
-    for t in terms:
-        out = out + c.contains(t).cast("int")
-    return out
+    return let(c, lambda v: F.size(F.filter(F.lit(list(terms)), lambda t: v.contains(t))))
 
 
 def any_hit(c: Column, terms: list[str]) -> Column:
-    out = F.lit(False)
-    for t in terms:
-        out = out | c.contains(t)
-    return out
+    return let(c, lambda v: F.exists(F.lit(list(terms)), lambda t: v.contains(t)))
 
 
 def page_range(pages: Column) -> Column:

@@ -18,21 +18,24 @@ def _result(label: Column | str, confidence: Column | float, evidence: Column |
 
 def by_patterns(text: Column, *dictionaries: dict[str, list[str]]) -> Column:
     """The first pattern in dictionary order that is found, at the start of any line and in any case; null if none is."""
-    found = [F.when(text.rlike(X.rx(p, True, lines=True)), _result(label, 0.9, F.array(F.lit(f"Pattern match: {p}")))) for d in dictionaries for label, patterns in d.items() for p in patterns]
-    return F.coalesce(*found)
+    every = [(label, p) for d in dictionaries for label, patterns in d.items() for p in patterns]
+    which = F.coalesce(*[F.when(text.rlike(X.rx(p, True, lines=True)), k) for k, (_, p) in enumerate(every)])
+    of = lambda values: lambda k: F.get(F.lit(values), k)
+    label, evidence = of([label for label, _ in every]), of([f"Pattern match: {p}" for _, p in every])
+    return X.let(which, lambda k: F.when(k.isNotNull(), _result(label(k), 0.9, F.array(evidence(k)))))
 
 
 def keyword_scores(text: Column, *dictionaries: dict[str, list[str]]) -> Column:
     """array<struct(score, rank, label)>; rank is minus the dictionary order, so the largest struct is the first best label."""
-    lower = F.lower(text)
     labels = [(label, words) for d in dictionaries for label, words in d.items()]
-    return F.array(*[F.struct(X.hits(lower, words).alias("score"), F.lit(-k).alias("rank"), F.lit(label).alias("label")) for k, (label, words) in enumerate(labels)])
+    one = lambda lower, k, label, words: F.struct(X.hits(lower, words).alias("score"), F.lit(-k).alias("rank"), F.lit(label).alias("label"))
+    return X.let(F.lower(text), lambda lower: F.array(*[one(lower, k, *x) for k, x in enumerate(labels)]))
 
 
 def by_keywords(text: Column, *dictionaries: dict[str, list[str]]) -> Column:
     """The first label with the most keywords; confidence min(0.8, n / 3)."""
-    best = F.array_max(keyword_scores(text, *dictionaries))
-    return F.when(best["score"] > 0, _result(best["label"], F.least(F.lit(0.8), best["score"] / 3.0), F.array(F.concat(F.lit("Keyword matches: "), best["score"].cast("string")))))
+    found = lambda best: F.when(best["score"] > 0, _result(best["label"], F.least(F.lit(0.8), best["score"] / 3.0), F.array(F.concat(F.lit("Keyword matches: "), best["score"].cast("string")))))
+    return X.let(F.array_max(keyword_scores(text, *dictionaries)), found)
 
 
 def by_context(previous: Column, rules: dict[str, list[str]]) -> Column:
@@ -54,7 +57,7 @@ def classify(text: Column, family: str = "judgment", previous: Column | None = N
     first = by_patterns(text, *(patterns if patterns is not None else [own_patterns, T.SHARED_PATTERNS]))
     second = by_keywords(text, *(keywords if keywords is not None else [own_keywords, T.SHARED_KEYWORDS]))
     third = [F.when(previous.isNotNull(), by_context(previous, T.CONTEXT_RULES[family]))] if previous is not None else []
-    return F.coalesce(first, F.when(second["confidence"] > 0.6, second), *third, generic(text))
+    return F.coalesce(first, X.let(second, lambda s: F.when(s["confidence"] > 0.6, s)), *third, generic(text))
 
 
 def classify_sections(df: DataFrame, family: str = "judgment", **dictionaries) -> DataFrame:

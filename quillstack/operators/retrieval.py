@@ -17,9 +17,10 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: Column | int, by: str = "que
     """Exact cosine top-k: (by, qvec[, k]) against (id_col, embedding, ...) -> by, corpus columns, score, rank.
 
     The stated queries are broadcast after a check of their number and the corpus is read once, in place; every task keeps its
-    own k best per query before the shuffle (window group limit). ``same`` names a column in which both must agree.
+    own best per query before the shuffle: the window group limit needs a constant, so a column k is applied after its
+    largest value. Wide corpus columns should be joined to what is found. ``same`` names a column in which both must agree.
     """
-    n = queries.count()
+    n, most = queries.agg(F.count("*"), F.lit(k) if isinstance(k, int) else F.max(k)).first()
     if n > BROADCAST_QUERIES:
         parts = -(-n // BROADCAST_QUERIES)
         block = F.pmod(F.xxhash64(by), F.lit(2 * parts))
@@ -40,7 +41,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: Column | int, by: str = "que
     cosine = vectors.dot(F.col("embedding"), F.col("qvec")) / F.nullif(F.col("_ne") * F.col("_nq"), F.lit(0.0))
     scored = pairs.withColumn("score", cosine).filter(F.col("score").isNotNull()).drop("embedding", "qvec", "_ne", "_nq")
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), F.col(id_col)))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= (F.lit(k) if isinstance(k, int) else k))
+    found = scored.withColumn("rank", rank).filter(F.col("rank") <= int(most or 0))
+    return found if isinstance(k, int) else found.filter(F.col("rank") <= k)
 
 
 def first_of_prefix(results: DataFrame, by: list[str], *order: str, length: int = 100) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import answers, questions, ranking, retrieval
+from ..sources.scratch import saved
 
 #: Turns a text column into an embedding column of the same space as the indexes.
 Embedder = Callable[[Column], Column]
@@ -30,28 +31,33 @@ def hashed_embedder(size: int = 64) -> Embedder:
 def hybrid(queries: DataFrame, index: DataFrame, kind: str, embed: Embedder, top_k: int) -> DataFrame:
     """(question_id, query) against (row_id, content, summary, document_name, page_number, section, embedding) -> ranked results.
 
-    All variants of all questions are searched in one pass over the index.
+    All variants of all questions are searched in one pass over the index, whose row_ids are distinct. Only ids and
+    scores are shuffled; the contents of the few rows found are read again.
     """
     rows = queries.select("question_id", "query", F.explode(questions.variants(F.col("query"), top_k, kind)).alias("v"))
     rows = rows.select("question_id", "query", "v.variant_ord", F.col("v.query").alias("asked"), "v.k").filter("k > 0")
     rows = rows.withColumn("variant_id", F.concat_ws("-", "question_id", "variant_ord")).withColumn("qvec", embed(F.col("asked")))
-    found = retrieval.top_k(rows, index, F.col("k"), "variant_id", "row_id")
+    rows = saved(rows, "variants")
+    best = retrieval.top_k(rows.select("variant_id", "qvec", "k"), index.select("row_id", "embedding"), F.col("k"), "variant_id", "row_id")
+    best = saved(best.drop("k").join(F.broadcast(rows.drop("qvec")), "variant_id"), "found")
+    # As many rows as queries times k at most, and queries are counted before they are broadcast.
+    found = index.drop("embedding").join(F.broadcast(best), "row_id")
     found = found.withColumn("article", retrieval.article_references(F.col("content"))).withColumn("source_type", F.lit(kind))
     unique = retrieval.first_of_prefix(found, ["question_id"], "variant_ord", "rank").withColumn("found_ord", F.col("variant_ord") * 1000 + F.col("rank"))
     ranked = retrieval.above(ranking.rerank(unique))
     capped = retrieval.source_cap(ranked, ["question_id"], ["document_name", "source_type"], "found_ord")
-    return retrieval.first_k(retrieval.first_k(capped, ["question_id"], 15, "found_ord").drop("rank"), ["question_id"], top_k, "found_ord")
+    return saved(retrieval.first_k(retrieval.first_k(capped, ["question_id"], 15, "found_ord").drop("rank"), ["question_id"], top_k, "found_ord"), "ranked")
 
 
 def retrieve(asked: DataFrame, judgments: DataFrame, treaties: DataFrame, embed: Embedder | None = None, top_k: int = 10) -> DataFrame:
     """(question_id, question) -> question_id, strategy and the top_k fused results.
 
     What the first hop finds gives concepts that the second hop's query carries: geneva_first asks the treaties first,
-    judgment_first the judgments, parallel both with the expanded question. Every strategy is one branch of
-    the same plan, so a batch of mixed questions runs in one job.
+    judgment_first the judgments, parallel both with the expanded question. Every strategy is one branch, so a
+    batch of mixed questions takes two passes over each index. Steps are saved, which keeps the plans small.
     """
     embed = embed or hashed_embedder()
-    routes = questions.route(asked).withColumn("query", questions.expand(F.col("question")))
+    routes = saved(questions.route(asked).withColumn("query", questions.expand(F.col("question"))), "routes")
     of = lambda s: routes.filter(F.col("strategy") == s).select("question_id", "query")
 
     def hop_two(first: DataFrame, queries: DataFrame) -> DataFrame:

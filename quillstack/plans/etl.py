@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import folds
-from ..functions import text as X
 from ..operators import chunking, classify, layout, structure
 from ..sources import files as S
+from ..sources.scratch import saved
 
 
 def _literals(words: DataFrame, share: float) -> DataFrame:
@@ -31,21 +31,22 @@ def judgment_chunks(files: DataFrame, sizes: tuple = chunking.JUDGMENT, similar:
     """(filename, text, words, _error) -> the 17 columns of judgment chunks.
 
     Blocks are split, overlapped, merged where alike and packed; everything but the similarity of neighbours and
-    the numbering happens inside the row of a document.
+    the numbering happens inside the row of a document. Tables that several steps read are saved once.
     """
     target, least, most, ratio = sizes
-    docs = cleaned(_with_ids(files, F.replace("filename", F.lit(".pdf"))), 5).withColumn("meta", layout.judgment_metadata(F.col("clean"), F.col("filename")))
+    docs = saved(cleaned(_with_ids(files, F.replace("filename", F.lit(".pdf"))), 5).withColumn("meta", layout.judgment_metadata(F.col("clean"), F.col("filename"))), "docs")
     block = F.explode(F.transform(structure.blocks(F.col("clean")), lambda b, i: F.struct(i.alias("block_ord"), b["text"].alias("block"), b["type"].alias("type"), b["section_id"].alias("section_id"))))
-    blocks = docs.select("doc_id", block.alias("b")).select("doc_id", "b.*").withColumn("c", classify.classify(F.col("block"), "judgment"))
-    parts = chunking.exploded(blocks, folds.with_overlap(folds.recursive_split(F.col("block"), target), ratio), "doc_id", "block_ord")
+    blocks = docs.select("doc_id", block.alias("b")).select("doc_id", "b.*")
+    blocks = saved(blocks.withColumn("c", classify.classify(F.col("block"), "judgment")), "blocks")
+    parts = saved(chunking.exploded(blocks, folds.with_overlap(folds.recursive_split(F.col("block"), target), ratio), "doc_id", "block_ord"), "parts")
     alike = chunking.semantic_merge(parts, ["doc_id", "block_ord"], "chunk_ord", similar, target, stop=stop)
     one = F.struct("text", "tokens", "split_method")
     packed = alike.groupBy("doc_id", "block_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("chunk_ord"), one.alias("c")))), lambda s: s["c"]).alias("cs"))
     chunks = chunking.exploded(packed, folds.merge_small(F.col("cs"), least, target, most), "doc_id", "block_ord")
-    numbered = chunking.chunk_ids(chunks.join(blocks.drop("block"), ["doc_id", "block_ord"]), "doc_id", "block_ord", "chunk_ord")
+    numbered = saved(chunking.chunk_ids(chunks.join(blocks.drop("block"), ["doc_id", "block_ord"]), "doc_id", "block_ord", "chunk_ord"), "chunks")
     paged = chunking.chunk_pages(numbered, S.words_of(docs), docs.select("doc_id", F.col("clean").alias("text")))
-    notes = layout.footnotes(S.words_of(docs)).select("doc_id", F.concat_ws("-", "page_num", "note").alias("note_id"), "text")
-    links = chunking.footnote_links(paged.select("doc_id", "chunk_id", "text"), notes, "doc_id").join(notes.select("doc_id", "note_id", F.col("text").alias("note")), ["doc_id", "note_id"])
+    notes = saved(layout.footnotes(S.words_of(docs)).select("doc_id", F.concat_ws("-", "page_num", "note").alias("note_id"), "text"), "notes")
+    links = chunking.footnote_links(numbered.select("doc_id", "chunk_id", "text"), notes, "doc_id").join(notes.select("doc_id", "note_id", F.col("text").alias("note")), ["doc_id", "note_id"])
     noted = paged.join(links.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list("note")).alias("footnotes")), ["doc_id", "chunk_id"], "left")
     full = noted.join(docs.select("doc_id", "meta.case_number", "meta.date", "meta.judges"), "doc_id")
     return full.select(
@@ -58,8 +59,9 @@ def judgment_chunks(files: DataFrame, sizes: tuple = chunking.JUDGMENT, similar:
 def treaty_chunks(files: DataFrame, sizes: tuple = chunking.TREATY, compat: bool = True) -> DataFrame:
     """(filename, text, words, _error) -> the 18 columns of treaty chunks."""
     target, least, most, ratio = sizes
-    docs = cleaned(_with_ids(files, F.col("filename")), 7).withColumn("meta", layout.treaty_metadata(F.col("clean"), F.col("filename"), compat))
-    rows = docs.select("doc_id", "meta", F.posexplode(structure.articles(F.col("clean"), compat)).alias("article_ord", "a")).withColumn("c", classify.classify(F.col("a.text"), "treaty"))
+    docs = saved(cleaned(_with_ids(files, F.col("filename")), 7).withColumn("meta", layout.treaty_metadata(F.col("clean"), F.col("filename"), compat)), "docs")
+    rows = docs.select("doc_id", "meta", F.posexplode(structure.articles(F.col("clean"), compat)).alias("article_ord", "a"))
+    rows = saved(rows.withColumn("c", classify.classify(F.col("a.text"), "treaty")), "articles")
     merged = folds.merge_small(chunking.article_chunks(F.col("a"), target), least, target, most)
     chunks = chunking.exploded(rows, folds.with_overlap(merged, ratio), "doc_id", "meta", "article_ord", "a", "c")
     numbered = chunking.chunk_ids(chunks.withColumn("doc_name", F.col("meta.doc_name")), "doc_name", "doc_id", "article_ord", "chunk_ord")
@@ -69,11 +71,3 @@ def treaty_chunks(files: DataFrame, sizes: tuple = chunking.TREATY, compat: bool
         F.array(F.lit(1).cast("long"), F.lit(1).cast("long")).alias("pages"), "meta.date", "meta.source", "a.article_type", "c.section_type", F.col("c.confidence").alias("section_hierarchy"),
         F.col("c.confidence").alias("classification_confidence"), F.col("c.evidence").alias("classification_evidence"), "tokens", "split_method",
     )
-
-
-def run_stats(chunks: DataFrame, key: str) -> DataFrame:
-    return chunking.chunk_stats(chunks, key)
-
-
-def token_total(text: Column) -> Column:
-    return X.token_count(text)
