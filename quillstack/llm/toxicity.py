@@ -83,7 +83,9 @@ class Lexicon:
             weight = self.weight(word)
             if weight:
                 found.append((_INSULT, weight))
-            self._written[word] = tuple(found) or ((0, 0.0),)
+            if len(self._written) >= KNOWN_WORDS:
+                self._written.clear()
+            self._written[word] = tuple(found) or _OTHER
         return self._written[word]
 
     def heads(self) -> np.ndarray:
@@ -95,7 +97,9 @@ class Lexicon:
         return table
 
 
-_INSULT = CLASSES.index("insult")
+#: Words whose classes a worker remembers at most.
+KNOWN_WORDS = 50_000
+_INSULT, _OTHER = CLASSES.index("insult"), ((0, 0.0),)
 _CLASS_OF: dict[str, tuple[int, ...]] = {w: (CLASSES.index(k),) for k, ws in WORDS.items() for w in ws.split()} | {w: tuple(CLASSES.index(k) for k in ks) for w, ks in CONTRACTED.items()}
 _HARM = frozenset((WORDS["threat"] + " " + WORDS["done"]).split())
 
