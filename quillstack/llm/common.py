@@ -197,5 +197,5 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     The ids are broadcast while they are few enough, so that the texts are not shuffled; beyond
     that it is a shuffled anti join.
     """
-    ids = ids.select("doc_id").distinct()
+    ids = Scratch(docs.sparkSession, "ids").save(ids.select("doc_id").distinct(), "ids")  # what finds them runs once
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)

@@ -51,13 +51,19 @@ def visits(x: np.ndarray, centres: np.ndarray, cosine: float) -> tuple[np.ndarra
 
 def _vector(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Little-endian doubles of every list, and which lists can be compared."""
-    out, ok = [], []
-    for v in column.to_pylist():
-        a = np.array([np.nan if c is None else c for c in v], "<f8") if v is not None else np.zeros(0)
-        norm = np.linalg.norm(a) if len(a) and np.isfinite(a).all() else 0.0
-        ok.append(bool(norm > 0 and np.isfinite(norm)))
-        out.append((a / norm).tobytes() if ok[-1] else b"")
-    return np.array(out, object), np.array(ok, bool)
+    values, n = column.flatten(), len(column)
+    flat = np.ascontiguousarray(values.fill_null(np.nan).to_numpy(zero_copy_only=False), "<f8") if len(values) else np.zeros(0)
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    row = np.repeat(np.arange(n), sizes)
+    # By the largest component first, so that no square leaves the range of doubles.
+    top = np.zeros(n)
+    np.maximum.at(top, row, np.where(np.isfinite(flat), np.abs(flat), np.inf))
+    ok = (top > 0) & np.isfinite(top)
+    scaled = np.divide(flat, top[row], out=np.zeros_like(flat), where=ok[row])
+    norm = np.sqrt(np.bincount(row, scaled * scaled, n))
+    unit = np.divide(scaled, norm[row], out=np.zeros_like(flat), where=ok[row])
+    return np.array([unit[e - k : e].tobytes() for e, k in zip(ends, sizes, strict=True)] + [b""], object)[:-1], ok
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +149,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, b
     and gives a local root for each linked row, and the components of those are the groups.
 
     Null labels, and null, zero, empty or not finite vectors link with nothing and are kept. Of
-    repeated rows of one vec_id the first by order counts. A null vec_id comes back unlinked with a null
+    repeated rows of one vec_id that with the least hash of label and direction counts. A null vec_id comes back unlinked with a null
     component, kept. Vectors of different lengths never link. Other columns are ignored.
     """
     spark = vectors.sparkSession

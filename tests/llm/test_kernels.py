@@ -326,6 +326,15 @@ def test_quality(spark):
     assert quality.gumbel_top_k(quality.importance(docs.limit(0), labels)).count() == 0
 
 
+def test_unit_vectors_of_any_size():
+    got, ok = vectors._vector(pa.array([[1e200, 1e200], [1e-200, 1e-200], [3.0, 4.0], [5e-324], [0.0], [], None, [1.0, None], [float("inf")], [1.0, float("nan")]], pa.list_(pa.float64())))
+    assert ok.tolist() == [True] * 4 + [False] * 6
+    half = np.sqrt(0.5)
+    assert [np.allclose(np.frombuffer(g, "<f8"), w) for g, w in zip(got[:4], ([half, half], [half, half], [0.6, 0.8], [1.0]), strict=True)] == [True] * 4
+    sliced, _ = vectors._vector(pa.array([[9.0], [3.0, 4.0]], pa.list_(pa.float64())).slice(1))
+    assert np.allclose(np.frombuffer(sliced[0], "<f8"), [0.6, 0.8])
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(40, 16))
