@@ -220,10 +220,18 @@ def decompose_questions(spark, sf):
     return _questions(spark).select("question_id", F.posexplode(questions.decompose(F.col("question"))).alias("sub_ord", "sub_query"))
 
 
-@query()
+_V = lambda text, k: f"[{{'query': {text}, 'k': {k}}}]"
+_IF = lambda condition, text, k: f"CASE WHEN {condition} THEN {_V(text, k)} ELSE [] END"
+
+
+@query(f"""WITH e AS ({ORACLE_SQL["expand_questions"]}), d AS ({ORACLE_SQL["decompose_questions"]}), s AS (SELECT question_id, list({{'query': sub_query, 'k': 5}} ORDER BY sub_ord) AS subs FROM d WHERE sub_ord > 0 GROUP BY question_id),
+q AS (SELECT question_id, question, lower(question) AS lo, expanded, coalesce(subs, []) AS subs FROM ({_QUESTIONS}) JOIN e USING (question_id) LEFT JOIN s USING (question_id)),
+v AS (SELECT question_id, 'judgment' AS kind, list_concat({_V("question", 10)}, subs, {_IF("expanded <> question", "expanded", 5)}, {_IF(_any("lo", ["article", "convention", "protocol"]), "'legal framework ' || question", 3)}, {_IF(_any("lo", ["case", "judgment", "chamber", "trial", "appeals"]), "'case law application ' || question", 3)}) AS vs FROM q
+ UNION ALL SELECT question_id, 'geneva', list_concat({_V("question", 10)}, {_IF("expanded <> question", "expanded", 5)}, {_IF(_any("lo", ["article"]), "'article provisions ' || question", 3)}, {_IF(_any("lo", ["convention", "protocol", "geneva"]), "'convention text ' || question", 3)}) FROM q),
+u AS (SELECT question_id, kind, unnest(range(len(vs)))::INT AS variant_ord, unnest(vs) AS v FROM v) SELECT question_id, kind, variant_ord, v.query AS query, v.k::INT AS k FROM u""")
 def search_variants(spark, sf):
-    q = _questions(spark).select("question_id", F.explode(F.concat(questions.variants(F.col("question"), 10, "judgment"), questions.variants(F.col("question"), 10, "geneva"))).alias("v"))
-    return q.select("question_id", "v.*")
+    of = lambda kind: _questions(spark).select("question_id", F.lit(kind).alias("kind"), F.explode(questions.variants(F.col("question"), 10, kind)).alias("v"))
+    return of("judgment").unionByName(of("geneva")).select("question_id", "kind", "v.*")
 
 
 # Classification.
@@ -328,9 +336,23 @@ def chunk_greedy_sentences(spark, sf):
     return chunking.exploded(table(spark, sf, "documents"), folds.pack_sentences(F.col("text"), 60), "doc_id").drop("split_method")
 
 
-@query()
+# Paragraphs (here lines) packed to 120 words; a longer one comes as sentences packed for themselves, between flushes.
+_UNITS = f"""SELECT doc_id, po, p, {_LEN('p')} AS n FROM (SELECT doc_id, unnest(range(len(ps))) AS po, unnest(ps) AS p FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS ps FROM documents))"""
+_JOIN = "{{'done': []::STRUCT(t VARCHAR, n BIGINT, m VARCHAR)[], 'cur': {0}, 'n': {1}, 'long': {2}, 'own': {3}}}"
+_FLUSH = "CASE WHEN a.cur = '' THEN a.done ELSE list_append(a.done, {'t': a.cur, 'n': a.n, 'm': 'paragraph'}) END"
+
+
+@query(f"""WITH u AS ({_UNITS}), l AS (SELECT doc_id, po, {_fold(_SENT.replace('text', 'p'), 120, "' '")} AS r FROM u WHERE n > 120),
+s AS (SELECT doc_id, po, list_transform(list_filter(list_transform(list_append(r.done, r.cur), lambda x: {STRIP.format('x')}), lambda x: x <> ''), lambda x: {{'t': x, 'n': {_LEN('x')}, 'm': 'sentence'}}) AS own FROM l),
+i AS (SELECT u.doc_id, list_prepend({_JOIN.format("''", "0::BIGINT", "false", "[]::STRUCT(t VARCHAR, n BIGINT, m VARCHAR)[]")}, list({_JOIN.format("u.p", "u.n", "u.n > 120", "coalesce(s.own, [])")} ORDER BY u.po)) AS li FROM u LEFT JOIN s USING (doc_id, po) GROUP BY u.doc_id),
+f AS (SELECT doc_id, list_reduce(li, lambda a, b: CASE WHEN a.n + b.n <= 120 THEN {{'done': a.done, 'cur': CASE WHEN a.cur = '' THEN b.cur ELSE a.cur || chr(10) || chr(10) || b.cur END, 'n': a.n + b.n, 'long': false, 'own': b.own}}
+  WHEN b.long THEN {{'done': list_concat({_FLUSH}, b.own), 'cur': '', 'n': 0::BIGINT, 'long': false, 'own': b.own}} ELSE {{'done': {_FLUSH}, 'cur': b.cur, 'n': b.n, 'long': false, 'own': b.own}} END) AS a FROM i),
+c AS (SELECT doc_id, {_FLUSH} AS cs FROM f), x AS (SELECT doc_id, unnest(range(len(cs)))::INT AS chunk_ord, unnest(cs) AS c FROM c),
+w AS (SELECT doc_id, chunk_ord, c, {WORDS.format('lag(c.t) OVER (PARTITION BY doc_id ORDER BY chunk_ord)')} AS p, floor(c.n * 0.18)::INT AS k FROM x)
+SELECT doc_id, chunk_ord, CASE WHEN chunk_ord > 0 AND k > 0 AND len(p) >= k THEN array_to_string(list_slice(p, len(p) - k + 1, len(p)), ' ') || ' ' ELSE '' END || c.t AS text,
+ (CASE WHEN chunk_ord > 0 AND k > 0 AND len(p) >= k THEN k + {_LEN('c.t')} ELSE c.n END)::BIGINT AS tokens, c.m AS split_method FROM w""")
 def chunk_recursive(spark, sf):
-    """Lines as paragraphs; held against brute force in the tests."""
+    """Lines as paragraphs."""
     return chunking.recursive_split(table(spark, sf, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), "doc_id", target=120)
 
 
@@ -436,9 +458,14 @@ _FIND = f"list_filter(list_transform(list_concat(regexp_extract_all(text, '[•\
 _CITE = "list_distinct(list_concat(" + ", ".join("list_transform(regexp_extract_all(text, '{}{}', {}), lambda m: '{}' || {} || '{}')".format("(?i)" if ac else "", p.replace("'", "''"), g, mark, STRIP.format("m") if k == 0 else "m", mark) for k, (p, g, ac, mark) in enumerate(T.CITATIONS)) + "))"
 
 
-@query(f"SELECT conv_id, turn, unnest(range(len(f)))::INT AS ord, unnest(f) AS finding FROM (SELECT conv_id, turn, {_FIND} AS f FROM conversations)")
+_LISTED = "'- first finding of turn ' || turn || chr(10) || '1. ' || text || chr(10) || '* short' || chr(10) || '• ' || role || ' of conversation ' || conv_id"
+
+
+@query(f"SELECT conv_id, turn, unnest(range(len(f)))::INT AS ord, unnest(f) AS finding FROM (SELECT conv_id, turn, {_FIND} AS f FROM (SELECT conv_id, turn, {_LISTED} AS text FROM conversations))")
 def key_findings(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(answers.key_findings(F.col("text"))).alias("ord", "finding"))
+    """Messages as a numbered line among bullets."""
+    text = F.concat(F.lit("- first finding of turn "), F.col("turn").cast("string"), F.lit("\n1. "), "text", F.lit("\n* short\n• "), "role", F.lit(" of conversation "), F.col("conv_id").cast("string"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(answers.key_findings(text)).alias("ord", "finding"))
 
 
 _ANSWER = "'## Legal Framework' || chr(10) || 'See **TADIC TJ** and **4-GC-IV-EN**, `Article 3`, *page ' || (conv_id % 7) || '-9*, section facts; ' || text"
@@ -462,7 +489,9 @@ def confidence_band(spark, sf):
     return _answers(spark, sf).select("conv_id", "turn", score.alias("confidence"), answers.band(score).alias("band"))
 
 
-@query()
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY (doc_id % 97) / 100.0::DOUBLE DESC, doc_id) AS rank FROM documents QUALIFY rank <= 5),
+b AS (SELECT lang, rank, source, '=== SOURCE ' || rank || ' ===' || chr(10) || 'Document: ' || source || chr(10) || 'Page: 1-2' || chr(10) || CASE WHEN lang <> '' THEN 'Section: ' || lang || chr(10) ELSE '' END || 'Footnotes: note' || chr(10) || 'Content:' || chr(10) || substr(text, 1, 1000) || chr(10) || CASE WHEN len(text) > 1000 THEN '...[Content truncated]' || chr(10) ELSE '' END AS t FROM r)
+SELECT lang, string_agg(t, chr(10) || chr(10) ORDER BY rank) AS context, string_agg('Source ' || rank || ': ' || source || ' (page 1-2) - ' || lang || ' [judgment]', chr(10) ORDER BY rank) AS sources FROM b GROUP BY lang""")
 def context_of_sources(spark, sf):
     """Documents of each language as ranked sources: context text and source list."""
     none = F.lit(None).cast("string")
@@ -483,6 +512,50 @@ def legal_concepts(spark, sf):
     return retrieval.concepts(q, "question_id", "rank", 100).select("question_id", F.explode("concepts").alias("concept"))
 
 
+_CASE_TEXT = "'Case No. ICC-0' || (doc_id % 7 + 1) || '/04-01/06 of ' || (doc_id % 28 + 1) || ' May 2011, Judge Anna Bell; Judge Cy' || chr(10) || text"
+
+
+def _first(patterns: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(t, '(?i){p}'), '')" for p in patterns) + ", '')"
+
+
+def _headed(spark, sf):
+    d = F.col("doc_id")
+    head = F.concat(F.lit("Case No. ICC-0"), (d % 7 + 1).cast("string"), F.lit("/04-01/06 of "), (d % 28 + 1).cast("string"), F.lit(" May 2011, Judge Anna Bell; Judge Cy\n"), F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("f"), d.cast("string"), F.lit(".pdf")).alias("filename"), head.alias("t"))
+
+
+@query(f"""SELECT 'f' || doc_id AS doc_id, {_first(T.CASE_NUMBERS)} AS case_number, {_first(T.DATES)} AS date, array_to_string(list_sort(list_distinct(list_concat({", ".join(f"regexp_extract_all(t, '(?i){p}')" for p in T.JUDGES)}))), '|') AS judges FROM (SELECT doc_id, {_CASE_TEXT} AS t FROM documents)""")
+def judgment_metadata(spark, sf):
+    """Documents under the head of a judgment."""
+    m = _headed(spark, sf).select(layout.judgment_metadata(F.col("t"), F.col("filename")).alias("m"))
+    return m.select("m.doc_id", "m.case_number", "m.date", F.array_join("m.judges", "|").alias("judges"))
+
+
+_KINDS = ["Geneva Convention IV, 12 August 1949", "Additional Protocol I of 8 June 1977", "A statute", "Hague regulations", "Commentary on it", "Nothing"]
+_TYPED = "list_extract([" + ", ".join(f"'{k}'" for k in _KINDS) + f"], (doc_id % {len(_KINDS)})::INT + 1) || chr(10) || text"
+_EITHER = lambda ps: " OR ".join(f"regexp_matches(t, '(?i){p}')" for p in ps)
+_TYPE = "CASE " + " ".join(f"WHEN {_EITHER(ps)} THEN '{name}'" for name, ps in T.DOCUMENT_TYPES.items()) + " ELSE 'unknown' END"
+
+
+@query(f"""SELECT doc_id, CASE WHEN {_first(T.TITLES)} <> '' THEN {_first(T.TITLES)} ELSE 'x' || doc_id END AS doc_name, {_first(T.TREATY_DATES)} AS date, {_TYPE} AS source FROM (SELECT doc_id, {_TYPED} AS t FROM documents)""")
+def treaty_metadata(spark, sf):
+    """Documents under the heads of several kinds; the type as evidently meant."""
+    head = F.get(F.lit(_KINDS), (F.col("doc_id") % len(_KINDS)).cast("int"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat(head, F.lit("\n"), "text").alias("t"), F.concat(F.lit("x"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("f"))
+    return d.select("doc_id", layout.treaty_metadata(F.col("t"), F.col("f"), False).alias("m")).select("doc_id", "m.doc_name", "m.date", "m.source")
+
+
+_RULE = T.CONTEXT_RULES["judgment"]
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN k = {i} THEN '{v[0]}'" for i, v in enumerate(_RULE.values())) + f" END AS label FROM (SELECT doc_id, doc_id % {len(_RULE) + 1} AS k FROM documents)")
+def classify_context(spark, sf):
+    """The label before a section gives its label; the last kind of row has a label without rule."""
+    before = F.get(F.lit([*_RULE, "none"]), (F.col("doc_id") % (len(_RULE) + 1)).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", classify.by_context(before, _RULE)["section_type"].alias("label"))
+
+
 # Store.
 
 
@@ -613,9 +686,17 @@ def footnotes(spark, sf):
     return layout.footnotes(_words(spark, sf)).select("doc_id", "page_num", "text")
 
 
-@query()
+_ENDING = "(" + " OR ".join([f"regexp_matches(x, '{p}')" for p in T.CONTENTS_ENDS] + [f"regexp_matches(x, '(?i){p}')" for p in T.CONTENTS_ENDS_ANY_CASE]) + " OR (x = '' AND i > first + 5))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, 'Intro' || chr(10) || 'Table of Contents' || chr(10) || 'A 1' || chr(10) || 'B 2' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'NEXT PART' || chr(10) ELSE '' END || text || repeat(chr(10), 40) AS text FROM documents),
+l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, {STRIP.format("unnest(string_split(text, chr(10)))")} AS x FROM d), n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id),
+h AS (SELECT n.doc_id, n.n, coalesce(min(i) FILTER (i < floor(n.n * 0.15) AND ({" OR ".join(f"regexp_matches(lower(x), '{p}')" for p in T.CONTENTS)})), -1) AS first FROM n JOIN l USING (doc_id) GROUP BY n.doc_id, n.n),
+e AS (SELECT h.doc_id, h.first, min(i) FILTER ({_ENDING}) AS stop, max(i) AS far FROM h LEFT JOIN l ON l.doc_id = h.doc_id AND i > h.first AND i < h.first + 50 GROUP BY h.doc_id, h.first)
+SELECT doc_id, first >= 0 AS found, first::INT AS first, (CASE WHEN first >= 0 THEN coalesce(stop, far, -1) ELSE -1 END)::INT AS last FROM e""")
 def contents_bounds(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Intro\nTable of Contents\nA 1\nB 2\nNEXT PART\n"), "text", F.lit("\n" * 40)).alias("text"))
+    head = F.concat(F.lit("Intro\nTable of Contents\nA 1\nB 2\n"), F.when(F.col("doc_id") % 2 == 0, "NEXT PART\n").otherwise(""))
+    d = table(spark, sf, "documents").select("doc_id", F.concat(head, "text", F.lit("\n" * 40)).alias("text"))
     return d.select("doc_id", layout.contents_bounds(F.col("text")).alias("b")).select("doc_id", "b.*")
 
 
@@ -686,7 +767,14 @@ def remove_headers(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.tidy(X.remove_literals(F.col("text"), F.array(F.lit("the")))).alias("text"))
 
 
-@query()
+_CLEAN = STRIP.format("replace(replace(x, '•', ''), '*', '')")
+
+
+@query(f"""WITH f AS (SELECT conv_id, turn, text, {_FIND} AS f FROM conversations)
+SELECT conv_id, turn, '# ⚖️ Legal Research Analysis' || chr(10) || chr(10) || '**Research Question:** q' || chr(10) || chr(10) || '**Analysis Quality:** 🟡 Medium Confidence (0.70)' || chr(10) || '**Sources Analyzed:** ' || turn || ' documents' || chr(10) || '**Processing Time:** 1.50s' || chr(10) || chr(10)
+ || CASE WHEN text <> '' THEN text ELSE '## 📋 Analysis' || chr(10) || chr(10) || 'No detailed analysis available.' || chr(10) || chr(10) END
+ || CASE WHEN len(f) > 0 AND NOT contains(text, 'Key Findings') THEN chr(10) || '## 🔍 Additional Key Findings' || chr(10) || chr(10) || array_to_string(list_transform(list_zip(f, range(1, len(f) + 1)), lambda z: CASE WHEN starts_with({_CLEAN.replace("(x,", "(z[1],")}, '📋') THEN '' ELSE z[2] || '. ' END || {_CLEAN.replace("(x,", "(z[1],")} || chr(10)), '') || chr(10) ELSE '' END
+ || '---' || chr(10) || '*This analysis is based on retrieved legal documents and should be verified against primary sources.*' || chr(10) AS response FROM f""")
 def formatted_answers(spark, sf):
     c = table(spark, sf, "conversations")
     text = answers.format_response(F.lit("q"), F.col("text"), answers.key_findings(F.col("text")), F.lit(0.7), F.col("turn"), F.lit(1.5))
