@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def rx(pattern: str, any_case: bool = False, lines: bool = False, dotall: bool = False) -> str:
-    return f"(?dU{'iu' if any_case else ''}{'m' if lines else ''}{'s' if dotall else ''})" + pattern
+    # Nothing follows a group repeated at the end, so it never gives back; Java would take a stack frame a repetition.
+    return f"(?dU{'iu' if any_case else ''}{'m' if lines else ''}{'s' if dotall else ''})" + pattern + ("+" if pattern.endswith(")*") else "")
 
 
 def let(value: Column, body) -> Column:

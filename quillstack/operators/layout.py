@@ -55,16 +55,19 @@ def _bounds(lines: Column) -> Column:
     n = F.size(lines)
     at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
     head = F.filter(at, lambda i: (i < F.floor(n * 0.15)) & X.matches(F.lower(F.get(lines, i)), T.CONTENTS))
-    first = F.coalesce(F.get(head, F.lit(0)), F.lit(-1))
+    return X.let(F.coalesce(F.get(head, F.lit(0)), F.lit(-1)), lambda first: _stop(lines, n, first))
+
+
+def _stop(lines: Column, n: Column, first: Column) -> Column:
     ends = lambda i: X.matches(F.get(lines, i), T.CONTENTS_ENDS) | X.matches(F.get(lines, i), T.CONTENTS_ENDS_ANY_CASE, True) | ((F.get(lines, i) == "") & (i > first + 5))
-    after = F.filter(at, lambda i: (i > first) & (i < first + 50))
-    stop = F.coalesce(F.get(F.filter(after, ends), F.lit(0)), F.try_element_at(after, F.lit(-1)), F.lit(-1))
-    return F.struct((first >= 0).alias("found"), first.alias("first"), F.when(first >= 0, stop).otherwise(-1).alias("last"))
+    last = F.least(first + 49, n - 1)
+    stop = F.when(last > first, F.coalesce(F.get(F.filter(F.sequence(first + 1, last), ends), F.lit(0)), last))
+    return F.struct((first >= 0).alias("found"), first.alias("first"), F.when(first >= 0, F.coalesce(stop, F.lit(-1))).otherwise(-1).alias("last"))
 
 
 def clean_text(text: Column, literals: Column | None = None) -> Column:
     """Without the table of contents and the given headers and footers, wherever they stand; white space tidied."""
-    out = X.let(contents_bounds(text), lambda toc: F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~(toc["found"] & (toc["last"] > toc["first"]) & (i >= toc["first"]) & (i < toc["last"]))), "\n"))
+    out = X.let(contents_bounds(text), lambda toc: F.when(~toc["found"], text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~(toc["found"] & (toc["last"] > toc["first"]) & (i >= toc["first"]) & (i < toc["last"]))), "\n")))
     return X.tidy(X.remove_literals(out, literals) if literals is not None else out)
 
 

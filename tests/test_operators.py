@@ -26,6 +26,11 @@ def test_strip_and_words_are_unicode(spark):
     assert one(spark, X.remove_literals(F.col("t"), F.array(F.lit("ÉcoLe\\E("))), t="x école\\e( y") == "x  y"
 
 
+def test_a_repeated_group_reads_very_long_texts(spark):
+    found = one(spark, layout.judgment_metadata(F.col("t"), F.col("f")), t="Judge Cy " + "Name\n" * 200_000, f="a.pdf")
+    assert len(found.judges[0].split()) == 200_002
+
+
 def test_page_range(spark):
     f = lambda p: one(spark, X.page_range(F.col("p").cast("array<bigint>")), p=p)
     assert [f([4]), f([5, 5]), f([1, 2, 9])] == ["4", "5-5", "1-9"]
