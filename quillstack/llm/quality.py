@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, flat, mixed, steps, tree_sum, word_hashes
 
-#: Hash buckets of n-grams (n = 1, 2), and of n-grams of character kinds.
+#: Hash buckets of n-grams (n = 1, 2).
 BUCKETS = 1 << 16
 #: Labelled rows of good quality that the target model reads at most, chosen by a hash of doc_id.
 SAMPLE = 20_000
-#: Share of the documents that is sampled; n-grams of a text that its log weight counts as at most.
-KEEP, EVIDENCE = 0.85, 60
+#: Share of the documents that is sampled.
+KEEP = 0.85
+#: Cells of keys that are counted at once, and rows of a cell from which it is cut into cells again.
+CELLS, CELL_ROWS = 10_000, 100_000
 _PART = 4096
 _U8 = np.uint64
 
@@ -82,8 +84,9 @@ def importance(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
 
     The raw model counts all rows; the target model counts rows labelled with quality 1 whose
     crc32(doc_id as text) mod 3 is not 1, at most ``sample`` of them. ``log_weight`` is the log importance
-    weight with at most ``EVIDENCE`` n-grams' worth of evidence, so long texts don't drown the others;
-    ``score`` maps the mean to 0..1. Null, empty and blank texts get the smallest ratio of all n-grams.
+    weight: the sum of the log ratios of all n-grams of the whole text. ``score`` maps their mean to 0..1. Null, empty
+    and blank texts get the smallest ratio of all n-grams. Rows with a null or repeated doc_id stay row by row; empty
+    tables give no rows, and no labels a model that tells nothing apart.
     """
     spark = docs.sparkSession
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -101,34 +104,36 @@ def importance(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
         F.coalesce(fold == 1, F.lit(False)).alias("held_out"),
         "mean_log_ratio",
         "n_grams",
-        (F.col("mean_log_ratio") * F.least(F.greatest("n_grams", F.lit(1)), F.lit(EVIDENCE))).alias("log_weight"),
+        (F.col("mean_log_ratio") * F.greatest("n_grams", F.lit(1))).alias("log_weight"),
         (1 / (1 + F.exp(-10 * (F.col("mean_log_ratio"))))).alias("score"),
     )
 
 
-def gumbel_top_k(weighted: DataFrame, keep: float = KEEP, seed: int = 17, grain: float = 1 / 64) -> DataFrame:
+def gumbel_top_k(weighted: DataFrame, keep: float = KEEP, seed: int = 17) -> DataFrame:
     """Adds ``gumbel_key`` and ``kept``: the k rows with the largest log_weight + Gumbel noise, k = ceil(keep * rows).
 
     Taking the largest perturbed weights samples without replacement by importance. The noise is a
-    hash of doc_id and the seed. The k-th key is found by counting keys in cells of width ``grain``; only the rows
-    of one cell are ranked (by key, then doc_id; nulls last). Rows equal in both are kept or not together with their rank.
+    hash of doc_id and the seed. The k-th key is found by counting keys in cells; the cell that holds it is cut into
+    cells again until it has few rows, and those are ranked (by key, then doc_id; nulls last). Rows equal in both are
+    kept or not together with their rank.
     """
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = weighted.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
     keyed = Scratch(weighted.sparkSession, "gumbel").save(keyed, "keyed")
-    cell = F.floor(F.least(F.greatest(F.col("gumbel_key"), F.lit(-5000.0)), F.lit(5000.0)) / grain)
-    cells = keyed.groupBy(cell.alias("cell")).count().orderBy(F.desc("cell")).collect()  # at most 10000 / grain rows
-    k = -(-int(sum(c["count"] for c in cells) * keep * 1_000_000) // 1_000_000)
-    above, edge = 0, None
-    for c in cells:
-        if above + c["count"] >= k:
-            edge = c.cell
-            break
-        above += c["count"]
-    if edge is None:
+    low, high, n = keyed.agg(F.min("gumbel_key"), F.max("gumbel_key"), F.count("*")).first()
+    if not n:
         return keyed.withColumn("kept", F.lit(True))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("gumbel_key"), F.col("doc_id").asc_nulls_last()))
-    clear = keyed.withColumn("cell", cell)
-    inside = clear.filter(F.col("cell") == edge).withColumn("kept", rank <= k - above)
-    rest = clear.filter(F.col("cell") != edge).withColumn("kept", F.col("cell") > edge)
-    return rest.unionByName(inside).drop("cell")
+    left, inside, clear = -(-int(n * keep * 1_000_000) // 1_000_000), F.lit(True), F.when(F.lit(False), True)
+    while n > CELL_ROWS and low < high:
+        width = (high - low) / CELLS
+        cell = F.floor((F.col("gumbel_key") - low) / width)
+        cells = keyed.filter(inside).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("gumbel_key").alias("low"), F.max("gumbel_key").alias("high")).orderBy(F.desc("cell")).collect()  # CELLS + 1 rows at most
+        for c in cells:
+            if c.n >= left:
+                break
+            left -= c.n
+        clear = clear.when(inside & (cell != c.cell), cell > c.cell)
+        inside, low, high, n = inside & (cell == c.cell), c.low, c.high, c.n
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("gumbel_key"), F.col("doc_id").asc_nulls_last()))
+    ranked = keyed.filter(inside).withColumn("kept", rank <= left)
+    return keyed.filter(~inside).withColumn("kept", clear).unionByName(ranked)

@@ -311,7 +311,10 @@ def test_secrets(spark):
     assert secrets.redact("abcdef", [("x", 1, 3), ("y", 2, 4)]) == "a[REDACTED]ef"
 
 
-def test_quality(spark):
+@pytest.mark.parametrize("few", [100_000, 20])
+def test_quality(spark, monkeypatch, few):
+    monkeypatch.setattr(quality, "CELL_ROWS", few)
+    monkeypatch.setattr(quality, "CELLS", 7)
     good, bad = [f"good{i}" for i in range(50)], [f"bad{i}" for i in range(50)]
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(bad if i % 4 == 0 else good) for _ in range(rng.randrange(5, 200)))) for i in range(400)]
@@ -323,6 +326,19 @@ def test_quality(spark):
     assert all(r.kept == (r.gumbel_key >= edge) for r in out)
     by = {r.doc_id: r for r in out}
     assert min(by[i].score for i in range(400) if i % 4) > max(by[i].score for i in range(0, 400, 4))
+    # The ratio and the weights, from counts of hashed words and pairs.
+    bucket = lambda t: quality.grams(pa.array([t], pa.string()), quality.BUCKETS)[0].tolist()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in texts.items():
+        raw.update(bucket(t))
+        if i is not None and i < 300 and i % 4 and zlib.crc32(str(i).encode()) % 3 != 1:
+            target.update(bucket(t))
+    n_raw, n_target, size = sum(raw.values()), sum(target.values()), quality.BUCKETS
+    p = lambda k: (raw[k] + 1) / (n_raw + size)
+    ratio = lambda k: math.log((target[k] + 4 * size * p(k)) / (n_target + 4 * size) / p(k))
+    for i, t in texts.items():
+        assert by[i].n_grams == len(bucket(t)) and (not bucket(t) or by[i].log_weight == pytest.approx(sum(map(ratio, bucket(t)))))
     assert quality.gumbel_top_k(quality.importance(docs.limit(0), labels)).count() == 0
 
 
