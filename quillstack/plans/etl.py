@@ -59,7 +59,7 @@ def judgment_chunks(files: DataFrame, sizes: tuple = chunking.JUDGMENT, similar:
 def treaty_chunks(files: DataFrame, sizes: tuple = chunking.TREATY, compat: bool = True) -> DataFrame:
     """(filename, text, words, _error) -> the 18 columns of treaty chunks."""
     target, least, most, ratio = sizes
-    docs = saved(cleaned(_with_ids(files, F.col("filename")), 7).withColumn("meta", layout.treaty_metadata(F.col("clean"), F.col("filename"), compat)), "docs")
+    docs = saved(cleaned(_with_ids(files, F.col("filename")), 7).withColumn("meta", layout.treaty_metadata(F.col("clean"), F.col("filename"), compat)).select("doc_id", "meta", "clean"), "docs")
     rows = docs.select("doc_id", "meta", F.posexplode(structure.articles(F.col("clean"), compat)).alias("article_ord", "a"))
     rows = saved(rows.withColumn("c", classify.classify(F.col("a.text"), "treaty")), "articles")
     merged = folds.merge_small(chunking.article_chunks(F.col("a"), target), least, target, most)
