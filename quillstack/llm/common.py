@@ -172,6 +172,14 @@ def tree_sum(parts: DataFrame, key: str, add, schema: str) -> DataFrame:
     return salted.groupBy(key, "salt").applyInArrow(add, schema).groupBy(key).applyInArrow(add, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Ids that ``without`` broadcasts at most (8 bytes each).
 BROADCAST_IDS = 500_000
 

@@ -38,6 +38,12 @@ def test_repeated_rows(spark):
     assert got.filter("doc_id is null").count() == 2 and [r.doc_id for r in got.filter("doc_id is not null").collect()] == [1]
 
 
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", 7), (1, "a b c d e f", "x", 8), (2, "g h i j k l", "y", 9)], "doc_id long, text string, row string, count int")
+    got = cp.minhash_stage(spark, docs, SF)
+    assert got.columns == docs.columns and sorted((r.doc_id, r.row) for r in got.collect()) == [(1, "x"), (2, "y")]
+
+
 def test_registered(spark):
     names = entry.queries()
     assert "pipeline" in names and all(sum(k.startswith(f"op{n}_") for k in names) == 1 for n in range(1, 11))
