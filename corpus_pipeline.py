@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstack.llm import decontam, minhash, packing, secrets, toxicity
-from quillstack.llm.common import Scratch, without
+from quillstack.llm.common import Scratch, unused, without
 
 #: No stage can be put as SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -34,7 +34,8 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if again.isEmpty():
         return out
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    repeated = out.join(again, "doc_id", "left_semi").withColumn("_row", first).filter("_row = 1").select(docs.columns)
+    row = unused(docs, "row")
+    repeated = out.join(again, "doc_id", "left_semi").withColumn(row, first).filter(F.col(row) == 1).select(docs.columns)
     return without(out, again).unionByName(repeated)
 
 
