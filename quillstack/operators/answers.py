@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import taxonomy as T
 from ..functions import text as X
+from ..functions.names import unused
 
 
 def _line(label: str, value: Column) -> Column:
@@ -96,13 +97,14 @@ def resources(text: Column) -> Column:
 def with_resources(answers: DataFrame, sources: DataFrame, by: str) -> DataFrame:
     """Adds ``resources``; an answer without any takes them from its sources."""
     rows = sources.select(by, "list_ord", F.struct("source_id", "document_name", F.coalesce("article", F.lit("")).alias("article"), F.coalesce("page_number", F.lit("")).alias("page"), "source_type").alias("s"))
-    listed = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.when(F.col("list_ord") == 0, F.col("s")))).alias("_t"), F.array_sort(F.collect_list(F.when(F.col("list_ord") == 1, F.col("s")))).alias("_j"))
-    own = answers.withColumn("_r", resources(F.col("analysis"))).join(listed, by, "left")
-    docs = F.transform("_t", lambda s: F.struct(s["document_name"].alias("document_name"), s["article"].alias("article"), s["page"].alias("page")))
-    cases = F.transform("_j", lambda s: F.struct(s["document_name"].alias("case_name"), s["page"].alias("page"), s["source_type"].alias("source_type")))
-    empty = F.size("_r.geneva_documents") + F.size("_r.judgment_documents") + F.size("_r.additional_references") == 0
-    fallback = F.struct(F.coalesce(docs, F.col("_r.geneva_documents")).alias("geneva_documents"), F.coalesce(cases, F.col("_r.judgment_documents")).alias("judgment_documents"), F.col("_r.additional_references").alias("additional_references"))
-    return own.withColumn("resources", F.when(empty, fallback).otherwise(F.col("_r"))).drop("_r", "_t", "_j")
+    r, t, j = (unused(answers, name) for name in ("own", "treaties", "judgments"))
+    listed = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.when(F.col("list_ord") == 0, F.col("s")))).alias(t), F.array_sort(F.collect_list(F.when(F.col("list_ord") == 1, F.col("s")))).alias(j))
+    own = answers.withColumn(r, resources(F.col("analysis"))).join(listed, by, "left")
+    docs = F.transform(t, lambda s: F.struct(s["document_name"].alias("document_name"), s["article"].alias("article"), s["page"].alias("page")))
+    cases = F.transform(j, lambda s: F.struct(s["document_name"].alias("case_name"), s["page"].alias("page"), s["source_type"].alias("source_type")))
+    empty = F.size(f"{r}.geneva_documents") + F.size(f"{r}.judgment_documents") + F.size(f"{r}.additional_references") == 0
+    fallback = F.struct(F.coalesce(docs, F.col(f"{r}.geneva_documents")).alias("geneva_documents"), F.coalesce(cases, F.col(f"{r}.judgment_documents")).alias("judgment_documents"), F.col(f"{r}.additional_references").alias("additional_references"))
+    return own.withColumn("resources", F.when(empty, fallback).otherwise(F.col(r))).drop(r, t, j)
 
 
 def key_findings(text: Column, most: int = 10) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import taxonomy as T
 from ..functions import text as X
+from ..functions.names import unused
 
 RESULT = "struct<section_type:string,confidence:double,evidence:array<string>,hierarchical_level:int>"
 
@@ -62,7 +63,8 @@ def classify(text: Column, family: str = "judgment", previous: Column | None = N
 
 def classify_sections(df: DataFrame, family: str = "judgment", **dictionaries) -> DataFrame:
     """Adds section_type, confidence and evidence of ``text``; a map without shuffle."""
-    return df.withColumn("_c", classify(F.col("text"), family, **dictionaries)).select("*", "_c.section_type", "_c.confidence", "_c.evidence").drop("_c")
+    c = unused(df, "found")
+    return df.withColumn(c, classify(F.col("text"), family, **dictionaries)).select("*", f"{c}.section_type", f"{c}.confidence", f"{c}.evidence").drop(c)
 
 
 def level(label: Column, levels: dict[str, int] = T.LEVELS) -> Column:

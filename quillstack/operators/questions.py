@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import taxonomy as T
 from ..functions import text as X
+from ..functions.names import unused
 
 
 def routing(question: Column) -> Column:
@@ -80,4 +81,5 @@ def variants(question: Column, k: Column | int, kind: str) -> Column:
 
 def route(questions: DataFrame) -> DataFrame:
     """Adds the routing of ``question``."""
-    return questions.withColumn("_r", routing(F.col("question"))).select("*", "_r.*").drop("_r")
+    r = unused(questions, "routing")
+    return questions.withColumn(r, routing(F.col("question"))).select("*", f"{r}.*").drop(r)

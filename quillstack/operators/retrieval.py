@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import taxonomy as T
 from ..functions import text as X
 from ..functions import vectors
+from ..functions.names import unused
 
 #: Query rows that are broadcast at most; more are searched by blocks of that many, so the corpus stays in place.
 BROADCAST_QUERIES = 10_000
@@ -31,15 +32,16 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: Column | int, by: str = "que
         return out
     # Lengths once per row, so that a pair costs one product.
     norm = lambda c: F.sqrt(vectors.dot(F.col(c), F.col(c)))
-    q = queries.withColumn("_nq", norm("qvec"))
-    corpus = corpus.withColumn("_ne", norm("embedding"))
+    nq, ne, agreed = (unused(queries, name, corpus) for name in ("query_norm", "corpus_norm", "agreed"))
+    q = queries.withColumn(nq, norm("qvec"))
+    corpus = corpus.withColumn(ne, norm("embedding"))
     if same:
-        q = q.withColumnRenamed(same, "_same")
-        pairs = corpus.join(F.broadcast(q), F.col(same) == F.col("_same")).drop("_same")
+        q = q.withColumnRenamed(same, agreed)
+        pairs = corpus.join(F.broadcast(q), F.col(same) == F.col(agreed)).drop(agreed)
     else:
         pairs = corpus.crossJoin(F.broadcast(q))
-    cosine = vectors.dot(F.col("embedding"), F.col("qvec")) / F.nullif(F.col("_ne") * F.col("_nq"), F.lit(0.0))
-    scored = pairs.withColumn("score", cosine).filter(F.col("score").isNotNull()).drop("embedding", "qvec", "_ne", "_nq")
+    cosine = vectors.dot(F.col("embedding"), F.col("qvec")) / F.nullif(F.col(ne) * F.col(nq), F.lit(0.0))
+    scored = pairs.withColumn("score", cosine).filter(F.col("score").isNotNull()).drop("embedding", "qvec", ne, nq)
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), F.col(id_col)))
     found = scored.withColumn("rank", rank).filter(F.col("rank") <= int(most or 0))
     return found if isinstance(k, int) else found.filter(F.col("rank") <= k)
@@ -48,7 +50,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: Column | int, by: str = "que
 def first_of_prefix(results: DataFrame, by: list[str], *order: str, length: int = 100) -> DataFrame:
     """Of results of a question with the same first ``length`` characters the first in order stays."""
     w = Window.partitionBy(*by, F.substring("content", 1, length)).orderBy(*order)
-    return results.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    n = unused(results, "n")
+    return results.withColumn(n, F.row_number().over(w)).filter(F.col(n) == 1).drop(n)
 
 
 def above(results: DataFrame, least: float = 0.01) -> DataFrame:
@@ -58,7 +61,8 @@ def above(results: DataFrame, least: float = 0.01) -> DataFrame:
 def source_cap(results: DataFrame, by: list[str], source: list[str], *ties: str, most: int = 2) -> DataFrame:
     """At most ``most`` results of a source, by score."""
     w = Window.partitionBy(*by, *source).orderBy(F.desc("score"), *ties)
-    return results.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+    n = unused(results, "n")
+    return results.withColumn(n, F.row_number().over(w)).filter(F.col(n) <= most).drop(n)
 
 
 def first_k(results: DataFrame, by: list[str], k: int, *ties: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
+
 #: Inactivity after which a session ends, lead of a refresh and least wait for it, in milliseconds.
 TIMEOUT, REFRESH, LEAST = 8 * 3600 * 1000, 3600 * 1000, 60 * 1000
 
@@ -53,4 +55,5 @@ def debounce(events: DataFrame, *keep: str, user: str = "user_id", ts: str = "ts
     w = Window.partitionBy(user).orderBy(ts, tie)
     millis = lambda c: F.unix_millis(c.cast("timestamp"))
     nxt = F.lead(millis(F.col(ts))).over(w)
-    return events.withColumn("_n", nxt).filter(F.col("_n").isNull() | (F.col("_n") - millis(F.col(ts)) >= wait_ms)).select(*keep)
+    n = unused(events, "next")
+    return events.withColumn(n, nxt).filter(F.col(n).isNull() | (F.col(n) - millis(F.col(ts)) >= wait_ms)).select(*keep)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
+
 
 def lookup(table: DataFrame, most: int | None = None, **equal) -> DataFrame:
     """Rows equal in all given columns; the filter reaches the Parquet scan."""
@@ -16,8 +18,9 @@ def lookup(table: DataFrame, most: int | None = None, **equal) -> DataFrame:
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Last writer wins: given (not null) fields of ``changes`` replace those of the row with the key; new keys are added."""
     other = [c for c in table.columns if c != key]
-    given = changes.select(key, *[(F.col(c) if c in changes.columns else F.lit(None).cast(table.schema[c].dataType)).alias(f"_{c}") for c in other])
-    return table.join(given, key, "full_outer").select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in other])
+    own, fields = unused(table, "given"), [(F.col(c) if c in changes.columns else F.lit(None).cast(table.schema[c].dataType)).alias(c) for c in other]
+    given = changes.select(key, F.struct(F.col(key), *fields).alias(own))
+    return table.join(given, key, "full_outer").select(key, *[F.coalesce(F.col(own)[c], F.col(c)).alias(c) for c in other])
 
 
 def delete(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -31,13 +34,15 @@ def owned(table: DataFrame, owners: DataFrame, *key: str) -> DataFrame:
 
 def insert_unique(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Adds the new rows whose key isn't taken; of equal new keys the first by order."""
-    first = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in new.columns if c != key]))).filter("_n = 1").drop("_n")
+    n, rank = unused(new, "n"), F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in new.columns if c != key]))
+    first = new.withColumn(n, rank).filter(F.col(n) == 1).drop(n)
     return table.unionByName(first.join(table.select(key).distinct(), key, "left_anti"))
 
 
 def soft_delete(users: DataFrame, ids: DataFrame, key: str, now: Column) -> DataFrame:
-    gone = ids.select(key).distinct().withColumn("_gone", F.lit(True))
-    return users.join(gone, key, "left").withColumns({"is_active": F.when(F.col("_gone"), False).otherwise(F.col("is_active")), "deleted_at": F.when(F.col("_gone"), now).otherwise(F.col("deleted_at"))}).drop("_gone")
+    mark = unused(users, "gone")
+    gone = ids.select(key).distinct().withColumn(mark, F.lit(True))
+    return users.join(gone, key, "left").withColumns({"is_active": F.when(F.col(mark), False).otherwise(F.col("is_active")), "deleted_at": F.when(F.col(mark), now).otherwise(F.col("deleted_at"))}).drop(mark)
 
 
 def retention(conversations: DataFrame, user: str, at: Column, tie: str, limit: int = 20) -> DataFrame:
@@ -47,7 +52,8 @@ def retention(conversations: DataFrame, user: str, at: Column, tie: str, limit:
     """
     over = conversations.groupBy(user).agg(F.count("*").alias("_n")).filter(F.col("_n") >= limit).select(user)
     rank = F.row_number().over(Window.partitionBy(user).orderBy(F.desc(at), F.desc(tie)))
-    full = conversations.join(over, user, "left_semi").withColumn("_r", rank).filter(F.col("_r") <= limit - 1).drop("_r")
+    r = unused(conversations, "rank")
+    full = conversations.join(over, user, "left_semi").withColumn(r, rank).filter(F.col(r) <= limit - 1).drop(r)
     return conversations.join(over, user, "left_anti").unionByName(full)
 
 
@@ -59,7 +65,8 @@ def drop_empty(conversations: DataFrame, messages: DataFrame, key: str) -> DataF
 def memory(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", pairs: int = 5) -> DataFrame:
     """The last 2 * pairs messages of each conversation."""
     w = Window.partitionBy(conversation).orderBy(F.desc(turn))
-    return messages.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 2 * pairs).drop("_r")
+    r = unused(messages, "rank")
+    return messages.withColumn(r, F.row_number().over(w)).filter(F.col(r) <= 2 * pairs).drop(r)
 
 
 def titles(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:

@@ -352,3 +352,20 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(out).collect()
     assert [(r.user_id, r.n_events) for r in got] == [(1, 2)]  # the last session is still open
+
+
+def test_clashing_column_names(spark):
+    """Columns named like an operator's own ones come back as they were."""
+    kept = ["n", "N_", "rank_", "next", "found", "gone", "given", "corpus_norm"]
+    rows = spark.createDataFrame([(k, f"text {k}", float(k), *[10 * k] * len(kept)) for k in (1, 2, 3)], "conv_id int, text string, score double, " + ", ".join(f"`{c}` int" for c in kept))
+    rows = rows.withColumns({"content": F.col("text"), "turn": F.col("conv_id"), "uid": F.lit(1), "rank": F.col("n")})
+    own = lambda df: {r.conv_id: [r[c] for c in kept] for r in df.collect()}
+    want = {k: [10 * k] * len(kept) for k in (1, 2, 3)}
+    assert own(store.memory(rows)) == want and own(store.retention(rows, "uid", F.col("turn"), "conv_id", 4)) == want
+    assert own(store.insert_unique(rows.filter("conv_id = 1"), rows, "conv_id")) == want
+    assert own(store.upsert(rows.filter("conv_id < 3"), rows.filter("conv_id > 1"), "conv_id")) == want
+    assert own(retrieval.first_of_prefix(rows, ["uid"], "turn")) == want and own(retrieval.source_cap(rows, ["uid"], ["text"], "turn")) == want
+    assert own(sessions.debounce(rows.withColumn("ts", F.timestamp_seconds(F.col("turn") * 100)), *rows.columns, user="uid", tie="conv_id")) == want
+    assert own(classify.classify_sections(rows)) == want
+    q, e = rows.select(F.col("uid").alias("query_id"), F.array(F.lit(1.0)).alias("qvec")).limit(1), rows.drop("score", "rank").withColumn("embedding", F.array(F.col("turn").cast("double")))
+    assert own(retrieval.top_k(q, e, 3, id_col="conv_id")) == want
