@@ -144,8 +144,45 @@ def format_response(question: Column, analysis: Column, findings: Column, score:
     )
 
 
+# Messages of requests that can't run, and the text of their answer.
+_EMPTY, _RANGE, _FAILED = "Question cannot be empty", "top_k must be between 1 and 50", "Error generating analysis: "
+_RESOURCES = ("geneva_documents", "judgment_documents", "additional_references")
+
+
 def validated(requests: DataFrame) -> DataFrame:
     """Adds ``_error``: why a request (question, top_k) can't run; null if it can. top_k is 10 by default."""
     k = F.coalesce("top_k", F.lit(10))
-    error = F.when(F.coalesce(X.strip(F.col("question")), F.lit("")) == "", "question is empty").when((k < 1) | (k > 50), "top_k must be from 1 to 50")
+    error = F.when(F.coalesce(X.strip(F.col("question")), F.lit("")) == "", _EMPTY).when((k < 1) | (k > 50), _RANGE)
     return requests.withColumns({"top_k": k, "_error": error})
+
+
+def first_request(requests: DataFrame, *order: str) -> DataFrame:
+    """The one request that a call answers where it takes no more than the first row (by ``order``) of its input."""
+    return requests.orderBy(*order).limit(1)
+
+
+def error_answers(failed: DataFrame, seconds: Column | None = None) -> DataFrame:
+    """Requests with an ``_error`` -> the same rows with an answer that holds the reason, empty lists and zeros.
+
+    Rows without an ``_error`` are left out. Columns of an answer that the requests have already are replaced.
+    """
+    none = F.array().cast("array<string>")
+    entries = F.create_map(*[x for k in _RESOURCES for x in (F.lit(k), F.array().cast("array<map<string,string>>"))])
+    answer = {
+        "analysis": F.concat(F.lit(_FAILED), "_error"), "key_findings": none, "citations": none, "resource_list": entries,
+        "confidence_score": F.lit(0.0), "sources_used": F.lit(0).cast("long"), "processing_time": (F.lit(0.0) if seconds is None else seconds).cast("double"),
+    }
+    return failed.filter("_error is not null").withColumns(answer)
+
+
+def projected(answered: DataFrame, *keep: str, response: Column) -> DataFrame:
+    """The columns of a chat response; those that the answers don't have are null (``routing_decision`` and ``sources`` with answers of the model).
+
+    ``processing_time`` comes as ``processing_time_seconds``; ``keep`` are further columns to carry.
+    """
+    types = {
+        "analysis": "string", "routing_decision": "string", "sources_used": "long", "confidence_score": "double",
+        "key_findings": "array<string>", "citations": "array<string>", "processing_time": "double", "sources": "array<string>",
+    }
+    of = lambda c, t: F.col(c) if c in answered.columns else F.lit(None).cast(t)
+    return answered.select(*keep, response.alias("response"), *[of(c, t).alias("processing_time_seconds" if c == "processing_time" else c) for c, t in types.items()])

@@ -50,10 +50,14 @@ def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap_hours
     return found.select(user, "started", "ended", "n_events")
 
 
-def debounce(events: DataFrame, *keep: str, user: str = "user_id", ts: str = "ts", wait_ms: int = 1000, tie: str = "event_id") -> DataFrame:
-    """Events after which the user is quiet for ``wait_ms``, and the last."""
-    w = Window.partitionBy(user).orderBy(ts, tie)
+def debounce(events: DataFrame, *keep: str, user: str = "user_id", ts: str = "ts", wait_ms: int = 1000, tie: str = "event_id", bypass: Column | None = None) -> DataFrame:
+    """Events after which the user is quiet for ``wait_ms``, and the last.
+
+    Events where ``bypass`` holds (a page shown again) count at once and neither end nor prolong the wait of the others.
+    """
+    at_once = F.lit(False) if bypass is None else F.coalesce(bypass, F.lit(False))
+    w = Window.partitionBy(user, at_once).orderBy(ts, tie)
     millis = lambda c: F.unix_millis(c.cast("timestamp"))
     nxt = F.lead(millis(F.col(ts))).over(w)
     n = unused(events, "next")
-    return events.withColumn(n, nxt).filter(F.col(n).isNull() | (F.col(n) - millis(F.col(ts)) >= wait_ms)).select(*keep)
+    return events.withColumn(n, nxt).filter(at_once | F.col(n).isNull() | (F.col(n) - millis(F.col(ts)) >= wait_ms)).select(*keep)

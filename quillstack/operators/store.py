@@ -57,6 +57,32 @@ def retention(conversations: DataFrame, user: str, at: Column, tie: str, limit:
     return conversations.join(over, user, "left_anti").unionByName(full)
 
 
+def create_conversations(conversations: DataFrame, new: DataFrame, user: str, at: Column, tie: str, now: Column, limit: int = 20) -> DataFrame:
+    """Adds conversations (``new``: id, user and title), with ``messages`` empty and both times ``now`` where the table has these columns.
+
+    A user's retention runs before each insert, so who had ``limit`` or more keeps limit - 1 and the new one. Users
+    without a new conversation keep all. ``now`` isn't before any time of the table; of more than ``limit`` new ones the
+    last by ``tie`` stay.
+    """
+    stamp = {"created_at": now, "updated_at": now, "messages": F.array()}
+    fields = {f.name: f.dataType for f in conversations.schema}
+    rows = new.select(*[(F.col(c) if c in new.columns else stamp.get(c, F.lit(None))).cast(t).alias(c) for c, t in fields.items()])
+    who = new.select(user).distinct()
+    theirs = conversations.join(who, user, "left_semi").unionByName(rows)
+    return conversations.join(who, user, "left_anti").unionByName(retention(theirs, user, at, tie, limit + 1))
+
+
+def update_conversations(conversations: DataFrame, changes: DataFrame, key: str, user: str, at: Column, now: Column, limit: int = 20) -> DataFrame:
+    """Sets the given (not null) fields of ``changes`` and ``updated_at``, then runs the retention of the users of changed rows.
+
+    Unknown keys change nothing; rows of one key in ``changes`` are distinct. The batch counts as one update.
+    """
+    known = changes.join(conversations.select(key), key, "left_semi")
+    who = conversations.join(known.select(key), key, "left_semi").select(user).distinct()
+    done = upsert(conversations, known.withColumn("updated_at", now), key).select(conversations.columns)
+    return done.join(who, user, "left_anti").unionByName(retention(done.join(who, user, "left_semi"), user, at, key, limit))
+
+
 def drop_empty(conversations: DataFrame, messages: DataFrame, key: str) -> DataFrame:
     """Conversations that have a message."""
     return conversations.join(messages.select(key).distinct(), key, "left_semi")

@@ -575,6 +575,34 @@ def retention_limit(spark, sf):
     return store.retention(table(spark, sf, "events"), "user_id", F.col("ts"), "event_id").select("event_id", "user_id")
 
 
+_TITLED = "SELECT event_id AS id, user_id AS uid, event_type AS title, ts AS created_at, ts AS updated_at FROM events"
+
+
+def _titled(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("uid"), F.col("event_type").alias("title"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
+
+
+@query(f"""WITH c AS ({_TITLED}), n AS (SELECT -uid AS id, uid, 'new' AS title, TIMESTAMP '2100-01-01' AS created_at, TIMESTAMP '2100-01-01' AS updated_at FROM c WHERE uid % 3 <> 0 GROUP BY uid),
+u AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY updated_at DESC, id DESC) AS r FROM (SELECT * FROM c UNION ALL SELECT * FROM n))
+SELECT id, uid, title FROM u WHERE uid % 3 = 0 OR r <= 20""")
+def create_conversations(spark, sf):
+    """A new conversation for two users of three; their retention leaves twenty with it."""
+    c = _titled(spark, sf)
+    new = c.filter("uid % 3 <> 0").groupBy("uid").agg(F.lit("new").alias("title")).withColumn("id", -F.col("uid"))
+    return store.create_conversations(c, new, "uid", F.coalesce("updated_at", "created_at"), "id", F.timestamp_seconds(F.lit(4102444800))).select("id", "uid", "title")
+
+
+@query(f"""WITH c AS ({_TITLED}), x AS (SELECT id, uid, CASE WHEN id % 50 = 0 THEN 'changed' ELSE title END AS title, CASE WHEN id % 50 = 0 THEN TIMESTAMP '2100-01-01' ELSE updated_at END AS updated_at FROM c),
+r AS (SELECT *, count(*) OVER (PARTITION BY uid) AS n, max((id % 50 = 0)::INT) OVER (PARTITION BY uid) AS hit, row_number() OVER (PARTITION BY uid ORDER BY updated_at DESC, id DESC) AS r FROM x)
+SELECT id, uid, title FROM r WHERE hit = 0 OR n < 20 OR r <= 19""")
+def update_conversations(spark, sf):
+    """Every fiftieth conversation gets a new title, and one that doesn't exist; its user's retention follows."""
+    c = _titled(spark, sf)
+    changes = c.filter("id % 50 = 0").select("id").unionByName(spark.range(1).select((F.col("id") - 1).alias("id"))).withColumn("title", F.lit("changed"))
+    return store.update_conversations(c, changes, "id", "uid", F.coalesce("updated_at", "created_at"), F.timestamp_seconds(F.lit(4102444800))).select("id", "uid", "title")
+
+
 @query("SELECT DISTINCT conv_id FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system')")
 def cleanup_empty(spark, sf):
     c = table(spark, sf, "conversations")
@@ -648,6 +676,13 @@ def debounce(spark, sf):
     return sessions.debounce(table(spark, sf, "events"), "event_id", "user_id")
 
 
+@query("""SELECT event_id, user_id FROM events WHERE event_type = 'view' UNION ALL
+SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'view') WHERE n IS NULL OR epoch_ms(n) - epoch_ms(ts) >= 3600000""")
+def debounce_bypass(spark, sf):
+    """Views count at once; the other events wait for a quiet hour."""
+    return sessions.debounce(table(spark, sf, "events"), "event_id", "user_id", wait_ms=3_600_000, bypass=F.col("event_type") == "view")
+
+
 _LEFT = "((value * 1000)::BIGINT % 900 - 100) * 1000"
 
 
@@ -760,6 +795,33 @@ def request_validation(spark, sf):
     return answers.validated(q).select("question_id", F.col("_error").isNotNull().alias("refused"))
 
 
+_REFUSED = "SELECT conv_id, turn, CASE WHEN coalesce(trim(text), '') = '' OR turn % 4 = 3 THEN 'Question cannot be empty' WHEN turn < 1 OR turn > 5 THEN 'top_k must be between 1 and 50' END AS e FROM conversations"
+
+
+def _asked(spark, sf):
+    c = table(spark, sf, "conversations")
+    return answers.validated(c.select("conv_id", "turn", F.when(F.col("turn") % 4 != 3, F.col("text")).alias("question"), (F.col("turn") * 10).cast("int").alias("top_k")))
+
+
+@query(f"SELECT conv_id, turn, 'Error generating analysis: ' || e AS analysis, 0::BIGINT AS sources_used, 0.0::DOUBLE AS confidence_score, 0.0::DOUBLE AS processing_time, 0::INT AS n_listed FROM ({_REFUSED}) WHERE e IS NOT NULL")
+def error_answers(spark, sf):
+    listed = F.size("key_findings") + F.size("citations") + F.aggregate(F.map_values("resource_list"), F.lit(0), lambda n, v: n + F.size(v))
+    return answers.error_answers(_asked(spark, sf)).select("conv_id", "turn", "analysis", "sources_used", "confidence_score", "processing_time", listed.alias("n_listed"))
+
+
+@query("SELECT conv_id, turn, text AS question FROM conversations ORDER BY conv_id, turn LIMIT 1")
+def first_request(spark, sf):
+    """The one row that a call to the model answers."""
+    return answers.first_request(table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("question")), "conv_id", "turn")
+
+
+@query("SELECT conv_id, turn, 'r' || turn AS response, text AS analysis, NULL::VARCHAR AS routing_decision, turn::BIGINT AS sources_used, 0.5::DOUBLE AS confidence_score, turn / 4.0::DOUBLE AS processing_time_seconds, true AS no_sources FROM conversations")
+def response_projection(spark, sf):
+    c = table(spark, sf, "conversations").withColumns({"analysis": F.col("text"), "sources_used": F.col("turn"), "confidence_score": F.lit(0.5), "processing_time": F.col("turn") / 4.0})
+    out = answers.projected(c, "conv_id", "turn", response=F.concat(F.lit("r"), F.col("turn").cast("string")))
+    return out.select("conv_id", "turn", "response", "analysis", "routing_decision", "sources_used", "confidence_score", "processing_time_seconds", F.col("sources").isNull().alias("no_sources"))
+
+
 @query(r"""WITH c AS (SELECT doc_id, length(text) AS n, text FROM documents)
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, 'the', ''), '\n\s*\n', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, regexp_replace(text, 'the', 'the', 'gi') AS text FROM c)""")
 def remove_headers(spark, sf):

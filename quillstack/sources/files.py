@@ -32,6 +32,23 @@ def plain_text(content: bytes) -> tuple[str, list[dict]]:
     return "".join(p + "\n" for p in pages), words
 
 
+def pdf_text(content: bytes) -> tuple[str, list[dict]]:
+    """Extractor of PDF files for clusters whose workers have PyMuPDF, which is imported in the task.
+
+    Every page's text is followed by a line feed. Words are tuples of box, text, block, line and number; as chunk
+    tables expect them, ``font_size`` is the block's number and ``font_name`` the line's.
+    """
+    import pymupdf
+
+    texts, words = [], []
+    with pymupdf.open(stream=content, filetype="pdf") as pages:
+        for number, page in enumerate(pages, 1):
+            texts.append(page.get_text() + "\n")
+            for x0, y0, x1, y1, text, block, line, *_ in page.get_text("words"):
+                words.append({"ord": len(words), "text": text, "x0": float(x0), "y0": float(y0), "x1": float(x1), "y1": float(y1), "font_size": float(block), "font_name": str(line), "page_num": number})
+    return "".join(texts), words
+
+
 def _extract(extractor: Extractor):
     kinds = pa.list_(pa.struct([("ord", pa.int64()), ("text", pa.string()), *((k, pa.float64()) for k in ("x0", "y0", "x1", "y1", "font_size")), ("font_name", pa.string()), ("page_num", pa.int32())]))
 

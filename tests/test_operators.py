@@ -369,3 +369,59 @@ def test_clashing_column_names(spark):
     assert own(classify.classify_sections(rows)) == want
     q, e = rows.select(F.col("uid").alias("query_id"), F.array(F.lit(1.0)).alias("qvec")).limit(1), rows.drop("score", "rank").withColumn("embedding", F.array(F.col("turn").cast("double")))
     assert own(retrieval.top_k(q, e, 3, id_col="conv_id")) == want
+
+
+def _talks(spark, counts):
+    rows = [(f"{u}{i}", u, "t", i, i) for u, n in counts.items() for i in range(n)]
+    return spark.createDataFrame(rows, "id string, uid string, title string, created_at int, updated_at int").withColumns({c: F.timestamp_seconds(c) for c in ("created_at", "updated_at")}).withColumn("messages", F.array(F.lit("m")))
+
+
+def test_create_and_update_run_the_retention(spark):
+    c, now, at = _talks(spark, {"a": 25, "b": 19, "c": 20, "d": 3}), F.timestamp_seconds(F.lit(10**6)), F.coalesce("updated_at", "created_at")
+    new = spark.createDataFrame([("n1", "a", "x"), ("n2", "b", "x"), ("n3", "e", None)], "id string, uid string, title string")
+    out = store.create_conversations(c, new, "uid", at, "id", now).collect()
+    of = lambda rows: {u: sorted(r.id for r in rows if r.uid == u) for u in {r.uid for r in rows}}
+    assert {u: len(v) for u, v in of(out).items()} == {"a": 20, "b": 20, "c": 20, "d": 3, "e": 1}
+    assert "n1" in of(out)["a"] and "a5" not in of(out)["a"] and "a6" in of(out)["a"]
+    assert all(r.messages == [] and r.created_at == r.updated_at for r in out if r.id.startswith("n"))
+    changes = spark.createDataFrame([("c0", "y"), ("d1", None), ("none", "z")], "id string, title string")
+    out = store.update_conversations(c, changes, "id", "uid", at, now).collect()
+    by = {r.id: r for r in out}
+    assert {u: len(v) for u, v in of(out).items()} == {"a": 25, "b": 19, "c": 19, "d": 3}
+    assert by["c0"].title == "y" and "c1" not in by and by["d1"].title == "t" and by["d1"].updated_at > by["d0"].updated_at and "none" not in by
+    assert store.create_conversations(c.limit(0), new.limit(0), "uid", at, "id", now).isEmpty()
+
+
+def test_debounce_bypass(spark):
+    rows = [(1, "u", 0, False), (2, "u", 500, True), (3, "u", 900, False), (4, "u", 5000, None)]
+    e = spark.createDataFrame(rows, "event_id int, user_id string, ms int, shown boolean").withColumn("ts", F.timestamp_millis("ms"))
+    got = sessions.debounce(e, "event_id", bypass=F.col("shown")).collect()
+    assert sorted(r.event_id for r in got) == [2, 3, 4]
+
+
+def test_error_answers_and_projection(spark):
+    asked = spark.createDataFrame([(1, " ", 5), (2, "why", 51), (3, "why", None)], "id int, question string, top_k int")
+    failed = answers.error_answers(answers.validated(asked))
+    got = {r.id: r for r in failed.collect()}
+    assert set(got) == {1, 2} and got[2].analysis == "Error generating analysis: top_k must be between 1 and 50"
+    assert got[1].resource_list == {k: [] for k in ("geneva_documents", "judgment_documents", "additional_references")} and got[1].citations == []
+    seen = answers.projected(failed, "id", response=F.col("analysis")).first()
+    assert seen.routing_decision is None and seen.sources is None and seen.processing_time_seconds == 0.0
+    assert answers.first_request(asked, "id").first().id == 1
+
+
+def test_pdf_extractor_reads_words_of_a_page(monkeypatch):
+    import sys
+    import types
+
+    class Page:
+        def get_text(self, kind="text"):
+            return "Art 1" if kind == "text" else [(0, 1, 2, 3, "Art", 4, 5, 0), (2, 1, 3, 3, "1", 4, 5, 1)]
+
+    class Pages(list):
+        __enter__, __exit__ = lambda self: self, lambda self, *_: None
+
+    monkeypatch.setitem(sys.modules, "pymupdf", types.SimpleNamespace(open=lambda stream, filetype: Pages([Page(), Page()])))
+    text, words = files.pdf_text(b"%PDF")
+    assert text == "Art 1\nArt 1\n" and [w["ord"] for w in words] == [0, 1, 2, 3]
+    assert words[2] == {"ord": 2, "text": "Art", "x0": 0.0, "y0": 1.0, "x1": 2.0, "y1": 3.0, "font_size": 4.0, "font_name": "5", "page_num": 2}
