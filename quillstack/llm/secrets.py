@@ -20,15 +20,19 @@ BASE_KINDS = tuple(k for k, *_ in BASE)
 #: Character classes: kind, candidate runs, what a window must hold, least bits a character.
 CLASSES = (
     ("entropy_hex", re.compile(r"[0-9A-Fa-f]{24,}"), (re.compile("[0-9]"), re.compile("[A-Fa-f]")), 3.0),
-    ("entropy_base64", re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}"), (re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]")), 3.6),
+    ("entropy_base64", re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}"), (re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]")), 3.9),
 )
 #: Characters of an entropy window.
 WINDOW = 24
-#: Candidates that hold one of these are never reported by entropy (they stay if a base pattern finds them).
+#: The part of a candidate that holds one of these is never reported by entropy (it stays if a base pattern finds it).
 ALLOWED = (
     re.compile(r"(?i)example|placeholder|changeme|dummy|xxxx|0{8}|1234567|abcdefg"),
-    re.compile(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
+    re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F])"),
+    # Words in a row: paths and identifiers that can be read.
+    re.compile(r"(?:[A-Z]?[a-z]{3,}[0-9]{0,3}[/_-]?){3,}"),
 )
+#: What ends the part around an allowed match, which reaches ``WINDOW`` characters to each side at most.
+_HEAD, _TAIL = re.compile(r"[^+/_=-]*$"), re.compile(r"[^+/_=-]*")
 KINDS = (*BASE_KINDS, *(k for k, *_ in CLASSES))
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 _C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, 4096)]
@@ -61,6 +65,22 @@ def window_runs(text: str, window: int, least: float) -> Iterator[tuple[int, int
         yield start, end
 
 
+def searched(run: str) -> Iterator[tuple[int, int]]:
+    """The stretches of a candidate run outside the parts that the allow list suppresses."""
+    parts = []
+    for allowed in ALLOWED:
+        for m in allowed.finditer(run):
+            low, high = max(0, m.start() - WINDOW), min(len(run), m.end() + WINDOW)
+            parts.append((_HEAD.search(run[low : m.start()]).start() + low, _TAIL.match(run, m.end(), high).end()))
+    at = 0
+    for start, end in sorted(parts):
+        if at < start:
+            yield at, start
+        at = max(at, end)
+    if at < len(run):
+        yield at, len(run)
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, in code points, by start and then kind."""
     spans = []
@@ -71,11 +91,12 @@ def find(text: str) -> list[tuple[str, int, int]]:
     for rank, (kind, pattern, needs, least) in enumerate(CLASSES, len(BASE)):
         for m in pattern.finditer(text):
             run = m.group()
-            if any(a.search(run) for a in ALLOWED) or not all(n.search(run) for n in needs):
+            if not all(n.search(run) for n in needs):
                 continue
-            for start, end in window_runs(run, WINDOW, least):
-                if all(n.search(run, start, end) for n in needs):
-                    spans.append((m.start() + start, rank, m.start() + end))
+            for low, high in searched(run):
+                for start, end in window_runs(run[low:high], WINDOW, least):
+                    if all(n.search(run, low + start, low + end) for n in needs):
+                        spans.append((m.start() + low + start, rank, m.start() + low + end))
     return [(KINDS[k], s, e) for s, k, e in sorted(spans)]
 
 
@@ -121,8 +142,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, spans (kind, start, end in code points, end exclusive), one row per input row.
 
     A map over whole texts, without shuffle. Base patterns are matched leftmost and non-overlapping
-    per kind and failing matches are dropped; entropy spans come from candidate runs outside the
-    allow list. Null and empty texts have no spans; null and repeated doc_ids stay row by row.
+    per kind and failing matches are dropped; entropy spans come from the stretches of candidate runs
+    outside the parts that hold an allow-listed match. Null and empty texts have no spans; null and repeated doc_ids stay row by row.
     """
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()

@@ -311,6 +311,18 @@ def test_secrets(spark):
     assert secrets.redact("abcdef", [("x", 1, 3), ("y", 2, 4)]) == "a[REDACTED]ef"
 
 
+def test_secrets_suppress_parts():
+    key, low = "aB3dE5fG7hI9jK1lM2nO4pQ6rS8t", "8a40f2a4-56e2-4d0b-9ce6-6f0c37f2ab51"
+    at = lambda text: [(k, text[s:e]) for k, s, e in secrets.find(text)]
+    assert at(f"example/{key}") == [("entropy_base64", "/" + key)]
+    assert at(f"{low}_{key}")[0][1].strip("_") == key and at(low) == [] and at(f"id-{low}") == []
+    assert at("docs.org/Reference/Guide2/HowToReadTheFirstPage") == []
+    blob = key * 40
+    assert sum(e - s for _, s, e in secrets.find(blob + "xxxx" + blob)) >= 2 * len(blob) - 2 * secrets.WINDOW
+    parts = list(secrets.searched("A1-dummy-B2"))
+    assert parts == [(0, 3), (8, 11)] and list(secrets.searched("")) == []
+
+
 @pytest.mark.parametrize("few", [100_000, 20])
 def test_quality(spark, monkeypatch, few):
     monkeypatch.setattr(quality, "CELL_ROWS", few)
