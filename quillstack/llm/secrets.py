@@ -26,11 +26,14 @@ CLASSES = (
 WINDOW = 24
 #: The part of a candidate that holds one of these is never reported by entropy (it stays if a base pattern finds it).
 ALLOWED = (
-    re.compile(r"(?i)example|placeholder|changeme|dummy|xxxx|0{8}|1234567|abcdefg"),
+    re.compile(r"(?i)example|placeholder|changeme|dummy"),
     re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F])"),
-    # Words in a row: paths and identifiers that can be read.
-    re.compile(r"(?:[A-Z]?[a-z]{3,}[0-9]{0,3}[/_-]?){3,}"),
 )
+#: Stretches of which only the overlapping windows are not reported: filler, and three words in a row, each begun by a
+#: capital or after something that is no letter (paths and identifiers that can be read), of ``READABLE_LEAST`` characters.
+FILLER = re.compile(r"(?i)xxxx|0{8}|1234567|abcdefg")
+READABLE = re.compile(r"(?:(?:[A-Z][a-z]{3,}|(?<![A-Za-z])[a-z]{3,})(?:[A-Z][a-z]{1,2}(?=[A-Z]))?[0-9]{0,3}[/_-]?){3,}")
+READABLE_LEAST = 12
 #: What ends the part around an allowed match, which reaches ``WINDOW`` characters to each side at most.
 _HEAD, _TAIL = re.compile(r"[^+/_=-]*$"), re.compile(r"[^+/_=-]*")
 KINDS = (*BASE_KINDS, *(k for k, *_ in CLASSES))
@@ -66,8 +69,8 @@ def window_runs(text: str, window: int, least: float) -> Iterator[tuple[int, int
 
 
 def searched(run: str) -> Iterator[tuple[int, int]]:
-    """The stretches of a candidate run outside the parts that the allow list suppresses."""
-    parts = []
+    """The stretches of a candidate run outside the parts that the allow list suppresses, filler and what can be read."""
+    parts = [m.span() for m in FILLER.finditer(run)] + [m.span() for m in READABLE.finditer(run) if m.end() - m.start() >= READABLE_LEAST]
     for allowed in ALLOWED:
         for m in allowed.finditer(run):
             low, high = max(0, m.start() - WINDOW), min(len(run), m.end() + WINDOW)
@@ -143,7 +146,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     A map over whole texts, without shuffle. Base patterns are matched leftmost and non-overlapping
     per kind and failing matches are dropped; entropy spans come from the stretches of candidate runs
-    outside the parts that hold an allow-listed match. Null and empty texts have no spans; null and repeated doc_ids stay row by row.
+    outside the parts that hold an allow-listed match and outside filler and readable words in a row. Null and empty texts have no spans; null and repeated doc_ids stay row by row.
     """
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
@@ -151,7 +154,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The same rows and columns with the secrets in ``text`` replaced by a mark."""
+    """The same rows and columns with the secrets in ``text`` replaced by a mark; null and empty texts stay as they are."""
     return docs.mapInArrow(_scan(docs.columns, docs.columns.index("text"), True), docs.schema)
 
 

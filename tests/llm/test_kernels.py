@@ -323,6 +323,23 @@ def test_secrets_suppress_parts():
     assert parts == [(0, 3), (8, 11)] and list(secrets.searched("")) == []
 
 
+@pytest.mark.parametrize("word", ["production", "abcdefghi", "Database", "backup2"])
+@pytest.mark.parametrize("size", [24, 32])
+def test_secrets_glued_to_words(word, size):
+    rng = random.Random(size)
+    marks = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(marks) for _ in range(size)) for _ in range(3000)]
+
+    def found(text, low):
+        """Whether the spans cover the key but for what a window at its edge leaves out."""
+        return sum(max(0, min(e, low + size) - max(s, low)) for _, s, e in secrets.find(text)) >= size - 4
+
+    alone = sum(found(k, 0) for k in keys)
+    assert alone >= 0.95 * len(keys)
+    for joined in (lambda k: (word + k, len(word)), lambda k: (k + word, 0), lambda k: (f"{word}_{k}", len(word) + 1)):
+        assert sum(found(*joined(k)) for k in keys) >= alone - 0.01 * len(keys)
+
+
 @pytest.mark.parametrize("few", [100_000, 20])
 def test_quality(spark, monkeypatch, few):
     monkeypatch.setattr(quality, "CELL_ROWS", few)
