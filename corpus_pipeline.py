@@ -7,7 +7,7 @@ gives them the end id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm import decontam, minhash, packing, secrets, toxicity
@@ -27,16 +27,27 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, and one row of a doc_id that comes more than once."""
-    classes = minhash.near_duplicates(docs)
-    out = without(docs, classes.filter("not kept"))
-    again = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    """One document of each near-duplicate class stays; rows that share a doc_id and differ in text are documents of their own."""
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    scratch = Scratch(spark, "repeated-ids")
+    again = scratch.save(again, "again")
     if again.isEmpty():
-        return out
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    row = unused(docs, "row")
-    repeated = out.join(again, "doc_id", "left_semi").withColumn(row, first).filter(F.col(row) == 1).select(docs.columns)
-    return without(out, again).unionByName(repeated)
+        return without(docs, minhash.near_duplicates(docs).filter("not kept"))
+    own = unused(docs, "own_id")
+    single = without(docs, again)
+    many = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).withColumnRenamed("doc_id", own)
+    low, high = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
+    if high < 1 << 62:  # numbers that no document has; rows with an id of their own stay before these
+        number = F.monotonically_increasing_id() + F.lit(high + 1)
+    elif low > -(1 << 62):
+        number = F.lit(low - 1) - F.monotonically_increasing_id()
+    else:
+        raise ValueError("doc_ids leave no range for the rows that share one")
+    many = scratch.save(many.withColumn("doc_id", number), "many")
+    gone = minhash.near_duplicates(single.select("doc_id", "text").unionByName(many.select("doc_id", "text"))).filter("not kept").select("doc_id")
+    gone = scratch.save(gone, "gone")
+    left = without(many, gone).select(*[F.col(own).cast(docs.schema["doc_id"].dataType).alias(c) if c == "doc_id" else F.col(c) for c in docs.columns])
+    return without(single, gone).unionByName(left)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
