@@ -14,7 +14,9 @@ from .common import Scratch
 #: Rows and anchors of a block; a task holds the products of some of its anchors with all its rows.
 BLOCK, ANCHORS, AT_ONCE = 4096, 1024, 128
 #: Products go pair by pair once fewer than this share of a block is left.
-SPARSE = 0.1
+SPARSE = 0.05
+#: Parts of a block whose maxima bound the k-th greatest score.
+PARTS = 128
 #: Positives of an anchor, negatives of a positive, and the percentages of its score between which they lie.
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 3, 50, 95
 _FAR = np.iinfo(np.int64).max // 4
@@ -33,71 +35,84 @@ class Planes:
         return bit * (-(1 << k) if k == self.bits - 1 else 1 << k)
 
 
-def products(q: np.ndarray, planes: Planes, alive: np.ndarray, bounds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def products(q: np.ndarray, planes: Planes, alive: np.ndarray, wanted: "First | Between") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact scores of the pairs that stay candidates: anchor, row, score.
 
     Planes are added from the sign down. After each, a score lies between the sum so far and what the
     lower planes can add: (2**k - 1) times the sum of the anchor's negative, or positive, components.
-    ``bounds(low, high, alive)`` says which pairs can still qualify by their intervals.
+    ``wanted`` says which pairs can still qualify by their intervals. While many pairs are left, a plane
+    is one matrix product; then it goes pair by pair.
     """
     exact = float(np.abs(q).sum(axis=1).max(initial=0)) * 2.0**planes.bits
     if exact >= 2.0**63:
         raise ValueError("scores of these components do not fit in 64 bits")
-    kind = np.float64 if exact < 2.0**53 else np.int64  # matrix products of doubles are exact below 2**53
+    # Sums and bounds of floating point numbers are exact below 2**24 and 2**53.
+    kind = np.float32 if exact < 2.0**24 else np.float64 if exact < 2.0**53 else np.int64
     down, up = np.minimum(q, 0).sum(axis=1), np.maximum(q, 0).sum(axis=1)
-    left, sums = q.astype(kind), np.zeros(alive.shape, kind)
-    for k in range(planes.bits - 1, -1, -1):
+    left, sums, k = q.astype(kind), np.zeros(alive.shape, kind), planes.bits
+    while k and alive.mean() >= SPARSE:
+        k -= 1
         sums += left @ planes.plane(k).astype(kind).T
         rest = (1 << k) - 1
-        whole = sums.astype(np.int64)
-        alive = bounds(whole + rest * down[:, None], whole + rest * up[:, None], alive)
-        if k and alive.mean() < SPARSE:
-            break
+        alive = alive & wanted.table(sums, (rest * down).astype(kind)[:, None], (rest * up).astype(kind)[:, None], alive)
     i, j = np.nonzero(alive)
     score = sums[i, j].astype(np.int64)
-    for low in range(k - 1, -1, -1):  # what is left goes pair by pair, still plane by plane
-        if not len(i):
+    while len(i):
+        rest = (1 << k) - 1
+        keep = wanted.listed(i, score + rest * down[i], score + rest * up[i])
+        i, j, score = i[keep], j[keep], score[keep]
+        if not k:
             break
+        k -= 1
+        plane = planes.plane(k)
         for first in range(0, len(i), 1 << 16):
             part = slice(first, first + (1 << 16))
-            score[part] += np.einsum("ij,ij->i", q[i[part]], (planes.x[j[part]] >> low & 1) << low)
-        rest = (1 << low) - 1
-        table_low, table_high = (np.full(alive.shape, -_FAR) for _ in range(2))
-        table_low[i, j], table_high[i, j] = score + rest * down[i], score + rest * up[i]
-        alive = bounds(table_low, table_high, alive)
-        keep = alive[i, j]
-        i, j, score = i[keep], j[keep], score[keep]
+            score[part] += np.einsum("ij,ij->i", q[i[part]], plane[j[part]])
     return i, j, score
 
 
-def _kth(low: np.ndarray, sure: np.ndarray, k: int) -> np.ndarray:
-    """The k-th greatest lower bound of each anchor among the sure ones (far below where there are fewer)."""
-    if low.shape[1] < k:
-        return np.full(len(low), -_FAR)
-    return np.partition(np.where(sure, low, -_FAR), low.shape[1] - k, axis=1)[:, low.shape[1] - k]
+def _reached(i: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
+    """For each pair the k-th greatest lower bound of its anchor (far below where there are fewer); pairs come by anchor."""
+    order = np.lexsort((-low, i))
+    first, after = np.searchsorted(i, i), np.searchsorted(i, i, "right")
+    return np.where(after - first >= k, low[order][np.minimum(first + k - 1, len(i) - 1)], -_FAR)
 
 
-def _first(k: int):
+class First:
     """Pairs among the k greatest scores of their anchor; ties stay."""
 
-    def bounds(low, high, alive):
-        return alive & (high >= _kth(low, alive, k)[:, None])
+    def __init__(self, k: int):
+        self.k = k
 
-    return bounds
+    def table(self, sums, down, up, alive):
+        held = np.where(alive, sums + down, sums.dtype.type(-np.inf if sums.dtype.kind == "f" else -_FAR))
+        if held.shape[1] > 2 * PARTS:  # k parts whose maxima reach a number hold k pairs that do
+            held = np.maximum.reduceat(held, np.linspace(0, held.shape[1], PARTS, endpoint=False).astype(int), axis=1)
+        if held.shape[1] < self.k:
+            return alive
+        return sums + up >= np.partition(held, held.shape[1] - self.k, axis=1)[:, [held.shape[1] - self.k]]
 
+    def listed(self, i, low, high):
+        return high >= _reached(i, low, self.k)
 
-def _between(floor: np.ndarray, ceiling: np.ndarray, k: int):
+
+class Between:
     """Pairs among the k greatest scores of any window (columns of ``floor``, ``ceiling``) of their anchor; ties stay."""
 
-    def bounds(low, high, alive):
-        out = np.zeros_like(alive)
-        for f, c in zip(floor.T, ceiling.T, strict=True):
-            f, c = f[:, None], c[:, None]
-            least = _kth(low, alive & (low >= f) & (high <= c), k)[:, None]
-            out |= alive & (low <= c) & (high >= np.maximum(f, least))
-        return out
+    def __init__(self, floor: np.ndarray, ceiling: np.ndarray, k: int):
+        self.floor, self.ceiling, self.k = floor, ceiling, k
 
-    return bounds
+    def table(self, sums, down, up, alive):
+        least, most = (f(x, axis=1)[:, None].astype(sums.dtype) for f, x in ((np.min, self.floor), (np.max, self.ceiling)))
+        return (sums <= most - down) & (sums >= least - up)
+
+    def listed(self, i, low, high):
+        out = np.zeros(len(i), bool)
+        for f, c in zip(self.floor.T, self.ceiling.T, strict=True):
+            f, c = f[i], c[i]
+            least = _reached(i, np.where((low >= f) & (high <= c), low, -_FAR), self.k)
+            out |= (low <= c) & (high >= np.maximum(f, least))
+        return out
 
 
 def _matrix(column, rows: np.ndarray) -> np.ndarray:
@@ -127,7 +142,7 @@ def _positives(k: int):
         for table, own, rows, q, planes in _blocks(table):
             ids, labels = table["vec_id"].to_numpy(), table["label"].to_numpy()
             alive = (labels[own][:, None] == labels[rows][None, :]) & (ids[own][:, None] != ids[rows][None, :])
-            i, j, score = products(q, planes, alive, _first(k))
+            i, j, score = products(q, planes, alive, First(k))
             order = np.lexsort((ids[rows[j]], -score, i))
             i, j, score = i[order], j[order], score[order]
             keep = np.arange(len(i)) - np.searchsorted(i, i) < k
@@ -145,10 +160,10 @@ def _negatives(k: int, low: int, high: int):
             ids, labels = table["vec_id"].to_numpy(), table["label"].to_numpy()
             scores = [table["scores"][int(a)].as_py() for a in own]
             most = max(map(len, scores))
-            floor, ceiling = np.full((len(own), most), 1, np.int64), np.zeros((len(own), most), np.int64)  # 1 to 0: nothing
+            floor, ceiling = np.full((len(own), most), 2, np.int64), np.ones((len(own), most), np.int64)  # 2 to 1: nothing
             for n, s in enumerate(scores):
                 floor[n, : len(s)], ceiling[n, : len(s)] = [-(-low * v // 100) for v in s], [high * v // 100 for v in s]
-            i, j, score = products(q, planes, labels[own][:, None] != labels[rows][None, :], _between(floor, ceiling, k))
+            i, j, score = products(q, planes, labels[own][:, None] != labels[rows][None, :], Between(floor, ceiling, k))
             order = np.lexsort((ids[rows[j]], -score, i))
             i, j, score = i[order], j[order], score[order]
             for w in range(most):
