@@ -7,44 +7,23 @@ from pyspark.sql import functions as F
 
 from .. import taxonomy as T
 from ..functions import text as X
-from ..functions import vectors
 from ..functions.names import unused
+from .vector_index import VectorIndex
 
-#: Query rows that are broadcast at most; more are searched by blocks of that many, so the corpus stays in place.
-BROADCAST_QUERIES = 10_000
 
+def top_k(queries: DataFrame, corpus: DataFrame | VectorIndex, k: Column | int, by: str = "query_id", id_col: str = "vec_id", same: str | None = None) -> DataFrame:
+    """Exact cosine top-k: (by, qvec[, k]) against (id_col, embedding, ...) -> by, corpus columns, score, rank; ties by id_col.
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: Column | int, by: str = "query_id", id_col: str = "vec_id", same: str | None = None) -> DataFrame:
-    """Exact cosine top-k: (by, qvec[, k]) against (id_col, embedding, ...) -> by, corpus columns, score, rank.
-
-    The stated queries are broadcast after a check of their number and the corpus is read once, in place; every task keeps its
-    own best per query before the shuffle: the window group limit needs a constant, so a column k is applied after its
-    largest value. Wide corpus columns should be joined to what is found. ``same`` names a column in which both must agree.
+    ``corpus`` is an index that was built before, or a table of which one is built for this search. However many
+    queries there are, it is one plan of equi-joins on cells. Wide corpus columns should be joined to what is found. ``same`` names a
+    column of both in which they must agree (of an index, its ``_agree``). Vectors that are null, zero or not finite match nothing.
     """
-    n, most = queries.agg(F.count("*"), F.lit(k) if isinstance(k, int) else F.max(k)).first()
-    if n > BROADCAST_QUERIES:
-        parts = -(-n // BROADCAST_QUERIES)
-        block = F.pmod(F.xxhash64(by), F.lit(2 * parts))
-        found = [top_k(queries.filter(block == i), corpus, k, by, id_col, same) for i in range(2 * parts)]
-        out = found[0]
-        for f in found[1:]:
-            out = out.unionByName(f)
-        return out
-    # Lengths once per row, so that a pair costs one product.
-    norm = lambda c: F.sqrt(vectors.dot(F.col(c), F.col(c)))
-    nq, ne, agreed = (unused(queries, name, corpus) for name in ("query_norm", "corpus_norm", "agreed"))
-    q = queries.withColumn(nq, norm("qvec"))
-    corpus = corpus.withColumn(ne, norm("embedding"))
-    if same:
-        q = q.withColumnRenamed(same, agreed)
-        pairs = corpus.join(F.broadcast(q), F.col(same) == F.col(agreed)).drop(agreed)
-    else:
-        pairs = corpus.crossJoin(F.broadcast(q))
-    cosine = vectors.dot(F.col("embedding"), F.col("qvec")) / F.nullif(F.col(ne) * F.col(nq), F.lit(0.0))
-    scored = pairs.withColumn("score", cosine).filter(F.col("score").isNotNull()).drop("embedding", "qvec", ne, nq)
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), F.col(id_col)))
-    found = scored.withColumn("rank", rank).filter(F.col("rank") <= int(most or 0))
-    return found if isinstance(k, int) else found.filter(F.col("rank") <= k)
+    if isinstance(corpus, VectorIndex):
+        return corpus.search(queries, k, by, agree=same).drop("_row")
+    index = VectorIndex.build(corpus.withColumn("_agree", F.col(same).cast("string")) if same else corpus, id_col)
+    found = index.search(queries, k, by, agree=same)
+    more = [c for c in corpus.columns if c not in ("embedding", id_col)]
+    return (found.join(index.table.select("_row", *more), "_row") if more else found).drop("_row")
 
 
 def first_of_prefix(results: DataFrame, by: list[str], *order: str, length: int = 100) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import answers, questions, ranking, retrieval
+from ..operators.vector_index import VectorIndex
 from ..sources.scratch import saved
 
 #: Turns a text column into an embedding column of the same space as the indexes.
@@ -28,20 +29,29 @@ def hashed_embedder(size: int = 64) -> Embedder:
     return embed
 
 
-def hybrid(queries: DataFrame, index: DataFrame, kind: str, embed: Embedder, top_k: int) -> DataFrame:
+#: Rows of a saved table that are broadcast at most.
+BROADCAST_ROWS = 50_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A saved table, to be broadcast while it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def hybrid(queries: DataFrame, index: DataFrame, kind: str, embed: Embedder, top_k: int, cells: VectorIndex | None = None) -> DataFrame:
     """(question_id, query) against (row_id, content, summary, document_name, page_number, section, embedding) -> ranked results.
 
-    All variants of all questions are searched in one pass over the index, whose row_ids are distinct. Only ids and
-    scores are shuffled; the contents of the few rows found are read again.
+    All variants of all questions are searched in one plan over ``cells``, the vector index of the table, whose row_ids are
+    distinct; it is built here if it isn't given. Only ids and scores are shuffled; the contents of the few rows found are read again.
     """
+    cells = cells or VectorIndex.build(index.select("row_id", "embedding"), "row_id")
     rows = queries.select("question_id", "query", F.explode(questions.variants(F.col("query"), top_k, kind)).alias("v"))
     rows = rows.select("question_id", "query", "v.variant_ord", F.col("v.query").alias("asked"), "v.k").filter("k > 0")
     rows = rows.withColumn("variant_id", F.concat_ws("-", "question_id", "variant_ord")).withColumn("qvec", embed(F.col("asked")))
     rows = saved(rows, "variants")
-    best = retrieval.top_k(rows.select("variant_id", "qvec", "k"), index.select("row_id", "embedding"), F.col("k"), "variant_id", "row_id")
-    best = saved(best.drop("k").join(F.broadcast(rows.drop("qvec")), "variant_id"), "found")
-    # As many rows as queries times k at most, and queries are counted before they are broadcast.
-    found = index.drop("embedding").join(F.broadcast(best), "row_id")
+    best = retrieval.top_k(rows.select("variant_id", "qvec", "k"), cells, F.col("k"), "variant_id", "row_id")
+    best = saved(best.join(_few(rows.drop("qvec")), "variant_id"), "found")
+    found = index.drop("embedding").join(_few(best), "row_id")
     found = found.withColumn("article", retrieval.article_references(F.col("content"))).withColumn("source_type", F.lit(kind))
     unique = retrieval.first_of_prefix(found, ["question_id"], "variant_ord", "rank").withColumn("found_ord", F.col("variant_ord") * 1000 + F.col("rank"))
     ranked = retrieval.above(ranking.rerank(unique))
@@ -65,10 +75,12 @@ def retrieve(asked: DataFrame, judgments: DataFrame, treaties: DataFrame, embed:
         more = F.concat_ws(" ", "query", F.array_join(F.slice(F.coalesce("concepts", F.array().cast("array<string>")), 1, 5), " "))
         return queries.join(found, "question_id", "left").select("question_id", F.when(F.size(F.coalesce("concepts", F.array().cast("array<string>"))) > 0, more).otherwise(F.col("query")).alias("query"))
 
-    t1 = hybrid(of("geneva_first").unionByName(of("parallel")), treaties, "geneva", embed, top_k)
-    j1 = hybrid(of("judgment_first").unionByName(of("parallel")), judgments, "judgment", embed, top_k)
-    j2 = hybrid(hop_two(t1, of("geneva_first")), judgments, "judgment", embed, top_k)
-    t2 = hybrid(hop_two(j1, of("judgment_first")), treaties, "geneva", embed, top_k)
+    # Each index is embedded and built once for both hops.
+    in_judgments, in_treaties = (VectorIndex.build(t.select("row_id", "embedding"), "row_id") for t in (judgments, treaties))
+    t1 = hybrid(of("geneva_first").unionByName(of("parallel")), treaties, "geneva", embed, top_k, in_treaties)
+    j1 = hybrid(of("judgment_first").unionByName(of("parallel")), judgments, "judgment", embed, top_k, in_judgments)
+    j2 = hybrid(hop_two(t1, of("geneva_first")), judgments, "judgment", embed, top_k, in_judgments)
+    t2 = hybrid(hop_two(j1, of("judgment_first")), treaties, "geneva", embed, top_k, in_treaties)
     fused = retrieval.weighted_merge(t1.unionByName(t2).withColumnRenamed("rank", "hop_rank"), j1.unionByName(j2).withColumnRenamed("rank", "hop_rank"), routes, "question_id", top_k, "hop_rank")
     return fused.join(routes.select("question_id", "question", "strategy", "focus"), "question_id")
 

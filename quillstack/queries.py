@@ -132,11 +132,6 @@ def hybrid_fusion_dedup(spark, sf):
     return _fusion(q.withColumn("k", F.expr("case variant_ord when 0 then 10 when 1 then 5 else 3 end")), e)
 
 
-# The same queries under the names that they had beside smaller ones.
-for _name in ("vector_topk", "capped_topk", "hybrid_fusion_dedup"):
-    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
-
-
 _TERMS = ["der", "of", "the", "zu"]
 
 
@@ -179,9 +174,6 @@ def _merged(spark: SparkSession, sf: str, chosen: str = EVERY) -> DataFrame:
     return retrieval.weighted_merge(part(0), part(1), routes, "query_id", 10, "o").select("query_id", "vec_id", "list_ord", F.round("score", 6).alias("score"), "rank")
 
 
-QUERIES["weighted_merge_whole"], ORACLE_SQL["weighted_merge_whole"] = weighted_merge, ORACLE_SQL["weighted_merge"]
-
-
 # Questions.
 
 
