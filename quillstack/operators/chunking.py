@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import folds
+from ..functions import folds, locate, sparse
 from ..functions import text as X
 
 #: Sizes in tokens: target, least, most, and the overlap's share.
@@ -50,6 +50,15 @@ def chunk_stats(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     return per.agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_chunks"), F.avg("n").alias("chunks_per_doc"), (F.sum("t") / F.sum("n")).alias("tokens_per_chunk"))
 
 
+def pages_in_row(text: Column, words: Column, chunks: Column) -> Column:
+    """Pages [first, last] of every chunk of a document, in the document's row.
+
+    ``words``: array of (size, page) in reading order, ``chunks``: array of (head, size) with the first 100 characters.
+    All heads are found in one pass over the text; a page is found by bisection in the sums of the word sizes.
+    """
+    return locate.pages()(text, F.transform(words, lambda w: w["size"].cast("long")), F.transform(words, lambda w: w["page"].cast("long")), F.transform(chunks, lambda c: c["head"]), F.transform(chunks, lambda c: c["size"].cast("long")))
+
+
 def chunk_pages(chunks: DataFrame, words: DataFrame, texts: DataFrame) -> DataFrame:
     """Adds ``pages``: the pages at the places of a chunk's first and last character.
 
@@ -57,80 +66,110 @@ def chunk_pages(chunks: DataFrame, words: DataFrame, texts: DataFrame) -> DataFr
     place is the sum of the lengths before it, each with a space. The bound is the first word at or after
     a place, page 1 beyond the last; [1, 1] if the chunk is not found. chunk_id must be unique in its document.
     """
-    before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    placed = words.select("doc_id", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long").alias("pos"), F.col("page_num").cast("long").alias("page"))
-    at = (F.instr(F.col("_text"), F.substring("text", 1, 100)) - 1).cast("long")
-    found = chunks.join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id").select("doc_id", "chunk_id", at.alias("a"), (at + F.length("text")).alias("b")).filter("a >= 0")
-    bounds = found.select("doc_id", "chunk_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("pos")), F.struct(F.lit(1).alias("side"), F.col("b").alias("pos")))).alias("s")).select("doc_id", "chunk_id", "s.side", "s.pos")
-    # As-of: words and bounds of a document in one order, from the end; every bound takes the page of the word last seen.
-    down = Window.partitionBy("doc_id").orderBy(F.desc("pos"), F.col("side").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    points = bounds.withColumn("page", F.lit(None).cast("long")).unionByName(placed, allowMissingColumns=True).withColumn("page", F.last("page", True).over(down))
-    sides = points.filter("side is not null").groupBy("doc_id", "chunk_id").agg(*[F.max(F.when(F.col("side") == k, F.coalesce("page", F.lit(1)))).alias(f"_p{k}") for k in (0, 1)])
+    of_doc = lambda df, name, *c: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*c))).alias(name))
+    placed = of_doc(words, "_words", "ord", F.length("text").alias("size"), F.col("page_num").alias("page"))
+    asked = of_doc(chunks, "_chunks", "chunk_id", F.substring("text", 1, 100).alias("head"), F.length("text").alias("size"))
+    rows = asked.join(placed, "doc_id", "left").join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
+    rows = rows.select("doc_id", "_chunks", pages_in_row(F.col("_text"), F.col("_words"), F.col("_chunks")).alias("_pages"))
+    found = rows.select("doc_id", F.explode(F.arrays_zip(F.transform("_chunks", lambda c: c["chunk_id"]).alias("chunk_id"), F.col("_pages").alias("pages"))).alias("x")).select("doc_id", "x.*")
     one = F.lit(1).cast("long")
-    return chunks.join(sides, ["doc_id", "chunk_id"], "left").withColumn("pages", F.array(F.coalesce("_p0", one), F.coalesce("_p1", one))).drop("_p0", "_p1")
+    return chunks.join(found, ["doc_id", "chunk_id"], "left").withColumn("pages", F.coalesce("pages", F.array(one, one)))
+
+
+#: Counters of the word frequencies by which ``footnote_links`` orders words.
+COUNTERS = 1 << 16
+
+
+def _counter(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(COUNTERS)).cast("int")
+
+
+def word_frequencies(*tables: DataFrame) -> Column:
+    """How many texts of the tables hold a word, summed by ``COUNTERS`` counters, as an array: that many numbers however large the tables are."""
+    words = lambda df: df.select(F.explode(F.array_distinct(X.words(F.lower("text")))).alias("_w"))
+    every = words(tables[0])
+    for t in tables[1:]:
+        every = every.unionByName(words(t))
+    counts = [0] * COUNTERS
+    for slot, n in every.groupBy(_counter(F.col("_w"))).count().collect():
+        counts[slot] = n
+    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")  # folded to one literal
+
+
+def word_sets(df: DataFrame, name: str, key: tuple[str, ...], frequencies: Column) -> DataFrame:
+    """(key, text) -> key, name, distinct words ``_ws`` with the rarest first, by counter and then by word."""
+    counted = lambda w: F.struct(F.get(frequencies, _counter(w)).alias("n"), w.alias("w"))
+    words = F.array_sort(F.transform(F.array_distinct(X.words(F.lower("text"))), counted))
+    return df.select(*key, name, F.transform(words, lambda s: s["w"]).alias("_ws"))
+
+
+def rare_words(sets: DataFrame, name: str, key: tuple[str, ...], more_than: int) -> DataFrame:
+    """All but the ``more_than`` most frequent words of each set, a row each: sets with more common words than that share one."""
+    prefix = F.slice("_ws", 1, F.greatest(F.size("_ws") - more_than, F.lit(0)))
+    return sets.select(*key, name, F.explode(prefix).alias("_w"))
 
 
 def footnote_links(chunks: DataFrame, notes: DataFrame, *key: str, more_than: int = 3) -> DataFrame:
-    """Pairs of chunks and footnotes with more than ``more_than`` common words, found by an equi-join on words.
+    """Pairs of chunks and footnotes with more than ``more_than`` common words: (key, chunk_id, text) and (key, note_id, text) -> key, chunk_id, note_id, common.
 
-    (key, chunk_id, text) and (key, note_id, text) -> key, chunk_id, note_id, common.
+    Words of both sides are ordered by how rare they are. Of two sets with more than m common words, each
+    has one of these among all but its m last words, so only those meet in an equi-join, and a word that stands everywhere
+    joins nothing but sets of such words. Candidates are then compared whole. (key, id) must be distinct.
     """
-    own = lambda df, name: df.select(*key, name, F.explode(F.array_distinct(X.words(F.lower("text")))).alias("_w"))
-    pairs = own(chunks, "chunk_id").join(own(notes, "note_id"), [*key, "_w"])
-    return pairs.groupBy(*key, "chunk_id", "note_id").agg(F.count("*").alias("common")).filter(F.col("common") > more_than)
+    frequencies = word_frequencies(chunks, notes)
+    left, right = word_sets(chunks, "chunk_id", key, frequencies), word_sets(notes, "note_id", key, frequencies)
+    pairs = rare_words(left, "chunk_id", key, more_than).join(rare_words(right, "note_id", key, more_than), [*key, "_w"])
+    pairs = pairs.select(*key, "chunk_id", "note_id").distinct()
+    whole = pairs.join(left, [*key, "chunk_id"]).join(right.withColumnRenamed("_ws", "_vs"), [*key, "note_id"])
+    return whole.withColumn("common", F.size(F.array_intersect("_ws", "_vs")).cast("long")).filter(F.col("common") > more_than).select(*key, "chunk_id", "note_id", "common")
 
 
-def adjacent_similarity(parts: DataFrame, block: list[str], order: str, features: int | None = 1000, stop: list[str] | None = None) -> DataFrame:
-    """TF-IDF cosine of every part with the next one of its block: (block, order, similarity). Only neighbours are compared.
+def neighbour_similarity(texts: Column, features: int | None = 1000, stop: list[str] | None = None) -> Column:
+    """TF-IDF cosine of every text of an array with the next one, as an array with one value less; nothing leaves the row.
 
-    Terms are lower-cased runs of two or more word characters; the ``features`` most frequent of a block stay (all
-    if None). A term's weight is tf * (ln((1 + n) / (1 + df)) + 1) for n parts. As that is tf * (a - b) with a
-    of the block and b of the term, sums of tf products with 1, b and b * b do, and n joins them at the end. So
-    tokens are shuffled once by term, and sums by part.
+    Terms are lower-cased runs of two or more word characters; the ``features`` most frequent of the array stay (all
+    if None; ties by term). A term's weight is tf * (ln((1 + n) / (1 + df)) + 1) for n texts. Null gives null.
     """
-    tokens = parts.select(*block, order, F.explode(X.all_matches(F.lower("text"), r"\b\w\w+\b")).alias("_t"))
+    terms = F.transform(texts, lambda t: X.all_matches(F.lower(F.coalesce(t, F.lit(""))), r"\b\w\w+\b"))
     if stop:
-        tokens = tokens.filter(~F.col("_t").isin(stop))
-    tf = tokens.repartition(*block, "_t").groupBy(*block, "_t", order).agg(F.count("*").alias("tf"))
-    terms = tf.groupBy(*block, "_t").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "tf"))).alias("p"))
-    if features is not None:
-        total = F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["tf"])
-        rank = F.row_number().over(Window.partitionBy(*block).orderBy(F.desc("_all"), "_t"))
-        terms = terms.withColumn("_all", total).withColumn("_r", rank).filter(F.col("_r") <= features)
-
-    def sums(x: Column, i: Column) -> Column:
-        after = F.get(F.col("p"), i + 1)
-        follows = F.when(after["o"] == x["o"] + 1, x["tf"] * after["tf"]).otherwise(0)
-        return F.struct(x["o"].alias("o"), (x["tf"] * x["tf"]).cast("double").alias("s"), follows.cast("double").alias("d"))
-
-    b = F.log(1.0 + F.size("p"))
-    rows = terms.select(*block, b.alias("b"), F.explode(F.transform("p", sums)).alias("x")).select(*block, F.col("x.o").alias(order), *[(F.col(f"x.{c}") * w).alias(f"{c}{k}") for c in "sd" for k, w in enumerate((F.lit(1.0), F.col("b"), F.col("b") * F.col("b")))])
-    names = [f"{c}{k}" for c in "sd" for k in range(3)]
-    rows = rows.unionByName(parts.select(*block, order, *[F.lit(0.0).alias(n) for n in names]))
-    of_block = Window.partitionBy(*block)
-    a = F.log(1.0 + F.col("n")) + 1
-    whole = lambda c: a * a * F.col(f"{c}0") - 2 * a * F.col(f"{c}1") + F.col(f"{c}2")
-    per = rows.groupBy(*block, order).agg(*[F.sum(n).alias(n) for n in names]).withColumn("n", F.count("*").over(of_block)).select(*block, order, whole("s").alias("s"), whole("d").alias("d"))
-    after = F.lead("s").over(of_block.orderBy(order))
-    cosine = F.coalesce(F.col("d") / F.nullif(F.sqrt(F.col("s") * F.col("after")), F.lit(0.0)), F.lit(0.0))
-    return per.withColumn("after", after).filter("after is not null").select(*block, order, cosine.alias("similarity"))
+        left_out = F.lit(list(stop))
+        terms = F.transform(terms, lambda ts: F.filter(ts, lambda t: ~F.array_contains(left_out, t)))
+    return sparse.neighbour_cosines(features)(terms)
 
 
-def semantic_merge(parts: DataFrame, block: list[str], order: str, threshold: float = 0.88, target: int = JUDGMENT[0], **options) -> DataFrame:
-    """(block, order, text, tokens, split_method) -> merged chunks: a part joins the next if they are alike and small enough; pairs don't chain."""
-    joined = parts.join(adjacent_similarity(parts, block, order, **options), [*block, order], "left")
-    rows = joined.groupBy(*block).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "text", "tokens", "split_method", F.coalesce("similarity", F.lit(0.0)).alias("sim")))).alias("c"))
+def merged_neighbours(chunks: Column, similarity: Column, threshold: float, target: int) -> Column:
+    """Array of chunks -> chunks: one joins the next if they are alike and small enough together; pairs don't chain."""
     start = F.struct(folds.none_yet().alias("done"), F.lit(False).alias("skip"))
-    at = F.sequence(F.lit(0), F.size("c") - 1)
 
     def step(acc: Column, i: Column) -> Column:
-        a, b = F.get(F.col("c"), i), F.get(F.col("c"), i + 1)
-        join = b.isNotNull() & (a["sim"] > threshold) & (a["tokens"] + b["tokens"] <= target * 1.5)
+        a, b = F.get(chunks, i), F.get(chunks, i + 1)
+        join = b.isNotNull() & (F.coalesce(F.get(similarity, i), F.lit(0.0)) > threshold) & (a["tokens"] + b["tokens"] <= target * 1.5)
         both = F.concat(a["text"], F.lit("\n\n"), b["text"])
         one = F.when(join, folds.chunk(both, X.token_count(both), "semantic_merge")).otherwise(folds.chunk(a["text"], a["tokens"], a["split_method"]))
         return F.struct(F.when(acc["skip"], acc["done"]).otherwise(F.concat(acc["done"], F.array(one))).alias("done"), (~acc["skip"] & F.coalesce(join, F.lit(False))).alias("skip"))
 
-    return exploded(rows, F.aggregate(at, start, step, lambda acc: acc["done"]), *block)
+    at = F.when(F.size(chunks) > 0, F.sequence(F.lit(0), F.size(chunks) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(at, start, step, lambda acc: acc["done"])
+
+
+def _in_order(parts: DataFrame, block: list[str], order: str, *columns: str) -> DataFrame:
+    """One row per block with its parts ``c`` in order."""
+    return parts.groupBy(*block).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *columns))).alias("c"))
+
+
+def adjacent_similarity(parts: DataFrame, block: list[str], order: str, features: int | None = 1000, stop: list[str] | None = None) -> DataFrame:
+    """``neighbour_similarity`` of parts that are rows: (block, order, similarity), with one shuffle by block."""
+    rows = _in_order(parts, block, order, "text")
+    rows = rows.withColumn("s", neighbour_similarity(F.transform("c", lambda x: x["text"]), features, stop))
+    one = F.transform("s", lambda s, i: F.struct(F.get(F.col("c"), i)["o"].alias(order), s.alias("similarity")))
+    return rows.select(*block, F.explode(one).alias("x")).select(*block, "x.*")
+
+
+def semantic_merge(parts: DataFrame, block: list[str], order: str, threshold: float = 0.88, target: int = JUDGMENT[0], **options) -> DataFrame:
+    """(block, order, text, tokens, split_method) -> merged chunks of each block."""
+    rows = _in_order(parts, block, order, "text", "tokens", "split_method")
+    rows = rows.withColumn("s", neighbour_similarity(F.transform("c", lambda x: x["text"]), **options))
+    return exploded(rows, merged_neighbours(F.col("c"), F.col("s"), threshold, target), *block)
 
 
 def merge_small(df: DataFrame, chunks: Column, *keep: str, sizes: tuple = JUDGMENT) -> DataFrame:

@@ -30,25 +30,30 @@ def _with_ids(files: DataFrame, name: Column) -> DataFrame:
 def judgment_chunks(files: DataFrame, sizes: tuple = chunking.JUDGMENT, similar: float = 0.88, stop: list[str] | None = None) -> DataFrame:
     """(filename, text, words, _error) -> the 17 columns of judgment chunks.
 
-    Blocks are split, overlapped, merged where alike and packed; everything but the similarity of neighbours and
-    the numbering happens inside the row of a document. Tables that several steps read are saved once.
+    A block is split, overlapped, merged where neighbours are alike and packed within one row; then a document's
+    chunks come together once, where they are numbered and their pages are found. Footnotes join by rare words.
     """
     target, least, most, ratio = sizes
     docs = saved(cleaned(_with_ids(files, F.replace("filename", F.lit(".pdf"))), 5).withColumn("meta", layout.judgment_metadata(F.col("clean"), F.col("filename"))), "docs")
     block = F.explode(F.transform(structure.blocks(F.col("clean")), lambda b, i: F.struct(i.alias("block_ord"), b["text"].alias("block"), b["type"].alias("type"), b["section_id"].alias("section_id"))))
-    blocks = docs.select("doc_id", block.alias("b")).select("doc_id", "b.*")
-    blocks = saved(blocks.withColumn("c", classify.classify(F.col("block"), "judgment")), "blocks")
-    parts = saved(chunking.exploded(blocks, folds.with_overlap(folds.recursive_split(F.col("block"), target), ratio), "doc_id", "block_ord"), "parts")
-    alike = chunking.semantic_merge(parts, ["doc_id", "block_ord"], "chunk_ord", similar, target, stop=stop)
-    one = F.struct("text", "tokens", "split_method")
-    packed = alike.groupBy("doc_id", "block_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("chunk_ord"), one.alias("c")))), lambda s: s["c"]).alias("cs"))
-    chunks = chunking.exploded(packed, folds.merge_small(F.col("cs"), least, target, most), "doc_id", "block_ord")
-    numbered = saved(chunking.chunk_ids(chunks.join(blocks.drop("block"), ["doc_id", "block_ord"]), "doc_id", "block_ord", "chunk_ord"), "chunks")
-    paged = chunking.chunk_pages(numbered, S.words_of(docs), docs.select("doc_id", F.col("clean").alias("text")))
+    blocks = docs.select("doc_id", block.alias("b")).select("doc_id", "b.*").withColumn("c", classify.classify(F.col("block"), "judgment"))
+    parts = saved(blocks.withColumn("parts", folds.with_overlap(folds.recursive_split(F.col("block"), target), ratio)).drop("block"), "parts")
+    alike = parts.withColumn("alike", chunking.neighbour_similarity(F.transform("parts", lambda x: x["text"]), stop=stop))
+    merged = folds.merge_small(chunking.merged_neighbours(F.col("parts"), F.col("alike"), similar, target), least, target, most)
+    head = lambda c: F.substring(c["text"], 1, 100).alias("head")
+    chunks = chunking.exploded(alike.withColumn("m", merged), F.col("m"), "doc_id", "block_ord", "type", "section_id", "c")
+    whole = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_ord", "chunk_ord", "text", "tokens", "split_method", "type", "section_id", "c"))).alias("cs"))
+    sized = F.transform("words", lambda w: F.struct(F.length(w["text"]).alias("size"), w["page_num"].alias("page")))
+    heads = F.transform("cs", lambda c: F.struct(head(c), F.length(c["text"]).alias("size")))
+    rows = whole.join(docs.select("doc_id", "words", "clean", "meta.case_number", "meta.date", "meta.judges"), "doc_id")
+    rows = rows.withColumn("places", chunking.pages_in_row(F.col("clean"), sized, heads)).select("doc_id", "case_number", "date", "judges", "places", F.posexplode("cs").alias("n", "x"))
+    numbered = saved(rows.select("doc_id", "case_number", "date", "judges", F.concat("doc_id", F.lit("_chunk_"), F.col("n").cast("string")).alias("chunk_id"), F.get("places", F.col("n")).alias("pages"), "x.*"), "chunks")
     notes = saved(layout.footnotes(S.words_of(docs)).select("doc_id", F.concat_ws("-", "page_num", "note").alias("note_id"), "text"), "notes")
-    links = chunking.footnote_links(numbered.select("doc_id", "chunk_id", "text"), notes, "doc_id").join(notes.select("doc_id", "note_id", F.col("text").alias("note")), ["doc_id", "note_id"])
-    noted = paged.join(links.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list("note")).alias("footnotes")), ["doc_id", "chunk_id"], "left")
-    full = noted.join(docs.select("doc_id", "meta.case_number", "meta.date", "meta.judges"), "doc_id")
+    if notes.isEmpty():
+        full = numbered.withColumn("footnotes", F.array().cast("array<string>"))
+    else:
+        links = chunking.footnote_links(numbered.select("doc_id", "chunk_id", "text"), notes, "doc_id").join(notes.select("doc_id", "note_id", F.col("text").alias("note")), ["doc_id", "note_id"])
+        full = numbered.join(links.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list("note")).alias("footnotes")), ["doc_id", "chunk_id"], "left")
     return full.select(
         "chunk_id", "text", "doc_id", "case_number", "pages", F.col("section_id").alias("section"), "c.section_type", F.col("c.confidence").alias("section_hierarchy"),
         F.coalesce("footnotes", F.array().cast("array<string>")).alias("footnotes"), "date", "judges", F.array(F.lit(0).cast("long"), F.length("text").cast("long")).alias("char_offset"),
