@@ -115,8 +115,8 @@ class Between:
         return out
 
 
-def _matrix(column, rows: np.ndarray) -> np.ndarray:
-    return np.array([column[int(k)].as_py() for k in rows], np.int64).reshape(len(rows), -1)
+def _matrix(column, rows: np.ndarray, size: int) -> np.ndarray:
+    return np.array([column[int(k)].as_py() for k in rows], np.int64).reshape(len(rows), size)
 
 
 def _lengths(table: pa.Table) -> np.ndarray:
@@ -130,10 +130,12 @@ def _blocks(table: pa.Table) -> Iterator[tuple]:
     row = table["as_row"].to_numpy(zero_copy_only=False)
     for n in np.unique(size[anchor]):
         own, rows = np.flatnonzero(anchor & (size == n)), np.flatnonzero(row & (size == n))
-        planes = Planes(_matrix(table["x"], rows))
+        if not len(rows):
+            continue
+        planes = Planes(_matrix(table["x"], rows, int(n)))
         for first in range(0, len(own), AT_ONCE):
             some = own[first : first + AT_ONCE]
-            yield table, some, rows, _matrix(table["x"], some), planes
+            yield table, some, rows, _matrix(table["x"], some, int(n)), planes
 
 
 def _positives(k: int):

@@ -50,7 +50,7 @@ def test_clashing_names(spark):
 
 def test_registered(spark):
     names = entry.queries()
-    assert "pipeline" in names and all(sum(k.startswith(f"op{n}_") for k in names) == 1 for n in range(1, 11))
+    assert "pipeline" in names and all(sum(k.startswith(f"op{n}_") for k in names) == 1 for n in range(1, 14))
     run = cp.run(spark, SF)
     assert run.agg(F.count("*")).first()[0] > 0
 
