@@ -46,11 +46,13 @@ QUESTIONS = [
     "sentence",
     "  Case  and   convention   and  what or how ",
 ]
-_QUESTIONS = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in enumerate(QUESTIONS)) + ") t(question_id, question)"
+# A question for every turn of a conversation: one of those above, and the beginning of what was said.
+_QUESTIONS = "SELECT conv_id * 1000 + turn AS question_id, [" + ", ".join(f"'{q}'" for q in QUESTIONS) + "][((conv_id + turn) % 8 + 1)::INT] || ' ' || coalesce(substr(text, 1, 80), '') AS question FROM conversations"
 
 
-def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id long, question string")
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    stem = F.get(F.lit(QUESTIONS), ((F.col("conv_id") + F.col("turn")) % len(QUESTIONS)).cast("int"))
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.concat(stem, F.lit(" "), F.coalesce(F.substring("text", 1, 80), F.lit(""))).alias("question"))
 
 
 def _hits(c: str, terms: list[str]) -> str:
@@ -183,7 +185,7 @@ m AS (SELECT *, {_hits('lo', T.TREATY_TOPICS)} AS t, {_hits('lo', T.JUDGMENT_TOP
 SELECT question_id, CASE WHEN j > t THEN 'judgment' WHEN t > j THEN 'geneva' ELSE 'both' END AS focus, t::BIGINT AS treaty_matches, j::BIGINT AS judgment_matches, round(t / 20.0::DOUBLE, 6) AS treaty_priority, round(j / 24.0::DOUBLE, 6) AS judgment_priority,
  CASE WHEN contains(lo, 'methodology') OR contains(lo, 'how to') THEN 'geneva_first' WHEN contains(lo, 'case') OR contains(lo, 'judgment') OR contains(lo, 'chamber') THEN 'judgment_first' WHEN t / 20.0 > 0.3 THEN 'geneva_first' WHEN j / 24.0 > 0.3 THEN 'judgment_first' ELSE 'parallel' END AS strategy FROM m""")
 def route_questions(spark, sf):
-    r = questions.route(_questions(spark))
+    r = questions.route(_questions(spark, sf))
     return r.select("question_id", "focus", "treaty_matches", "judgment_matches", F.round("treaty_priority", 6).alias("treaty_priority"), F.round("judgment_priority", 6).alias("judgment_priority"), "strategy")
 
 
@@ -194,7 +196,7 @@ _FOUND = "list_concat(" + ", ".join(f"CASE WHEN contains(lo, '{k}') THEN {_list(
 WITH q AS (SELECT *, lower(question) AS lo FROM ({_QUESTIONS})), f AS (SELECT *, {_FOUND} AS fo FROM q), u AS (SELECT *, {ORDERED.format('fo')}[1:8] AS te FROM f)
 SELECT question_id, CASE WHEN len(te) > 0 THEN question || ' ' || array_to_string(te, ' ') ELSE question END AS expanded FROM u""")
 def expand_questions(spark, sf):
-    return _questions(spark).select("question_id", questions.expand(F.col("question")).alias("expanded"))
+    return _questions(spark, sf).select("question_id", questions.expand(F.col("question")).alias("expanded"))
 
 
 _TIDY = f"array_to_string({WORDS.format('question')}, ' ')"
@@ -209,7 +211,7 @@ c AS (SELECT question_id, list_filter(list_transform(list_concat([question], CAS
 u AS (SELECT question_id, {ORDERED.format('al')}[1:3] AS su FROM c)
 SELECT question_id, unnest(range(len(su)))::INT AS sub_ord, unnest(su) AS sub_query FROM u""")
 def decompose_questions(spark, sf):
-    return _questions(spark).select("question_id", F.posexplode(questions.decompose(F.col("question"))).alias("sub_ord", "sub_query"))
+    return _questions(spark, sf).select("question_id", F.posexplode(questions.decompose(F.col("question"))).alias("sub_ord", "sub_query"))
 
 
 _V = lambda text, k: f"[{{'query': {text}, 'k': {k}}}]"
@@ -222,7 +224,7 @@ v AS (SELECT question_id, 'judgment' AS kind, list_concat({_V("question", 10)},
  UNION ALL SELECT question_id, 'geneva', list_concat({_V("question", 10)}, {_IF("expanded <> question", "expanded", 5)}, {_IF(_any("lo", ["article"]), "'article provisions ' || question", 3)}, {_IF(_any("lo", ["convention", "protocol", "geneva"]), "'convention text ' || question", 3)}) FROM q),
 u AS (SELECT question_id, kind, unnest(range(len(vs)))::INT AS variant_ord, unnest(vs) AS v FROM v) SELECT question_id, kind, variant_ord, v.query AS query, v.k::INT AS k FROM u""")
 def search_variants(spark, sf):
-    of = lambda kind: _questions(spark).select("question_id", F.lit(kind).alias("kind"), F.explode(questions.variants(F.col("question"), 10, kind)).alias("v"))
+    of = lambda kind: _questions(spark, sf).select("question_id", F.lit(kind).alias("kind"), F.explode(questions.variants(F.col("question"), 10, kind)).alias("v"))
     return of("judgment").unionByName(of("geneva")).select("question_id", "kind", "v.*")
 
 
@@ -500,7 +502,7 @@ def article_references(spark, sf):
 
 @query("""WITH q AS (SELECT question_id, lower(question) AS lo FROM (""" + _QUESTIONS + ")) SELECT question_id, unnest(list_filter([" + ", ".join(f"CASE WHEN {_any('lo', v)} THEN '{k}' END" for k, v in T.CONCEPTS.items()) + "], lambda c: c IS NOT NULL)) AS concept FROM q")
 def legal_concepts(spark, sf):
-    q = _questions(spark).select("question_id", F.col("question").alias("content"), F.lit("").alias("summary"), F.lit(None).cast("string").alias("article"), F.lit(1).alias("rank"))
+    q = _questions(spark, sf).select("question_id", F.col("question").alias("content"), F.lit("").alias("summary"), F.lit(None).cast("string").alias("article"), F.lit(1).alias("rank"))
     return retrieval.concepts(q, "question_id", "rank", 100).select("question_id", F.explode("concepts").alias("concept"))
 
 
@@ -644,11 +646,13 @@ def newest_first(spark, sf):
     return store.newest_first(table(spark, sf, "events"), "user_id", "ts", "event_id").select("event_id", "user_id", "position")
 
 
-@query("""SELECT id::INT AS id, strftime(coalesce(try_cast(v AS TIMESTAMP), to_timestamp(try_cast(v AS DOUBLE)) AT TIME ZONE 'UTC', TIMESTAMP '2000-01-01'), '%Y-%m-%d %H:%M:%S') AS at
-FROM (VALUES (1, '2024-03-01 10:00:00'), (2, '1700000000'), (3, 'nothing'), (4, NULL), (5, '2023-12-31T23:59:59')) t(id, v)""")
+@query("""WITH v AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN epoch(date_trunc('second', ts))::BIGINT::VARCHAR WHEN 2 THEN event_type WHEN 3 THEN NULL ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS v FROM events)
+SELECT event_id, strftime(coalesce(try_cast(v AS TIMESTAMP), to_timestamp(try_cast(v AS DOUBLE)) AT TIME ZONE 'UTC', TIMESTAMP '2000-01-01'), '%Y-%m-%d %H:%M:%S') AS at FROM v""")
 def timestamp_normalise(spark, sf):
-    v = spark.createDataFrame([(1, "2024-03-01 10:00:00"), (2, "1700000000"), (3, "nothing"), (4, None), (5, "2023-12-31T23:59:59")], "id int, v string")
-    return v.select("id", F.date_format(store.timestamp(F.col("v"), F.lit("2000-01-01").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    """Times of events as text, as epoch seconds, as ISO text, as a word and as null."""
+    k, text = F.col("event_id") % 5, lambda form: F.date_format("ts", form)
+    value = F.when(k == 0, text("yyyy-MM-dd HH:mm:ss")).when(k == 1, F.floor(F.unix_timestamp("ts")).cast("string")).when(k == 2, F.col("event_type")).when(k == 4, text("yyyy-MM-dd'T'HH:mm:ss"))
+    return table(spark, sf, "events").select("event_id", F.date_format(store.timestamp(value, F.lit("2000-01-01").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 # Sessions.
@@ -727,42 +731,69 @@ def contents_bounds(spark, sf):
     return d.select("doc_id", layout.contents_bounds(F.col("text")).alias("b")).select("doc_id", "b.*")
 
 
-# Values given in the query: shapes and layouts that the tables don't hold.
+# Shapes and layouts that the tables don't hold, made of their rows.
 
-_TREATY = "Preface\nPart I: General\nSection II\nArticle 1: Respect\n(1) First.\n(a) Item\nText here\n\nARTICLE 3\nMore"
-_NL = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_BODY = "trim(substr(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'), 1, 120))"
+_HEAD = lambda head: f"array_to_string(list_filter([{head}, {head}, body], lambda x: x <> ''), chr(10))"
 
 
-@query(f"""SELECT * FROM (VALUES (0, '1', 'Respect', {_NL("Article 1: Respect" + chr(10) + "Article 1: Respect" + chr(10) + "Text here")}, 'Part I: General', 'Section II', 'regular_article', 2::BIGINT),
- (1, '3', '', {_NL("ARTICLE 3" + chr(10) + "ARTICLE 3" + chr(10) + "More")}, 'Part I: General', 'Section II', 'common_article', 0::BIGINT)) t(article_ord, article_num, article_title, text, part, section, article_type, n_paragraphs)""")
+def _body():
+    return F.trim(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "), 1, 120))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_BODY} AS body, CASE WHEN doc_id % 4 = 0 THEN '3' ELSE (doc_id % 150 + 4)::VARCHAR END AS n FROM documents)
+SELECT doc_id, 0 AS article_ord, n AS article_num, 'Respect' AS article_title, {_HEAD("'Article ' || n || ': Respect'")} AS text, 'Part I: General' AS part, 'Section II' AS section, CASE WHEN n = '3' THEN 'common_article' ELSE 'regular_article' END AS article_type, 2::BIGINT AS n_paragraphs FROM d
+UNION ALL SELECT doc_id, 1, (doc_id % 7 + 1)::VARCHAR || 'a', '', {_HEAD("'ARTICLE ' || (doc_id % 7 + 1) || 'a'")}, 'Part I: General', 'Section II', 'regular_article', 0 FROM d""")
 def article_split(spark, sf):
-    rows = structure.split_articles(spark.createDataFrame([(1, _TREATY)], "doc_id int, text string"))
-    return rows.select("article_ord", "article_num", "article_title", "text", "part", "section", "article_type", F.size("paragraphs").cast("long").alias("n_paragraphs"))
+    rows = structure.split_articles(_articles(spark, sf))
+    return rows.select("doc_id", "article_ord", "article_num", "article_title", "text", "part", "section", "article_type", F.size("paragraphs").cast("long").alias("n_paragraphs"))
+
+
+def _articles(spark, sf):
+    """Two articles of each document's words under a part and a section, the first with two paragraphs."""
+    n = F.when(F.col("doc_id") % 4 == 0, "3").otherwise((F.col("doc_id") % 150 + 4).cast("string"))
+    last = F.concat(F.lit("ARTICLE "), (F.col("doc_id") % 7 + 1).cast("string"), F.lit("a"))
+    text = F.concat_ws("\n", F.lit("Preface\nPart I: General\nSection II"), F.concat(F.lit("Article "), n, F.lit(": Respect")), F.lit("(1) First.\n(a) Item"), _body(), F.lit(""), last, _body())
+    return table(spark, sf, "documents").select("doc_id", text.alias("text"))
 
 
-@query("""SELECT * FROM (VALUES (0, 'a', 'd1', 0.5::DOUBLE), (1, 'c', 'd2', 1.0::DOUBLE), (2, 'e', 'd3', NULL), (3, 'g', 'd4', 2.0::DOUBLE), (4, 'i', 'd5', 3.0::DOUBLE)) t(q, text, doc_id, score)""")
+@query("SELECT doc_id, coalesce(substr(text, 1, 50), '') AS text, source, CASE WHEN doc_id % 6 = 2 THEN NULL ELSE doc_id / 4.0::DOUBLE END AS score FROM documents WHERE doc_id % 6 <> 5")
 def search_response_rows(spark, sf):
-    bodies = ['{"result": {"data_array": [["a", "d1", "0.5"], ["short"]]}}', '{"result": [["c", "d2", "1"]]}', '{"data": [["e", "d3", "x"]]}', '{"rows": [["g", "d4", "2"]]}', '[["i", "d5", "3"]]', '{"other": 1}']
-    return responses.parse_search(spark.createDataFrame(list(enumerate(bodies)), "q int, body string"), ["text", "doc_id"]).select("q", "text", "doc_id", "score")
+    """A response for each document in one of its six shapes, with a row that is too short; one shape holds no rows."""
+    k = F.col("doc_id") % 6
+    rows = F.array(F.array(F.coalesce(F.substring("text", 1, 50), F.lit("")), "source", F.when(k == 2, "x").otherwise((F.col("doc_id") / 4.0).cast("string"))), F.array(F.lit("short")))
+    shapes = [F.struct(F.struct(rows.alias("data_array")).alias("result")), F.struct(rows.alias("result")), F.struct(rows.alias("data")), F.struct(rows.alias("rows"))]
+    body = F.coalesce(*[F.when(k == i, F.to_json(shape)) for i, shape in enumerate(shapes)], F.when(k == 4, F.to_json(rows)), F.lit('{"other": 1}'))
+    return responses.parse_search(table(spark, sf, "documents").select("doc_id", body.alias("body")), ["text", "source"]).select("doc_id", "text", "source", "score")
 
 
-@query("SELECT id::INT AS id, id::INT + 10 AS a FROM range(4) t(id)")
+@query("SELECT page_id, url, length(html)::BIGINT AS size FROM pages")
 def prediction_unwrap(spark, sf):
-    shapes = ['{"predictions": {"a": 10}}', '{"predictions": [{"a": 11}]}', '[{"a": 12}]', '{"a": 13}']
-    df = spark.createDataFrame(list(enumerate(shapes)), "id int, body string")
-    return df.select("id", responses.unwrap_prediction(F.col("body"), "struct<a:int>")["a"].alias("a"))
+    """A prediction for each page in one of its four shapes."""
+    one = F.struct("url", F.length("html").cast("long").alias("size"))
+    k, shapes = F.col("page_id") % 4, [F.struct(one.alias("predictions")), F.struct(F.array(one).alias("predictions")), F.array(one), one]
+    body = F.coalesce(*[F.when(k == i, F.to_json(shape)) for i, shape in enumerate(shapes)])
+    found = table(spark, sf, "pages").select("page_id", responses.unwrap_prediction(body, "struct<url:string,size:bigint>").alias("p"))
+    return found.select("page_id", "p.*")
 
 
-@query("SELECT * FROM (VALUES (0, NULL), (1, '4'), (2, '5-5'), (3, '1-9')) t(id, pages)")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN p::VARCHAR WHEN 2 THEN p || '-' || p ELSE p || '-' || (p + doc_id % 7) END AS pages
+FROM (SELECT doc_id, (length(text) // 1000 + 1)::BIGINT AS p FROM documents WHERE text IS NOT NULL)""")
 def page_ranges(spark, sf):
-    df = spark.createDataFrame([(0, []), (1, [4]), (2, [5, 5]), (3, [1, 2, 9])], "id int, p array<int>")
-    return df.select("id", X.page_range(F.col("p")).alias("pages"))
+    """No page, one, the same twice and three, from the documents' lengths."""
+    k, p = F.col("doc_id") % 4, F.floor(F.length("text") / 1000) + 1
+    pages = F.when(k == 1, F.array(p)).when(k == 2, F.array(p, p)).when(k == 3, F.array(p, p, p + F.col("doc_id") % 7)).otherwise(F.array().cast("array<bigint>"))
+    return table(spark, sf, "documents").filter("text is not null").select("doc_id", X.page_range(pages).alias("pages"))
 
 
-@query("SELECT label, label IN (" + ", ".join(f"'{x}'" for x in T.JUDGMENT_LABELS) + ") AS judgment, label IN (" + ", ".join(f"'{x}'" for x in T.TREATY_LABELS) + ") AS treaty FROM (VALUES " + ", ".join(f"('{x}')" for x in T.SHARED_LABELS + T.JUDGMENT_LABELS + T.TREATY_LABELS) + ") t(label)")
+_LABELS = T.SHARED_LABELS + T.JUDGMENT_LABELS + T.TREATY_LABELS
+
+
+@query(f"SELECT doc_id, label, label IN ({_list(T.JUDGMENT_LABELS)[1:-1]}) AS judgment, label IN ({_list(T.TREATY_LABELS)[1:-1]}) AS treaty FROM (SELECT doc_id, {_list(_LABELS)}[(length(coalesce(text, '')) % {len(_LABELS)} + 1)::INT] AS label FROM documents)")
 def label_families(spark, sf):
-    labels = spark.createDataFrame([(x,) for x in T.SHARED_LABELS + T.JUDGMENT_LABELS + T.TREATY_LABELS], "label string")
-    return labels.select("label", classify.is_judgment_section(F.col("label")).alias("judgment"), classify.is_treaty_section(F.col("label")).alias("treaty"))
+    """A label of each document by its length, and its family."""
+    label = F.get(F.lit(_LABELS), F.length(F.coalesce("text", F.lit(""))) % len(_LABELS))
+    return table(spark, sf, "documents").select("doc_id", label.alias("label")).select("doc_id", "label", classify.is_judgment_section(F.col("label")).alias("judgment"), classify.is_treaty_section(F.col("label")).alias("treaty"))
 
 
 @query("SELECT event_id, (event_id % 977) <= 500 + 60 AS expired, ((event_id % 977) - 500) * 1000 AS left_ms, greatest(0, 28800000 - event_id * 1000) <= 300000 AS about_to_expire FROM events")
@@ -771,19 +802,38 @@ def token_expiry(spark, sf):
     return table(spark, sf, "events").select("event_id", sessions.token_expired(exp, now, 60).alias("expired"), sessions.token_left(exp, now).cast("long").alias("left_ms"), sessions.about_to_expire(F.col("event_id") * 1000).alias("about_to_expire"))
 
 
-_RESOURCES = "## Resources Consulted\n### Geneva Convention Documents\n- **4-GC** - `Article 3` (*page 4*)\n- **3-GC** - `Article 5` (*page 6*)\n### ICTY/ICC Judgments\n- **TADIC TJ** (*page 9*) - [Judgment]\n### Additional References\n- **Other** - `Article 9` (*page 1*)\n"
-
-
-@query("SELECT * FROM (VALUES ('additional', 'Other', 'Article 9', 'page 1'), ('geneva', '3-GC', 'Article 5', 'page 6'), ('geneva', '4-GC', 'Article 3', 'page 4'), ('judgment', 'TADIC TJ', 'Judgment', 'page 9')) t(list, name, detail, page)")
+@query(f"""WITH d AS (SELECT doc_id, {_BODY} AS body, doc_id % 4 + 1 AS k FROM documents)
+SELECT doc_id, 'additional' AS list, 'Other ' || doc_id AS name, 'Article 9' AS detail, 'page 1' AS page FROM d UNION ALL SELECT doc_id, 'geneva', '3-GC', 'Article 5', 'page 6' FROM d
+UNION ALL SELECT doc_id, 'geneva', k || '-GC', 'Article ' || doc_id, 'page ' || k FROM d UNION ALL SELECT doc_id, 'judgment', 'CASE ' || doc_id || ' TJ', 'Judgment', 'page ' || (k + 5) FROM d""")
 def resource_list(spark, sf):
-    r = spark.createDataFrame([(_RESOURCES,)], "t string").select(answers.resources(F.col("t")).alias("r"))
-    part = lambda name, field, detail, first: r.select(F.lit(name).alias("list"), F.explode(f"r.{field}").alias("x")).select("list", F.col(f"x.{first}").alias("name"), F.col(f"x.{detail}").alias("detail"), "x.page")
+    """Answers that begin with a document's words and end with the resources that it names."""
+    d, k = F.col("doc_id").cast("string"), F.col("doc_id") % 4 + 1
+    lines = ["## Resources Consulted", "### Geneva Convention Documents", F.concat(F.lit("- **"), k, F.lit("-GC** - `Article "), d, F.lit("` (*page "), k, F.lit("*)")), "- **3-GC** - `Article 5` (*page 6*)", "### ICTY/ICC Judgments"]
+    lines += [F.concat(F.lit("- **CASE "), d, F.lit(" TJ** (*page "), k + 5, F.lit("*) - [Judgment]")), "### Additional References", F.concat(F.lit("- **Other "), d, F.lit("** - `Article 9` (*page 1*)"))]
+    text = F.concat_ws("\n", _body(), *[F.lit(x) if isinstance(x, str) else x for x in lines])
+    r = table(spark, sf, "documents").select("doc_id", answers.resources(text).alias("r"))
+    part = lambda name, field, detail, first: r.select("doc_id", F.lit(name).alias("list"), F.explode(f"r.{field}").alias("x")).select("doc_id", "list", F.col(f"x.{first}").alias("name"), F.col(f"x.{detail}").alias("detail"), "x.page")
     return part("geneva", "geneva_documents", "article", "document_name").unionByName(part("judgment", "judgment_documents", "source_type", "case_name")).unionByName(part("additional", "additional_references", "article", "document_name"))
 
 
-@query("SELECT question_id, coalesce(nullif(trim(question), ''), '') = '' OR question_id * 20 < 1 OR question_id * 20 > 50 AS refused FROM (" + _QUESTIONS + ")")
+@query(f"""WITH d AS (SELECT doc_id, lower({_BODY}) AS body FROM documents)
+SELECT doc_id, 'case_law_analysis' AS part, '**CASE TJ**' AS citation FROM d UNION ALL SELECT doc_id, 'case_law_analysis', '*page ' || (doc_id % 90) || '*' FROM d
+UNION ALL SELECT doc_id, 'legal_framework', '**' || (doc_id % 4 + 1) || '-GC-IV-EN**' FROM d UNION ALL SELECT doc_id, 'legal_framework', '`Article ' || doc_id || '(b)`' FROM d
+UNION ALL SELECT doc_id, 'key_findings', '**the principle of ' || split_part(body, ' ', 1) || '**' FROM d WHERE body <> ''""")
+def section_citations(spark, sf):
+    """Answers whose sections cite by each family; one section cites nothing, and an earlier heading of the same name is passed over."""
+    d, word = F.col("doc_id").cast("string"), F.lower(_body())
+    law = F.concat(F.lit("**"), F.col("doc_id") % 4 + 1, F.lit("-GC-IV-EN** in `Article "), d, F.lit("(b)`, (*section one*)"))
+    case = F.concat(F.lit("**CASE TJ** (*page "), F.col("doc_id") % 90, F.lit("*)"))
+    finding = F.when(word != "", F.concat(F.lit("- **the principle of "), F.split_part(word, F.lit(" "), F.lit(1)), F.lit("**"))).otherwise(F.lit("none"))
+    text = F.concat_ws("\n", word, F.lit("## Legal Framework"), F.lit("`Article 1`"), F.lit("## Legal Framework"), law, F.lit("## Case Law Analysis"), case, F.lit("## Synthesis and Analysis"), word, F.lit("## Key Findings"), finding)
+    s = table(spark, sf, "documents").select("doc_id", answers.section_citations(text).alias("s"))
+    return s.select("doc_id", F.explode(F.map_from_arrays(F.lit(list(T.ANSWER_SECTIONS.values())), F.array(*[f"s.{k}" for k in T.ANSWER_SECTIONS.values()]))).alias("part", "cs")).select("doc_id", "part", F.explode("cs").alias("citation"))
+
+
+@query("SELECT question_id, coalesce(nullif(trim(question), ''), '') = '' OR question_id % 60 < 1 OR question_id % 60 > 50 AS refused FROM (" + _QUESTIONS + ")")
 def request_validation(spark, sf):
-    q = _questions(spark).withColumn("top_k", (F.col("question_id") * 20).cast("int"))
+    q = _questions(spark, sf).withColumn("top_k", (F.col("question_id") % 60).cast("int"))
     return answers.validated(q).select("question_id", F.col("_error").isNotNull().alias("refused"))
 
 
@@ -835,12 +885,32 @@ def formatted_answers(spark, sf):
     return c.select("conv_id", "turn", text.alias("response"))
 
 
-@query()
+@query(rf"""WITH raw AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS o, unnest(ls) AS line FROM raw), t AS (SELECT doc_id, o, unnest(regexp_extract_all(lower(line), '[\pL\pN_]{{2,}}')) AS term FROM l),
+tf AS (SELECT doc_id, o, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id),
+df AS (SELECT doc_id, term, count(*) AS df, row_number() OVER (PARTITION BY doc_id ORDER BY sum(tf) DESC, term) AS r FROM tf GROUP BY doc_id, term),
+w AS (SELECT tf.doc_id, tf.o, tf.term, tf.tf * (ln((1 + n.n)::DOUBLE / (1 + df.df)) + 1) AS w FROM tf JOIN df USING (doc_id, term) JOIN n USING (doc_id) WHERE df.r <= 1000),
+v AS (SELECT doc_id, o, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, o)) AS w FROM w), s AS (SELECT a.doc_id, a.o, sum(a.w * b.w) AS sim FROM v a JOIN v b ON b.doc_id = a.doc_id AND b.o = a.o + 1 AND b.term = a.term GROUP BY a.doc_id, a.o),
+k AS (SELECT l.doc_id, l.o, l.line, {_LEN('line')}::BIGINT AS tokens, coalesce(sim, 0) > 0.5 AS alike FROM l LEFT JOIN s USING (doc_id, o)),
+j AS (SELECT *, lead(line) OVER d AS after, lead(tokens) OVER d AS more, alike AND coalesce(tokens + lead(tokens) OVER d <= 1050, false) AS fits FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY o)),
+g AS (SELECT *, o - row_number() OVER (PARTITION BY doc_id, fits ORDER BY o) AS island FROM j), m AS (SELECT *, fits AND row_number() OVER (PARTITION BY doc_id, fits, island ORDER BY o) % 2 = 1 AS joins FROM g),
+x AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY doc_id ORDER BY o), false) AS gone FROM m)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1)::INT AS chunk_ord, CASE WHEN joins THEN line || chr(10) || chr(10) || after ELSE line END AS text, CASE WHEN joins THEN tokens + more ELSE tokens END AS tokens, CASE WHEN joins THEN 'semantic_merge' ELSE 'line' END AS split_method FROM x WHERE NOT gone""")
 def semantic_merge(spark, sf):
     """Lines of documents as parts, merged where neighbours are alike."""
     lines = F.filter(F.transform(F.split("text", "\n"), X.strip), lambda x: x != "")
-    parts = chunking.exploded(table(spark, sf, "documents"), F.transform(lines, lambda x: folds.chunk(x, X.token_count(x), "line")), "doc_id")
-    return chunking.semantic_merge(parts, ["doc_id"], "chunk_ord", 0.5, 700)
+    parts = table(spark, sf, "documents").select("doc_id", F.transform(lines, lambda x: folds.chunk(x, X.token_count(x), "line")).alias("parts"))
+    alike = parts.withColumn("alike", chunking.neighbour_similarity(F.transform("parts", lambda x: x["text"])))
+    return chunking.exploded(alike, chunking.merged_neighbours(F.col("parts"), F.col("alike"), 0.5, 700), "doc_id")
+
+
+@query(f"""WITH a AS ({ORACLE_SQL["article_split"]}), n AS (SELECT *, {_LEN('text')}::BIGINT AS tokens, 'Article ' || article_num || ': Respect' || chr(10) || chr(10) AS head FROM a)
+SELECT doc_id, article_ord, 0 AS chunk_ord, text, tokens, 'article' AS split_method FROM n WHERE tokens <= 15 UNION ALL SELECT doc_id, article_ord, 0, head || '(1) First.', 5, 'paragraph' FROM n WHERE tokens > 15 AND article_ord = 0
+UNION ALL SELECT doc_id, article_ord, 1, head || '(a) Item', 5, 'paragraph' FROM n WHERE tokens > 15 AND article_ord = 0 UNION ALL SELECT doc_id, article_ord, 0, text || '.', tokens, 'sentence' FROM n WHERE tokens > 15 AND article_ord = 1""")
+def article_content(spark, sf):
+    """Articles of up to 15 tokens whole, longer ones by their paragraphs or else by sentences."""
+    rows = _articles(spark, sf).select("doc_id", F.posexplode(structure.articles(F.col("text"))).alias("article_ord", "a"))
+    return chunking.exploded(rows, chunking.article_chunks(F.col("a"), 15), "doc_id", "article_ord")
 
 
 # Whole plans (rows only).
@@ -867,8 +937,8 @@ def treaty_etl(spark, sf):
 
 @query()
 def ask_batch(spark, sf):
-    """All questions against two halves of the documents as indexes, embedded by hashing."""
+    """The questions of every twentieth conversation against two halves of the documents as indexes, embedded by hashing."""
     embed = ask.hashed_embedder()
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("content"), F.substring("text", 1, 80).alias("summary"), F.col("source").alias("document_name"), F.lit("1").alias("page_number"), F.col("lang").alias("section")).withColumn("embedding", embed(F.col("content")))
-    found = ask.retrieve(_questions(spark), d.filter("row_id % 2 = 0"), d.filter("row_id % 2 = 1"), embed)
+    found = ask.retrieve(_questions(spark, sf).filter("question_id div 1000 % 20 = 0"), d.filter("row_id % 2 = 0"), d.filter("row_id % 2 = 1"), embed)
     return found.select("question_id", "strategy", "source_type", "row_id", F.round("score", 6).alias("score"), "rank")
