@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import dictionary
+
 
 def rx(pattern: str, any_case: bool = False, lines: bool = False, dotall: bool = False) -> str:
     # Nothing follows a group repeated at the end, so it never gives back; Java would take a stack frame a repetition.
@@ -50,12 +52,20 @@ def all_matches(c: Column, pattern: str, group: int = 0, any_case: bool = False,
     return F.regexp_extract_all(c, F.lit(rx(pattern, any_case, dotall=dotall)), F.lit(group))
 
 
+#: Terms beyond which a dictionary is searched by one automaton instead of one search each.
+MANY_TERMS = 64
+
+
 def hits(c: Column, terms: list[str]) -> Column:
     """How many of the terms are substrings (repeated terms count again)."""
+    if len(terms) > MANY_TERMS:
+        return F.size(dictionary.terms_in(c, list(terms)))
     return let(c, lambda v: F.size(F.filter(F.lit(list(terms)), lambda t: v.contains(t))))
 
 
 def any_hit(c: Column, terms: list[str]) -> Column:
+    if len(terms) > MANY_TERMS:
+        return hits(c, terms) > 0
     return let(c, lambda v: F.exists(F.lit(list(terms)), lambda t: v.contains(t)))
 
 

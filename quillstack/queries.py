@@ -506,6 +506,20 @@ def legal_concepts(spark, sf):
     return retrieval.concepts(q, "question_id", "rank", 100).select("question_id", F.explode("concepts").alias("concept"))
 
 
+@query("""WITH t AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS term FROM benchmark)
+SELECT doc_id, (SELECT count(*) FROM t WHERE term <> '' AND contains(d.lo, term)) AS n_terms FROM (SELECT doc_id, lower(text) AS lo FROM documents) d""")
+def dictionary_hits(spark, sf):
+    """How many words of the benchmark stand in each document, one within another too; the dictionary is the benchmark's, which is small."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).filter("w <> ''").distinct()
+    terms = sorted(r.w for r in words.limit(MAX_TERMS + 1).collect())
+    if len(terms) > MAX_TERMS:
+        raise ValueError(f"a dictionary of over {MAX_TERMS} terms")
+    return table(spark, sf, "documents").select("doc_id", X.hits(F.lower("text"), terms).cast("long").alias("n_terms"))
+
+
+#: Terms of a dictionary that the driver holds at most.
+MAX_TERMS = 200_000
+
 _CASE_TEXT = "'Case No. ICC-0' || (doc_id % 7 + 1) || '/04-01/06 of ' || (doc_id % 28 + 1) || ' May 2011, Judge Anna Bell; Judge Cy' || chr(10) || text"
 
 

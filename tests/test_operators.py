@@ -265,6 +265,61 @@ def test_whole_searches_match_brute_force(spark, tmp_path, monkeypatch, block):
         assert {(r[0], r[4]) for r in got} == set(scores) and all(abs(r[3] - scores[r[0], r[4]]) < 3e-5 for r in got)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="abé ", max_size=5), max_size=8), st.lists(st.one_of(st.none(), st.text(alphabet="abé ", max_size=60)), max_size=6), st.sampled_from([3, 2048]))
+def test_dictionary_finds_overlapping_terms(terms, texts, piece):
+    import pyarrow as pa
+
+    from quillstack.functions import dictionary
+
+    before, dictionary.PIECE = dictionary.PIECE, piece
+    try:
+        rows, found = dictionary.Automaton(terms).found(pa.array(texts, pa.string()))
+    finally:
+        dictionary.PIECE = before
+    assert list(zip(rows.tolist(), found.tolist(), strict=True)) == [(r, k) for r, t in enumerate(texts) for k, w in enumerate(terms) if t is not None and w in t]
+
+
+def test_large_dictionaries_count_like_small_ones(spark):
+    terms = ["ab", "b", "abc", "ab"] + [f"t{i}x" for i in range(X.MANY_TERMS)]
+    rows = spark.createDataFrame([("xabcx t7x t77x",), ("",), (None,), ("b" * 5000 + "t12x",)], "t string").repartition(1)
+    got = [tuple(r) for r in rows.select(X.hits(F.col("t"), terms), X.any_hit(F.col("t"), terms)).collect()]
+    few = [sum(X_t in t for X_t in terms) if t is not None else None for (t,) in [tuple(r) for r in rows.collect()]]
+    assert [g[0] for g in got] == few and [g[1] for g in got] == [None if n is None else n > 0 for n in few]
+
+
+def test_first_places_of_many_needles():
+    import random
+
+    from quillstack.functions.locate import first_places, pages_of
+
+    rng = random.Random(9)
+    for _ in range(200):
+        text = "".join(rng.choice("abé\U0001f600") for _ in range(rng.randrange(60)))
+        needles = ["".join(rng.choice("abé\U0001f600") for _ in range(rng.randrange(7))) for _ in range(8)] + [text[:50], text[5:20], text + "x"]
+        assert first_places(text, needles) == [text.find(n) for n in needles]
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_000_000))
+    assert first_places(long, [long[k : k + 100] for k in range(0, 999_000, 400)]) == list(range(0, 999_000, 400))
+    import numpy as np
+
+    assert pages_of("ab cd ef", np.array([2, 2, 2]), np.array([1, 2, 3]), ["cd", "zz", None], [2, 2, None]) == [[2, 3], [1, 1], [1, 1]]
+
+
+def test_footnote_join_keeps_hot_words_apart(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = [(i, "everywhere too here " + " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 12)))) for i in range(120)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string")
+    notes = spark.createDataFrame([(i, t) for i, t in texts[:40]], "note_id long, text string")
+    want = {(i, j, len(set(a.split()) & set(b.split()))) for i, a in texts for j, b in texts[:40]}
+    assert {tuple(r) for r in chunking.footnote_links(chunks, notes).collect()} == {w for w in want if w[2] > 3}
+    counts = chunking.word_frequencies(chunks, notes)
+    rare = chunking.rare_words(chunking.word_sets(chunks, "chunk_id", (), counts), "chunk_id", (), 3).groupBy("_w").count()
+    by = {r._w: r["count"] for r in rare.collect()}
+    assert max(by.values()) < 60 and all(by.get(w, 0) == 0 for w in ("everywhere", "too", "here"))
+
+
 def _brute(q, x, k):
     import numpy as np
 
