@@ -453,6 +453,50 @@ def test_stream(spark, tmp_path):
     assert [(r.user_id, r.n_events) for r in got] == [(1, 2)]  # the last session is still open
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_debounce_stream_gives_the_rows_of_the_batch(spark, tmp_path, shuffled):
+    import random
+
+    from quillstack.streaming.debounce import STORE, debounce_stream
+
+    rng = random.Random(shuffled)
+    start, gap = 1_700_000_000_000, 2 * 3600 * 1000
+    rows, at = [], start
+    for i in range(240):
+        at += rng.choice([100, 999, 1000, 4000, gap if i % 40 == 0 else 500])
+        rows.append((i % 3, at, i, "view" if i % 7 == 0 else "click"))
+    whole = spark.createDataFrame(rows, "user_id long, ms long, event_id long, event_type string").withColumn("ts", F.timestamp_millis("ms")).drop("ms")
+    parts = [rows[k : k + 40] for k in range(0, 240, 40)]
+    if shuffled:  # each file out of order, and some events a file later, within what the watermark allows
+        moved = [[r for r in p if rng.random() < 0.2] for p in parts[:-1]]
+        parts = [[r for r in p if k == 5 or r not in moved[k]] + (moved[k - 1] if k else []) for k, p in enumerate(parts)]
+        for p in parts:
+            rng.shuffle(p)
+    src, out = tmp_path / "s", str(tmp_path / "o")
+    spark.conf.set(*STORE)
+
+    def run(files):
+        for k in files:
+            spark.createDataFrame(parts[k] if k < 6 else [(9, at + 10**8, 900, "click")], "user_id long, ms long, event_id long, event_type string").withColumn("ts", F.timestamp_millis("ms")).drop("ms").coalesce(1).write.mode("append").parquet(f"{src}")
+        stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+        found = debounce_stream(stream, timeout_ms=3600 * 1000, late="3 hours", bypass=F.col("event_type") == "view")
+        q = found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", out).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        assert q.exception() is None and not q.isActive
+
+    try:
+        run([0, 1, 2])
+        run([3, 4, 5, 6])  # a restart goes on from the state
+    finally:
+        spark.conf.unset(STORE[0])
+    got = spark.read.parquet(out).filter("user_id < 9").collect()
+    want = {r.event_id for r in sessions.debounce(whole, "event_id", bypass=F.col("event_type") == "view").collect()}
+    assert sorted(r.event_id for r in got if r.kind != "expired") == sorted(want)
+    assert {r.event_id for r in got if r.kind == "immediate"} == {r[2] for r in rows if r[3] == "view"}
+    ends = sessions.sessions(whole, gap_hours=1).select("user_id", F.unix_millis("ended").alias("at")).collect()
+    assert sorted((r.user_id, int(r["at"].timestamp() * 1000 + 0.5)) for r in got if r.kind == "expired") == sorted(map(tuple, ends))
+
+
 def test_clashing_column_names(spark):
     """Columns named like an operator's own ones come back as they were."""
     kept = ["n", "N_", "rank_", "next", "found", "gone", "given", "corpus_norm"]
