@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import taxonomy as T
 from .functions import folds
 from .functions import text as X
-from .operators import answers, chunking, classify, layout, questions, ranking, retrieval, sessions, store, structure
+from .operators import answers, chunking, classify, layout, questions, ranking, retrieval, sessions, sketches, store, structure
 from .plans import ask, etl
 from .sources import responses
 
@@ -927,7 +927,22 @@ def article_content(spark, sf):
     return chunking.exploded(rows, chunking.article_chunks(F.col("a"), 15), "doc_id", "article_ord")
 
 
-# Whole plans (rows only).
+_DOC_SIZES = f"SELECT lang, doc_id, {_LEN('text')}::BIGINT AS tokens FROM documents"
+
+
+@query(f"SELECT lang, count(*)::BIGINT AS n_chunks, sum(tokens)::BIGINT AS n_tokens, true AS docs_near, true AS median_near FROM ({_DOC_SIZES}) GROUP BY lang")
+def sketch_stats(spark, sf):
+    """Sketches of three parts of the documents, merged by language; the estimates are held against exact counts and ranks."""
+    d = table(spark, sf, "documents").select("lang", "doc_id", X.token_count(F.col("text")).alias("tokens"))
+    parts = [sketches.sketched(d.filter(F.pmod("doc_id", F.lit(3)) == k), "lang") for k in range(3)]
+    whole = sketches.merged(parts[0].unionByName(parts[1]).unionByName(parts[2]), "lang")
+    found = whole.select("lang", "n_chunks", "n_tokens").join(sketches.report(whole, "lang").select("lang", "n_docs", F.col("quantiles")[1].alias("median")), "lang")
+    exact = d.join(F.broadcast(found.select("lang", "median")), "lang").groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.01).alias("docs"), F.avg((F.col("tokens") < F.col("median")).cast("double")).alias("under"), F.avg((F.col("tokens") <= F.col("median")).cast("double")).alias("upto"))
+    near = (F.col("under") <= 0.5 + sketches.RANK_ERROR) & (F.col("upto") >= 0.5 - sketches.RANK_ERROR)
+    return found.join(exact, "lang").select("lang", "n_chunks", "n_tokens", (F.abs(F.col("n_docs") / F.col("docs") - 1) <= sketches.DISTINCT_ERROR + 0.01).alias("docs_near"), near.alias("median_near"))
+
+
+# Whole plans.
 
 
 def _files(spark, sf, prefix: str):

@@ -71,7 +71,12 @@ def scan_folder(spark: SparkSession, paths: str | list[str], extractor: Extracto
     ``fallback`` (OCR) runs on the files whose text looks lost: under 100 characters or 50 Latin letters. Only those go
     through it.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths).select("path", "content")
+    return extracted(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths), extractor, fallback)
+
+
+def extracted(files: DataFrame, extractor: Extractor, fallback: Extractor | None = None) -> DataFrame:
+    """(path, content) -> path, filename, text, words, _error."""
+    files = files.select("path", "content")
     found = files.mapInArrow(_extract(extractor), _SCHEMA)
     if fallback is None:
         return found
