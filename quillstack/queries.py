@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from .functions import folds
 from .functions import text as X
 from .operators import answers, chunking, classify, layout, questions, ranking, retrieval, sessions, sketches, store, structure
 from .plans import ask, etl
-from .sources import responses
+from .sources import files, responses
+from .sources.scratch import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -564,6 +566,66 @@ def classify_context(spark, sf):
     return table(spark, sf, "documents").select("doc_id", classify.by_context(before, _RULE)["section_type"].alias("label"))
 
 
+_LEADS = ["Factual Findings", "Case No. ICC-01/04-01", "the chamber, the judge and the accused", "whereas the geneva convention is a treaty", "Article 5", "Definition of a term", "a clause", "Background", "x"]
+
+
+def _family(family: str) -> str:
+    """Label and confidence by the family's whole dictionaries, its context rule and the generic rule."""
+    own_patterns, own_keywords = T.FAMILIES[family]
+    rule, quoted = T.CONTEXT_RULES[family], lambda p: p.replace("'", "''")
+    patterns = "CASE " + " ".join(f"WHEN regexp_matches(t, '(?im){quoted(p)}') THEN '{label}'" for d in (own_patterns, T.SHARED_PATTERNS) for label, ps in d.items() for p in ps) + " END"
+    scores = "[" + ", ".join(f"{{'score': {_hits('lower(t)', [quoted(w) for w in ws])}, 'rank': {-k}, 'label': '{label}'}}" for k, (label, ws) in enumerate([*own_keywords.items(), *T.SHARED_KEYWORDS.items()])) + "]"
+    context = "CASE " + " ".join(f"WHEN len(t) % {len(rule) + 1} = {k} THEN '{v[0]}'" for k, v in enumerate(rule.values())) + " END"
+    return f"""SELECT doc_id, '{family}' AS family, coalesce(p, CASE WHEN b.score >= 2 THEN b.label END, c, {_GENERIC.replace('text', 't')}) AS section_type,
+ round(CASE WHEN p IS NOT NULL THEN 0.9 WHEN b.score >= 2 THEN least(0.8, b.score / 3.0) WHEN c IS NOT NULL THEN 0.5 WHEN len(t) >= 50 AND (contains(lower(t), 'article') OR contains(lower(t), 'section') OR contains(lower(t), 'paragraph')) THEN 0.4 ELSE 0.3 END, 6)::DOUBLE AS confidence
+FROM (SELECT doc_id, t, {patterns} AS p, list_max({scores}) AS b, {context} AS c FROM d)"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_list(_LEADS)}[(doc_id % {len(_LEADS)} + 1)::INT] || chr(10) || substr(text, 1, 300) AS t FROM documents WHERE text IS NOT NULL)
+{_family("judgment")} UNION ALL {_family("treaty")}""")
+def classify_families(spark, sf):
+    """Both families' wrappers over the beginnings of documents under leads of several kinds; the label before goes by the length."""
+    lead = F.get(F.lit(_LEADS), (F.col("doc_id") % len(_LEADS)).cast("int"))
+    d = table(spark, sf, "documents").filter("text is not null").select("doc_id", F.concat(lead, F.lit("\n"), F.substring("text", 1, 300)).alias("text"))
+
+    def of(family: str) -> DataFrame:
+        rule = list(T.CONTEXT_RULES[family])
+        before = F.get(F.lit([*rule, "none"]), F.length("text") % (len(rule) + 1))
+        return classify.classify_sections(d, family, previous=before).select("doc_id", F.lit(family).alias("family"), "section_type", F.round("confidence", 6).alias("confidence"))
+
+    return of("judgment").unionByName(of("treaty"))
+
+
+# Files and stores that a session writes and reads back.
+
+
+@query(f"SELECT item_id, text, {_LEN('text')}::BIGINT AS n_words, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS folder FROM (SELECT item_id, {STRIP.format('text')} AS text FROM benchmark)")
+def folder_scan(spark, sf):
+    """Items of the benchmark as files in two folders, which are scanned together."""
+    root = f"{shared_dir(spark)}/folders-{uuid.uuid4().hex}"
+    b = table(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("folder"), "text")
+    for name in ("even", "odd"):
+        b.filter(F.col("folder") == name).select("item_id", "text").write.partitionBy("item_id").text(f"{root}/{name}")
+    found = files.scan_folder(spark, [f"{root}/even/*", f"{root}/odd/*"], files.plain_text, "*.txt")
+    place = lambda n: F.element_at(F.split("path", "/"), n)
+    return files.readable(found).select(F.split_part(place(-2), F.lit("="), F.lit(2)).cast("long").alias("item_id"), X.strip(F.col("text")).alias("text"), F.size("words").cast("long").alias("n_words"), place(-3).alias("folder"))
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def parquet_sink(spark, sf):
+    """Documents through the chunk sink, by language."""
+    path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    files.save_chunks(table(spark, sf, "documents"), path, ["doc_id", "text", "lang"], "lang")
+    return spark.read.parquet(path).select("doc_id", "text", "lang")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def local_store(spark, sf):
+    """Messages as JSON objects and back."""
+    stored = table(spark, sf, "conversations").select(responses.to_store(["conv_id", "turn", "role", "text"]).alias("v"))
+    return stored.select(responses.from_store(F.col("v"), "conv_id long, turn long, role string, text string").alias("m")).select("m.*")
+
+
 # Store.
 
 
@@ -710,11 +772,12 @@ def status_band(spark, sf):
 def _words(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.posexplode(X.words(F.col("text"))).alias("ord", "text"))
     at = F.col("ord") % 60
-    y = F.floor(at / 10) * 25.0
-    return d.select("doc_id", "ord", "text", (at % 10 * 10.0).alias("x0"), y.alias("y0"), (at % 10 * 10.0 + 9).alias("x1"), (y + 12).alias("y1"), F.when(at >= 50, 6.0).otherwise(12.0).alias("font_size"), (F.floor(F.col("ord") / 60) + 1).cast("int").alias("page_num"))
+    # The last line of a page of an even document is set apart from the one before, so its small print is two notes.
+    y = F.floor(at / 10) * 25.0 + F.when((at >= 50) & (F.col("doc_id") % 2 == 0), 10.0).otherwise(0.0)
+    return d.select("doc_id", "ord", "text", (at % 10 * 10.0).alias("x0"), y.alias("y0"), (at % 10 * 10.0 + 9).alias("x1"), (y + 12).alias("y1"), F.when(at >= 40, 6.0).otherwise(12.0).alias("font_size"), (F.floor(F.col("ord") / 60) + 1).cast("int").alias("page_num"))
 
 
-_WORDS = f"SELECT doc_id, o, t, o % 60 AS at, (o % 60) // 10 * 25.0 AS y0, o // 60 + 1 AS page, CASE WHEN o % 60 >= 50 THEN 6.0 ELSE 12.0 END AS size FROM (SELECT doc_id, unnest(range(len(ws))) AS o, unnest(ws) AS t FROM (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents))"
+_WORDS = f"SELECT doc_id, o, t, o % 60 AS at, (o % 60) // 10 * 25.0 AS y0, o // 60 + 1 AS page, CASE WHEN o % 60 >= 40 THEN 6.0 ELSE 12.0 END AS size FROM (SELECT doc_id, unnest(range(len(ws))) AS o, unnest(ws) AS t FROM (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents))"
 
 
 @query(f"""WITH w AS ({_WORDS}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, o) AS r, count(*) OVER (PARTITION BY doc_id, page) AS n FROM w),
@@ -726,7 +789,7 @@ def headers_footers(spark, sf):
 
 
 @query(f"""WITH w AS ({_WORDS}), m AS (SELECT *, avg(size) OVER (PARTITION BY doc_id, page) AS mean FROM w), s AS (SELECT * FROM m WHERE size < 0.8 * mean)
-SELECT doc_id, page::INT AS page_num, string_agg(t, ' ' ORDER BY o) AS text FROM s GROUP BY doc_id, page""")
+SELECT doc_id, page::INT AS page_num, string_agg(t, ' ' ORDER BY o) AS text FROM s GROUP BY doc_id, page, doc_id % 2 = 0 AND o % 60 >= 50""")
 def footnotes(spark, sf):
     return layout.footnotes(_words(spark, sf)).select("doc_id", "page_num", "text")
 
