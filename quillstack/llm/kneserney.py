@@ -286,7 +286,7 @@ def _shard(root: str, shards: int, frequent: np.ndarray):
         # Frequent tokens: their bigrams and counts are summed elsewhere.
         _deal(out, PAIRS, shards, np.searchsorted(frequent, v[common]), w[common], kinds[common])
         mine = np.isin(token, frequent)
-        out.append((-1, FREQ, np.searchsorted(frequent, token[mine]).astype("<u2").tobytes(), count[mine].astype("<i8").tobytes(), b""))
+        out.append((-1, FREQ, (np.searchsorted(frequent, token[mine]) + 14).astype("<i8").tobytes(), count[mine].astype("<i8").tobytes(), b""))
         token, count = token[~mine], count[~mine]
         two, v, w, kinds = two[~common], v[~common], w[~common], kinds[~common]
         arrays |= _table("two", two, kinds)
@@ -297,7 +297,7 @@ def _shard(root: str, shards: int, frequent: np.ndarray):
         w, before = counted(w)
         _deal(out, WORDS, shards, before[:0], w, before)
         stats += [*_levels(kinds), len(token), count.sum()]
-        out.append((-1, STATS, np.array(stats, "<i8").tobytes(), b"", b""))
+        out.append((-1, STATS, *_placed(np.array(stats, np.int64)), b""))
         _save(f"{root}/{shard}", arrays)
         return pa.Table.from_batches([_batch(out, PARTS)])
 
@@ -329,7 +329,7 @@ def _words(root: str, shards: int, frequent: np.ndarray):
         arrays |= {"word": w[order[first]], **_numbers("before", before)}
         _save(f"{root}/w{shard}", arrays)
         stats = np.array([*_levels(kinds), *_levels(before)], "<i8")
-        return pa.Table.from_batches([_batch([(-1, STATS, stats.tobytes(), sums.tobytes(), b"")], PARTS)])
+        return pa.Table.from_batches([_batch([(-1, STATS, *_placed(np.concatenate([stats, sums.ravel()])), b"")], PARTS)])
 
     return run
 
@@ -454,33 +454,56 @@ def _frequent(plain: DataFrame, shards: int) -> np.ndarray:
     return np.unique(np.array([*often, int(BEGIN)], _U8))
 
 
-def train(docs: DataFrame) -> Model:
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, n: arrays as bytes) -> the sums by place of all rows of the task, as rows slot, n."""
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        for at, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            at, n = np.frombuffer(at, "<i8"), np.frombuffer(n, "<i8")
+            if len(at) and at.max() >= len(total):
+                total = np.concatenate([total, np.zeros(int(at.max()) + 1 - len(total), np.int64)])
+            np.add.at(total, at, n)
+    slot = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
+
+
+def summed(arrays: DataFrame, size: int) -> np.ndarray:
+    """(at, n: places below ``size`` and numbers, as bytes) -> their sums. Spark adds them up, so the driver gets ``size`` rows at most."""
+    out = np.zeros(size, np.int64)
+    for r in arrays.mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[r.slot] = r.n
+    return out
+
+
+def _placed(n: np.ndarray, first: int = 0) -> tuple[bytes, bytes]:
+    """Places and numbers of what is not zero, as bytes."""
+    at = np.flatnonzero(n)
+    return (at + first).astype("<i8").tobytes(), n[at].astype("<i8").tobytes()
+
+
+def train(docs: DataFrame, shards: int | None = None) -> Model:
     """(text) -> model. Counts of all rows; null texts count as empty.
 
     Every task counts its trigrams and deals them out by their middle token (frequent ones by the two first);
     a shard sums them, writes its sorted arrays to the shared folder and deals out what it knows of the
-    last tokens. Arrays per shard are a part of the distinct trigrams, and only sums of a few numbers, and
-    of the frequent tokens, reach the driver.
+    last tokens. Arrays per shard are a part of the distinct trigrams. Statistics, and sums of the frequent tokens, are
+    added up in Spark: a few thousand numbers reach the driver, however many shards (two a partition, 20,000 at most) there are.
     """
     scratch = Scratch(docs.sparkSession, "kneserney")
     root = scratch.path("arrays")
     if root.startswith(("/", "file:/")) and "://" not in root:
         root = "file://" + root.removeprefix("file:")
     plain = docs.select(F.col("text").cast("string").alias("text"))
-    shards = max(8, min(20_000, 2 * plain.rdd.getNumPartitions()))
+    shards = shards or max(8, min(20_000, 2 * plain.rdd.getNumPartitions()))
     frequent = _frequent(plain, shards)
     counted_ = plain.mapInArrow(_count(shards, frequent), CHUNKS)
     parts = scratch.save(counted_.groupBy("bucket").applyInArrow(_shard(root, shards, frequent), PARTS), "parts")
-    rows = parts.filter("bucket = -1").select("kind", "a", "b").collect()
-    stats = np.zeros(14, np.int64) + sum(np.frombuffer(bytes(r.a), "<i8") for r in rows if r.kind == STATS)
-    often = np.zeros(len(frequent), np.int64)
-    for r in rows:
-        if r.kind == FREQ:
-            np.add.at(often, np.frombuffer(bytes(r.a), "<u2").astype(np.int64), np.frombuffer(bytes(r.b), "<i8"))
-    done = scratch.save(parts.filter("bucket >= 0").groupBy("bucket").applyInArrow(_words(root, shards, frequent), PARTS), "done").collect()
-    scratch.drop("parts")
-    levels = np.zeros(12, np.int64) + sum(np.frombuffer(bytes(r.a), "<i8") for r in done)
-    sums = np.zeros((5, len(frequent)), np.int64) + sum(np.frombuffer(bytes(r.b), "<i8").reshape(5, -1) for r in done)
+    known = summed(parts.filter("bucket = -1").select("a", "b"), 14 + len(frequent))
+    stats, often = known[:14], known[14:]
+    done = scratch.save(parts.filter("bucket >= 0").groupBy("bucket").applyInArrow(_words(root, shards, frequent), PARTS), "done")
+    more = summed(done.select("a", "b"), 12 + 5 * len(frequent))
+    scratch.drop("parts", "done")
+    levels, sums = more[:12], more[12:].reshape(5, -1)
     two = stats[6:12] + levels[:6]
     ends = int(often[np.searchsorted(frequent, BEGIN)])
     types = int(stats[12] + (often > 0).sum())  # the begin stands for the end here

@@ -412,6 +412,19 @@ def test_sorted_tables(counts, others):
     assert kneserney._counts(arrays, "x", asked).tolist() == [counts.get(k, 0) for k in (*counts, *others)]
 
 
+def test_sums_of_many_shards_are_few_rows(spark):
+    rng = np.random.default_rng(1)
+    rows, want = [], np.zeros(5132, np.int64)
+    for _ in range(2000):
+        n = np.zeros(5132, np.int64)
+        n[rng.integers(0, 5132, 40)] = rng.integers(1, 100, 40)
+        want += n
+        rows.append(tuple(map(bytearray, kneserney._placed(n))))
+    arrays = spark.createDataFrame(rows, "at binary, n binary").repartition(50)
+    assert (kneserney.summed(arrays, 5132) == want).all()
+    assert (kneserney.summed(arrays.limit(0), 7) == 0).all()
+
+
 @pytest.mark.parametrize("sampled", [64, 1])
 def test_kneser_ney(spark, monkeypatch, sampled):
     monkeypatch.setattr(kneserney, "SAMPLED", sampled)  # 1: the commonest tokens count as frequent
