@@ -14,6 +14,7 @@ def _line(label: str, value: Column) -> Column:
     return F.when(F.coalesce(value.cast("string"), F.lit("")) != "", F.concat(F.lit(label), value.cast("string"), F.lit("\n"))).otherwise("")
 
 
+# The labels and the layout of a source in a context.
 def source_block(rank: Column) -> Column:
     """One result as text: its source, optional lines and up to 1000 characters of content."""
     c = F.col
@@ -37,6 +38,7 @@ def structured_context(results: DataFrame, by: str) -> DataFrame:
     return results.select(by, F.col("rank").alias("source_id"), F.when(F.col("source_type") == "judgment", 1).otherwise(0).alias("list_ord"), "document_name", "source_type", "page_number", "section", "article", "summary", F.substring("content", 1, 1000).alias("content"), "score")
 
 
+# The layout of a line in the list of sources.
 def source_line() -> Column:
     c = F.col
     part = lambda before, v, after="": F.when(F.coalesce(v.cast("string"), F.lit("")) != "", F.concat(F.lit(before), v.cast("string"), F.lit(after))).otherwise("")

@@ -15,17 +15,13 @@ def routing(question: Column) -> Column:
     q = F.lower(question)
     treaty, judgment = X.hits(q, T.TREATY_TOPICS), X.hits(q, T.JUDGMENT_TOPICS)
     a, b = treaty / float(len(T.TREATY_TOPICS)), judgment / float(len(T.JUDGMENT_TOPICS))
-    ladder = [
-        (X.any_hit(q, ["methodology", "how to"]), "geneva_first", "Methodology question - start with legal framework"),
-        (X.any_hit(q, ["case", "judgment", "chamber"]), "judgment_first", "Case law question - start with judgments"),
-        (a > 0.3, "geneva_first", "High Geneva Convention relevance"),
-        (b > 0.3, "judgment_first", "High case law relevance"),
-    ]
+    ladder = [(X.any_hit(q, terms), strategy, reason) for terms, strategy, reason in T.ROUTES]
+    ladder += [(share > least, strategy, reason) for share, (least, strategy, reason) in ((a, T.TREATY_ROUTE), (b, T.JUDGMENT_ROUTE))]
     pick = lambda k, rest: F.coalesce(*[F.when(c, x[k]) for c, *x in ladder], F.lit(rest))
     focus = F.when(judgment > treaty, "judgment").when(treaty > judgment, "geneva").otherwise("both")
     return F.struct(
         focus.alias("focus"), treaty.cast("long").alias("treaty_matches"), judgment.cast("long").alias("judgment_matches"), a.alias("treaty_priority"), b.alias("judgment_priority"),
-        pick(0, "parallel").alias("strategy"), pick(1, "Balanced approach - search both simultaneously").alias("reasoning"),
+        pick(0, T.BALANCED_ROUTE[0]).alias("strategy"), pick(1, T.BALANCED_ROUTE[1]).alias("reasoning"),
     )
 
 
@@ -71,10 +67,10 @@ def variants(question: Column, k: Column | int, kind: str) -> Column:
     one = lambda text, n: F.array(F.struct(text.alias("query"), n.cast("int").alias("k")))
     if kind == "judgment":
         tail = F.transform(F.slice(decompose(question), 2, 2), lambda s: F.struct(s.alias("query"), part(2).alias("k")))
-        themes = [(["article", "convention", "protocol"], "legal framework "), (["case", "judgment", "chamber", "trial", "appeals"], "case law application ")]
+        themes = T.JUDGMENT_THEMES
     else:
         tail = empty
-        themes = [(["article"], "article provisions "), (["convention", "protocol", "geneva"], "convention text ")]
+        themes = T.TREATY_THEMES
     found = F.concat(one(question, k), tail, F.when(wide != question, one(wide, part(2))).otherwise(empty), *[F.when(X.any_hit(q, terms), one(F.concat(F.lit(prefix), question), part(3))).otherwise(empty) for terms, prefix in themes])
     return F.transform(found, lambda v, i: F.struct(i.alias("variant_ord"), v["query"].alias("query"), v["k"].alias("k")))
 

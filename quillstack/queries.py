@@ -423,9 +423,11 @@ def footnote_overlap_join(spark, sf):
     return chunking.footnote_links(d, table(spark, sf, "benchmark").select(F.col("item_id").alias("note_id"), "text"))
 
 
-@query("SELECT doc_id, source || '_chunk_' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS chunk_id FROM documents")
+@query("SELECT doc_id, o AS line_ord, doc_id || '_chunk_' || o AS chunk_id FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INT AS o FROM documents)")
 def chunk_ids(spark, sf):
-    return chunking.chunk_ids(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id").select("doc_id", "chunk_id")
+    """Lines of documents as chunks, numbered in each."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ord", "text"))
+    return chunking.chunk_ids(lines, "doc_id", "line_ord").select("doc_id", "line_ord", "chunk_id")
 
 
 @query(f"""WITH f AS (SELECT doc_id, {_fold(_SENT, 60, "' '")} AS r FROM documents), c AS (SELECT doc_id, list_filter(list_append(r.done, r.cur), lambda x: {STRIP.format('x')} <> '') AS cs FROM f), t AS (SELECT doc_id, unnest(cs) AS x FROM c), p AS (SELECT doc_id, count(*) AS n, sum({_LEN('x')}) AS t FROM t GROUP BY doc_id)
