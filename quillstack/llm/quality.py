@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, mixed, steps, tree_sum, word_hashes
+from .common import Scratch, flat, mixed, steps, tree_sum, word_hashes, unused
 
 #: Hash buckets of n-grams (n = 1, 2).
 BUCKETS = 1 << 16
@@ -114,8 +114,9 @@ def gumbel_top_k(weighted: DataFrame, keep: float = KEEP, seed: int = 17) -> Dat
 
     Taking the largest perturbed weights samples without replacement by importance. The noise is a
     hash of doc_id and the seed. The k-th key is found by counting keys in cells; the cell that holds it is cut into
-    cells again until it has few rows, and those are ranked (by key, then doc_id; nulls last). Rows equal in both are
-    kept or not together with their rank.
+    cells again until it has few rows, and those are ranked (by key, then doc_id; nulls last). More than ``CELL_ROWS`` rows
+    of one key, which are copies of one doc_id, are ranked in parts: of each part of the table as many stay as are still wanted after the
+    parts before it.
     """
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = weighted.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
@@ -134,6 +135,14 @@ def gumbel_top_k(weighted: DataFrame, keep: float = KEEP, seed: int = 17) -> Dat
             left -= c.n
         clear = clear.when(inside & (cell != c.cell), cell > c.cell)
         inside, low, high, n = inside & (cell == c.cell), c.low, c.high, c.n
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("gumbel_key"), F.col("doc_id").asc_nulls_last()))
-    ranked = keyed.filter(inside).withColumn("kept", rank <= left)
+    order = (F.desc("gumbel_key"), F.col("doc_id").asc_nulls_last())
+    if n <= CELL_ROWS:
+        ranked = keyed.filter(inside).withColumn("kept", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) <= left)
+    else:
+        part, of, wanted = (unused(keyed, name) for name in ("part", "of_part", "wanted"))
+        ties = Scratch(weighted.sparkSession, "gumbel").save(keyed.filter(inside).withColumn(part, F.spark_partition_id()), "ties")
+        before = F.sum("n").over(Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1))
+        counts = ties.groupBy(F.col(part).alias(of)).agg(F.count("*").alias("n")).select(of, (F.lit(left) - F.coalesce(before, F.lit(0))).alias(wanted))  # one row a part
+        rank = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+        ranked = ties.join(F.broadcast(counts), F.col(part) == F.col(of)).withColumn("kept", rank <= F.col(wanted)).select(*keyed.columns, "kept")
     return keyed.filter(~inside).withColumn("kept", clear).unionByName(ranked)

@@ -340,6 +340,18 @@ def test_secrets_glued_to_words(word, size):
         assert sum(found(*joined(k)) for k in keys) >= alone - 0.01 * len(keys)
 
 
+def test_equal_keys_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CELL_ROWS", 20)
+    rows = [(None, 0.0)] * 900 + [(i, 0.0) for i in range(100)]
+    weighted = spark.createDataFrame(rows, "doc_id long, log_weight double").withColumns({"p": F.lit(1), "part": F.lit(2), "n": F.lit(3)}).repartition(7)
+    out = quality.gumbel_top_k(weighted, keep=0.6)
+    assert out.columns == [*weighted.columns, "gumbel_key", "kept"]
+    got = out.collect()
+    assert len(got) == 1000 and sum(r.kept for r in got) == 600
+    edge = min(r.gumbel_key for r in got if r.kept)
+    assert all(r.kept for r in got if r.gumbel_key > edge) and not any(r.kept for r in got if r.gumbel_key < edge)
+
+
 @pytest.mark.parametrize("few", [100_000, 20])
 def test_quality(spark, monkeypatch, few):
     monkeypatch.setattr(quality, "CELL_ROWS", few)
