@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import folds, locate, sparse
 from ..functions import text as X
+from ..sources.scratch import saved
 
 #: Sizes in tokens: target, least, most, and the overlap's share.
 JUDGMENT, TREATY = (700, 200, 1000, 0.18), (600, 200, 800, 0.12)
@@ -78,6 +79,8 @@ def chunk_pages(chunks: DataFrame, words: DataFrame, texts: DataFrame) -> DataFr
 
 #: Counters of the word frequencies by which ``footnote_links`` orders words.
 COUNTERS = 1 << 16
+#: One text in so many is counted, by a hash: counts decide the order of words only, and any order gives the same pairs.
+COUNTED = 8
 
 
 def _counter(word: Column) -> Column:
@@ -85,8 +88,8 @@ def _counter(word: Column) -> Column:
 
 
 def word_frequencies(*tables: DataFrame) -> Column:
-    """How many texts of the tables hold a word, summed by ``COUNTERS`` counters, as an array: that many numbers however large the tables are."""
-    words = lambda df: df.select(F.explode(F.array_distinct(X.words(F.lower("text")))).alias("_w"))
+    """How many of the counted texts hold a word, summed by ``COUNTERS`` counters, as an array: that many numbers however large the tables are."""
+    words = lambda df: df.filter(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0).select(F.explode(F.array_distinct(X.words(F.lower("text")))).alias("_w"))
     every = words(tables[0])
     for t in tables[1:]:
         every = every.unionByName(words(t))
@@ -114,14 +117,25 @@ def footnote_links(chunks: DataFrame, notes: DataFrame, *key: str, more_than: in
 
     Words of both sides are ordered by how rare they are. Of two sets with more than m common words, each
     has one of these among all but its m last words, so only those meet in an equi-join, and a word that stands everywhere
-    joins nothing but sets of such words. Candidates are then compared whole. (key, id) must be distinct.
+    joins nothing but sets of such words. What the m last words of the candidates have in common is added from short
+    lists: those words, and which of all such words a set holds. (key, id) must be distinct.
     """
     frequencies = word_frequencies(chunks, notes)
-    left, right = word_sets(chunks, "chunk_id", key, frequencies), word_sets(notes, "note_id", key, frequencies)
+    left, right = (saved(word_sets(df, name, key, frequencies), "word-sets") for df, name in ((chunks, "chunk_id"), (notes, "note_id")))
+    first, last = F.slice("_ws", 1, F.greatest(F.size("_ws") - more_than, F.lit(0))), F.slice("_ws", F.greatest(F.size("_ws") - more_than, F.lit(0)) + 1, F.lit(more_than))
+    lasts = [saved(df.select(F.explode(last).alias("_w")).distinct(), "last-words") for df in (left, right)]
+
+    def lists(sets: DataFrame, name: str, words: Column, others: DataFrame, own: str, met: str) -> DataFrame:
+        """The last words of each set, and those of ``words`` that are among the last of some set of the other side."""
+        found = sets.select(*key, name, F.explode(words).alias("_w")).join(others, "_w", "left_semi").groupBy(*key, name).agg(F.collect_list("_w").alias(met))
+        return sets.select(*key, name, last.alias(own)).join(found, [*key, name], "left").withColumn(met, F.coalesce(met, F.array().cast("array<string>")))
+
     pairs = rare_words(left, "chunk_id", key, more_than).join(rare_words(right, "note_id", key, more_than), [*key, "_w"])
-    pairs = pairs.select(*key, "chunk_id", "note_id").distinct()
-    whole = pairs.join(left, [*key, "chunk_id"]).join(right.withColumnRenamed("_ws", "_vs"), [*key, "note_id"])
-    return whole.withColumn("common", F.size(F.array_intersect("_ws", "_vs")).cast("long")).filter(F.col("common") > more_than).select(*key, "chunk_id", "note_id", "common")
+    pairs = pairs.groupBy(*key, "chunk_id", "note_id").agg(F.count("*").alias("n"))
+    whole = pairs.join(lists(left, "chunk_id", first, lasts[1], "_a", "_am"), [*key, "chunk_id"]).join(lists(right, "note_id", F.col("_ws"), lasts[0], "_b", "_bm"), [*key, "note_id"])
+    held = lambda few, many: F.size(F.filter(few, lambda w: F.array_contains(F.col(many), w)))
+    more = held("_a", "_bm") + held("_b", "_am")
+    return whole.withColumn("common", (F.col("n") + more).cast("long")).filter(F.col("common") > more_than).select(*key, "chunk_id", "note_id", "common")
 
 
 def neighbour_similarity(texts: Column, features: int | None = 1000, stop: list[str] | None = None) -> Column:
