@@ -288,6 +288,29 @@ def test_large_dictionaries_count_like_small_ones(spark):
     assert [g[0] for g in got] == few and [g[1] for g in got] == [None if n is None else n > 0 for n in few]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="abé \n", max_size=5), unique=True, max_size=8), st.lists(st.one_of(st.none(), st.text(alphabet="abé \n", max_size=60)), max_size=6))
+def test_dictionary_of_terms_with_and_without_blanks(terms, texts):
+    import pyarrow as pa
+
+    from quillstack.functions import dictionary
+
+    rows, found = dictionary.Dictionary(terms).found(pa.array(texts, pa.string()))
+    assert list(zip(rows.tolist(), found.tolist(), strict=True)) == [(r, k) for r, t in enumerate(texts) for k, w in enumerate(terms) if t is not None and w in t]
+
+
+def test_words_of_many_texts_are_sought_once(monkeypatch):
+    import pyarrow as pa
+
+    from quillstack.functions import dictionary
+
+    asked = []
+    whole = dictionary.Automaton.found
+    monkeypatch.setattr(dictionary.Automaton, "found", lambda self, texts: asked.append(len(texts)) or whole(self, texts))
+    rows, found = dictionary.Dictionary(["a", "nd", "and"]).found(pa.array(["sand and land"] * 1000))
+    assert asked == [3] and len(rows) == 3000
+
+
 def test_first_places_of_many_needles():
     import random
 
