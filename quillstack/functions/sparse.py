@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,8 +18,9 @@ def _inner(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def cosines(rows: pa.Array, features: int | None) -> pa.Array:
     """Lists of parts, which are lists of terms -> lists of the cosine of each part with the next one.
 
-    A part is a run of (part, term, count) sorted by both, for all rows of the batch at once; neighbours
-    meet by bisection.
+    A part is a run of (part, term, count) sorted by both, for all rows at once; neighbours meet by bisection.
+    Weights are divided by their part's length before they are multiplied, and logarithms are the C library's:
+    a similarity at a threshold falls to the side where SQL's ``w / sqrt(sum(w * w))`` has it while sums have two terms at most.
     """
     parts, n_parts = _inner(rows)
     terms, n_terms = _inner(parts)
@@ -42,14 +45,13 @@ def cosines(rows: pa.Array, features: int | None) -> pa.Array:
         place[order] = np.arange(len(of_row)) - starts  # rows stay together, so their starts do
         keep = (place < features)[back]
         key, part, tf, back = key[keep], part[keep], tf[keep], back[keep]
-    weight = tf * (np.log((1.0 + n_parts[row[part]]) / (1.0 + df[back])) + 1)
-    length = np.sqrt(np.bincount(part, weight * weight, len(row)))
+    ratios, which = np.unique((1.0 + n_parts[row[part]]) / (1.0 + df[back]), return_inverse=True)
+    logs = np.fromiter(map(math.log, ratios), np.float64, len(ratios))
+    weight = tf * (logs[which] + 1)
+    weight /= np.sqrt(np.bincount(part, weight * weight, len(row)))[part]
     at = np.searchsorted(key, key + base)
     meets = np.flatnonzero((at < len(key)) & (key[np.minimum(at, len(key) - 1)] == key + base)) if len(key) else np.zeros(0, np.int64)
-    dot = np.bincount(part[meets], weight[meets] * weight[at[meets]], len(row)) if len(row) else np.zeros(0)
-    after = np.concatenate([length[1:], np.zeros(1)])[: len(length)]
-    norm = length * after
-    value = np.divide(dot, norm, out=np.zeros(len(row)), where=norm > 0)
+    value = np.bincount(part[meets], weight[meets] * weight[at[meets]], len(row)) if len(row) else np.zeros(0)
     last = np.zeros(len(row), bool)
     last[(first + n_parts - 1)[n_parts > 0]] = True
     offsets = np.concatenate([[0], np.cumsum(np.maximum(n_parts - 1, 0))]).astype(np.int32)

@@ -141,10 +141,11 @@ def footnote_links(chunks: DataFrame, notes: DataFrame, *key: str, more_than: in
 def neighbour_similarity(texts: Column, features: int | None = 1000, stop: list[str] | None = None) -> Column:
     """TF-IDF cosine of every text of an array with the next one, as an array with one value less; nothing leaves the row.
 
-    Terms are lower-cased runs of two or more word characters; the ``features`` most frequent of the array stay (all
+    Terms are lower-cased runs of two or more letters, numbers and underscores (Python's ``\\w``; Java's takes marks for word
+    characters, and not all numbers); the ``features`` most frequent of the array stay (all
     if None; ties by term). A term's weight is tf * (ln((1 + n) / (1 + df)) + 1) for n texts. Null gives null.
     """
-    terms = F.transform(texts, lambda t: X.all_matches(F.lower(F.coalesce(t, F.lit(""))), r"\b\w\w+\b"))
+    terms = F.transform(texts, lambda t: X.all_matches(F.lower(F.coalesce(t, F.lit(""))), r"[\pL\pN_]{2,}"))
     if stop:
         left_out = F.lit(list(stop))
         terms = F.transform(terms, lambda ts: F.filter(ts, lambda t: ~F.array_contains(left_out, t)))

@@ -167,6 +167,21 @@ def test_semantic_merge_pairs_do_not_chain(spark):
     assert [(r.block, r.split_method, r.tokens) for r in got] == [("b", "semantic_merge", 6), ("b", "paragraph", 3), ("c", "paragraph", 2)]
 
 
+def test_semantic_merge_equals_its_sql_at_the_threshold_and_with_marks(spark, tmp_path):
+    import duckdb
+
+    from quillstack import queries
+
+    # Neighbours of similarity 0.5 but for rounding; letters with combining marks; numbers that Java takes for no word characters.
+    texts = ["ff\naa aa cc\nbb cc\nff dd\ndd aa", "ff aa\naa aa cc\nbb cc\nff dd", "cafe\u0301 noir\ncafe\u0301 blanc\ne\u0301a", "\u00bd\u00bd x\u00bd\nx\u00bd \u00bd\u00bd", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = queries.QUERIES["semantic_merge"](spark, str(tmp_path))
+    want = duck.execute(queries.ORACLE_SQL["semantic_merge"]).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_article_chunks_lose_paragraphs_of_short_articles(spark):
     a = structure.articles(F.lit(TREATY))
     got = spark.range(1).select(F.explode(F.transform(a, lambda x: chunking.article_chunks(x, 600)))).collect()
