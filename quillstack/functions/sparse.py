@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 
+#: Terms of the rows that are handled together; bounds the temporaries of a worker.
+STEP_TERMS = 1 << 19
+
+
 def _inner(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Elements of a list column, and their number in each row (0 for null)."""
     return column.flatten(), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -59,11 +64,23 @@ def cosines(rows: pa.Array, features: int | None) -> pa.Array:
     return pc.if_else(pc.is_valid(rows), out, pa.scalar(None, out.type)) if rows.null_count else out
 
 
+def steps(rows: pa.Array) -> Iterator[pa.Array]:
+    """Slices of at most ``STEP_TERMS`` terms; a row with more comes alone."""
+    parts, n_parts = _inner(rows)
+    ends = np.cumsum(_inner(parts)[1])
+    ends = np.r_[0, ends][np.cumsum(n_parts)]
+    first = 0
+    while first < len(rows):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + STEP_TERMS, "right")))
+        yield rows.slice(first, last - first)
+        first = last
+
+
 def neighbour_cosines(features: int | None):
     """array<array<string>> -> array<double>, as a function of a column."""
 
     @F.arrow_udf("array<double>")
     def run(rows: pa.Array) -> pa.Array:
-        return cosines(rows, features)
+        return pa.concat_arrays([pa.array([], pa.list_(pa.float64())), *(cosines(r, features) for r in steps(rows))])
 
     return run

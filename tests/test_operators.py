@@ -182,6 +182,18 @@ def test_semantic_merge_equals_its_sql_at_the_threshold_and_with_marks(spark, tm
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_similarities_do_not_depend_on_the_step(monkeypatch):
+    import pyarrow as pa
+
+    from quillstack.functions import sparse
+
+    rows = pa.array([[["aa", "bb"], ["bb"], []], None, [], [["cc"], ["cc"]], [["aa"]] * 5])
+    whole = sparse.cosines(rows, None).to_pylist()
+    monkeypatch.setattr(sparse, "STEP_TERMS", 3)
+    assert len(list(sparse.steps(rows))) > 2
+    assert [x for part in sparse.steps(rows) for x in sparse.cosines(part, None).to_pylist()] == whole
+
+
 def test_article_chunks_lose_paragraphs_of_short_articles(spark):
     a = structure.articles(F.lit(TREATY))
     got = spark.range(1).select(F.explode(F.transform(a, lambda x: chunking.article_chunks(x, 600)))).collect()
