@@ -68,7 +68,8 @@ def chunk_pages(chunks: DataFrame, words: DataFrame, texts: DataFrame) -> DataFr
     a place, page 1 beyond the last; [1, 1] if the chunk is not found. chunk_id must be unique in its document.
     """
     of_doc = lambda df, name, *c: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*c))).alias(name))
-    placed = of_doc(words, "_words", "ord", F.length("text").alias("size"), F.col("page_num").alias("page"))
+    # Numbers of 4 bytes each: this is all that is shuffled of a word.
+    placed = of_doc(words, "_words", F.col("ord").cast("int").alias("ord"), F.length("text").alias("size"), F.col("page_num").cast("int").alias("page"))
     asked = of_doc(chunks, "_chunks", "chunk_id", F.substring("text", 1, 100).alias("head"), F.length("text").alias("size"))
     rows = asked.join(placed, "doc_id", "left").join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
     rows = rows.select("doc_id", "_chunks", pages_in_row(F.col("_text"), F.col("_words"), F.col("_chunks")).alias("_pages"))

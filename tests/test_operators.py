@@ -338,6 +338,13 @@ def test_words_of_many_texts_are_sought_once(monkeypatch):
     assert asked == [3] and len(rows) == 3000
 
 
+def test_pages_of_chunks_are_found_in_the_row(spark):
+    from quillstack import queries
+
+    plan = queries.QUERIES["chunk_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_first_places_of_many_needles():
     import random
 
