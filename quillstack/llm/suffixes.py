@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, STEP_BYTES, Scratch, flat, mixed, powers, steps
+from .common import BASE, STEP_BYTES, Scratch, flat, mixed, powers, release, steps
 
 #: Bytes of a repeated string, and of the string by which a suffix is sampled.
 LENGTH, GRAM = 200, 64
 #: Distinct contexts of one sampled suffix from which its windows are dealt out one by one.
 HOT = 4096
+#: Bytes of text for each bucket of suffixes, and bytes of suffixes that a task holds before it deals them out.
+BUCKET_BYTES, HELD_BYTES = 8 << 20, 32 << 20
 #: Row ids (digests of doc_id and text) are broadcast up to this count (16 bytes each) and joined by shuffle beyond it.
 BROADCAST_IDS = 500_000
 _POS = np.uint64((1 << 32) - 1)
@@ -188,10 +190,21 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _arrays(buckets: int, length: int, gram: int):
-    """(rid, text) -> the task's suffix array in chunks by key, and the spans of contexts that repeat within the task."""
+    """(rid, text) -> suffix arrays of at most ``HELD_BYTES`` and a step in chunks by key, and the spans of contexts that repeat within one."""
+
+    def dealt(own: list[np.ndarray], homes: list[np.ndarray]) -> pa.RecordBatch:
+        run_, home = np.concatenate(own), np.concatenate(homes)
+        order = np.argsort(run_["suffix"], kind="stable")
+        run_, home = run_[order], home[order]
+        same = run_["suffix"][1:] == run_["suffix"][:-1]
+        twin = np.r_[same, False] | np.r_[False, same] if len(run_) else np.zeros(0, bool)
+        spans = _spans(run_[twin], length)
+        run_["many"] = twin
+        keep = np.r_[True, ~same][: len(run_)]
+        return _rows(_by_bucket(run_[keep], home[keep], RUNS) + _by_bucket(spans, home[twin], SPANS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, homes = [], []
+        own, homes, held = [], [], 0
         for batch in batches:
             for part in steps(batch):
                 data, offsets = flat(part.column(1))
@@ -201,17 +214,13 @@ def _arrays(buckets: int, length: int, gram: int):
                 e["at"], e["before"], e["after"] = at - offsets[rows], at - a, b - a
                 own.append(e)
                 homes.append((keys % _U8(buckets)).astype(np.int32))
-        if not own:
-            return
-        run_, home = np.concatenate(own), np.concatenate(homes)
-        order = np.argsort(run_["suffix"], kind="stable")
-        run_, home = run_[order], home[order]
-        same = run_["suffix"][1:] == run_["suffix"][:-1]
-        twin = np.r_[same, False] | np.r_[False, same] if len(run_) else np.zeros(0, bool)
-        spans = _spans(run_[twin], length)
-        run_["many"] = twin
-        keep = np.r_[True, ~same][: len(run_)]
-        yield _rows(_by_bucket(run_[keep], home[keep], RUNS) + _by_bucket(spans, home[twin], SPANS))
+                held += e.nbytes
+                if held > HELD_BYTES:
+                    yield dealt(own, homes)
+                    own, homes, held = [], [], 0
+                    release()
+        if own:
+            yield dealt(own, homes)
 
     return run
 
@@ -430,8 +439,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text) -> the rows with their id ``rid``, and (rid, spans) of those with bytes covered by a repeated string.
 
-    Every task sorts the sampled suffixes of its documents into an array, joins equal contexts and
-    deals it out by the sampled bytes; each bucket scans the arrays one after another against a family of levels
+    Every task sorts the sampled suffixes of its documents into arrays of bounded size, joins equal contexts and
+    deals them out by the sampled bytes, to as many buckets as the texts' bytes ask for; each bucket scans the arrays one after another against a family of levels
     that merge geometrically. Contexts that occur twice are covered whole. Where several contexts share
     their sampled bytes, the texts travel and are compared window by window; with more than ``hot`` contexts the windows
     are dealt out by their own digests, those that repeat within a task as one.
@@ -440,7 +449,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     scratch = Scratch(spark, "suffixes")
     rid = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))))
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", rid)
-    buckets = max(8, min(20_000, rows.rdd.getNumPartitions()))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, min(20_000, -(-size // BUCKET_BYTES)))
     arrays = rows.select("rid", "text").mapInArrow(_arrays(buckets, length, gram), CHUNKS)
     scanned = scratch.save(arrays.groupBy("bucket").applyInArrow(_scan(length, gram, hot), CHUNKS), "scanned")
     schema = "rid binary, bucket int, at int, before int, after int"

@@ -594,6 +594,16 @@ def test_repeats(spark, hot):
         assert suffixes.remove_repeats(make_docs(spark, [])).count() == 0
 
 
+def test_suffixes_are_dealt_out_in_bounded_arrays(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcd") for _ in range(400)) for _ in range(40)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([b"%016d" % i for i, _ in part]), pa.array([t for _, t in part])], names=["rid", "text"])
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(suffixes, "HELD_BYTES", 1000)
+    got = list(suffixes._arrays(8, 200, 64)(iter([batch(rows[i : i + 5]) for i in range(0, 40, 5)])))
+    assert len(got) > 4 and all(sum(map(len, g.column(2).to_pylist())) < 20_000 for g in got)
+
+
 def test_family_merges_geometrically():
     rng = np.random.default_rng(14)
     runs, kind = [], suffixes.entry(64)
