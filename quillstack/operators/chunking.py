@@ -45,6 +45,24 @@ def chunk_ids(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("chunk_id", F.concat(F.col(key).cast("string"), F.lit("_chunk_"), n.cast("string")))
 
 
+def chunk_ids_over(df: DataFrame, key: str, part: str, *order: str) -> DataFrame:
+    """Adds chunk_id ``{key}_chunk_{n}``, n from 0 per key by (part, order), however many parts have the same key.
+
+    Rows are numbered in their part. What stands before a part is summed over one row a part, dealt out by ranges
+    of (key, part), and then over one row for each key of a range: no task gets all rows of a key.
+    """
+    rows = saved(df, "numbered")
+    parts = rows.groupBy(key, part).agg(F.count("*").alias("_n"))
+    parts = saved(parts.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, part).withColumn("_range", F.spark_partition_id()), "parts")
+    before = lambda of, by: F.coalesce(F.sum("_n").over(Window.partitionBy(*of).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = parts.groupBy(key, "_range").agg(F.sum("_n").alias("_n")).withColumn("_start", before([key], "_range"))
+    ranges, inner = ranges.select(F.col(key).alias("_k"), F.col("_range").alias("_r"), "_start"), parts.withColumn("_within", before([key, "_range"], part))
+    starts = inner.join(ranges, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r"))).select(F.col(key).alias("_key"), F.col(part).alias("_part"), (F.col("_start") + F.col("_within")).alias("_before"))
+    own = rows.withColumn("_own", F.row_number().over(Window.partitionBy(key, part).orderBy(*order)) - 1)
+    found = own.join(starts, F.col(key).eqNullSafe(F.col("_key")) & F.col(part).eqNullSafe(F.col("_part")))
+    return found.withColumn("chunk_id", F.concat(F.col(key).cast("string"), F.lit("_chunk_"), (F.col("_before") + F.col("_own")).cast("string"))).select(*df.columns, "chunk_id")
+
+
 def chunk_stats(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents, chunks, chunks a document and tokens a chunk, in one row."""
     per = chunks.groupBy(key).agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))

@@ -69,7 +69,7 @@ def treaty_chunks(files: DataFrame, sizes: tuple = chunking.TREATY, compat: bool
     rows = saved(rows.withColumn("c", classify.classify(F.col("a.text"), "treaty")), "articles")
     merged = folds.merge_small(chunking.article_chunks(F.col("a"), target), least, target, most)
     chunks = chunking.exploded(rows, folds.with_overlap(merged, ratio), "doc_id", "meta", "article_ord", "a", "c")
-    numbered = chunking.chunk_ids(chunks.withColumn("doc_name", F.col("meta.doc_name")), "doc_name", "doc_id", "article_ord", "chunk_ord")
+    numbered = chunking.chunk_ids_over(chunks.withColumn("doc_name", F.col("meta.doc_name")), "doc_name", "doc_id", "article_ord", "chunk_ord")
     none = F.lit(None).cast("string")
     return numbered.select(
         "chunk_id", "text", "doc_name", "a.part", "a.section", F.col("a.article_num").alias("article"), none.alias("paragraph"), none.alias("sub_paragraph"),

@@ -345,6 +345,14 @@ def test_pages_of_chunks_are_found_in_the_row(spark):
     assert "Exchange" not in plan
 
 
+def test_chunk_ids_of_a_name_that_all_documents_share(spark):
+    rows = [(name, doc, o) for name, docs in (("hot", 40), ("cold", 3), (None, 4)) for doc in map(str, range(docs)) for o in range(int(doc) % 3 + 1)]
+    df = spark.createDataFrame(rows, "name string, doc_id string, o int").repartition(5)
+    got = {tuple(r) for r in chunking.chunk_ids_over(df, "name", "doc_id", "o").collect()}
+    want = {tuple(r) for r in chunking.chunk_ids(df, "name", "doc_id", "o").collect()}
+    assert got == want and len(got) == len(rows)
+
+
 def test_first_places_of_many_needles():
     import random
 
