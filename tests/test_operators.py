@@ -353,6 +353,27 @@ def test_chunk_ids_of_a_name_that_all_documents_share(spark):
     assert got == want and len(got) == len(rows)
 
 
+def test_sections_are_cut_once_for_all_families(spark):
+    from quillstack import queries
+
+    plan = queries.QUERIES["section_citations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Synthesis and Analysis(.*?)") <= 1
+
+
+def test_blocks_give_only_rows_that_reach_the_bound():
+    import numpy as np
+    import pyarrow as pa
+
+    from quillstack.operators import vector_index
+
+    x = np.array([[1.0, 0.0], [0.8, 0.6], [0.6, 0.8], [0.0, 1.0]])
+    rows = [{"_query": None, "k": 0, "_row": i, "id": i, "agree": None, "unit": v.tobytes(), "bound": None} for i, v in enumerate(x)]
+    asked = [{"_query": q, "k": 3, "_row": None, "id": None, "agree": None, "unit": x[0].tobytes(), "bound": b} for q, b in ((7, 0.7), (8, None), (9, 0.8))]
+    schema = pa.schema([("_query", pa.int64()), ("k", pa.int32()), ("_row", pa.int64()), ("id", pa.int64()), ("agree", pa.string()), ("unit", pa.binary()), ("bound", pa.float64())])
+    got = vector_index._best(pa.Table.from_pylist(asked + rows, schema)).to_pylist()
+    assert [(r["_query"], r["id"]) for r in got] == [(7, 0), (7, 1), (8, 0), (8, 1), (8, 2), (9, 0), (9, 1)]
+
+
 def test_first_places_of_many_needles():
     import random
 
