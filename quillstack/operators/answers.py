@@ -69,11 +69,10 @@ def section_text(text: Column, name: str) -> Column:
 def section_citations(text: Column) -> Column:
     """struct of citations per section; section references don't count here."""
     families = [f for k, f in enumerate(T.CITATIONS) if k != 4]
-    out = []
-    for name, key in T.ANSWER_SECTIONS.items():
-        own = F.coalesce(section_text(text, name), F.lit(""))
-        out.append(F.array_sort(F.array_distinct(F.concat(*[_marked(X.all_matches(own, p, g, ac), mark, k == 0) for k, (p, g, ac, mark) in enumerate(families)]))).alias(key))
-    return F.struct(*out)
+    found = lambda own: F.array_sort(F.array_distinct(F.concat(*[_marked(X.all_matches(own, p, g, ac), mark, k == 0) for k, (p, g, ac, mark) in enumerate(families)])))
+    # The text and each section's part of it are made once, not once a family.
+    part = lambda t, name: X.let(F.coalesce(section_text(t, name), F.lit("")), found)
+    return X.let(text, lambda t: F.struct(*[part(t, name).alias(key) for name, key in T.ANSWER_SECTIONS.items()]))
 
 
 # Sections of consulted resources and their items.
