@@ -11,16 +11,10 @@ from ..sources import files as S
 from ..sources.scratch import saved
 
 
-def _literals(words: DataFrame, share: float) -> DataFrame:
-    """(doc_id, literals): headers and footers of each document as one array."""
-    found = layout.headers_footers(words, share)
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("text")).alias("literals"))
-
-
 def cleaned(docs: DataFrame, share: float) -> DataFrame:
-    """(doc_id, text, words, ...) -> the rows with ``clean``, without headers, footers and contents."""
-    literals = _literals(S.words_of(docs), share)
-    return docs.join(literals, "doc_id", "left").withColumn("clean", layout.clean_text(F.col("text"), F.coalesce("literals", F.array().cast("array<string>")))).drop("literals")
+    """(doc_id, text, words, ...) -> the rows with ``clean``, without headers, footers and contents; words stay in their row."""
+    docs = docs.withColumn("_literals", layout.edge_literals(F.col("words"), share))
+    return docs.withColumn("clean", layout.clean_text(F.col("text"), F.coalesce("_literals", F.array().cast("array<string>")))).drop("_literals")
 
 
 def _with_ids(files: DataFrame, name: Column) -> DataFrame:
@@ -34,7 +28,10 @@ def judgment_chunks(files: DataFrame, sizes: tuple = chunking.JUDGMENT, similar:
     chunks come together once, where they are numbered and their pages are found. Footnotes join by rare words.
     """
     target, least, most, ratio = sizes
-    docs = saved(cleaned(_with_ids(files, F.replace("filename", F.lit(".pdf"))), 5).withColumn("meta", layout.judgment_metadata(F.col("clean"), F.col("filename"))), "docs")
+    docs = cleaned(_with_ids(files, F.replace("filename", F.lit(".pdf"))), 5).withColumn("meta", layout.judgment_metadata(F.col("clean"), F.col("filename")))
+    # Of the words, their sizes and pages are kept, and those that may be footnotes.
+    sized = F.transform("words", lambda w: F.struct(F.length(w["text"]).alias("size"), w["page_num"].alias("page")))
+    docs = saved(docs.select("doc_id", "meta", "clean", sized.alias("sized"), layout.small_words(F.col("words")).alias("words")), "docs")
     block = F.explode(F.transform(structure.blocks(F.col("clean")), lambda b, i: F.struct(i.alias("block_ord"), b["text"].alias("block"), b["type"].alias("type"), b["section_id"].alias("section_id"))))
     blocks = docs.select("doc_id", block.alias("b")).select("doc_id", "b.*").withColumn("c", classify.classify(F.col("block"), "judgment"))
     parts = saved(blocks.withColumn("parts", folds.with_overlap(folds.recursive_split(F.col("block"), target), ratio)).drop("block"), "parts")
@@ -43,12 +40,11 @@ def judgment_chunks(files: DataFrame, sizes: tuple = chunking.JUDGMENT, similar:
     head = lambda c: F.substring(c["text"], 1, 100).alias("head")
     chunks = chunking.exploded(alike.withColumn("m", merged), F.col("m"), "doc_id", "block_ord", "type", "section_id", "c")
     whole = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_ord", "chunk_ord", "text", "tokens", "split_method", "type", "section_id", "c"))).alias("cs"))
-    sized = F.transform("words", lambda w: F.struct(F.length(w["text"]).alias("size"), w["page_num"].alias("page")))
     heads = F.transform("cs", lambda c: F.struct(head(c), F.length(c["text"]).alias("size")))
-    rows = whole.join(docs.select("doc_id", "words", "clean", "meta.case_number", "meta.date", "meta.judges"), "doc_id")
-    rows = rows.withColumn("places", chunking.pages_in_row(F.col("clean"), sized, heads)).select("doc_id", "case_number", "date", "judges", "places", F.posexplode("cs").alias("n", "x"))
+    rows = whole.join(docs.select("doc_id", "sized", "clean", "meta.case_number", "meta.date", "meta.judges"), "doc_id")
+    rows = rows.withColumn("places", chunking.pages_in_row(F.col("clean"), F.col("sized"), heads)).select("doc_id", "case_number", "date", "judges", "places", F.posexplode("cs").alias("n", "x"))
     numbered = saved(rows.select("doc_id", "case_number", "date", "judges", F.concat("doc_id", F.lit("_chunk_"), F.col("n").cast("string")).alias("chunk_id"), F.get("places", F.col("n")).alias("pages"), "x.*"), "chunks")
-    notes = saved(layout.footnotes(S.words_of(docs)).select("doc_id", F.concat_ws("-", "page_num", "note").alias("note_id"), "text"), "notes")
+    notes = saved(layout.footnote_islands(S.words_of(docs)).select("doc_id", F.concat_ws("-", "page_num", "note").alias("note_id"), "text"), "notes")
     if notes.isEmpty():
         full = numbered.withColumn("footnotes", F.array().cast("array<string>"))
     else:

@@ -374,6 +374,29 @@ def test_blocks_give_only_rows_that_reach_the_bound():
     assert [(r["_query"], r["id"]) for r in got] == [(7, 0), (7, 1), (8, 0), (8, 1), (8, 2), (9, 0), (9, 1)]
 
 
+def test_headers_and_small_words_in_the_row(spark):
+    import random
+
+    from quillstack.sources import files
+
+    rng, docs = random.Random(4), []
+    for d in range(30):
+        words, n = [], 0
+        for page in range(rng.randrange(0, 5)):
+            for k in range(rng.randrange(1, 14)):
+                words.append((n, rng.choice(["Head", "foot", "x", " ", "\u2003", None]) if k % 3 else "Head", 0.0, float(rng.randrange(4)), 9.0, 12.0, float(rng.choice([0, 6, 12, 14])), "f", page))
+                n += 1
+        docs.append((str(d), words))
+    docs = spark.createDataFrame(docs, f"doc_id string, words array<{files.WORD}>")
+    plain = files.words_of(docs)
+    want = {r.doc_id: sorted(r.t) for r in layout.headers_footers(plain, 5).groupBy("doc_id").agg(F.collect_set("text").alias("t")).collect()}
+    got = {r.doc_id: r.t for r in docs.select("doc_id", layout.edge_literals(F.col("words"), 5).alias("t")).collect()}
+    assert {k: v for k, v in got.items() if v} == want and want
+    notes = lambda df: sorted(map(tuple, df.collect()))
+    few = files.words_of(docs.select("doc_id", layout.small_words(F.col("words")).alias("words")))
+    assert notes(layout.footnote_islands(few)) == notes(layout.footnotes(plain)) != []
+
+
 def test_first_places_of_many_needles():
     import random
 
