@@ -13,6 +13,9 @@ order in which a block first holds them. Three predictions are mixed for every i
   ``FRESH``, and so has the next new rank.
 
 A new rank is followed by the id itself: its number of bits, by adaptive counts, and those bits.
+
+``encode_words`` does the same for symbols out of a dictionary whose counts the decoder has: there order 0 is
+those counts, so there are no new ranks, and only orders 1 and 2 adapt.
 All arithmetic is on integers, so any machine decodes what another one has written.
 """
 
@@ -305,3 +308,123 @@ def decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         model.update(rank)
     back = np.argsort(order, kind="stable")
     return [out[: sizes[k], lane].copy() for k, lane in enumerate(back)]
+
+
+#: Bits of a slot of orders 1 and 2 of a word coder.
+WORD_SLOTS = 11
+#: Symbols coded with one dictionary at most: a part of a range is then never empty.
+MOST_WORDS = 1 << 22
+_MIX = 0x9E3779B1
+
+
+#: What a slot's hit count gains by its count, without a hit and with one. Without a hit a count below 2 gets the new name.
+_STEPS = np.array([0, 0, -1, -2, -2, -3, -3, -4, 0, 1, 1, 1, 1, 1, 1, 0], np.int32)
+
+
+class _Followers:
+    """Orders 2 and 1, in this sequence, of all lanes over symbols of a dictionary; symbols are given plus 1, 0 is none."""
+
+    def __init__(self, lanes: int):
+        # A named symbol + 1 above three bits of hit count, which is 0 only where none is named.
+        self.orders = np.zeros(2 * lanes << WORD_SLOTS, np.int32)
+        self.slots = np.arange(2 * lanes).reshape(2, lanes) << WORD_SLOTS
+        # Two probabilities of 16 bits, 31 at least; those of a count of 0 are 0 and stay so.
+        start = np.add.outer((_ONE // 3 << BITS) * (np.arange(LEVELS) > 0), _ONE // 4 * (np.arange(LEVELS) > 0))
+        self.trust = np.tile(start.ravel(), lanes)
+        self.trusts = np.arange(lanes) * LEVELS * LEVELS
+        self.mixed = np.zeros((2, lanes), np.int64)
+
+    def names(self, n: int) -> None:
+        self.at = self.mixed[:, :n] >> 14
+        self.at &= (1 << WORD_SLOTS) - 1
+        self.at += self.slots[:, :n]
+        self.entries = self.orders.take(self.at)
+        self.sure = self.entries & 7
+        self.t = self.sure[0] << 3 | self.sure[1]
+        self.t = self.trusts[:n] + self.t
+        trust = self.trust.take(self.t)
+        self.q = np.empty((2, n), np.int64)
+        np.right_shift(trust, BITS, out=self.q[0])
+        np.bitwise_and(trust, _ONE - 1, out=self.q[1])
+        self.n2, self.n1 = self.named_by = self.entries >> 3
+        self.named = _ONE - self.q[0]
+        self.named *= self.q[1]
+        self.named >>= BITS
+        self.named += self.q[0]
+        self.p2 = np.where(self.n1 == self.n2, self.named, self.q[0])
+
+    def update(self, symbol: np.ndarray) -> None:
+        """``symbol``: of 4 bytes, as names are."""
+        n = len(symbol)
+        hit = self.named_by == symbol
+        change = hit * (_ONE - 62)
+        change += 31
+        change -= self.q
+        change >>= RATE
+        self.q += change
+        self.q[0] <<= BITS
+        self.trust[self.t] = self.q[0] | self.q[1]
+        self.sure += hit.view(np.int8) << 3
+        self.orders[self.at] = np.where(self.sure < 2, symbol << 3 | 1, self.entries + _STEPS.take(self.sure))
+        mixed = symbol.astype(np.int64)
+        mixed *= _MIX
+        mixed &= 0xFFFFFFFF
+        np.multiply(self.mixed[1, :n], 3, out=self.mixed[0, :n])
+        self.mixed[0, :n] += mixed
+        self.mixed[1, :n] = mixed
+
+
+def encode_words(blocks: list[np.ndarray], counts: np.ndarray) -> list[bytes]:
+    """One payload for each block of symbols; ``counts``: how often each symbol occurs in all blocks, at least 1."""
+    order, sizes = _lanes([len(b) for b in blocks])
+    most, total = int(sizes.max(initial=0)), int(counts.sum())
+    if total > MOST_WORDS:
+        raise ValueError(f"{total} words of one dictionary are more than {MOST_WORDS}")
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    symbols = np.zeros((most, len(blocks)), np.int32)
+    for lane, k in enumerate(order):
+        symbols[: sizes[lane], lane] = blocks[k]
+    model, out = _Followers(len(blocks)), _Writer(len(blocks), most + 16)
+    for i in range(most):
+        n = int(np.searchsorted(-sizes, -i, "left"))
+        symbol = symbols[i, :n]
+        under, over = sums.take(symbol), sums.take(symbol + 1)
+        symbol = symbol + 1
+        model.names(n)
+        is2, is1 = symbol == model.n2, (symbol == model.n1) & (model.named > model.p2)
+        hit, step = is2 | is1, out.range[:n] >> BITS
+        low = np.where(is1, model.p2, model.named)
+        low *= ~is2
+        high = np.where(is2, model.p2, np.where(is1, model.named, _ONE))
+        below, wide = step * low, step * (high - low)
+        inner = wide // total
+        out.move(n, np.where(hit, below, below + inner * under), np.where(hit, wide, inner * (over - under)))
+        model.update(symbol)
+    payloads = out.close()
+    return [payloads[k] for k in np.argsort(order, kind="stable")]
+
+
+def decode_words(payloads: list[bytes], sizes: list[int], counts: np.ndarray) -> list[np.ndarray]:
+    """The blocks of symbols of ``encode_words``."""
+    order, lengths = _lanes(sizes)
+    most, total = int(lengths.max(initial=0)), int(counts.sum())
+    sums, symbol_at = np.concatenate([[0], np.cumsum(counts)]), np.repeat(np.arange(1, len(counts) + 1, dtype=np.int32), counts)
+    model, data = _Followers(len(order)), _Reader([payloads[k] for k in order])
+    out = np.zeros((most, len(order)), np.int32)
+    for i in range(most):
+        n = int(np.searchsorted(-lengths, -i, "left"))
+        model.names(n)
+        code, step = data.code[:n], data.range[:n] >> BITS
+        edge2, edge = step * model.p2, step * model.named
+        is2, hit = code < edge2, code < edge
+        below = np.where(hit, edge2, edge) * ~is2
+        wide = np.where(is2, edge2, np.where(hit, edge - edge2, step * (_ONE - model.named)))
+        inner = wide // total
+        value = np.minimum((code - below) // inner, total - 1)
+        symbol = np.where(hit, np.where(is2, model.n2, model.n1), symbol_at.take(value))
+        over, under = sums.take(symbol), sums.take(symbol - 1)
+        data.move(n, np.where(hit, below, below + inner * under), np.where(hit, wide, inner * (over - under)))
+        out[i, :n] = symbol
+        model.update(symbol)
+    out -= 1
+    return [out[: sizes[k], lane].copy() for k, lane in enumerate(np.argsort(order, kind="stable"))]

@@ -104,6 +104,58 @@ def test_files_hold_what_was_written(spark, tmp_path, few_blocks):
     assert tokenfiles.round_trip(docs.limit(0), bytes_encoder).count() == 0
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=80), min_size=1, max_size=6))
+def test_blocks_of_words_come_back(blocks):
+    blocks = [np.array(b) for b in blocks]
+    held, coded = np.unique(np.concatenate(blocks), return_inverse=True)
+    counts = np.bincount(coded)
+    blocks = np.split(coded, np.cumsum([len(b) for b in blocks])[:-1])
+    payloads = coder.encode_words(blocks, counts)
+    assert [b.tolist() for b in coder.decode_words(payloads, [len(b) for b in blocks], counts)] == [b.tolist() for b in blocks]
+    assert all(coder.encode_words([b], counts) == [p] for b, p in zip(blocks, payloads, strict=True))
+    assert coder.decode_words(payloads[-1:], [len(blocks[-1])], counts)[0].tolist() == blocks[-1].tolist()
+
+
+def test_word_coder_learns():
+    rng = np.random.default_rng(1)
+    once = rng.integers(0, 1000, 500)
+    payload = coder.encode_words([np.tile(once, 16)], np.maximum(np.bincount(once, minlength=1000) * 16, 1))[0]
+    assert len(payload) * 8 / 8000 < 2.5  # 9 bits by order 0; orders 1 and 2 name what follows
+    with pytest.raises(ValueError, match="more than"):
+        coder.encode_words([np.zeros(1, np.int64)], np.array([coder.MOST_WORDS + 1]))
+
+
+def test_words_are_the_symbols_of_a_file(spark, tmp_path, few_blocks):
+    """A word costs one step of the coder, not one for each of its ids."""
+    rng = random.Random(3)
+    syllables = ["tion", "ea", "th", "ç", "ÉE", "wh"]
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 6))) + rng.choice(["", "", ".", "!?", "'s"]) for _ in range(rng.randrange(120))) for _ in range(30)]
+    texts += [None, "", " \n", "x" * 3000 + "1" * 700, "İ 12 <|endoftext|>"]
+    encode = tokenfiles.default_encoder()
+    root, docs = f"file://{tmp_path}", np.zeros(len(texts), tokenfiles._DOCS)
+    codes, ids, ends, docs["ids"] = encode.words(pa.array(texts), 2)
+    writer = tokenfiles.Writer(root, "words", **few_blocks)
+    writer.add_words(docs[:0], codes[:0], ids, ends)
+    writer.add(docs[:0], np.array([7, 70_000], "<u4"))  # ids by themselves may stand between
+    writer.add_words(docs, codes, ids, ends)
+    writer.close()
+    file = tokenfiles.Reader(root, "words")
+    want = [[*encode.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert file.read(0, len(file.blocks)).tolist() == [7, 70_000, *(i for w in want for i in w)] and file.ids == sum(map(len, want)) + 2
+    assert file.docs["ids"].tolist() == [len(w) for w in want] and len(file.groups) > 2
+    assert file.blocks["symbols"].sum() < file.ids / 1.5
+    for k in (0, 5, len(file.blocks) - 1):
+        at = int(file.blocks["ids"][:k].sum())
+        assert tokenfiles.Reader(root, "words").read(k, k + 1).tolist() == [7, 70_000, *(i for w in want for i in w)][at : at + int(file.blocks["ids"][k])]
+    path = tmp_path / "words"
+    data = bytearray(path.read_bytes())
+    data[int(file.starts[file.edges[1]]) - 3] ^= 1  # in the dictionary of the second group
+    path.write_bytes(bytes(data))
+    with pytest.raises(ValueError, match="dictionary"):
+        tokenfiles.Reader(root, "words").read(0, len(file.blocks))
+
+
 def test_words_are_encoded_as_in_whole_texts():
     encode = tokenfiles.default_encoder()
     assert encode.apart
