@@ -311,7 +311,7 @@ def decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
 
 
 #: Bits of a slot of orders 1 and 2 of a word coder.
-WORD_SLOTS = 11
+WORD_SLOTS = 10
 #: Symbols coded with one dictionary at most: a part of a range is then never empty.
 MOST_WORDS = 1 << 22
 _MIX = 0x9E3779B1

@@ -37,7 +37,7 @@ from .common import Scratch, release
 BLOCK, LANES, END_ID = 4096, 1024, 2
 MAGIC = b"QTIDS2\0\0"
 #: Words whose ids a worker remembers at most.
-WORDS = 1_000_000
+WORDS = 500_000
 #: Bytes of text encoded at once, at least a row.
 STEP_BYTES = 20 << 20
 #: Ids of a word of a file's dictionary at most; longer ones are cut.
@@ -51,9 +51,7 @@ _DICTIONARY = struct.Struct("<IIIB")
 
 def _gather(values: np.ndarray, ends: np.ndarray, picked: np.ndarray) -> np.ndarray:
     """The runs ``values[ends[k]:ends[k + 1]]`` of the picked k, one after another."""
-    sizes = np.diff(ends)[picked]
-    after = np.cumsum(sizes)
-    return values[np.repeat(ends[:-1][picked] - after + sizes, sizes) + np.arange(int(after[-1]) if len(after) else 0)]
+    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(values)).take(pa.array(picked)).flatten().to_numpy(zero_copy_only=False)
 
 
 #: What normalizers and pretokenizers must be for ``Encoder`` to take letters and the signs behind them apart.
@@ -94,8 +92,7 @@ class Encoder:
         suffix = plan["model"].get("end_of_word_suffix")
         self.simple = None
         if self.apart and suffix and not plan["model"].get("dropout") and plan["post_processor"] is None and all(plan[k] == v for k, v in _LETTERS_APART.items()):
-            self.simple = Tokenizer.from_file(path)
-            self.simple.normalizer = None
+            self.simple = Tokenizer(self.tokenizer.model)
             self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             vocab = self.tokenizer.get_vocab()
             self.last = np.zeros(max(vocab.values()) + 1, bool)
@@ -103,30 +100,26 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        # Pieces of words; a word that is encoded as it stands has a blank before it.
+        # Places of pieces of words; a word that is encoded as it stands has a blank before it.
         self.pieces = pa.array([""], pa.large_string())
         self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(2, np.int64)
 
     def _learn(self, pieces: pa.Array) -> None:
-        odd = pc.starts_with(pieces, " ")
-        if self.simple:
-            plain = pieces.filter(pc.invert(odd))
-            for first in range(0, len(plain), 4096):
-                some = plain.slice(first, 4096)
-                ids = np.array(self.simple.encode_batch_fast([" ".join(some.to_pylist())], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.flatnonzero(self.last[ids]) + 1
-                if len(ends) != len(some) or ends[-1] != len(ids):
-                    raise ValueError("the tokenizer does not end words as its file says")
-                self._add(some, ids, ends)
-        words = pieces.filter(odd)
-        for first in range(0, len(words), 16384):
-            some = words.slice(first, 16384)
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(pc.utf8_slice_codeunits(some, 1).to_pylist(), add_special_tokens=False)]
-            self._add(some, np.fromiter((i for ids in found for i in ids), "<u4"), np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
-
-    def _add(self, pieces: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
-        self.pieces = pa.concat_arrays([self.pieces, pieces])
-        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + ends])
+        whole = pc.starts_with(pieces, " ")
+        plain, odd = pieces.filter(pc.invert(whole)), pieces.filter(whole)
+        ids, sizes = [self.ids], [np.zeros(0, np.int64)]
+        for some in (plain.slice(k, 4096).to_pylist() for k in range(0, len(plain), 4096)):
+            ids.append(np.array(self.simple.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4"))
+            ends = np.flatnonzero(self.last[ids[-1]]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids[-1]):
+                raise ValueError("the tokenizer does not end words as its file says")
+            sizes.append(np.diff(ends, prepend=0))
+        for some in (odd.slice(k, 4096).to_pylist() for k in range(0, len(odd), 4096)):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([p[1:] for p in some], add_special_tokens=False)]
+            ids.append(np.fromiter((i for f in found for i in f), "<u4"))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        self.pieces = pa.concat_arrays([self.pieces, plain, odd])
+        self.ids, self.ends = np.concatenate(ids), np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
 
     def _places(self, pieces: pa.Array) -> np.ndarray:
         """Where the pieces stand among those remembered; new ones are encoded."""
@@ -258,12 +251,12 @@ class Writer:
                 self._code(self.size // self.block * self.block)
 
     def add_words(self, docs: np.ndarray, codes: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
-        """Documents as words of a dictionary, as ``Encoder.words`` gives them. A block holds half as many words as it would ids."""
+        """Documents as words of a dictionary, as ``Encoder.words`` gives them. A block holds a quarter as many words as it would ids."""
         self._code(self.size)
         self.docs.append(docs)
         codes, ends = _short(codes, ids, ends)
-        half = max(1, self.block // 2)
-        groups = -(-len(codes) // min(max(half, self.most), coder.MOST_WORDS))
+        size = max(1, self.block // 4)
+        groups = -(-len(codes) // min(max(size, self.most), coder.MOST_WORDS))
         for some in np.array_split(codes, groups) if groups else []:
             counts = np.bincount(some, minlength=len(ends) - 1)
             used = np.flatnonzero(counts)
@@ -274,7 +267,7 @@ class Writer:
             symbols, counts = number[some], counts[used]
             packed = _packed(counts, own, tops)
             self._write(packed)
-            blocks = [symbols[k : k + half] for k in range(0, len(symbols), half)]
+            blocks = [symbols[k : k + size] for k in range(0, len(symbols), size)]
             self.groups.append((len(blocks), len(packed), zlib.crc32(packed)))
             for block, spelled, payload in zip(blocks, _spelled(own, tops, blocks), coder.encode_words(blocks, counts), strict=True):
                 self._block(spelled, len(block), payload)
@@ -444,7 +437,7 @@ def _read(root: str, lanes: int):
     return run
 
 
-def read_digests(files: DataFrame, root: str, lanes: int = 2 * LANES) -> DataFrame:
+def read_digests(files: DataFrame, root: str, lanes: int = 4 * LANES) -> DataFrame:
     """Files of ``write_ids`` -> one row per document: doc_id, start, n_tokens, ids_crc32, from the decoded blocks.
 
     Each file is read by one task, a group of blocks at a time; damaged blocks raise an error. ``start``
