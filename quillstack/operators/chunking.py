@@ -118,10 +118,19 @@ def word_frequencies(*tables: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")  # folded to one literal
 
 
-def word_sets(df: DataFrame, name: str, key: tuple[str, ...], frequencies: Column) -> DataFrame:
-    """(key, text) -> key, name, distinct words ``_ws`` with the rarest first, by counter and then by word."""
+def words_held(df: DataFrame) -> Column:
+    """Which counters the words of all texts fall on, as an array of booleans: a word on another one is in no text."""
+    slots = {r[0] for r in df.select(F.explode(X.words(F.lower("text"))).alias("_w")).select(_counter(F.col("_w"))).distinct().collect()}
+    return F.split(F.lit(",".join("true" if k in slots else "false" for k in range(COUNTERS))), ",").cast("array<boolean>")  # folded to one literal
+
+
+def word_sets(df: DataFrame, name: str, key: tuple[str, ...], frequencies: Column, among: Column | None = None) -> DataFrame:
+    """(key, text) -> key, name, distinct words ``_ws`` with the rarest first, by counter and then by word; only those that ``among`` of ``words_held`` allows."""
     counted = lambda w: F.struct(F.get(frequencies, _counter(w)).alias("n"), w.alias("w"))
-    words = F.array_sort(F.transform(F.array_distinct(X.words(F.lower("text"))), counted))
+    words = X.words(F.lower("text"))
+    if among is not None:
+        words = F.filter(words, lambda w: F.get(among, _counter(w)))
+    words = F.array_sort(F.transform(F.array_distinct(words), counted))
     return df.select(*key, name, F.transform(words, lambda s: s["w"]).alias("_ws"))
 
 
@@ -136,11 +145,12 @@ def footnote_links(chunks: DataFrame, notes: DataFrame, *key: str, more_than: in
 
     Words of both sides are ordered by how rare they are. Of two sets with more than m common words, each
     has one of these among all but its m last words, so only those meet in an equi-join, and a word that stands everywhere
-    joins nothing but sets of such words. What the m last words of the candidates have in common is added from short
+    joins nothing but sets of such words. Words of chunks that are in no note are left out at once. What the m last words of the candidates have in common is added from short
     lists: those words, and which of all such words a set holds. (key, id) must be distinct.
     """
     frequencies = word_frequencies(chunks, notes)
-    left, right = (saved(word_sets(df, name, key, frequencies), "word-sets") for df, name in ((chunks, "chunk_id"), (notes, "note_id")))
+    left = saved(word_sets(chunks, "chunk_id", key, frequencies, words_held(notes)), "word-sets")
+    right = saved(word_sets(notes, "note_id", key, frequencies), "word-sets")
     first, last = F.slice("_ws", 1, F.greatest(F.size("_ws") - more_than, F.lit(0))), F.slice("_ws", F.greatest(F.size("_ws") - more_than, F.lit(0)) + 1, F.lit(more_than))
     lasts = [saved(df.select(F.explode(last).alias("_w")).distinct(), "last-words") for df in (left, right)]
 

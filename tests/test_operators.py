@@ -429,6 +429,15 @@ def test_footnote_join_keeps_hot_words_apart(spark):
     assert max(by.values()) < 60 and all(by.get(w, 0) == 0 for w in ("everywhere", "too", "here"))
 
 
+def test_footnote_join_keeps_words_of_notes_only(spark):
+    chunks = spark.createDataFrame([(i, "Some old " + " ".join(f"c{i}x{k}" for k in range(200)) + " words of notes") for i in range(20)] + [(20, None), (21, "")], "chunk_id long, text string")
+    notes = spark.createDataFrame([(1, "some words of notes"), (2, "some words"), (3, "old some words of"), (4, None)], "note_id long, text string")
+    assert {tuple(r) for r in chunking.footnote_links(chunks, notes).collect()} == {(i, n, 4) for i in range(20) for n in (1, 3)}
+    sets = chunking.word_sets(chunks, "chunk_id", (), chunking.word_frequencies(chunks, notes), chunking.words_held(notes))
+    sizes = [len(r._ws) for r in sets.filter("chunk_id < 20").collect()]
+    assert min(sizes) >= 5 and sum(sizes) < 20 * 10  # of 205 each
+
+
 def _brute(q, x, k):
     import numpy as np
 
