@@ -56,7 +56,8 @@ def cosines(rows: pa.Array, features: int | None) -> pa.Array:
     weight /= np.sqrt(np.bincount(part, weight * weight, len(row)))[part]
     at = np.searchsorted(key, key + base)
     meets = np.flatnonzero((at < len(key)) & (key[np.minimum(at, len(key) - 1)] == key + base)) if len(key) else np.zeros(0, np.int64)
-    value = np.bincount(part[meets], weight[meets] * weight[at[meets]], len(row)) if len(row) else np.zeros(0)
+    # Where no neighbours meet, bincount gives integers, whatever the weights.
+    value = np.bincount(part[meets], weight[meets] * weight[at[meets]], len(row)).astype(np.float64) if len(row) else np.zeros(0)
     last = np.zeros(len(row), bool)
     last[(first + n_parts - 1)[n_parts > 0]] = True
     offsets = np.concatenate([[0], np.cumsum(np.maximum(n_parts - 1, 0))]).astype(np.int32)

@@ -194,6 +194,20 @@ def test_similarities_do_not_depend_on_the_step(monkeypatch):
     assert [x for part in sparse.steps(rows) for x in sparse.cosines(part, None).to_pylist()] == whole
 
 
+def test_similarity_of_steps_without_equal_terms(spark):
+    import pyarrow as pa
+
+    from quillstack.functions import sparse
+
+    lists = pa.list_(pa.list_(pa.string()))
+    for rows in ([[["a"]]], [[["a"], ["b"]]], [[[], []]], [[]], [None], []):
+        assert sparse.cosines(pa.array(rows, lists), None).type == pa.list_(pa.float64())
+    parts = spark.createDataFrame([(0, ["lone"]), (1, ["one", "other"]), (2, ["same words", "same words"])], "i int, t array<string>").coalesce(1)
+    for rows, want in ((parts.filter("i < 2"), [[], [0.0]]), (parts, [[], [0.0], [1.0]])):
+        got = rows.select("i", chunking.neighbour_similarity(F.col("t")).alias("s")).orderBy("i").collect()
+        assert [[round(x, 9) for x in r.s] for r in got] == want
+
+
 def test_article_chunks_lose_paragraphs_of_short_articles(spark):
     a = structure.articles(F.lit(TREATY))
     got = spark.range(1).select(F.explode(F.transform(a, lambda x: chunking.article_chunks(x, 600)))).collect()
