@@ -700,3 +700,87 @@ def test_pdf_extractor_reads_words_of_a_page(monkeypatch):
     text, words = files.pdf_text(b"%PDF")
     assert text == "Art 1\nArt 1\n" and [w["ord"] for w in words] == [0, 1, 2, 3]
     assert words[2] == {"ord": 2, "text": "Art", "x0": 0.0, "y0": 1.0, "x1": 2.0, "y1": 3.0, "font_size": 4.0, "font_name": "5", "page_num": 2}
+
+
+def shuffled_bytes(spark):
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_a_search_shuffles_no_vectors_for_pairs(spark):
+    import numpy as np
+
+    from quillstack.operators.vector_index import VectorIndex
+
+    x = np.random.default_rng(3).standard_normal((3000, 48))  # no clusters: a query visits most cells
+    index = VectorIndex.build(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4))
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[::3])], "query_id long, qvec array<double>")
+    before = shuffled_bytes(spark)
+    found = index.search(queries, 5).collect()
+    assert shuffled_bytes(spark) - before < 2 * x.nbytes
+    assert index.visited_share() > 0.5
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.argsort(-(unit[::3] @ unit.T), axis=1, kind="stable")[:, :5]
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == dict(enumerate(want.tolist()))
+
+
+def test_tiles_of_queries_give_what_one_tile_gives(spark, monkeypatch):
+    from quillstack.operators import vector_index
+
+    rows = [(i, [float(i % 7), 1.0, float(i % 5)], "ab"[i % 2]) for i in range(400)] + [(400, [1.0, 2.0], "a"), (401, [3.0, 1.0], None)]
+    index = vector_index.VectorIndex.build(spark.createDataFrame(rows, "vec_id long, embedding array<double>, _agree string").repartition(3))
+    queries = spark.createDataFrame([(i, v, a, i % 4) for i, v, a in rows[::3]] + [(900, [1.0, 1.0, 1.0], None, 2)], "query_id long, qvec array<double>, own string, k int")
+    search = lambda: {tuple(r) for r in index.search(queries, F.col("k"), agree="own").select("query_id", "vec_id", "rank", F.round("score", 12)).collect()}
+    whole = search()
+    monkeypatch.setattr(vector_index, "TILE", 500)
+    assert search() == whole
+    of = {i: (v, a) for i, v, a in rows}
+    norm = lambda v: sum(c * c for c in v) ** 0.5
+    for q, v, own, k in [(i, v, a, i % 4) for i, v, a in rows[::3]]:
+        score = lambda w: round(sum(a * b for a, b in zip(v, w, strict=True)) / norm(v) / norm(w), 9)  # noqa: E731, B023
+        best = sorted((-score(w), i) for i, (w, a) in of.items() if a == own and own is not None and len(w) == len(v))[:k]
+        assert sorted((r, i) for p, i, r, _ in whole if p == q) == [(r + 1, i) for r, (_, i) in enumerate(best)]
+    assert not any(q == 900 for q, *_ in whole)
+
+
+def test_blocks_with_many_candidates_keep_the_first_ids():
+    import numpy as np
+    import pyarrow as pa
+
+    from quillstack.operators import vector_index
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, (600, 3)).astype(float)
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [{"_query": None, "k": 0, "_row": i, "id": int(n), "agree": None, "unit": v.tobytes(), "bound": None} for i, (v, n) in enumerate(zip(x, rng.permutation(len(x)), strict=True))]
+    asked = [{"_query": q, "k": 1 + q % 4, "_row": None, "id": None, "agree": None, "unit": x[q].tobytes(), "bound": None} for q in range(40)]
+    schema = pa.schema([("_query", pa.int64()), ("k", pa.int32()), ("_row", pa.int64()), ("id", pa.int64()), ("agree", pa.string()), ("unit", pa.binary()), ("bound", pa.float64())])
+    ids = {r["_row"]: r["id"] for r in rows}
+    for held in (1 << 20, 10):
+        vector_index.HELD, old = held, vector_index.HELD
+        try:
+            got = vector_index._best(pa.Table.from_pylist(asked + rows, schema)).to_pylist()
+        finally:
+            vector_index.HELD = old
+        for q in range(40):
+            want = sorted((-round(float(x[q] @ v), 9), ids[i]) for i, v in enumerate(x))[: 1 + q % 4]
+            assert sorted((-round(r["score"], 9), r["id"]) for r in got if r["_query"] == q) == want
+    batch = pa.RecordBatch.from_pylist(rows, schema)
+    few = vector_index._first_copies(batch, 2).to_pylist()
+    by = {}
+    for r in rows:
+        by.setdefault(r["unit"], []).append(r["id"])
+    assert {r["id"] for r in few} == {i for v in by.values() for i in sorted(v)[:2]}
+
+
+def test_ranked_results_carry_no_contents(spark):
+    embed = ask.hashed_embedder(16)
+    rows = [(i, f"article {i} of the convention on prisoners number {i} " * 5, "a summary", f"d{i % 3}", "1", "s") for i in range(12)]
+    index = spark.createDataFrame(rows, "row_id long, content string, summary string, document_name string, page_number string, section string").withColumn("embedding", embed(F.col("content")))
+    found = ask.hybrid(spark.createDataFrame([(1, "Which article protects prisoners")], "question_id long, query string"), index, "geneva", embed, 5)
+    assert found.count() and not {"content", "summary", "embedding"} & set(found.columns)
