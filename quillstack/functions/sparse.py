@@ -77,11 +77,27 @@ def steps(rows: pa.Array) -> Iterator[pa.Array]:
         first = last
 
 
+def _by_steps(rows: pa.Array, features: int | None) -> pa.Array:
+    return pa.concat_arrays([pa.array([], pa.list_(pa.float64())), *(cosines(r, features) for r in steps(rows))])
+
+
 def neighbour_cosines(features: int | None):
     """array<array<string>> -> array<double>, as a function of a column."""
 
     @F.arrow_udf("array<double>")
     def run(rows: pa.Array) -> pa.Array:
-        return pa.concat_arrays([pa.array([], pa.list_(pa.float64())), *(cosines(r, features) for r in steps(rows))])
+        return _by_steps(rows, features)
+
+    return run
+
+
+def neighbour_cosines_of_each(features: int | None):
+    """array<array<array<string>>> -> array<array<double>>: ``neighbour_cosines`` of each element."""
+
+    @F.arrow_udf("array<array<double>>")
+    def run(rows: pa.Array) -> pa.Array:
+        inner, sizes = _inner(rows)
+        out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), _by_steps(inner, features))
+        return pc.if_else(pc.is_valid(rows), out, pa.scalar(None, out.type)) if rows.null_count else out
 
     return run

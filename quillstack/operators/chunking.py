@@ -75,7 +75,12 @@ def pages_in_row(text: Column, words: Column, chunks: Column) -> Column:
     ``words``: array of (size, page) in reading order, ``chunks``: array of (head, size) with the first 100 characters.
     All heads are found in one pass over the text; a page is found by bisection in the sums of the word sizes.
     """
-    return locate.pages()(text, F.transform(words, lambda w: w["size"].cast("long")), F.transform(words, lambda w: w["page"].cast("long")), F.transform(chunks, lambda c: c["head"]), F.transform(chunks, lambda c: c["size"].cast("long")))
+    return pages_by_sizes(text, F.transform(words, lambda w: w["size"].cast("long")), F.transform(words, lambda w: w["page"].cast("long")), chunks)
+
+
+def pages_by_sizes(text: Column, sizes: Column, pages: Column, chunks: Column) -> Column:
+    """``pages_in_row`` from the words' sizes and pages as two arrays of integers."""
+    return locate.pages()(text, sizes, pages, F.transform(chunks, lambda c: c["head"]), F.transform(chunks, lambda c: c["size"].cast("long")))
 
 
 def chunk_pages(chunks: DataFrame, words: DataFrame, texts: DataFrame) -> DataFrame:
@@ -174,11 +179,20 @@ def neighbour_similarity(texts: Column, features: int | None = 1000, stop: list[
     characters, and not all numbers); the ``features`` most frequent of the array stay (all
     if None; ties by term). A term's weight is tf * (ln((1 + n) / (1 + df)) + 1) for n texts. Null gives null.
     """
+    return sparse.neighbour_cosines(features)(_terms(texts, stop))
+
+
+def neighbour_similarities(blocks: Column, features: int | None = 1000, stop: list[str] | None = None) -> Column:
+    """``neighbour_similarity`` of every array of texts of an array."""
+    return sparse.neighbour_cosines_of_each(features)(F.transform(blocks, lambda texts: _terms(texts, stop)))
+
+
+def _terms(texts: Column, stop: list[str] | None) -> Column:
     terms = F.transform(texts, lambda t: X.all_matches(F.lower(F.coalesce(t, F.lit(""))), r"[\pL\pN_]{2,}"))
-    if stop:
-        left_out = F.lit(list(stop))
-        terms = F.transform(terms, lambda ts: F.filter(ts, lambda t: ~F.array_contains(left_out, t)))
-    return sparse.neighbour_cosines(features)(terms)
+    if not stop:
+        return terms
+    left_out = F.lit(list(stop))
+    return F.transform(terms, lambda ts: F.filter(ts, lambda t: ~F.array_contains(left_out, t)))
 
 
 def merged_neighbours(chunks: Column, similarity: Column, threshold: float, target: int) -> Column:

@@ -24,30 +24,31 @@ def _with_ids(files: DataFrame, name: Column) -> DataFrame:
 def judgment_chunks(files: DataFrame, sizes: tuple = chunking.JUDGMENT, similar: float = 0.88, stop: list[str] | None = None) -> DataFrame:
     """(filename, text, words, _error) -> the 17 columns of judgment chunks.
 
-    A block is split, overlapped, merged where neighbours are alike and packed within one row; then a document's
-    chunks come together once, where they are numbered and their pages are found. Footnotes join by rare words.
+    A document is cut into blocks, and these are split, overlapped, merged where neighbours are alike and packed, within its
+    row; there its chunks are numbered and their pages are found, too. Only footnotes are shuffled; they join by rare words.
     """
     target, least, most, ratio = sizes
     docs = cleaned(_with_ids(files, F.replace("filename", F.lit(".pdf"))), 5).withColumn("meta", layout.judgment_metadata(F.col("clean"), F.col("filename")))
     # Of the words, their sizes and pages are kept, and those that may be footnotes.
-    sized = F.transform("words", lambda w: F.struct(F.length(w["text"]).alias("size"), w["page_num"].alias("page")))
-    docs = saved(docs.select("doc_id", "meta", "clean", sized.alias("sized"), layout.small_words(F.col("words")).alias("words")), "docs")
-    block = F.explode(F.transform(structure.blocks(F.col("clean")), lambda b, i: F.struct(i.alias("block_ord"), b["text"].alias("block"), b["type"].alias("type"), b["section_id"].alias("section_id"))))
-    blocks = docs.select("doc_id", block.alias("b")).select("doc_id", "b.*").withColumn("c", classify.classify(F.col("block"), "judgment"))
-    parts = saved(blocks.withColumn("parts", folds.with_overlap(folds.recursive_split(F.col("block"), target), ratio)).drop("block"), "parts")
-    alike = parts.withColumn("alike", chunking.neighbour_similarity(F.transform("parts", lambda x: x["text"]), stop=stop))
-    merged = folds.merge_small(chunking.merged_neighbours(F.col("parts"), F.col("alike"), similar, target), least, target, most)
-    head = lambda c: F.substring(c["text"], 1, 100).alias("head")
-    chunks = chunking.exploded(alike.withColumn("m", merged), F.col("m"), "doc_id", "block_ord", "type", "section_id", "c")
-    whole = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_ord", "chunk_ord", "text", "tokens", "split_method", "type", "section_id", "c"))).alias("cs"))
-    heads = F.transform("cs", lambda c: F.struct(head(c), F.length(c["text"]).alias("size")))
-    rows = whole.join(docs.select("doc_id", "sized", "clean", "meta.case_number", "meta.date", "meta.judges"), "doc_id")
-    rows = rows.withColumn("places", chunking.pages_in_row(F.col("clean"), F.col("sized"), heads)).select("doc_id", "case_number", "date", "judges", "places", F.posexplode("cs").alias("n", "x"))
-    numbered = saved(rows.select("doc_id", "case_number", "date", "judges", F.concat("doc_id", F.lit("_chunk_"), F.col("n").cast("string")).alias("chunk_id"), F.get("places", F.col("n")).alias("pages"), "x.*"), "chunks")
+    of = lambda value, kind, name: F.transform("words", lambda w: value(w).cast(kind)).alias(name)
+    docs = saved(docs.select("doc_id", "meta", "clean", of(lambda w: F.length(w["text"]), "int", "sizes"), of(lambda w: w["page_num"], "int", "of"), layout.small_words(F.col("words")).alias("words")), "docs")
+    parts = lambda b: folds.with_overlap(folds.recursive_split(b["text"], target), ratio)
+    blocks = F.transform(structure.blocks(F.col("clean")), lambda b: F.struct(b["type"].alias("type"), b["section_id"].alias("section_id"), classify.classify(b["text"], "judgment").alias("c"), parts(b).alias("parts")))
+    rows = docs.select("doc_id", "meta.case_number", "meta.date", "meta.judges", "clean", "sizes", "of", blocks.alias("blocks"))
+    alike = chunking.neighbour_similarities(F.transform("blocks", lambda b: F.transform(b["parts"], lambda x: x["text"])), stop=stop)
+    # Saved, as Python's results may not be inlined into the functions of an array that follow.
+    rows = saved(rows.withColumn("alike", alike), "blocks").withColumn("both", F.arrays_zip("blocks", "alike")).drop("blocks", "alike")
+    merged = lambda both: folds.merge_small(chunking.merged_neighbours(both["blocks"]["parts"], both["alike"], similar, target), least, target, most)
+    chunk = lambda b, x: F.struct(x["text"].alias("text"), x["tokens"].alias("tokens"), x["split_method"].alias("split_method"), b["type"].alias("type"), b["section_id"].alias("section_id"), b["c"].alias("c"))
+    rows = rows.withColumn("cs", F.flatten(F.transform("both", lambda both: F.transform(merged(both), lambda x: chunk(both["blocks"], x))))).drop("both")
+    heads = F.transform("cs", lambda x: F.struct(F.substring(x["text"], 1, 100).alias("head"), F.length(x["text"]).alias("size")))
+    rows = rows.withColumn("places", chunking.pages_by_sizes(F.col("clean"), F.col("sizes"), F.col("of"), heads)).select("doc_id", "case_number", "date", "judges", "places", F.posexplode("cs").alias("n", "x"))
+    numbered = rows.select("doc_id", "case_number", "date", "judges", F.concat("doc_id", F.lit("_chunk_"), F.col("n").cast("string")).alias("chunk_id"), F.get("places", F.col("n")).alias("pages"), "x.*")
     notes = saved(layout.footnote_islands(S.words_of(docs)).select("doc_id", F.concat_ws("-", "page_num", "note").alias("note_id"), "text"), "notes")
     if notes.isEmpty():
         full = numbered.withColumn("footnotes", F.array().cast("array<string>"))
     else:
+        numbered = saved(numbered, "chunks")
         links = chunking.footnote_links(numbered.select("doc_id", "chunk_id", "text"), notes, "doc_id").join(notes.select("doc_id", "note_id", F.col("text").alias("note")), ["doc_id", "note_id"])
         full = numbered.join(links.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list("note")).alias("footnotes")), ["doc_id", "chunk_id"], "left")
     return full.select(

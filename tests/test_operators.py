@@ -784,3 +784,19 @@ def test_ranked_results_carry_no_contents(spark):
     index = spark.createDataFrame(rows, "row_id long, content string, summary string, document_name string, page_number string, section string").withColumn("embedding", embed(F.col("content")))
     found = ask.hybrid(spark.createDataFrame([(1, "Which article protects prisoners")], "question_id long, query string"), index, "geneva", embed, 5)
     assert found.count() and not {"content", "summary", "embedding"} & set(found.columns)
+
+
+def test_a_judgment_is_cut_in_its_row(spark):
+    from quillstack import queries
+
+    before = shuffled_bytes(spark)
+    assert queries.QUERIES["judgment_etl"](spark, "/root/testdata/sf0.001").count() > 200
+    assert shuffled_bytes(spark) - before < 50_000
+
+
+def test_similarities_of_each_block(spark):
+    rows = [[["aa bb", "bb"], [], ["cc", "cc", "dd"]], [], None, [["aa"]], [["aa", "aa"], None]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, b array<array<string>>").coalesce(1)
+    got = [r.s for r in df.select("i", chunking.neighbour_similarities(F.col("b")).alias("s")).orderBy("i").collect()]
+    one = lambda b: spark.createDataFrame([(b,)], "t array<string>").select(chunking.neighbour_similarity(F.col("t")).alias("s")).first().s
+    assert got == [None if r is None else [one(b) for b in r] for r in rows]
